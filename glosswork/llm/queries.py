@@ -3,10 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..tables import table
 from . import sql
+from .cooccur import block_baskets, cooccurrence
 from .encode import encode
+from .frequency import token_frequency
+from .split import oversized, piece_tokens, split
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of more than 1,024 current tokens and how they had to be cut."""
+    return oversized(split(table(spark, sf_dir, "corpus"), table(spark, sf_dir, "vocab"), oversized_only=True))
+
+
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces with their tokens."""
+    return piece_tokens(table(spark, sf_dir, "corpus"), table(spark, sf_dir, "vocab"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that are too rare or too common."""
+    return p3_frequency(spark, sf_dir).where("mark IS NOT NULL").select("token", "mark")
+
+
+def p3_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequency and document frequency of every current token."""
+    return token_frequency(table(spark, sf_dir, "corpus"), table(spark, sf_dir, "vocab"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of tokens in at least 15 common blocks, at least ten times as often as by chance."""
+    return p4_pairs(spark, sf_dir).select(F.col("item_a").alias("token_a"), F.col("item_b").alias("token_b"))
+
+
+def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs with their counts and association scores."""
+    baskets = block_baskets(table(spark, sf_dir, "corpus"), table(spark, sf_dir, "vocab"))
+    return cooccurrence(baskets, ["doc_id", "block"], least=15, lift=10.0)
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +49,5 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids,)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_frequency, p4_found, p4_pairs, p6_ids)}
 ORACLES = sql.ORACLES

@@ -1,3 +1,40 @@
 """SQL counterparts of the training-data queries, where SQL can express them."""
 
-ORACLES: dict[str, str] = {}
+CURRENT = """cur AS (
+  SELECT doc_id, pos, token FROM (
+    SELECT doc_id, pos, token, row_number() OVER (PARTITION BY doc_id, pos ORDER BY loaded_at DESC NULLS LAST) AS rn
+    FROM corpus WHERE doc_id IS NOT NULL AND pos IS NOT NULL)
+  WHERE rn = 1 AND token IN (SELECT token FROM vocab))"""
+
+NUMBERED = f"""{CURRENT}, num AS (
+  SELECT doc_id, pos, c.token, boundary, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rk
+  FROM cur c JOIN vocab v ON v.token = c.token)"""
+
+FREQUENCY = f"""{CURRENT}, f AS (
+  SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM cur GROUP BY token),
+marked AS (
+  SELECT token, n, docs, CASE WHEN docs <= 2 THEN 'rare'
+    WHEN docs > 0.5 * (SELECT count(DISTINCT doc_id) FROM cur) THEN 'common' END AS mark FROM f)"""
+
+PAIRS = f"""{CURRENT}, b AS (SELECT DISTINCT doc_id, pos // 32 AS block, token FROM cur),
+t AS (SELECT token, count(*) AS n_item FROM b GROUP BY token),
+n AS (SELECT count(*) AS n FROM (SELECT DISTINCT doc_id, block FROM b)),
+ab AS (SELECT x.token AS item_a, y.token AS item_b, count(*) AS n_ab
+  FROM b x JOIN b y ON x.doc_id = y.doc_id AND x.block = y.block AND x.token < y.token
+  GROUP BY ALL HAVING count(*) >= 15),
+scored AS (SELECT item_a, item_b, n_ab, p.n_item AS n_a, q.n_item AS n_b, n,
+    n_ab * n::DOUBLE / (p.n_item * q.n_item) AS lift
+  FROM ab JOIN t p ON p.token = item_a JOIN t q ON q.token = item_b, n)"""
+
+ORACLES: dict[str, str] = {
+    "p1_found": f"""WITH {NUMBERED},
+long AS (SELECT doc_id FROM num GROUP BY doc_id HAVING count(*) > 1024),
+runs AS (SELECT doc_id, count(*) FILTER (boundary IS NULL) AS run FROM (
+    SELECT *, count(boundary) OVER (PARTITION BY doc_id ORDER BY rk) AS g FROM num WHERE doc_id IN (SELECT doc_id FROM long))
+  GROUP BY doc_id, g)
+SELECT doc_id, CASE WHEN max(run) > 960 THEN 'inside' ELSE 'boundary' END AS cut FROM runs GROUP BY doc_id""",
+    "p3_found": f"WITH {FREQUENCY} SELECT token, mark FROM marked WHERE mark IS NOT NULL",
+    "p3_frequency": f"WITH {FREQUENCY} SELECT token, n, docs, mark FROM marked",
+    "p4_found": f"WITH {PAIRS} SELECT item_a AS token_a, item_b AS token_b FROM scored WHERE lift >= 10",
+    "p4_pairs": f"WITH {PAIRS} SELECT item_a, item_b, n_ab, n_a, n_b, n, lift, ln(lift) AS pmi FROM scored WHERE lift >= 10",
+}
