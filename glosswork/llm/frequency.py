@@ -122,7 +122,8 @@ def token_frequency(corpus: DataFrame, vocab: DataFrame, rare_docs: int = 2, com
     """
     ship(corpus.sparkSession)
     terms, hot = heavy_hitters(corpus)
-    is_hot = F.col("doc_id").isin(hot) if hot else F.lit(False)
+    # never a constant, so that the shuffle on (doc_id, chunk) serves all later steps; what is named hot only moves work
+    is_hot = F.col("doc_id").isin(hot or [-(1 << 63)])
     chunk = F.when(is_hot, F.shiftright("pos", CHUNK_BITS)).otherwise(0)
     held = current(corpus, vocab, chunk)
     pairs = held.groupBy("doc_id", "chunk", "token").agg(F.count(F.lit(1)).alias("n"))
