@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..tables import table
 from . import sql
+from .clusters import complete_records, describe, similarity_groups
 from .cooccur import block_baskets, cooccurrence
 from .encode import encode
 from .frequency import token_frequency
+from .neighbours import close_pairs, nearest
 from .split import oversized, piece_tokens, split
 
 
@@ -23,6 +25,29 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_tokens(table(spark, sf_dir, "corpus"), table(spark, sf_dir, "vocab"))
 
 
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = table(spark, sf_dir, "work_sample").select(F.lit(0).cast("bigint").alias("grp"), F.col("row_index").alias("id"), F.col("h").alias("vec"))
+    return similarity_groups(states, 0.8, dim=64)
+
+
+def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_groups(complete_records(table(spark, sf_dir, "responsibilities")), 0.9, kind="f8")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hidden states and sense profiles in groups of at least five similar ones."""
+    named = [(_states(spark, sf_dir), "h"), (_profiles(spark, sf_dir), "responsibilities")]
+    h, r = (g.select(F.lit(name).alias("field"), F.col("id").alias("row_index"), "group_key") for g, name in named)
+    return h.unionByName(r)
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups with their size and three most typical members."""
+    named = [(_states(spark, sf_dir), "h"), (_profiles(spark, sf_dir), "responsibilities")]
+    h, r = (describe(g).select(F.lit(name).alias("field"), "grp", "group_key", "size", "typical") for g, name in named)
+    return h.unionByName(r)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens that are too rare or too common."""
     return p3_frequency(spark, sf_dir).where("mark IS NOT NULL").select("token", "mark")
@@ -44,10 +69,24 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrence(baskets, ["doc_id", "block"], least=15, lift=10.0)
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embedding").select(F.col("emb_id").alias("id"), F.col("e").alias("vec"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors of cosine 0.9 or more, one among the five nearest of the other."""
+    return close_pairs(nearest(_vectors(spark, sf_dir), k=5, dim=48, least=0.9))
+
+
+def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar vectors found for every vector."""
+    return nearest(_vectors(spark, sf_dir), k=5, dim=48).withColumnsRenamed({"id": "emb_id"})
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_frequency, p4_found, p4_pairs, p6_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_frequency, p4_found, p4_pairs, p5_found, p5_nearest, p6_ids)}
 ORACLES = sql.ORACLES
