@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship, small
+from ..session import materialise, ship, small
 
 #: Vectors that the planes are fitted on, at most; every vector is placed.
 SAMPLE = 4096
 
-#: Bits of a string, and by how many bits a prefix grows at a time.
-BITS, STEP = 24, 2
+#: Bits of a string, how many are counted at first, and by how many a prefix grows at a time.
+BITS, FIRST_BITS, STEP = 24, 12, 2
 
 #: Bytes of a row of the depth table when broadcast.
 DEPTH_BYTES = 48
@@ -93,7 +93,8 @@ def _codes(vectors: np.ndarray, directions: np.ndarray, places: np.ndarray) -> n
     return (bits.astype(np.int64) << np.arange(bits.shape[1] - 1, -1, -1)).sum(1)
 
 
-def _coder(dim: int | None, directions: np.ndarray, places: np.ndarray, vectors_too: bool, kind: str):
+def _coder(dim: int | None, directions: np.ndarray, places: np.ndarray, bits: int | None, kind: str = "f4"):
+    """Strings of every grid: counted by their first ``bits`` bits, or with the vectors if ``bits`` is None."""
     width = directions.shape[2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,44 +105,60 @@ def _coder(dim: int | None, directions: np.ndarray, places: np.ndarray, vectors_
             unit = pad(unit, width) if unit.shape[1] < width else unit
             group, ids = (batch.column(i).filter(pa.array(ok)) for i in range(2))
             data = None
-            if vectors_too:
+            if bits is None:
                 raw = np.ascontiguousarray(unit.astype(kind)).tobytes()
-                data = pa.Array.from_buffers(pa.binary(), len(unit), [None, pa.py_buffer((np.arange(len(unit) + 1) * (width * np.dtype(kind).itemsize)).astype(np.int32)), pa.py_buffer(raw)])
+                ends = (np.arange(len(unit) + 1) * (width * np.dtype(kind).itemsize)).astype(np.int32)
+                data = pa.Array.from_buffers(pa.binary(), len(unit), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
             for g in range(len(directions)):
-                code = pa.array(_codes(unit, directions[g], places[g]))
-                grid = pa.array(np.full(len(unit), g, np.int32))
-                if vectors_too:
-                    yield pa.RecordBatch.from_arrays([group, grid, code, ids, data], names=["grp", "grid", "code", "id", "unit"])
+                code = _codes(unit, directions[g], places[g])
+                if bits is None:
+                    yield pa.RecordBatch.from_arrays([group, pa.array(np.full(len(unit), g, np.int32)), pa.array(code), ids, data], names=["grp", "grid", "code", "id", "unit"])
                 else:
-                    counted = pa.Table.from_arrays([group, code], names=["grp", "code"]).group_by(["grp", "code"]).aggregate([([], "count_all")])
+                    counted = pa.Table.from_arrays([group, pa.array(code >> (BITS - bits))], names=["grp", "prefix"]).group_by(["grp", "prefix"]).aggregate([([], "count_all")])
                     n = counted.column("count_all").combine_chunks().cast(pa.int64())
-                    yield pa.RecordBatch.from_arrays([counted.column("grp").combine_chunks(), pa.array(np.full(len(n), g, np.int32)), counted.column("code").combine_chunks(), n], names=["grp", "grid", "code", "n"])
+                    grid = pa.array(np.full(len(n), g, np.int32))
+                    yield pa.RecordBatch.from_arrays([counted.column("grp").combine_chunks(), grid, counted.column("prefix").combine_chunks(), n], names=["grp", "grid", "prefix", "n"])
 
     return run
 
 
+def _depths(counted: DataFrame, low: int, high: int, cap: int) -> DataFrame:
+    """``(grp, grid, prefix, depth, cell, size)``: the shallowest prefix of ``low`` to ``high`` bits within ``cap``, else the longest.
+
+    ``counted`` has the first ``high`` bits of strings as ``prefix`` with their number ``n``.
+    """
+    codes = counted.groupBy("grp", "grid", "prefix").agg(F.sum("n").alias("n"))
+    levels = F.explode(F.sequence(F.lit(low), F.lit(high), F.lit(STEP))).alias("depth")
+    nodes = codes.select("grp", "grid", "prefix", "n", levels).withColumn("cell", F.expr(f"shiftright(prefix, {high} - depth)"))
+    size = nodes.groupBy("grp", "grid", "depth", "cell").agg(F.sum("n").alias("size"))
+    fits = (F.col("size") <= cap) | (F.col("depth") == high)
+    chosen = F.min(F.when(fits, F.struct("depth", "cell", "size")))
+    found = nodes.join(size, ["grp", "grid", "depth", "cell"]).groupBy("grp", "grid", "prefix").agg(chosen.alias("c"))
+    return found.select("grp", "grid", "prefix", "c.depth", "c.cell", "c.size")
+
+
 def place(rows: DataFrame, dim: int | None, planes: tuple[np.ndarray, np.ndarray], cap: int, kind: str = "f4") -> DataFrame:
-    """``(grp, grid, cell, depth, part, id, unit)``: every usable vector in its cell of each grid.
+    """``(grp, grid, depth, cell, part, id, unit)``: every usable vector in its cell of each grid.
 
     ``rows`` has ``grp`` and ``id`` (BIGINT) and ``vec``; groups are never
-    mixed. ``unit`` holds the scaled vector as bytes of type ``kind``. Two
-    passes over the vectors: one counts strings, one places.
+    mixed. ``unit`` holds the scaled vector as bytes of type ``kind``.
+    Strings are counted by their first ``FIRST_BITS`` bits, of which there
+    are few; only where a cell is still above ``cap`` are whole strings
+    counted in another pass.
     """
     ship(rows.sparkSession)
-    directions, places = planes
     rows = rows.select("grp", "id", "vec").where("grp IS NOT NULL AND id IS NOT NULL AND vec IS NOT NULL")
-    counted = rows.mapInArrow(_coder(dim, directions, places, False, kind), "grp bigint, grid int, code bigint, n bigint")
-    codes = counted.groupBy("grp", "grid", "code").agg(F.sum("n").alias("n"))
-    levels = F.explode(F.sequence(F.lit(0), F.lit(BITS), F.lit(STEP))).alias("depth")
-    prefix = F.expr(f"shiftright(code, {BITS} - depth)")
-    nodes = codes.select("grp", "grid", "code", "n", levels).withColumn("prefix", prefix)
-    size = nodes.groupBy("grp", "grid", "depth", "prefix").agg(F.sum("n").alias("size"))
-    # the shallowest prefix within the cap, or the whole string
-    fits = (F.col("size") <= cap) | (F.col("depth") == BITS)
-    chosen = F.min_by(F.struct("depth", "prefix", "size"), F.when(fits, F.col("depth")))
-    depth = nodes.join(size, ["grp", "grid", "depth", "prefix"]).groupBy("grp", "grid", "code").agg(chosen.alias("c"))
-    depth = depth.select("grp", "grid", "code", F.col("c.depth").alias("depth"), F.col("c.prefix").alias("cell"), F.ceil(F.col("c.size") / cap).alias("parts"))
-    placed = rows.mapInArrow(_coder(dim, directions, places, True, kind), "grp bigint, grid int, code bigint, id bigint, unit binary")
-    joined = placed.join(small(depth, DEPTH_BYTES), ["grp", "grid", "code"])
-    part = F.pmod(F.xxhash64("id", "grid"), "parts").cast("int")
-    return joined.select("grp", "grid", "depth", "cell", part.alias("part"), "id", "unit")
+    counts = "grp bigint, grid int, prefix bigint, n bigint"
+    short = materialise(_depths(rows.mapInArrow(_coder(dim, *planes, FIRST_BITS), counts), 0, FIRST_BITS, cap), "depths")
+    placed = rows.mapInArrow(_coder(dim, *planes, None, kind), "grp bigint, grid int, code bigint, id bigint, unit binary")
+    rest = BITS - FIRST_BITS
+    located = placed.withColumn("prefix", F.shiftright("code", rest)).join(small(short, DEPTH_BYTES), ["grp", "grid", "prefix"])
+    full = short.where((F.col("depth") == FIRST_BITS) & (F.col("size") > cap)).select("grp", "grid", F.col("prefix").alias("head"))
+    if full.limit(1).count():
+        whole = rows.mapInArrow(_coder(dim, *planes, BITS), counts).withColumn("head", F.shiftright("prefix", rest))
+        deep = materialise(_depths(whole.join(small(full, DEPTH_BYTES), ["grp", "grid", "head"], "left_semi"), FIRST_BITS, BITS, cap), "depths")
+        deep = deep.select("grp", "grid", F.col("prefix").alias("code"), *(F.col(c).alias(f"deep_{c}") for c in ("depth", "cell", "size")))
+        located = located.join(small(deep, DEPTH_BYTES), ["grp", "grid", "code"], "left")
+        located = located.withColumns({c: F.coalesce(f"deep_{c}", c) for c in ("depth", "cell", "size")})
+    part = F.pmod(F.xxhash64("id", "grid"), F.ceil(F.col("size") / cap)).cast("int")
+    return located.select("grp", "grid", "depth", "cell", part.alias("part"), "id", "unit")
