@@ -1,0 +1,76 @@
+"""Literals that any match of a pattern must contain, for a fast first look at a text."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable, Iterable
+
+try:
+    from re import _constants as sre
+    from re import _parser as parser
+except ImportError:  # Python before 3.11
+    import sre_constants as sre
+    import sre_parse as parser
+
+
+def _worth(found: frozenset[str] | None) -> int:
+    return min(map(len, found)) if found else 0
+
+
+def _of(items) -> frozenset[str] | None:
+    """A set of which every match contains a member, or None if there is none."""
+    best: frozenset[str] | None = None
+    run = ""
+
+    def offer(found: frozenset[str] | None) -> None:
+        nonlocal best
+        if found and _worth(found) > _worth(best):
+            best = found
+
+    for op, value in items:
+        if op is sre.LITERAL:
+            run += chr(value).lower()
+            continue
+        if run:
+            offer(frozenset([run]))
+            run = ""
+        if op is sre.SUBPATTERN:
+            offer(_of(value[3]))
+        elif op is sre.BRANCH:
+            branches = [_of(b) for b in value[1]]
+            offer(frozenset().union(*branches) if all(branches) else None)
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and value[0] >= 1:
+            offer(_of(value[2]))
+        elif op is sre.ASSERT and value[0] == 1:
+            offer(_of(value[1]))
+        elif op is sre.IN and all(o is sre.LITERAL for o, _ in value):
+            offer(frozenset(chr(v).lower() for _, v in value))
+    if run:
+        offer(frozenset([run]))
+    return best
+
+
+def required(pattern: str) -> frozenset[str]:
+    """Lower-case literals of which each match of ``pattern`` (ignoring case) contains one."""
+    found = _of(parser.parse(pattern, re.I))
+    if not found:
+        raise ValueError(f"no literal is sure in {pattern[:80]}")
+    kept: set[str] = set()
+    for x in sorted(found, key=len):
+        if not any(k in x for k in kept):
+            kept.add(x)
+    return frozenset(kept)
+
+
+def finder(literals: Iterable[str]) -> Callable[[str], bool]:
+    """Whether a lower-case text contains any of the literals."""
+    words = tuple(sorted(literals, key=lambda w: (len(w), w)))
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: any(w in text for w in words)
+    automaton = ahocorasick.Automaton()
+    for w in words:
+        automaton.add_word(w, w)
+    automaton.make_automaton()
+    return lambda text: next(automaton.iter(text), None) is not None

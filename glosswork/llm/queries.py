@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..tables import table
 from . import sql
 from .clusters import complete_records, describe, similarity_groups
+from .containers import divided, document_sizes, fill, fill_report
 from .cooccur import block_baskets, cooccurrence
 from .encode import encode
 from .frequency import token_frequency
 from .neighbours import close_pairs, nearest
+from .residue import residue
 from .split import oversized, piece_tokens, split
 
 
@@ -88,5 +90,31 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_frequency, p4_found, p4_pairs, p5_found, p5_nearest, p6_ids)}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents larger than a container."""
+    return divided(p7_containers(spark, sf_dir))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document or piece of one."""
+    return fill(document_sizes(table(spark, sf_dir, "documents")))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return fill_report(p7_containers(spark, sf_dir))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are residue of templates or pages."""
+    return residue(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All other documents."""
+    documents = table(spark, sf_dir, "documents")
+    return documents.join(p8_found(spark, sf_dir), "doc_id", "left_anti")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_frequency, p4_found, p4_pairs, p5_found, p5_nearest, p6_ids, p7_found, p7_containers, p7_fill, p8_found, p8_kept)}
 ORACLES = sql.ORACLES
