@@ -1,4 +1,8 @@
-"""Registry of the core queries; filled as operators land."""
+"""All core queries and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import states
+
+QUERIES = states.QUERIES
+ORACLES = states.ORACLES
