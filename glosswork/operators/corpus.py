@@ -147,13 +147,16 @@ def valid_positions(lengths: DataFrame, least: int, forward: int) -> DataFrame:
     return inside.select("doc_id", F.explode(span).alias("pos")).select("doc_id", (F.col("pos") - least).alias("row"), "pos")
 
 
-def training_blocks(corpus: DataFrame, block: int, n: int, seed: int = 0) -> DataFrame:
-    """``(doc_id, start, x, y)``: ``n`` blocks of ``block`` tokens from hashed starts, ``y`` one position further."""
+def training_blocks(corpus: DataFrame, block: int, n: int) -> DataFrame:
+    """``(doc_id, start, x, y)``: ``n`` blocks of ``block`` tokens, ``y`` one position further than ``x``.
+
+    Starts are drawn uniformly by hash; blocks with a gap are left out.
+    """
     ends = corpus.groupBy("doc_id").agg((F.max("pos") + 1).alias("length")).where(F.col("length") > block)
     starts = ends.select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - block - 1)).alias("start"))
-    chosen = starts.orderBy(F.xxhash64("doc_id", "start", F.lit(seed)), "doc_id", "start").limit(n)
+    chosen = sampled(starts, ["doc_id", "start"], n)
     spread = chosen.select("doc_id", "start", F.explode(F.sequence(F.lit(0), F.lit(block))).alias("k")).withColumn("pos", F.col("start") + F.col("k"))
-    held = spread.join(corpus, ["doc_id", "pos"]).groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("k", "token"))).alias("l"))
+    held = spread.join(corpus.select("doc_id", "pos", "token"), ["doc_id", "pos"]).groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("k", "token"))).alias("l"))
     whole = held.where(F.size("l") == block + 1)
     return whole.select("doc_id", "start", F.slice("l.token", 1, block).alias("x"), F.slice("l.token", 2, block).alias("y"))
 

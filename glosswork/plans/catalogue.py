@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import states
+from . import states, tokens
 
-QUERIES = states.QUERIES
-ORACLES = states.ORACLES
+QUERIES = states.QUERIES | tokens.QUERIES
+ORACLES = states.ORACLES | tokens.ORACLES

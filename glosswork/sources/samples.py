@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import doubles, project_out, softmax
+from ..functions.vectors import doubles, project_out
 from ..functions.windowing import resolve
 from ..operators.corpus import sampled, window_average
 from ..operators.distinctiveness import with_log_partition
+from ..operators.folds import log_softmax
 from ..operators.providers import matrix
 from ..operators.vectorspace import lists_of, principal_axes, project
 
@@ -84,12 +86,12 @@ def probability_scan(sample: DataFrame, unembedding: DataFrame, kind: str = "h")
     _, weights = matrix(unembedding)
 
     @F.pandas_udf("array<double>")
-    def logits(h):
-        import pandas as pd
+    def predicted(h):
+        if not len(h):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(np.exp(log_softmax(np.stack(h.to_numpy()) @ weights.T))))
 
-        return pd.Series(list(np.stack(h.to_numpy()) @ weights.T)) if len(h) else pd.Series([], dtype=object)
-
-    return sample.select("row", softmax(logits(doubles("h"))).alias("p"))
+    return sample.select("row", predicted(doubles("h")).alias("p"))
 
 
 def window_states(states: DataFrame, offsets: DataFrame, averaging: str = "aitchison", least: int = 0) -> DataFrame:
