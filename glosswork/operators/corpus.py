@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import small
+from ..functions import windowing
+from ..session import BROADCAST_BYTES, ship, small
+from .folds import dense, dense_ints
+
+#: Positions of a document that are sorted together, as a power of two.
+STRETCH_BITS = 16
 
 
 def latest(corpus: DataFrame) -> DataFrame:
@@ -175,6 +182,67 @@ def window_average(values: DataFrame, offsets: DataFrame, key: str) -> DataFrame
     return summed.where(F.col("n") == n).select("doc_id", "pos", key, (F.col("x") / F.lit(float(total))).alias("x"))
 
 
+def in_windows(corpus: DataFrame, window: windowing.Window, column: str = "token") -> DataFrame:
+    """``(doc_id, pos, tokens)``: what stands at the window's offsets of every whole position, in order of the offsets.
+
+    Documents are cut into stretches of positions that overlap by the
+    window, so that a document of any length takes many tasks, and each
+    stretch is sorted once. Positions of which a neighbour is missing are
+    left out.
+    """
+    stretch = F.shiftright("pos", STRETCH_BITS)
+    reach = F.array_distinct(F.array(F.shiftright(F.col("pos") - window.forward, STRETCH_BITS), stretch, F.shiftright(F.col("pos") + window.backward, STRETCH_BITS)))
+    spread = corpus.select("doc_id", "pos", F.col(column).alias("v"), F.explode(reach).alias("stretch"))
+    order = Window.partitionBy("doc_id", "stretch").orderBy("pos")
+    steps = [(k, o) for k, (o, _) in enumerate(window.offsets)]
+    seen = spread.select(
+        "doc_id", "pos", "stretch",
+        *[(F.lead("pos", o).over(order) if o else F.col("pos")).alias(f"p{k}") for k, o in steps],
+        *[(F.lead("v", o).over(order) if o else F.col("v")).alias(f"v{k}") for k, o in steps],
+    )
+    whole = F.col("stretch") == stretch
+    for k, o in steps:
+        whole = whole & (F.col(f"p{k}") == F.col("pos") + o)
+    return seen.where(whole).select("doc_id", "pos", F.array(*[F.col(f"v{k}") for k, _ in steps]).alias("tokens"))
+
+
+def window_predictions(corpus: DataFrame, offsets: DataFrame, model: DataFrame) -> tuple[DataFrame, list[int]]:
+    """``(doc_id, pos, p)`` and the tokens that ``p`` is about: predictions averaged over the window of every whole position.
+
+    ``model(prev, token, p)`` predicts from the token at a position, so only
+    tokens are brought together, and their distributions are looked up where
+    they meet. The model is a row for each context; its size is checked, and
+    above the bound distributions are averaged by :func:`window_average`
+    instead. Positions with a neighbour that has no prediction are left out.
+    """
+    ship(corpus.sparkSession)
+    window = windowing.resolve(offsets)
+    names = [r["token"] for r in model.select("token").distinct().orderBy("token").collect()]
+    lists = model.groupBy("prev").agg(F.sort_array(F.collect_list(F.struct("token", "p"))).alias("l")).select("prev", F.col("l.p").alias("p"))
+    most = BROADCAST_BYTES // (8 * max(1, len(names)))
+    held = lists.limit(most + 1).toArrow()
+    if held.num_rows > most:
+        rows = corpus.select("doc_id", "pos", F.col("token").alias("prev")).join(model, "prev").select("doc_id", "pos", "token", F.col("p").alias("x"))
+        mean = window_average(rows, offsets, "token")
+        return mean.groupBy("doc_id", "pos").agg(F.sort_array(F.collect_list(F.struct("token", "x"))).alias("l")).select("doc_id", "pos", F.col("l.x").alias("p")), names
+    context = held.column("prev").to_numpy()
+    order = np.argsort(context)
+    context, table = context[order], dense(held.column("p"))[order]
+    weight = np.array([w for _, w in window.offsets]) / window.total
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token = dense_ints(batch.column(2), len(weight))
+            at = np.minimum(np.searchsorted(context, token), max(0, len(context) - 1))
+            good = (context[at] == token).all(1) if len(context) else np.zeros(len(token), bool)
+            p = np.einsum("nko,k->no", table[at[good]], weight) if good.any() else np.zeros((0, len(names)))
+            values = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * len(names)), pa.array(p.ravel()))
+            keep = pa.array(good)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), values], names=["doc_id", "pos", "p"])
+
+    return in_windows(corpus, window).mapInArrow(run, "doc_id bigint, pos bigint, p array<double>"), names
+
+
 def perplexity(probability: DataFrame) -> DataFrame:
     """One row ``(n, loss, perplexity)`` of ``(p, weight)``: mean negative logarithm of the probabilities of what came next."""
     mean = F.sum(-F.log(F.greatest("p", F.lit(1e-30))) * F.col("weight")) / F.sum("weight")

@@ -33,6 +33,11 @@ def dense(lists: pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
 
 
+def dense_ints(lists: pa.Array, width: int) -> np.ndarray:
+    """A list column of ``width`` integers each as a matrix."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, width)
+
+
 def log_softmax(logits: np.ndarray) -> np.ndarray:
     top = logits.max(1, keepdims=True)
     return logits - top - np.log(np.exp(logits - top).sum(1, keepdims=True))

@@ -7,7 +7,7 @@ w)`` and ``probs(row, token, p)``.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, doubles, softmax
@@ -65,15 +65,17 @@ def observed(corpus: DataFrame) -> DataFrame:
 def bigram_model(corpus: DataFrame, tokens: DataFrame, alpha: float = 0.5) -> DataFrame:
     """``(prev, token, n, p)``: add-``alpha`` probabilities of the next token within the vocabulary ``tokens(token)``.
 
-    Every ``prev`` that occurs before a token of the vocabulary has a row
+    A bigram is two tokens at neighbouring positions of a document. Every
+    ``prev`` that occurs before a token of the vocabulary has a row
     for each token; ``n`` counts the bigram. Probabilities depend on the
     previous token only, so they are kept once for each context instead of
     once for each position.
     """
     v = small(tokens.select("token"), 16)
-    after = F.lead("token").over(Window.partitionBy("doc_id").orderBy("pos"))
-    pairs = corpus.where("token IS NOT NULL").select(F.col("token").alias("prev"), after.alias("token"))
-    counted = pairs.join(v, "token", "left_semi").groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n"))
+    held = corpus.where("token IS NOT NULL").select("doc_id", "pos", "token")
+    before = held.select("doc_id", (F.col("pos") + 1).alias("pos"), F.col("token").alias("prev"))
+    pairs = held.join(v, "token", "left_semi").join(before, ["doc_id", "pos"])
+    counted = pairs.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n"))
     context = counted.groupBy("prev").agg(F.sum("n").alias("total"))
     grid = context.join(v)  # a row for each context and token is the result itself
     filled = grid.join(counted, ["prev", "token"], "left").fillna({"n": 0})

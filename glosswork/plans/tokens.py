@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +12,8 @@ from ..functions import register, schedule, windowing
 from ..functions.geometry import three_parts, three_parts_inverse
 from ..functions.vectors import doubles
 from ..operators import corpus, pairs, providers, vectorspace
-from ..session import shared_dir
+from ..operators.folds import fold_probabilities, stat
+from ..session import materialise, shared_dir
 from ..sources import samples
 from ..streaming import sums
 from ..tables import table
@@ -77,7 +79,7 @@ def fcm_pmi(spark, sf_dir):
 def _bigrams(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     held = current(spark, sf_dir)
     top = corpus.top_tokens(corpus.vocabulary_counts(held, "token"), "token", BIGRAM_TOKENS).select("token")
-    return held, providers.bigram_model(held, top)
+    return held, materialise(providers.bigram_model(held, materialise(top, "top-tokens")), "bigram-model")
 
 
 def bigram_marginals(spark, sf_dir):
@@ -113,9 +115,12 @@ def bigram_perplexity(spark, sf_dir):
 def window_avg_probability(spark, sf_dir):
     """Mean and mean square of the window-averaged probability of each frequent token over all whole positions."""
     held, model = _bigrams(spark, sf_dir)
-    p = held.select("doc_id", "pos", F.col("token").alias("prev")).join(model.select("prev", "token", F.col("p").alias("x")), "prev")
-    mean = corpus.window_average(p.select("doc_id", "pos", "token", "x"), windowing.offsets(spark, 1, "exponential", 0.5), "token")
-    return rounded(mean.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.avg(F.col("x") * F.col("x")).alias("square")))
+    mean, tokens = corpus.window_predictions(held, windowing.offsets(spark, 1, "exponential", 0.5), model)
+    sums_of = fold_probabilities(mean, lambda p: {"s": p.sum(0), "q": (p * p).sum(0), "n": np.full(p.shape[1], len(p))} if p.size else {})
+    s, q, n = (stat(sums_of, k, "k", value=k) for k in "sqn")
+    joined = s.join(q, "k").join(n, "k")
+    names = F.array(*[F.lit(t) for t in tokens])
+    return rounded(joined.select(F.get(names, F.col("k")).alias("token"), F.col("n").cast("bigint").alias("n"), (F.col("s") / F.col("n")).alias("mean"), (F.col("q") / F.col("n")).alias("square")))
 
 
 def _line(spark, sf_dir) -> DataFrame:
@@ -327,7 +332,7 @@ words AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS word
 _FREQ = f"{_CUR}, freq AS (SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM cur GROUP BY token), ranked AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS r FROM freq)"
 _FCM = f"""{_CUR}, off AS (SELECT * FROM (VALUES (-2, 0.5::DOUBLE), (-1, 1.0), (1, 1.0), (2, 0.5)) v(o, wt)),
 fcm AS (SELECT a.token AS t, b.token AS w, sum(wt) AS f FROM cur a, off JOIN cur b ON b.doc_id = a.doc_id AND b.pos = a.pos + off.o GROUP BY ALL)"""
-_BIGRAM = f"""{_FREQ}, v AS (SELECT token FROM ranked WHERE r <= {BIGRAM_TOKENS}), follow AS (SELECT token AS prev, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS token FROM cur),
+_BIGRAM = f"""{_FREQ}, v AS (SELECT token FROM ranked WHERE r <= {BIGRAM_TOKENS}), follow AS (SELECT a.token AS prev, b.token FROM cur a JOIN cur b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1),
 bi AS (SELECT prev, token, count(*) AS n FROM follow WHERE token IN (SELECT token FROM v) GROUP BY ALL), ctx AS (SELECT prev, sum(n) AS c FROM bi GROUP BY prev),
 model AS (SELECT ctx.prev, v.token, coalesce(bi.n, 0) AS n, (coalesce(bi.n, 0) + 0.5) / (c + 0.5 * (SELECT count(*) FROM v)) AS p, c::DOUBLE AS c FROM ctx CROSS JOIN v LEFT JOIN bi ON bi.prev = ctx.prev AND bi.token = v.token)"""
 _STORED = """v AS (SELECT token, str FROM vocab WHERE str IS NOT NULL), mean AS (SELECT t, w, avg(pmi) AS similarity FROM pmi
