@@ -22,6 +22,8 @@ def kernel_shape(points: DataFrame, by: list[str], weight: str = "w") -> DataFra
 
     Scott's factor in two dimensions is the effective sample size to the
     power -1/6; the covariance is the unbiased weighted one times its square.
+    A single point, or weights that sum to nothing, give a null covariance,
+    and so do points on a line a null density.
     """
     w, x, y = F.col(weight), F.col("x"), F.col("y")
     s = points.groupBy(*by).agg(
@@ -29,16 +31,17 @@ def kernel_shape(points: DataFrame, by: list[str], weight: str = "w") -> DataFra
         F.sum(w).alias("sw"), F.sum(w * w).alias("sww"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"),
         F.sum(w * x * x).alias("sxx"), F.sum(w * x * y).alias("sxy"), F.sum(w * y * y).alias("syy"),
     )
-    n_eff = F.col("sw") * F.col("sw") / F.col("sww")
-    correct = 1.0 / (1.0 - F.col("sww") / (F.col("sw") * F.col("sw")))
-    mx, my = F.col("sx") / F.col("sw"), F.col("sy") / F.col("sw")
+    sw = F.nullif("sw", F.lit(0.0))
+    n_eff = F.col("sw") * F.col("sw") / F.nullif("sww", F.lit(0.0))
+    correct = 1.0 / F.nullif(1.0 - F.col("sww") / (sw * sw), F.lit(0.0))
+    mx, my = F.col("sx") / sw, F.col("sy") / sw
     factor = F.pow(n_eff, F.lit(-1.0 / 6.0))
     square = factor * factor * correct
     return s.select(
         *by, "min_x", "max_x", "min_y", "max_y", "sw", n_eff.alias("n_eff"), factor.alias("factor"),
-        (square * (F.col("sxx") / F.col("sw") - mx * mx)).alias("cxx"),
-        (square * (F.col("sxy") / F.col("sw") - mx * my)).alias("cxy"),
-        (square * (F.col("syy") / F.col("sw") - my * my)).alias("cyy"),
+        (square * (F.col("sxx") / sw - mx * mx)).alias("cxx"),
+        (square * (F.col("sxy") / sw - mx * my)).alias("cxy"),
+        (square * (F.col("syy") / sw - my * my)).alias("cyy"),
     )
 
 
@@ -56,7 +59,7 @@ def grid(shape: DataFrame, by: list[str], n: int) -> DataFrame:
 
 
 def _kernel(dx: Column, dy: Column) -> Column:
-    det = F.col("cxx") * F.col("cyy") - F.col("cxy") * F.col("cxy")
+    det = F.nullif(F.col("cxx") * F.col("cyy") - F.col("cxy") * F.col("cxy"), F.lit(0.0))
     q = (F.col("cyy") * dx * dx - 2.0 * F.col("cxy") * dx * dy + F.col("cxx") * dy * dy) / det
     return F.exp(-0.5 * q) / (2.0 * np.pi * F.sqrt(det))
 
@@ -71,7 +74,7 @@ def kernel_density(points: DataFrame, by: list[str], n: int = 64) -> DataFrame:
     cells = grid(shape, by, n).groupBy(*by).agg(F.collect_list(F.struct("gi", "gj", "gx", "gy")).alias("cells"))
     ready = shape.select(*by, "cxx", "cxy", "cyy", "sw").join(cells, by)
     met = points.join(small(ready, 40 * n * n), by).select(*by, "x", "y", "w", "cxx", "cxy", "cyy", "sw", F.explode("cells").alias("g"))
-    term = F.col("w") / F.col("sw") * _kernel(F.col("x") - F.col("g.gx"), F.col("y") - F.col("g.gy"))
+    term = F.col("w") / F.nullif("sw", F.lit(0.0)) * _kernel(F.col("x") - F.col("g.gx"), F.col("y") - F.col("g.gy"))
     return met.groupBy(*by, "g.gi", "g.gj").agg(F.first("g.gx").alias("x"), F.first("g.gy").alias("y"), F.sum(term).alias("density"))
 
 
@@ -95,10 +98,10 @@ def log_ratio_density(points: DataFrame, by: list[str], n: int = 64, floor: floa
     def term(p: str) -> Column:
         dx, dy = F.col("x") - F.col("g.gx"), F.col("y") - F.col("g.gy")
         a, b, c = (F.col(f"{p}{k}") for k in ("cxx", "cxy", "cyy"))
-        det = a * c - b * b
+        det = F.nullif(a * c - b * b, F.lit(0.0))
         return F.exp(-0.5 * (c * dx * dx - 2.0 * b * dx * dy + a * dy * dy) / det) / (2.0 * np.pi * F.sqrt(det))
 
-    sums = met.groupBy(*by, "g.gi", "g.gj").agg(F.first("g.gx").alias("x"), F.first("g.gy").alias("y"), F.sum(F.col("w") / F.col("sw") * term("w")).alias("a"), F.sum(term("p") / F.col("n")).alias("b"))
+    sums = met.groupBy(*by, "g.gi", "g.gj").agg(F.first("g.gx").alias("x"), F.first("g.gy").alias("y"), F.sum(F.col("w") / F.nullif("sw", F.lit(0.0)) * term("w")).alias("a"), F.sum(term("p") / F.col("n")).alias("b"))
     value = F.log(F.greatest("a", F.lit(floor))) - F.log(F.greatest("b", F.lit(floor)))
     if clip is not None:
         value = F.least(F.greatest(value, F.lit(-clip)), F.lit(clip))

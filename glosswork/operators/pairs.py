@@ -108,10 +108,10 @@ def spearman(scored: DataFrame) -> DataFrame:
     """
     valid = scored.where("score IS NOT NULL AND similarity IS NOT NULL")
     ranked = mean_ranks(mean_ranks(valid, ["name"], "similarity", "ra"), ["name"], "score", "rb")
-    r = ranked.groupBy("name").agg(F.count(F.lit(1)).alias("benchmark_size"), F.corr("ra", "rb").alias("r"))
+    r = ranked.groupBy("name").agg(F.count(F.lit(1)).alias("benchmark_size"), (F.covar_pop("ra", "rb") / F.nullif(F.stddev_pop("ra") * F.stddev_pop("rb"), F.lit(0.0))).alias("r"))
     total = scored.groupBy("name").agg(F.count(F.lit(1)).alias("n_pairs"))
     joined = total.join(r, "name", "left").fillna({"benchmark_size": 0})
-    good = (F.col("benchmark_size") >= 2) & ~F.isnan("r")
+    good = F.col("benchmark_size") >= 2
     return joined.select("name", "n_pairs", "benchmark_size", (F.col("benchmark_size") / F.col("n_pairs")).alias("coverage"), F.when(good, F.col("r")).alias("spearman_r"))
 
 
