@@ -77,7 +77,7 @@ class _Counter:
         self.key, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def add(self, low: np.ndarray, high: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.fresh.append((low.astype(np.int64) << 32) | high.astype(np.int64))
+        self.fresh.append((low.astype(np.int64) << 32) | (high.astype(np.int64) & 0xFFFFFFFF))
         self.n += len(low)
         if self.n >= HELD_PAIRS:
             self._fold()
@@ -221,19 +221,20 @@ def cooccurrence(baskets: DataFrame, basket: list[str], least: int = 1, lift: fl
     spark = baskets.sparkSession
     ship(spark)
     baskets = materialise(baskets, "baskets")
-    first = baskets.where("part = 0")
+    large = baskets.where("parts > 1")
     size = F.size("items").cast("double")
-    n, instances = baskets.agg(F.sum(F.when(F.col("part") == 0, 1)), F.sum(size * (size - 1) / 2 * F.col("parts"))).first()
-    n, instances = n or 0, instances or 0
+    ordinary, instances = baskets.agg(F.sum((F.col("parts") == 1).cast("bigint")), F.sum(size * (size - 1) / 2 * F.col("parts"))).first()
+    split_up = large.limit(1).count()
+    n = (ordinary or 0) + (large.select(*basket).distinct().count() if split_up else 0)
+    instances = instances or 0
     counts = materialise(baskets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n_item")), "item-counts")
     useful = counts.where((F.col("n_item") >= least) & (F.col("n_item") * F.lit(float(lift)) <= n)).select("item")
     most = BROADCAST_BYTES // 8
     kept = useful.limit(most + 1).toPandas()["item"].to_numpy()
     kept = np.sort(kept) if len(kept) <= most else None  # beyond the bound no item is left out early
     sides = max(1, math.ceil(math.sqrt(instances / BUCKET_PAIRS)))
-    runs = first.where("parts = 1").select("items").mapInArrow(_pairs_within(kept, sides), "bucket int, run binary")
-    if baskets.where("parts > 1").limit(1).count():
-        large = baskets.where("parts > 1")
+    runs = baskets.where("parts = 1").select("items").mapInArrow(_pairs_within(kept, sides), "bucket int, run binary")
+    if split_up:
         left = large.select(*basket, F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"), F.col("items").alias("x"))
         right = large.select(*basket, F.col("part").alias("j"), F.col("items").alias("y"))
         products = left.join(right, [*basket, "j"]).repartition(*basket, "i", "j").select("x", "y")
