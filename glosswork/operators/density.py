@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import doubles
 from ..session import ship, small
 from .mixtures import Mixture, fit_mixture
-from .vectorspace import _gather, gram, standardisation
+from .vectorspace import gathered, gram, standardisation
 
 
 def kernel_shape(points: DataFrame, by: list[str], weight: str = "w") -> DataFrame:
@@ -189,5 +189,5 @@ class DensityModel:
 
 def effective_rows(vectors: DataFrame, weight: str) -> float:
     """Effective sample size of a weight column, 0 without weight."""
-    w = _gather(gram(vectors, "h", weight)).get("w")
+    w = gathered(gram(vectors, "h", weight)).get("w")
     return float(w[0] ** 2 / w[1]) if w is not None and w[0] > 0 else 0.0

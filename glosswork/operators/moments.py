@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import EPS, ilr_apply, ilr_matrix
 from .folds import fold, fold_probabilities, stat
 from .providers import matrix
+from .vectorspace import gathered, gram
 
 
 @dataclass(frozen=True)
@@ -180,11 +181,8 @@ def degenerate_direction(unembedding: DataFrame) -> np.ndarray:
     aggregated in Spark, the solution is found on the driver. A zero
     solution raises.
     """
-    long = unembedding.select("token", F.posexplode("w").alias("j", "x"))
-    gram = long.alias("a").join(long.alias("b"), "token").groupBy(F.col("a.j").alias("i"), F.col("b.j").alias("k")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("g"))
-    sums = long.groupBy("j").agg(F.sum("x").alias("s")).orderBy("j").toArrow().column("s").to_numpy()
-    rows = gram.orderBy("i", "k").toArrow().column("g").to_numpy().reshape(len(sums), len(sums))
-    v = np.linalg.lstsq(rows, sums, rcond=None)[0]
+    sums = gathered(gram(unembedding, "w"))
+    v = np.linalg.lstsq(sums["g"], sums["s"], rcond=None)[0]
     length = np.linalg.norm(v)
     if not length > 1e-12:
         raise RuntimeError("no direction moves all products alike")

@@ -35,7 +35,7 @@ def gram(vectors: DataFrame, column: str, weight: str | None = None, centre: np.
     return rows.mapInArrow(run, FOLD).groupBy("stat", "i", "j").agg(F.sum("value").alias("value"))
 
 
-def _gather(folded: DataFrame) -> dict[str, np.ndarray]:
+def gathered(folded: DataFrame) -> dict[str, np.ndarray]:
     """The sums as arrays; their size depends on the dimension only."""
     rows = folded.toArrow()
     names, i, j, value = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("stat", "i", "j", "value"))
@@ -62,7 +62,7 @@ def principal_axes(vectors: DataFrame, column: str = "h", weight: str | None = N
     squared singular values). d x d sums come from Spark; the driver solves
     the symmetric eigenproblem. Signs are fixed by the greatest component.
     """
-    sums = _gather(gram(vectors, column, weight))
+    sums = gathered(gram(vectors, column, weight))
     if not sums or not sums["w"][0] > 0:
         raise ValueError("no vectors of positive weight")
     total = sums["w"][0]
@@ -96,7 +96,7 @@ def svd_embedding(rows: DataFrame, k: int, alpha: float = 0.5, centre: bool = Fa
     on the driver; rows are projected where they lie, so there may be any
     number of them. ``k`` above the rank raises.
     """
-    sums = _gather(gram(rows, column))
+    sums = gathered(gram(rows, column))
     n, mean = sums["w"][2], sums["s"] / sums["w"][2]
     g = sums["g"] - (n * np.outer(mean, mean) if centre else 0)
     value, axes = np.linalg.eigh((g + g.T) / 2)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import ilr_adjoint, ilr_apply, log_composition
 from ..functions.vectors import dot, logsumexp
-from ..operators import density, distinctiveness, mixtures, moments, providers, similarity, vectorspace
+from ..operators import density, distinctiveness, embeddings, mixtures, moments, providers, similarity, vectorspace, views
 from ..sources.samples import working_sample
 from ..tables import table
 
@@ -340,6 +340,47 @@ def log_density(spark, sf_dir):
     return rounded(states.select("row", fitted.log_density("h").alias("log_density")), 3)
 
 
+def embedding_pipeline(spark, sf_dir):
+    """Products of the tokens' embeddings, which no rotation or sign changes."""
+    made = embeddings.embed(*sharp(spark, sf_dir), k=6)
+    a = made.vectors.select(F.col("token").alias("t1"), F.col("e").alias("a"))
+    b = made.vectors.select(F.col("token").alias("t2"), F.col("e").alias("b"))
+    return rounded(a.join(b).select("t1", "t2", dot("a", "b").alias("product")), 4)
+
+
+def _sample(spark, sf_dir):
+    states, w = model(spark, sf_dir)
+    return distinctiveness.with_log_partition(states, w), w
+
+
+def density_view(spark, sf_dir):
+    """Density of all states on three contrast axes, all ordered pairs of them."""
+    sample, w = _sample(spark, sf_dir)
+    return rounded(views.density_view(sample, w, n=8, basis="contrast", contrasts=CONTRASTS), 4)
+
+
+def density_view_tokens(spark, sf_dir):
+    """Densities of two tokens on the singular axes, each scaled to a greatest value of one."""
+    sample, w = _sample(spark, sf_dir)
+    z = moments.marginal_vector(*model(spark, sf_dir))
+    return rounded(views.density_view(sample, w, {0: float(z[0]), 3: float(z[3])}, n=8, basis="global", pcs=(0, 1)), 3)
+
+
+def distinctiveness_view(spark, sf_dir):
+    """Where token 0 is more probable than overall, on two contrast axes."""
+    sample, w = _sample(spark, sf_dir)
+    z = moments.marginal_vector(*model(spark, sf_dir))
+    return rounded(views.distinctiveness_view(sample, w, 0, float(z[0]), n=8, clip=2.0, basis="contrast", contrasts=CONTRASTS[:2]), 4)
+
+
+def token_basis(spark, sf_dir):
+    """Spread of the states on the first three principal axes of token 0."""
+    sample, w = _sample(spark, sf_dir)
+    z = moments.marginal_vector(*model(spark, sf_dir))
+    on = embeddings.coordinates(sample, w, "token", 0, float(z[0]), (0, 1, 2))
+    return rounded(on.groupBy("axis").agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("x").alias("spread")), 4)
+
+
 def work_sample_built(spark, sf_dir):
     """The working sample of 100 states with partition sums."""
     states, w = model(spark, sf_dir)
@@ -351,7 +392,7 @@ _NAMES = (
     " log_partition_columns distinctiveness_field expected_distinctiveness expected_distinctiveness_all token_weights_ess dplus_moment dplus_centroids"
     " aitchison_centroids aitchison_centroids_ilr unembedding_ilr ilr_pmi ilr_roundtrip ilr_states degenerate_direction contrast_projection contrast_facets"
     " knn_cosine knn_euclidean standardize total_variance_by_label weighted_cov kde_grid kde_token kde_log_ratio kde_tokens_scaled kde_bands pca_token"
-    " svd_embedding suggest_axes suggest_axes_projection fit_senses sense_examples variance_split log_density work_sample_built"
+    " svd_embedding suggest_axes suggest_axes_projection fit_senses sense_examples variance_split log_density work_sample_built embedding_pipeline density_view density_view_tokens distinctiveness_view token_basis"
 )
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
@@ -397,7 +438,7 @@ _XY = """xy AS (SELECT a.row, a.x, b.x AS y FROM onto a JOIN onto b USING (row)
 
 def _shape(points: str, name: str, by: str = "") -> str:
     """Bounds and kernel of weighted points ``(by, x, y, w)``."""
-    keys, group = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
+    keys, group = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")  # by must not be f, the bandwidth factor
     return f"""{name} AS (SELECT {keys}sw, lx, hx, ly, hy, f, f * f * c * (sxx / sw - sx * sx / sw / sw) AS cxx, f * f * c * (sxy / sw - sx * sy / sw / sw) AS cxy,
   f * f * c * (syy / sw - sy * sy / sw / sw) AS cyy FROM (SELECT *, 1 / (1 - sww / (sw * sw)) AS c, pow(sw * sw / sww, -1.0 / 6) AS f FROM (
   SELECT {keys}sum(w) AS sw, sum(w * w) AS sww, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy, sum(w * y * y) AS syy,
@@ -456,6 +497,8 @@ k AS (SELECT sum(n * v) / (SELECT count(DISTINCT row) FROM h) AS within_var FROM
 e AS (SELECT a.j AS i, b.j, sum(omega * (a.x - ma.m) * (b.x - mb.m)) / any_value(sw) AS cov FROM h a JOIN h b USING (row) JOIN o USING (row) JOIN m ma ON ma.j = a.j JOIN m mb ON mb.j = b.j, s GROUP BY ALL)""", f"SELECT i, j, {_r('cov')} FROM e"),
     "kde_grid": (f"{_PLAIN}, {_shape('q', 's')}, {_grid('s', 16)}, e AS (SELECT '0-1 2-3' AS facet, gi, gj, gx AS x, gy AS y, sum(q.w / s.sw * {_kernel('s')}) AS density FROM g, s, q GROUP BY ALL)", f"SELECT facet, gi, gj, {_r('x', 'y', 'density', digits=5)} FROM e"),
     "kde_token": (f"{_TOKEN0}, {_shape('q', 's')}, {_grid('s', 16)}, e AS (SELECT '0-1 2-3' AS facet, gi, gj, gx AS x, gy AS y, sum(q.w / s.sw * {_kernel('s')}) AS density FROM g, s, q GROUP BY ALL)", f"SELECT facet, gi, gj, {_r('x', 'y', 'density', digits=5)} FROM e"),
+    "density_view": (f"""{_W}, {_ON_AXES}, q AS (SELECT a.row, a.axis || ' ' || b.axis AS facet, a.x, b.x AS y, 1.0::DOUBLE AS w FROM onto a JOIN onto b USING (row) WHERE a.axis <> b.axis),
+{_shape('q', 's', 'facet')}, {_grid('s', 8, 'facet')}, e AS (SELECT split_part(facet, ' ', 1) AS x_label, split_part(facet, ' ', 2) AS y_label, gi, gj, gx AS x, gy AS y, sum(q.w / s.sw * {_kernel('s')}) AS density FROM g JOIN s USING (facet) JOIN q USING (facet) GROUP BY ALL)""", f"SELECT x_label, y_label, gi, gj, {_r('x', 'y', 'density', digits=4)} FROM e"),
     "kde_log_ratio": (f"""{_TOKEN0}, u AS (SELECT row, x, y, 1.0::DOUBLE AS w FROM q), {_shape('u', 'f')}, {_shape('q', 'o')}, {_grid('f', 16)},
 r AS (SELECT o.sw, o.cxx * k AS cxx, o.cxy * k AS cxy, o.cyy * k AS cyy FROM o, (SELECT (f.f / o.f) ^ 2 AS k FROM f, o)),
 e AS (SELECT '0-1 2-3' AS facet, gi, gj, gx AS x, gy AS y, ln(greatest(sum(q.w / r.sw * {_kernel('r')}), 1e-12)) - ln(greatest(sum({_kernel('f')} / f.sw), 1e-12)) AS log_ratio FROM g, f, r, q GROUP BY ALL)""", f"SELECT facet, gi, gj, {_r('x', 'y', 'log_ratio', digits=4)} FROM e"),

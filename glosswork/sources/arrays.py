@@ -129,3 +129,8 @@ def save_embedding_archive(vectors: DataFrame, path: str, **facts) -> None:
     """Write ``(token, e)`` as ``embedding`` in an ``.npz`` file; as many rows as a vocabulary has tokens."""
     rows = vectors.orderBy("token").select(F.col("e").cast("array<float>").alias("e")).toArrow().column(0).combine_chunks()
     np.savez(path.removeprefix("file://"), embedding=rows.flatten().to_numpy().reshape(len(rows), -1), **facts)
+
+
+def save_vector_file(marginals: DataFrame, path: str, column: str = "z") -> None:
+    """Write ``(token, z)`` as a one-dimensional ``.npy`` file in token order."""
+    np.save(path.removeprefix("file://"), marginals.orderBy("token").select(F.col(column).cast("double").alias("z")).toArrow().column(0).to_numpy())
