@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small
+from ..session import BROADCAST_BYTES, small
 from . import distinctiveness, moments, vectorspace
 
 # The bases by name.
@@ -68,16 +68,34 @@ def resolve_tokens(vocab: DataFrame, wanted: int | str | Sequence[int | str]) ->
 
 
 def decode(rows: DataFrame, vocab: DataFrame, column: str = "ids", out: str = "text", separator: str = "") -> DataFrame:
-    """``rows`` with the text of an array of token ids; ids without a string are left out.
+    """``rows`` with the text of an array of token ids; ids without a string are left out, a null array gives the empty text.
 
-    Rows are keyed by their place while ids meet the vocabulary, so lists
-    may repeat; other columns stay.
+    A vocabulary within the broadcast bound is held by tasks and looked up
+    by binary search; a larger one is joined, rows being keyed by their
+    content meanwhile. Other columns stay, and rows may repeat.
     """
-    keyed = rows.withColumn("__row", F.struct(*[c for c in rows.columns]))
-    keyed = keyed.select("__row", F.xxhash64(F.to_json("__row")).alias("__key"))
-    once = keyed.dropDuplicates(["__key"]).select("__key", F.col(f"__row.{column}").alias("ids"))
-    named = once.select("__key", F.posexplode("ids").alias("k", "token")).join(small(vocab.select("token", "str").where("str IS NOT NULL"), 64), "token")
-    text = named.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("k", "str"))).alias("l")).select("__key", F.array_join("l.str", separator).alias(out))
+    named = vocab.where("token IS NOT NULL AND str IS NOT NULL").groupBy("token").agg(F.min("str").alias("str"))
+    most = BROADCAST_BYTES // 64
+    held = named.limit(most + 1).toArrow()
+    if held.num_rows <= most:
+        token = held.column("token").to_numpy()
+        order = np.argsort(token)
+        token, strings = token[order], np.array(held.column("str").to_pylist(), object)[order]
+
+        @F.pandas_udf("string")
+        def text_of(ids):
+            def one(x) -> str:
+                if x is None or not len(x) or not len(token):
+                    return ""
+                at = np.minimum(np.searchsorted(token, x), len(token) - 1)
+                return separator.join(strings[at[token[at] == x]])
+
+            return ids.map(one)
+
+        return rows.withColumn(out, text_of(column))
+    keyed = rows.select(F.struct(*rows.columns).alias("__row")).withColumn("__key", F.xxhash64(F.to_json("__row")))
+    once = keyed.dropDuplicates(["__key"]).select("__key", F.posexplode(f"__row.{column}").alias("k", "token"))
+    text = once.join(named, "token").groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("k", "str"))).alias("l")).select("__key", F.array_join("l.str", separator).alias(out))
     return keyed.join(text, "__key", "left").select("__row.*", F.coalesce(out, F.lit("")).alias(out))
 
 

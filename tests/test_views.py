@@ -46,7 +46,9 @@ def test_neighbours_by_name(spark, vocab, toy):
     assert [r["rank"] for r in got] == [1, 2, 3] and all(r["word"] == "w2" and r["neighbour"] != "w2" for r in got)
 
 
-def test_decoding(spark, vocab):
+@pytest.mark.parametrize("bound", [64 << 20, 64])
+def test_decoding(spark, vocab, monkeypatch, bound):
+    monkeypatch.setattr(embeddings, "BROADCAST_BYTES", bound)
     rows = spark.createDataFrame([(1, [1, 2, 1]), (2, []), (3, None), (1, [1, 2, 1]), (4, [9, 99, 3])], "k int, ids array<int>")
     got = [(r["k"], r["text"]) for r in embeddings.decode(rows, vocab, separator="-").collect()]
     assert sorted(got) == [(1, "w1-w2-w1"), (1, "w1-w2-w1"), (2, ""), (3, ""), (4, "w3")]
