@@ -23,7 +23,7 @@ from .corpus import current
 CHUNK_ITEMS = 1024
 
 #: Pair instances a task holds before it counts them; distinct pairs before it passes them on.
-HELD_PAIRS, KEPT_PAIRS = 1 << 22, 1 << 23
+HELD_PAIRS, KEPT_PAIRS = 1 << 21, 1 << 22
 
 #: Pair instances that one bucket of the final count is planned for.
 BUCKET_PAIRS = 1 << 21
@@ -162,20 +162,28 @@ def _gather(n_keys: int):
     """Distinct items of each basket part as a sorted list; a part lies in one task as a whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
+        parts: list[list[np.ndarray]] = [[] for _ in range(n_keys + 1)]
+        names: list[str] = []
+        for batch in batches:
+            names = batch.schema.names
+            for column, values in zip(parts, batch.columns):
+                column.append(values.to_numpy())
+        if not parts[0]:
             return
-        table = pa.Table.from_batches(held)
-        keys = [table.column(i).to_numpy() for i in range(n_keys)]
-        item = table.column(n_keys).to_numpy()
+        *keys, item = (np.concatenate(column) for column in parts)
+        parts.clear()
         order = np.lexsort((item, *reversed(keys)))
-        keys, item = [k[order] for k in keys], item[order]
-        new = np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]
-        fresh = new | np.r_[True, item[1:] != item[:-1]]
-        keys, item, new = [k[fresh] for k in keys], item[fresh], new[fresh]
-        starts = np.flatnonzero(new)
+        item = item[order]
+        for k in range(n_keys):  # one column at a time, so that only one copy is held besides
+            keys[k] = keys[k][order]
+        del order
+        new = np.ones(len(item), bool)
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        fresh = new.copy()
+        fresh[1:] |= item[1:] != item[:-1]
+        item, starts = item[fresh], np.flatnonzero(new[fresh])
         lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(item)].astype(np.int32)), pa.array(item.astype(np.int32)))
-        whole = pa.RecordBatch.from_arrays([*(pa.array(k[starts]) for k in keys), lists], names=[*table.column_names[:n_keys], "items"])
+        whole = pa.RecordBatch.from_arrays([*(pa.array(k[new]) for k in keys), lists], names=[*names[:n_keys], "items"])
         for at in range(0, whole.num_rows, 10_000):
             yield whole.slice(at, 10_000)
 
@@ -195,15 +203,17 @@ def gather_baskets(rows: DataFrame, basket: list[str], item: str, spread: str |
     """
     rows = rows.select(*basket, F.col(item).cast("int").alias("item"), *([spread] if spread else [])).na.drop()
     if spread:
-        placed = rows.withColumns({"part": F.lit(0).cast("bigint"), "parts": F.lit(1).cast("bigint")})
+        placed, keys = rows, basket
     else:
         size = rows.groupBy(*basket).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CHUNK_ITEMS)
         parts = F.ceil(F.coalesce("size", F.lit(1)) / CHUNK_ITEMS).cast("bigint")
         placed = rows.join(size, basket, "left").withColumn("parts", parts)
-        placed = placed.withColumn("part", F.pmod(F.xxhash64("item"), "parts")).repartition(*basket, "part")
-    keys = [*basket, "part", "parts"]
+        placed, keys = placed.withColumn("part", F.pmod(F.xxhash64("item"), "parts")).repartition(*basket, "part"), [*basket, "part", "parts"]
     schema = ", ".join(f"`{k}` bigint" for k in keys) + ", items array<int>"
-    return placed.select(*keys, "item").mapInArrow(_gather(len(keys)), schema)
+    gathered = placed.select(*keys, "item").mapInArrow(_gather(len(keys)), schema)
+    if spread:
+        gathered = gathered.withColumns({"part": F.lit(0).cast("bigint"), "parts": F.lit(1).cast("bigint")})
+    return gathered.select(*basket, "part", "parts", "items")
 
 
 def cooccurrence(baskets: DataFrame, basket: list[str], least: int = 1, lift: float = 0.0) -> DataFrame:
