@@ -58,7 +58,8 @@ def fold(states: DataFrame, weights: np.ndarray, kernel: Kernel) -> DataFrame:
 
     ``weights`` is the unembedding matrix; ``log_p`` holds the logarithms of
     the softmax of ``h @ weights.T``. The kernel returns named arrays of one
-    or two dimensions, already summed over its batch. Empty states give no rows.
+    or two dimensions, already summed over its batch. Empty states give no rows,
+    null ones are left out, and states of unequal length raise.
     """
     ship(states.sparkSession)
 
@@ -71,7 +72,7 @@ def fold(states: DataFrame, weights: np.ndarray, kernel: Kernel) -> DataFrame:
                     sums[name] = sums[name] + value if name in sums else np.asarray(value, np.float64)
         yield from _emit(sums)
 
-    return states.select("h").mapInArrow(run, FOLD).groupBy("stat", "i", "j").agg(F.sum("value").alias("value"))
+    return states.where("h IS NOT NULL").select("h").mapInArrow(run, FOLD).groupBy("stat", "i", "j").agg(F.sum("value").alias("value"))
 
 
 def fold_probabilities(rows: DataFrame, kernel: Callable[[np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
@@ -85,7 +86,7 @@ def fold_probabilities(rows: DataFrame, kernel: Callable[[np.ndarray], dict[str,
                 sums[name] = sums[name] + value if name in sums else np.asarray(value, np.float64)
         yield from _emit(sums)
 
-    return rows.select("p").mapInArrow(run, FOLD).groupBy("stat", "i", "j").agg(F.sum("value").alias("value"))
+    return rows.where("p IS NOT NULL").select("p").mapInArrow(run, FOLD).groupBy("stat", "i", "j").agg(F.sum("value").alias("value"))
 
 
 def stat(folded: DataFrame, name: str, i: str, j: str | None = None, value: str = "value") -> DataFrame:
