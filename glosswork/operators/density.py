@@ -10,12 +10,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.vectors import doubles
-from ..session import ship, small
+from ..session import ship
 from .mixtures import Mixture, fit_mixture
 from .vectorspace import gathered, gram, standardisation
 
+#: Facets of one view at most, and points whose kernels are formed at a time.
+FACETS, POINTS = 10_000, 128
+
 
 def kernel_shape(points: DataFrame, by: list[str], weight: str = "w") -> DataFrame:
     """``(*by, bounds, covariance of the kernel)`` of weighted points ``(*by, x, y, w)``.
@@ -58,24 +62,67 @@ def grid(shape: DataFrame, by: list[str], n: int) -> DataFrame:
     return cells.select(*by, "gi", "gj", axis("x", "gi").alias("gx"), axis("y", "gj").alias("gy"))
 
 
-def _kernel(dx: Column, dy: Column) -> Column:
-    det = F.nullif(F.col("cxx") * F.col("cyy") - F.col("cxy") * F.col("cxy"), F.lit(0.0))
-    q = (F.col("cyy") * dx * dx - 2.0 * F.col("cxy") * dx * dy + F.col("cxx") * dy * dy) / det
-    return F.exp(-0.5 * q) / (2.0 * np.pi * F.sqrt(det))
+def _grid_sums(points: DataFrame, shape: DataFrame, by: list[str], n: int, kernels: list[tuple[str, str, bool]]) -> DataFrame:
+    """``(*by, gi, gj, x, y, s0, s1, ...)``: sums of kernels at the places of each facet's grid.
 
+    A kernel is a prefix of its covariance columns in ``shape``, the column
+    it is divided by, and whether points count by weight. Facets are few
+    (their number is checked) and held by tasks; a task adds up its points
+    on each facet's grid and passes on the grids.
+    """
+    ship(points.sparkSession)
+    places = grid(shape, by, n)
+    facets = shape.limit(FACETS + 1).collect()
+    if len(facets) > FACETS:
+        raise ValueError(f"more than {FACETS} facets")
+    numbers = points.sparkSession.createDataFrame([(i, *(f[c] for c in by)) for i, f in enumerate(facets)], T.StructType([T.StructField("facet_no", T.IntegerType()), *(shape.schema[c] for c in by)]))
+    axes = []
+    for f in facets:
+        ends = []
+        for c in ("x", "y"):
+            low, high = f[f"min_{c}"], f[f"max_{c}"]
+            padding = 0.05 * ((high - low) or 1.0)
+            ends.append(low - padding + (high - low + 2 * padding) * np.arange(n) / max(1, n - 1))
+        axes.append(ends)
+    nan = float("nan")
+    forms = [[tuple(nan if f[c] is None else f[c] for c in (f"{k}cxx", f"{k}cxy", f"{k}cyy", over)) for k, over, _ in kernels] for f in facets]
+    weighted = [w for *_, w in kernels]
+    names = [f"s{k}" for k in range(len(kernels))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            no, x, y, w = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for f in np.unique(no):
+                at = np.flatnonzero(no == f)
+                total = sums.setdefault(int(f), np.zeros((len(forms[f]), n, n)))
+                for i in range(0, len(at), POINTS):
+                    part = at[i : i + POINTS]
+                    dx, dy = x[part, None] - axes[f][0], y[part, None] - axes[f][1]
+                    for k, (cxx, cxy, cyy, over) in enumerate(forms[f]):
+                        det = cxx * cyy - cxy * cxy
+                        if not det > 0 or not over > 0:
+                            total[k] = nan
+                            continue
+                        q = (cyy * dx * dx)[:, :, None] - 2 * cxy * dx[:, :, None] * dy[:, None, :] + (cxx * dy * dy)[:, None, :]
+                        each = w[part] if weighted[k] else np.ones(len(part))
+                        total[k] += np.tensordot(each, np.exp(-0.5 / det * q), 1) / (2 * np.pi * np.sqrt(det) * over)
+        gi, gj = (v.ravel().astype(np.int32) for v in np.indices((n, n)))
+        for f, total in sums.items():
+            columns = [pa.array(np.full(n * n, f, np.int32)), pa.array(gi), pa.array(gj), *(pa.array(t.ravel()) for t in total)]
+            yield pa.RecordBatch.from_arrays(columns, names=["facet_no", "gi", "gj", *names])
+
+    numbered = points.join(F.broadcast(numbers), by).where("x IS NOT NULL AND y IS NOT NULL").select("facet_no", F.col("x").cast("double"), F.col("y").cast("double"), F.coalesce(F.col("w").cast("double"), F.lit(0.0)).alias("w"))
+    schema = "facet_no int, gi int, gj int, " + ", ".join(f"{s} double" for s in names)
+    added = numbered.mapInArrow(run, schema).groupBy("facet_no", "gi", "gj").agg(*(F.nanvl(F.sum(s), F.lit(None).cast("double")).alias(s) for s in names))
+    placed = added.join(F.broadcast(numbers), "facet_no").join(places, [*by, "gi", "gj"])
+    return placed.select(*by, "gi", "gj", F.col("gx").alias("x"), F.col("gy").alias("y"), *names)
 
-def kernel_density(points: DataFrame, by: list[str], n: int = 64) -> DataFrame:
-    """``(*by, gi, gj, x, y, density)``: weighted Gaussian kernel estimate of points ``(*by, x, y, w)`` on an n x n grid.
 
-    The grid is fixed in size and goes to the points; each task adds up its
-    points' kernels for every place, so what is shuffled is a grid a task.
-    """
-    shape = kernel_shape(points, by)
-    cells = grid(shape, by, n).groupBy(*by).agg(F.collect_list(F.struct("gi", "gj", "gx", "gy")).alias("cells"))
-    ready = shape.select(*by, "cxx", "cxy", "cyy", "sw").join(cells, by)
-    met = points.join(small(ready, 40 * n * n), by).select(*by, "x", "y", "w", "cxx", "cxy", "cyy", "sw", F.explode("cells").alias("g"))
-    term = F.col("w") / F.nullif("sw", F.lit(0.0)) * _kernel(F.col("x") - F.col("g.gx"), F.col("y") - F.col("g.gy"))
-    return met.groupBy(*by, "g.gi", "g.gj").agg(F.first("g.gx").alias("x"), F.first("g.gy").alias("y"), F.sum(term).alias("density"))
+def kernel_density(points: DataFrame, by: list[str], n: int = 64) -> DataFrame:
+    """``(*by, gi, gj, x, y, density)``: weighted Gaussian kernel estimate of points ``(*by, x, y, w)`` on an n x n grid."""
+    sums = _grid_sums(points, kernel_shape(points, by), by, n, [("", "sw", True)])
+    return sums.withColumnRenamed("s0", "density")
 
 
 def log_ratio_density(points: DataFrame, by: list[str], n: int = 64, floor: float = 1e-12, clip: float | None = None) -> DataFrame:
@@ -84,25 +131,17 @@ def log_ratio_density(points: DataFrame, by: list[str], n: int = 64, floor: floa
     Both use the bandwidth factor of the unweighted one, each with its own
     covariance; both are floored, and the ratio may be clipped to both sides.
     """
-    plain = points.withColumn("w", F.lit(1.0))
-    flat = kernel_shape(plain, by)
+    flat = kernel_shape(points.withColumn("w", F.lit(1.0)), by)
     own = kernel_shape(points, by)
     ratio = (F.col("f.factor") / F.col("o.factor")) ** 2
-    joined = flat.alias("f").join(own.alias("o"), by)
-    shape = joined.select(*by, *(F.col(f"f.{c}").alias(c) for c in ("min_x", "max_x", "min_y", "max_y")), F.col("f.sw").alias("n"), F.col("o.sw").alias("sw"),
-                          *(F.col(f"f.{c}").alias(f"p{c}") for c in ("cxx", "cxy", "cyy")), *((F.col(f"o.{c}") * ratio).alias(f"w{c}") for c in ("cxx", "cxy", "cyy")))
-    cells = grid(shape, by, n).groupBy(*by).agg(F.collect_list(F.struct("gi", "gj", "gx", "gy")).alias("cells"))
-    ready = shape.drop("min_x", "max_x", "min_y", "max_y").join(cells, by)
-    met = points.join(small(ready, 40 * n * n), by).select(*by, "x", "y", "w", "n", "sw", *(f"{p}{c}" for p in "pw" for c in ("cxx", "cxy", "cyy")), F.explode("cells").alias("g"))
-
-    def term(p: str) -> Column:
-        dx, dy = F.col("x") - F.col("g.gx"), F.col("y") - F.col("g.gy")
-        a, b, c = (F.col(f"{p}{k}") for k in ("cxx", "cxy", "cyy"))
-        det = F.nullif(a * c - b * b, F.lit(0.0))
-        return F.exp(-0.5 * (c * dx * dx - 2.0 * b * dx * dy + a * dy * dy) / det) / (2.0 * np.pi * F.sqrt(det))
-
-    sums = met.groupBy(*by, "g.gi", "g.gj").agg(F.first("g.gx").alias("x"), F.first("g.gy").alias("y"), F.sum(F.col("w") / F.nullif("sw", F.lit(0.0)) * term("w")).alias("a"), F.sum(term("p") / F.col("n")).alias("b"))
-    value = F.log(F.greatest("a", F.lit(floor))) - F.log(F.greatest("b", F.lit(floor)))
+    bounds = ("min_x", "max_x", "min_y", "max_y")
+    form = ("cxx", "cxy", "cyy")
+    shape = flat.alias("f").join(own.alias("o"), by).select(
+        *by, *(F.col(f"f.{c}").alias(c) for c in bounds), F.col("f.sw").alias("n"), F.col("o.sw").alias("sw"),
+        *(F.col(f"f.{c}").alias(f"p{c}") for c in form), *((F.col(f"o.{c}") * ratio).alias(f"w{c}") for c in form),
+    )
+    sums = _grid_sums(points, shape, by, n, [("w", "sw", True), ("p", "n", False)])
+    value = F.log(F.greatest("s0", F.lit(floor))) - F.log(F.greatest("s1", F.lit(floor)))
     if clip is not None:
         value = F.least(F.greatest(value, F.lit(-clip)), F.lit(clip))
     return sums.select(*by, "gi", "gj", "x", "y", value.alias("log_ratio"))
