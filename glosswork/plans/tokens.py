@@ -28,8 +28,13 @@ def current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.latest(table(spark, sf_dir, "corpus"))
 
 
-def _top(spark, sf_dir, n: int) -> list[int]:
-    counts = corpus.vocabulary_counts(current(spark, sf_dir), "token")
+def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current tokens written once, for queries that go over them several times."""
+    return materialise(current(spark, sf_dir), "current")
+
+
+def _top(held: DataFrame, n: int) -> list[int]:
+    counts = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return [r["token"] for r in corpus.top_tokens(counts, "token", n).collect()]
 
 
@@ -78,7 +83,7 @@ def fcm_pmi(spark, sf_dir):
 
 def _bigrams(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     held = current(spark, sf_dir)
-    top = corpus.top_tokens(corpus.vocabulary_counts(held, "token"), "token", BIGRAM_TOKENS).select("token")
+    top = corpus.top_tokens(held.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token", BIGRAM_TOKENS).select("token")
     return held, materialise(providers.bigram_model(held, materialise(top, "top-tokens")), "bigram-model")
 
 
@@ -144,12 +149,14 @@ def extract_marginals(spark, sf_dir):
 
 def next_token_filter(spark, sf_dir):
     """Positions that are followed by the third most frequent token."""
-    return corpus.predicting(current(spark, sf_dir), _top(spark, sf_dir, 3)[2])
+    held = _held(spark, sf_dir)
+    return corpus.predicting(held, _top(held, 3)[2])
 
 
 def phrase_search(spark, sf_dir):
     """States before the end of a phrase of the two most frequent tokens."""
-    return corpus.phrase_ends(current(spark, sf_dir), _top(spark, sf_dir, 2))
+    held = _held(spark, sf_dir)
+    return corpus.phrase_ends(held, _top(held, 2))
 
 
 def context_snippets(spark, sf_dir):
@@ -163,7 +170,7 @@ def context_snippets(spark, sf_dir):
 
 def instance_labels(spark, sf_dir):
     """Labels of a uniform sample of 200 positions: the six tokens that end with the predicted one."""
-    held = current(spark, sf_dir)
+    held = _held(spark, sf_dir)
     chosen = corpus.sampled(corpus.next_token(held), ["doc_id", "pos"], 200)
     return corpus.labelled_places(held, chosen, table(spark, sf_dir, "vocab"), 6)
 
