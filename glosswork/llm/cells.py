@@ -137,6 +137,19 @@ def _depths(counted: DataFrame, low: int, high: int, cap: int) -> DataFrame:
     return found.select("grp", "grid", "prefix", "c.depth", "c.cell", "c.size")
 
 
+def units(dim: int | None, width: int):
+    """``(id, unit)`` of the usable vectors of batches ``(id, vec)``, as float32."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok, unit = unit_rows(batch.column(1), dim)
+            if ok.any():
+                raw = pad(unit, width).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), pa.array([v.tobytes() for v in raw], pa.binary())], names=["id", "unit"])
+
+    return run
+
+
 def place(rows: DataFrame, dim: int | None, planes: tuple[np.ndarray, np.ndarray], cap: int, kind: str = "f4") -> DataFrame:
     """``(grp, grid, depth, cell, part, id, unit)``: every usable vector in its cell of each grid.
 

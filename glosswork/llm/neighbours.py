@@ -1,20 +1,25 @@
 """The most similar vectors for every vector (problem 5).
 
-Hash-prefix forest: in every tree the vectors lie in a sorted array of long
-hash strings. A vector descends to its longest prefix that few others share,
-and all trees ascend together to shorter prefixes while a vector has met too
-few candidates. The vectors are brought together by prefixes of several
-independent strings first, so that the trees of a region need no shuffle.
+Near partners (cosine ``FOREST`` and more) are found by a hash-prefix forest:
+in every tree the vectors lie in a sorted array of long hash strings, and a
+vector meets those of its longest prefix that few others share. The vectors
+are brought together by prefixes of several independent strings first, so
+that the trees of a region need no shuffle. 
+Far partners share prefixes only by chance, so no forest finds them all: where
+they are asked for, every vector meets every other, block by block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cells import fit, place
+from ..session import materialise, ship
+from .cells import fit, place, units
 
 #: Independent ways to bring vectors together, and vectors in a region at most.
 GRIDS, CAP = 4, 65536
@@ -22,6 +27,12 @@ GRIDS, CAP = 4, 65536
 #: Trees of a region, bits of their hash strings, vectors that share a final prefix at most and at least.
 TREES, STRING_BITS, MOST, LEAST = 8, 48, 512, 64
 
+#: Least cosine that the forest is trusted with; below it all vectors are compared.
+FOREST = 0.9
+
+#: Vectors in a block, rows of a block compared at a time, and bytes of the blocks that a task meets at most.
+BLOCK, ROWS, MET_BYTES = 8192, 2048, 32 << 20
+
 #: Cosines of single precision that differ by less count as equal.
 EQUAL = 1e-6
 
@@ -123,20 +134,118 @@ def _search(k: int, least: float, trees: int):
     return run
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(id, unit)`` as blocks ``(ids, units)``."""
+
+    def block(table: pa.Table) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"ids": [table.column(0).to_numpy().astype(np.int64).tobytes()], "units": [b"".join(table.column(1).to_pylist())]})
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        while n >= BLOCK:
+            table = pa.Table.from_batches(held)
+            yield block(table.slice(0, BLOCK))
+            held, n = table.slice(BLOCK).to_batches(), n - BLOCK
+    if n:
+        yield block(pa.Table.from_batches(held))
+
+
+class _Block:
+    """The best ``k`` partners of the vectors of one block so far, as :class:`_Best` ranks them."""
+
+    def __init__(self, key: bytes, units: bytes, k: int, least: float):
+        self.key, self.k, self.least = key, k, np.float32(least)
+        self.ids = np.frombuffer(key, np.int64)
+        self.vectors = np.frombuffer(units, np.float32).reshape(len(self.ids), -1)
+        self.partner = np.zeros((len(self.ids), k), np.int64)
+        self.cosine = np.full((len(self.ids), k), -np.inf, np.float32)
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        for a in range(0, len(self.ids), ROWS):
+            own, cosine, partner = self.ids[a : a + ROWS], self.cosine[a : a + ROWS], self.partner[a : a + ROWS]
+            product = self.vectors[a : a + ROWS] @ vectors.T
+            floor = cosine[:, -1]
+            if len(ids) > 4 * self.k and np.isneginf(floor).any():
+                # nothing is known yet: the k best here, the vector itself included, are enough
+                floor = np.maximum(floor, np.partition(product, -self.k - 1, axis=1)[:, -self.k - 1])
+            floor = np.maximum(floor - np.float32(2 * EQUAL), self.least)
+            r, c = np.divmod(np.flatnonzero((product >= floor[:, None]).ravel()), len(ids))
+            keep = own[r] != ids[c]
+            r, c = r[keep], c[keep]
+            old, at = np.nonzero(np.isfinite(cosine))
+            row = np.concatenate([old, r])
+            other = np.concatenate([partner[old, at], ids[c]])
+            value = np.concatenate([cosine[old, at], product[r, c]])
+            order = np.lexsort((other, -np.rint(value / EQUAL), row))
+            row, other, value = row[order], other[order], value[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            top = rank < self.k
+            partner[row[top], rank[top]] = other[top]
+            cosine[row[top], rank[top]] = value[top]
+
+    def found(self) -> pa.RecordBatch:
+        row, rank = np.nonzero(np.isfinite(self.cosine))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[row]), pa.array(self.partner[row, rank]), pa.array(self.cosine[row, rank].astype(np.float64))], names=["id", "neighbour", "cosine"])
+
+
+def _meet(k: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                key, own, ids, other = (c[row].as_py() for c in batch.columns)
+                if best is None or key != best.key:
+                    if best:
+                        yield best.found()
+                    best = _Block(key, own, k, least)
+                ids = np.frombuffer(ids, np.int64)
+                best.meet(ids, np.frombuffer(other, np.float32).reshape(len(ids), -1))
+        if best:
+            yield best.found()
+
+    return run
+
+
+def all_pairs(vectors: DataFrame, k: int, least: float) -> DataFrame:
+    """``(id, neighbour, cosine)``: the best partners of all vectors ``(id, unit)``, every pair compared.
+
+    A task holds the blocks of one part and goes over those of another, and
+    passes on only the best of them. Work grows with the square of the rows.
+    """
+    blocks = materialise(vectors.dropDuplicates(["id"]).mapInArrow(_pack, "ids binary, units binary"), "blocks")
+    size = blocks.agg(F.sum(F.length("units"))).first()[0] or 0
+    met = blocks.coalesce(int(size // MET_BYTES) + 1).select(F.col("ids").alias("met"), F.col("units").alias("met_units"))
+    return blocks.crossJoin(met).mapInArrow(_meet(k, least), "id bigint, neighbour bigint, cosine double")
+
+
+def _forest(rows: DataFrame, k: int, dim: int | None, least: float, grids: int, cap: int, trees: int) -> DataFrame:
+    """``(id, neighbour, cosine)`` of partners that share a region."""
+    rows = rows.select(F.lit(0).cast("bigint").alias("grp"), "id", "vec")
+    placed = place(rows, dim, fit(rows, dim, grids, seed=5), cap)
+    return placed.groupBy("grid", "depth", "cell", "part").applyInArrow(_search(k, least, trees), "id bigint, neighbour bigint, cosine double")
+
+
 def nearest(rows: DataFrame, k: int = 5, dim: int | None = 48, least: float = -1.0, grids: int = GRIDS, cap: int = CAP, trees: int = TREES) -> DataFrame:
     """``(id, neighbour, cosine, rank)``: up to ``k`` most similar other vectors of every vector.
 
     ``rows`` has ``id`` (BIGINT) and ``vec``. Partners below cosine
-    ``least`` are left out early. Equal cosines are ranked by the lesser
-    id. Vectors that are null, not of ``dim`` numbers, not finite or all
+    ``least`` are left out early; where it is below ``FOREST``, all vectors
+    are compared and the result is exact. Equal cosines are ranked by the
+    lesser id. Vectors that are null, not of ``dim`` numbers, not finite or all
     zero take no part, nor rows with a null ``id``; repeated rows (same id,
     same content) count once; a single vector and an empty table give no
     rows. Other columns are not read. Every vector is indexed; the planes
     that divide regions are fitted on a bounded sample.
     """
-    rows = rows.select(F.lit(0).cast("bigint").alias("grp"), "id", "vec")
-    placed = place(rows, dim, fit(rows, dim, grids, seed=5), cap)
-    found = placed.groupBy("grid", "depth", "cell", "part").applyInArrow(_search(k, least, trees), "id bigint, neighbour bigint, cosine double")
+    rows = rows.select("id", "vec").where("id IS NOT NULL AND vec IS NOT NULL")
+    ship(rows.sparkSession)
+    if least < FOREST:
+        width = dim or rows.agg(F.max(F.size("vec"))).first()[0] or 1
+        found = all_pairs(rows.mapInArrow(units(dim, width), "id bigint, unit binary"), k, least)
+    else:
+        found = _forest(rows, k, dim, least, grids, cap, trees)
     once = found.groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("cosine", 6)), "neighbour"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -170,6 +170,16 @@ def test_copies_and_ties(spark, rng):
     assert many.groupBy("id").count().where("count = 5").count() == 1500
 
 
+def test_far_partners_are_all_found(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(2500, 24))
+    got = neighbours.nearest(frame(spark, x), 5, 24, cap=700).orderBy("id", "rank").collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    assert {(r["id"], r["neighbour"]) for r in got} == {(i, int(j)) for i, row in enumerate(np.argsort(-s)[:, :5]) for j in row}
+
+
 def test_neighbours_of_dirt_and_nothing(spark):
     x = [[1.0, 0.0], [1.0, 0.1], None, [0.0, 0.0], [1.0], [float("nan"), 1.0], [1.0, 0.0]]
     df = frame(spark, x, [0, 1, 2, 3, 4, 5, 0])
