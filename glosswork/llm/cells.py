@@ -151,7 +151,14 @@ def units(dim: int | None, width: int):
 
 
 def place(rows: DataFrame, dim: int | None, planes: tuple[np.ndarray, np.ndarray], cap: int, kind: str = "f4") -> DataFrame:
-    """``(grp, grid, depth, cell, part, id, unit)``: every usable vector in its cell of each grid.
+    """``(grp, grid, depth, cell, part, id, unit)``: every usable vector in its cell of each grid."""
+    located, _ = locate(rows, dim, planes, cap, kind)
+    part = F.pmod(F.xxhash64("id", "grid"), F.ceil(F.col("size") / cap)).cast("int")
+    return located.select("grp", "grid", "depth", "cell", part.alias("part"), "id", "unit")
+
+
+def locate(rows: DataFrame, dim: int | None, planes: tuple[np.ndarray, np.ndarray], cap: int, kind: str = "f4") -> tuple[DataFrame, bool]:
+    """``(grp, grid, depth, cell, size, id, unit)``, cells undivided, and whether any is above ``cap``.
 
     ``rows`` has ``grp`` and ``id`` (BIGINT) and ``vec``; groups are never
     mixed. ``unit`` holds the scaled vector as bytes of type ``kind``.
@@ -166,12 +173,13 @@ def place(rows: DataFrame, dim: int | None, planes: tuple[np.ndarray, np.ndarray
     placed = rows.mapInArrow(_coder(dim, *planes, None, kind), "grp bigint, grid int, code bigint, id bigint, unit binary")
     rest = BITS - FIRST_BITS
     located = placed.withColumn("prefix", F.shiftright("code", rest)).join(small(short, DEPTH_BYTES), ["grp", "grid", "prefix"])
+    over = False
     full = short.where((F.col("depth") == FIRST_BITS) & (F.col("size") > cap)).select("grp", "grid", F.col("prefix").alias("head"))
     if full.limit(1).count():
         whole = rows.mapInArrow(_coder(dim, *planes, BITS), counts).withColumn("head", F.shiftright("prefix", rest))
         deep = materialise(_depths(whole.join(small(full, DEPTH_BYTES), ["grp", "grid", "head"], "left_semi"), FIRST_BITS, BITS, cap), "depths")
+        over = deep.where(F.col("size") > cap).limit(1).count() > 0
         deep = deep.select("grp", "grid", F.col("prefix").alias("code"), *(F.col(c).alias(f"deep_{c}") for c in ("depth", "cell", "size")))
         located = located.join(small(deep, DEPTH_BYTES), ["grp", "grid", "code"], "left")
         located = located.withColumns({c: F.coalesce(f"deep_{c}", c) for c in ("depth", "cell", "size")})
-    part = F.pmod(F.xxhash64("id", "grid"), F.ceil(F.col("size") / cap)).cast("int")
-    return located.select("grp", "grid", "depth", "cell", part.alias("part"), "id", "unit")
+    return located.select("grp", "grid", "depth", "cell", "size", "id", "unit"), over

@@ -4,7 +4,9 @@ Near partners (cosine ``FOREST`` and more) are found by a hash-prefix forest:
 in every tree the vectors lie in a sorted array of long hash strings, and a
 vector meets those of its longest prefix that few others share. The vectors
 are brought together by prefixes of several independent strings first, so
-that the trees of a region need no shuffle. 
+that the trees of a region need no shuffle. Where prefixes do not divide
+them, vectors meet all others of their prefix, however many.
+
 Far partners share prefixes only by chance, so no forest finds them all: where
 they are asked for, every vector meets every other, block by block.
 """
@@ -18,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise, ship
-from .cells import fit, place, units
+from ..session import materialise, ship, small
+from .cells import fit, locate, units
 
 #: Independent ways to bring vectors together, and vectors in a region at most.
 GRIDS, CAP = 4, 65536
@@ -33,6 +35,9 @@ FOREST = 0.9
 #: Vectors in a block, rows of a block compared at a time, and bytes of the blocks that a task meets at most.
 BLOCK, ROWS, MET_BYTES = 8192, 2048, 32 << 20
 
+#: Bytes of a row of a table of ids when broadcast.
+ID_BYTES = 48
+
 #: Cosines of single precision that differ by less count as equal.
 EQUAL = 1e-6
 
@@ -42,7 +47,7 @@ def prefix_nodes(strings: np.ndarray, most: int, least: int) -> list[tuple[int,
 
     Where a prefix is shared by fewer than ``least`` rows, those above it in
     the tree are taken along, the nearest in order. Equal strings beyond
-    ``most`` meet in stretches.
+    ``most`` come in stretches that each meet all of them.
     """
     nodes = []
     todo = [(0, len(strings), 0, len(strings))]
@@ -53,7 +58,7 @@ def prefix_nodes(strings: np.ndarray, most: int, least: int) -> list[tuple[int,
             cut = a + int(np.searchsorted(strings[a:b], (strings[b - 1] >> np.uint64(bit)) << np.uint64(bit)))
             todo += [(a, cut, a, b), (cut, b, a, b)]
         elif b - a > most:
-            todo += [(x, min(x + most, b), a, b) for x in range(a, b, most)]
+            nodes += [(x, min(x + most, b), a, b) for x in range(a, b, most)]
         elif b > a:
             lack = max(0, least - (b - a))
             low = max(c, a - lack)
@@ -221,10 +226,12 @@ def all_pairs(vectors: DataFrame, k: int, least: float) -> DataFrame:
 
 
 def _forest(rows: DataFrame, k: int, dim: int | None, least: float, grids: int, cap: int, trees: int) -> DataFrame:
-    """``(id, neighbour, cosine)`` of partners that share a region."""
+    """``(id, neighbour, cosine)`` of partners that share a region; those of a cell that no prefix divides are all compared."""
     rows = rows.select(F.lit(0).cast("bigint").alias("grp"), "id", "vec")
-    placed = place(rows, dim, fit(rows, dim, grids, seed=5), cap)
-    return placed.groupBy("grid", "depth", "cell", "part").applyInArrow(_search(k, least, trees), "id bigint, neighbour bigint, cosine double")
+    placed, over = locate(rows, dim, fit(rows, dim, grids, seed=5), cap)
+    fits = placed.where(F.col("size") <= cap) if over else placed
+    found = fits.groupBy("grid", "depth", "cell").applyInArrow(_search(k, least, trees), "id bigint, neighbour bigint, cosine double")
+    return found.union(all_pairs(placed.where(F.col("size") > cap).select("id", "unit"), k, least)) if over else found
 
 
 def nearest(rows: DataFrame, k: int = 5, dim: int | None = 48, least: float = -1.0, grids: int = GRIDS, cap: int = CAP, trees: int = TREES) -> DataFrame:
@@ -237,10 +244,22 @@ def nearest(rows: DataFrame, k: int = 5, dim: int | None = 48, least: float = -1
     zero take no part, nor rows with a null ``id``; repeated rows (same id,
     same content) count once; a single vector and an empty table give no
     rows. Other columns are not read. Every vector is indexed; the planes
-    that divide regions are fitted on a bounded sample.
+    that divide regions are fitted on a bounded sample. Of exact copies the
+    ``k + 1`` of least id are compared for all of them.
     """
     rows = rows.select("id", "vec").where("id IS NOT NULL AND vec IS NOT NULL")
     ship(rows.sparkSession)
+    copy = [F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2")]
+    hashed = rows.select("id", *copy)
+    many = materialise(hashed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k + 1).select("h1", "h2"), "copied")
+    copies = None
+    if many.limit(1).count():
+        held = hashed.join(small(many, ID_BYTES), ["h1", "h2"]).distinct()
+        order = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))
+        last = materialise(held.withColumn("r", order).where(F.col("r") <= k + 1).where(F.col("r") == k + 1).select("h1", "h2", F.col("id").alias("like")), "likes")
+        last = small(last, ID_BYTES)
+        copies = materialise(held.join(last, ["h1", "h2"]).where("id > like").select("id", "like"), "copies")
+        rows = rows.select("*", *copy).join(last, ["h1", "h2"], "left").where("like IS NULL OR id <= like").select("id", "vec")
     if least < FOREST:
         width = dim or rows.agg(F.max(F.size("vec"))).first()[0] or 1
         found = all_pairs(rows.mapInArrow(units(dim, width), "id bigint, unit binary"), k, least)
@@ -248,7 +267,13 @@ def nearest(rows: DataFrame, k: int = 5, dim: int | None = 48, least: float = -1
         found = _forest(rows, k, dim, least, grids, cap, trees)
     once = found.groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("cosine", 6)), "neighbour"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= k)
+    best = once.withColumn("rank", rank).where(F.col("rank") <= k)
+    if copies is None:
+        return best
+    # the k best of the last one compared are those of every copy after it
+    best = materialise(best, "nearest")
+    lists = best.join(small(copies.select(F.col("like").alias("id")).distinct(), ID_BYTES), "id", "left_semi").withColumnRenamed("id", "like")
+    return best.unionByName(copies.join(small(lists, ID_BYTES), "like").select("id", "neighbour", "cosine", "rank"))
 
 
 def close_pairs(found: DataFrame) -> DataFrame:

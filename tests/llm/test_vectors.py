@@ -180,6 +180,33 @@ def test_far_partners_are_all_found(spark):
     assert {(r["id"], r["neighbour"]) for r in got} == {(i, int(j)) for i, row in enumerate(np.argsort(-s)[:, :5]) for j in row}
 
 
+def test_copies_name_their_least_ids(spark, rng):
+    x = np.r_[np.ones((3000, 8)), rng.normal(size=(200, 8))]
+    ids = rng.permutation(9000)[: len(x)]
+    least = sorted(ids[:3000].tolist())
+    got = neighbours.nearest(frame(spark, x, ids), 5, 8, least=0.9, cap=700).where(F.col("id").isin(ids[:3000].tolist())).collect()
+    lists = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        lists.setdefault(r["id"], []).append(r["neighbour"])
+    assert lists == {i: [j for j in least[:6] if j != i][:5] for i in least}
+
+
+@pytest.mark.parametrize("cap", [300, 65536])
+def test_a_hot_direction_is_searched_whole(spark, cap):
+    rng = np.random.default_rng(13)
+    hot = np.ones(24) / np.sqrt(24) + rng.normal(size=(1800, 24)) * 0.004
+    x = np.r_[hot, rng.normal(size=(3600, 24))]
+    df = frame(spark, x)
+    got = {(r["id"], r["neighbour"]) for r in neighbours.nearest(df, 5, 24, least=0.9, cap=cap).where("id < 1800").collect()}
+    u = hot / np.linalg.norm(hot, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(i, int(j)) for i, row in enumerate(np.argsort(-s)[:, :5]) for j in row}
+    assert len(got) == 9000 and len(got & want) / len(want) >= 0.97
+    if cap == 300:
+        assert cells.locate(df, 24, cells.fit(df, 24, neighbours.GRIDS, seed=5), cap)[1]
+
+
 def test_neighbours_of_dirt_and_nothing(spark):
     x = [[1.0, 0.0], [1.0, 0.1], None, [0.0, 0.0], [1.0], [float("nan"), 1.0], [1.0, 0.0]]
     df = frame(spark, x, [0, 1, 2, 3, 4, 5, 0])
