@@ -29,9 +29,6 @@ RECURS_DOCS, RECURS_SHARE = 3, 0.005
 #: Lines longer than this are text, not boilerplate; longer ones are weighed by sentence.
 LINE_CHARS, SENTENCE_CHARS = 120, 240
 
-#: Different words that a line of filler or a menu has at most.
-FEW_WORDS = 8
-
 _ODD = {"’": "'", "‘": "'", "`": "'", "´": "'", "‐": "-", "‑": "-", "−": "-", "\u00ad": "", "\u200b": "", "\ufeff": ""}
 _ACCENTS = re.compile("[\u0300-\u036f]+")
 
@@ -151,12 +148,13 @@ _MISSING_VALUE = re.compile(rf"^(.{{1,40}}?)\s*(?:[:=]|\s-\s)\s*(?:{MISSING})\W{
 _MISSING_WORD = re.compile(r"(?<!\w)(?:tb[dac]|n\.n\.|x{3,8}|\?{3,8}|_{3,10}|(?<!\.)\.{6,12}(?!\.))(?!\w)", re.I)
 # Filler words too common elsewhere to be looked for.
 _COMMON = frozenset("text texte texto word test testing sample foo bar baz qux bla non sit sed sedo ut elit esse anim enim sint amet quam duis culpa irure".split())
-#: A first look: lines and documents without one of these hold no evidence but repetition.
+#: A first look: lines without one of these hold no evidence but repetition and filler.
 _LITERALS = frozenset().union(required(ERROR.pattern), required(fold(_SCRIPT_THING)), (w for w in _FILLER - _COMMON if len(w) > 2))
 # Marks of unfilled fields, gaps and foot lines.
 _MARKS = ("{", "[", "<", "@", "$", "*|", "|*", "__", "???", "...", "…", "n.n.", "n/a", "n.a.", "xxx", "tba", "tbc", "tbd", "fixme", "©", "copyright", "(c)")
 _MARKS_BEFORE_LETTERS = "%#"
 
+_BARS = "|·•›»"
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+")
 _PIECES = re.compile(r"\s*[/|,;·!.?]+\s*")
 
@@ -192,23 +190,12 @@ def _repeats(words: list[str]) -> bool:
 
 def may_hold_evidence(text: str) -> bool:
     """Whether a closer look is needed; never False for a text that :func:`weigh` finds evidence in."""
-    low = (html.unescape(html.unescape(text)) if "&" in text else text).lower()
-    low = fold(low)
-    if _look()(low):
-        return True
-    words = low.split()
-    if 4 * len(set(words)) <= len(words):
-        return True
-    lines = [x for x in map(str.strip, low.splitlines()) if x and len(x) < 60]
-    if any(_look_filler()(x) and _FILLER_LINE.match(x) for x in lines):
-        return True
-    return len(lines) > 4 and len(set(lines)) < len(lines)
+    lines = lines_of(text)
+    return any(not _plain(x) for x in lines) or bool(_again(lines))
 
 
 def _filler_pieces(low: str) -> bool:
     """Whether a line is a filler line, or such pieces one after the other."""
-    if len(low) > 2 * SENTENCE_CHARS:
-        return False
     known = _look_filler()(low)
     if known and _FILLER_LINE.match(low):
         return True
@@ -216,10 +203,12 @@ def _filler_pieces(low: str) -> bool:
     kinds = set(pieces)
     if len(pieces) >= 2 and len(kinds) == 1 and len(pieces[0]) >= 8 and " " in pieces[0]:
         return True  # the same phrase again
-    return known and 0 < len(kinds) <= 4 and all(_FILLER_LINE.match(x) for x in kinds)
+    return known and len(kinds) > 0 and all(_FILLER_LINE.match(x) for x in kinds)
 
 
 def _is_filler(words: list[str]) -> bool:
+    if _FILLER.isdisjoint(words):
+        return False
     known = sum(w in _FILLER or w.isdigit() for w in words)
     return len(words) >= 3 and known >= 0.6 * len(words) and any(w in _FILLER for w in words)
 
@@ -286,15 +275,22 @@ def lines_of(text: str) -> list[str]:
 
 
 def _plain(line: str) -> bool:
-    """Whether a quick look finds nothing in a line that could be evidence, menu or foot."""
+    """Whether a quick look finds nothing in a line; True only for lines that :func:`line_kind` calls content."""
     low = line.lower()
-    if _look()(low):
+    if _look()(low) or any(x in line for x in _BARS) or FOOT.match(line) or GO.match(line):
         return False
-    words = low.split()
-    kinds = len(set(words))
-    if kinds > FEW_WORDS:  # foot lines and fields have their marks, menus their bars, and filler few words
-        return "|" not in line and "·" not in line
-    return not (_repeats(words) or FOOT.match(line) or GO.match(line) or "|" in line or "·" in line or _filler_pieces(low))
+    words = [w.lower() for w in WORD.findall(line)]
+    return not (_is_filler(words) or _repeats(words) or _filler_pieces(low))
+
+
+def _phrase(line: str) -> str:
+    return line.lower().strip(" .!?,;")
+
+
+def _again(lines: list[str]) -> set[str]:
+    """Short phrases that are lines or sentences of a text three times or more."""
+    same = Counter(_phrase(x) for x in lines if len(x) < 60)
+    return {x for x, n in same.items() if n >= 3}
 
 
 def weigh(text: str, boilerplate: frozenset[str] | set[str] = frozenset()) -> tuple[int, Counter]:
@@ -362,7 +358,7 @@ def _weigh_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for key, doc, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-            if not text or not text.strip() or not may_hold_evidence(text):
+            if not text or not text.strip():
                 continue
             residual, weight = weigh(text)
             total = sum(weight.values())

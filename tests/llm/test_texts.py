@@ -207,6 +207,32 @@ def test_any_text_can_be_weighed(text):
         assert residue.may_hold_evidence(text)
 
 
+FILLER_TEXTS = [
+    "foo bar baz qux bla test",
+    "bla bla bla bla",
+    "sample text 12 test word 7",
+    "First card title. Second card title. Image caption. A short teaser for this card.",
+    "First card title. Second card title. Image caption. Button label. List item one. A short teaser for this card.",
+]
+
+
+@pytest.mark.parametrize("text", FILLER_TEXTS)
+def test_filler_of_common_words_passes_the_first_look(text):
+    assert residue.may_hold_evidence(text)
+    total, weight = residue.weigh(text)
+    assert total and weight["filler"] == total
+
+
+_PIECE = st.sampled_from(["foo", "bar", "test", "word", "text", "bla", "sit", "12", "harbour", "the", "trams", "image caption.", "card title,", "read more", "/", "|", "•", "tbd", "error: 404", "{x}", "impressum", "%a%", "..."])
+
+
+@given(st.lists(_PIECE, min_size=1, max_size=90))
+@settings(max_examples=400, deadline=None)
+def test_the_first_look_passes_all_that_is_not_content(pieces):
+    for line in residue.lines_of(" ".join(pieces)):
+        assert residue.line_kind(line) == residue.CONTENT or not residue._plain(line)
+
+
 def test_required_literals():
     assert literals.required("abc|xyz") == {"abc", "xyz"} and literals.required(r"\d+ page(s|d)?") == {" page"}
     assert literals.required(r"(?=.*(?:foo|bar)).*") == {"foo", "bar"}
