@@ -2,10 +2,10 @@
 
 Optimal length buckets: dynamic programming over the global histogram of
 lengths chooses bucket boundaries that leave least space unused; token-budget
-batches form inside each bucket, and what space a batch has left is topped up
-from shorter buckets. Both run on the histogram, which has no more entries
-than a container has places; items then find their batch by their number
-among items of the same length.
+batches form inside each bucket. What space a batch has left is topped up
+from shorter buckets in a second step. Both run on the histogram, which has
+no more entries than a container has places; items then find their batch by
+their number among items of the same length.
 """
 
 from __future__ import annotations
@@ -61,42 +61,62 @@ def bucket_bounds(counts: np.ndarray, buckets: int) -> list[int]:
     return bounds[::-1]
 
 
-def plan(counts: np.ndarray, bounds: list[int]) -> tuple[np.ndarray, int]:
-    """``(length, from, to, container, each)`` segments and the number of containers.
+def bucket_batch(left: np.ndarray, low: int, high: int) -> list[tuple[int, int]]:
+    """``(length, each)`` of one batch of the bucket of lengths above ``low`` up to ``high``: as many items as its token budget has slots, longest first."""
+    slots, batch = (len(left) - 1) // high, []
+    for s in np.flatnonzero(left[low + 1 : high + 1])[::-1] + low + 1:
+        each = int(min(slots, left[s]))
+        batch.append((int(s), each))
+        slots -= each
+        if not slots:
+            break
+    return batch
+
+
+def top_up(left: np.ndarray, room: int, low: int) -> list[tuple[int, int]]:
+    """``(length, each)`` of items of lengths up to ``low`` that fit into ``room``, the longest that fits first."""
+    added = []
+    while room > 0:
+        fit = np.flatnonzero(left[1 : min(room, low) + 1])
+        if not len(fit):
+            break
+        s = int(fit[-1]) + 1
+        each = int(min(room // s, left[s]))
+        added.append((s, each))
+        room -= s * each
+        low = s - 1
+    return added
+
+
+def plan(counts: np.ndarray, bounds: list[int], topped: bool = True) -> tuple[np.ndarray, int]:
+    """``(length, from, to, container, each, home)`` segments and the number of containers.
 
     Items of ``length`` numbered ``from .. to - 1`` lie ``each`` to a
-    container, from number ``container`` on. Buckets are taken from the
-    longest; a batch takes lengths of its bucket while the token budget
-    lasts, longest first, then the longest of shorter buckets that fit. A
-    batch is repeated as long as its lengths last, so the plan has a few
-    batches for each length whatever the number of items.
+    container, from number ``container`` on; ``home`` is the upper length of
+    the container's bucket. A bucket with upper length ``u`` gives batches of
+    ``capacity // u`` of its items, so the bounds decide what lies together;
+    then, unless ``topped`` is False, the space that a batch has left takes
+    items of shorter buckets. A batch is repeated as long as its lengths
+    last, so the plan has a few batches for each length whatever the number
+    of items.
     """
     capacity = len(counts) - 1
     left = counts.astype(np.int64).copy()
     left[0] = 0
     taken = np.zeros_like(left)
     out, containers = [], 0
-    lower = [0, *bounds[:-1]]
-    for low, high in reversed(list(zip(lower, bounds))):
+    for low, high in reversed(list(zip([0, *bounds[:-1]], bounds))):
         while left[low + 1 : high + 1].any():
-            room, batch = capacity, []
-            top = high
-            while room > 0:
-                open_lengths = np.flatnonzero(left[1 : min(room, top) + 1])
-                if not len(open_lengths):
-                    break
-                s = int(open_lengths[-1]) + 1
-                each = int(min(room // s, left[s]))
-                batch.append((s, each))
-                room -= s * each
-                top = s - 1
+            batch = bucket_batch(left, low, high)
+            if topped:
+                batch += top_up(left, capacity - sum(s * each for s, each in batch), low)
             times = int(min(left[s] // each for s, each in batch))
             for s, each in batch:
-                out.append((s, taken[s], taken[s] + each * times, containers, each))
+                out.append((s, taken[s], taken[s] + each * times, containers, each, high))
                 taken[s] += each * times
                 left[s] -= each * times
             containers += times
-    segments = np.array(sorted(out), np.int64).reshape(-1, 5)
+    segments = np.array(sorted(out), np.int64).reshape(-1, 6)
     return segments, containers
 
 
@@ -110,20 +130,22 @@ def _assign(segments: np.ndarray, bounds: list[int]):
             at = np.searchsorted(begin, size << 44 | rank, side="right") - 1
             place = segments[at, 3] + (rank - segments[at, 1]) // segments[at, 4]
             bucket = upper[np.searchsorted(upper, size)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(bucket), pa.array(place)], names=["doc_id", "piece", "start", "n_tokens", "bucket", "container"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(bucket), pa.array(place), pa.array(segments[at, 5])], names=["doc_id", "piece", "start", "n_tokens", "bucket", "container", "home"])
 
     return run
 
 
 def fill(sizes: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
-    """``(doc_id, piece, start, n_tokens, bucket, container)`` for ``sizes(doc_id, n_ids)``.
+    """``(doc_id, piece, start, n_tokens, bucket, container, home)`` for ``sizes(doc_id, n_ids)``.
 
     Every item lies whole in one container of ``capacity`` tokens, except
     that one larger than that is divided into pieces of ``capacity`` tokens
     and a last one with the rest; only those have more than one ``piece``
     (from 0; ``start`` is its first token). ``bucket`` is the upper length of
-    its length bucket. An item without tokens, or of null size, needs no
-    place: one row with ``container`` and ``bucket`` null. Repeated rows are
+    its length bucket, ``home`` that of the bucket whose batch the container
+    holds: at most ``capacity // home`` items of it, and items of shorter
+    buckets in what space was left. An item without tokens, or of null size, needs no
+    place: one row with ``container``, ``bucket`` and ``home`` null. Repeated rows are
     items of their own, a null ``doc_id`` stays null, equal lengths are
     placed in order of ``doc_id``; an empty table gives no rows.
     """
@@ -139,9 +161,9 @@ def fill(sizes: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) ->
         counts[r["n_tokens"]] = r["n"]
     bounds = bucket_bounds(counts, buckets)
     segments, _ = plan(counts, bounds)
-    # number the items of each length: within salted parts, then by the parts before
-    salts = max(16, int(counts.sum() // NUMBERED))
-    salted = pieces.where("n_tokens > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    # number the items of each length: within salted parts where a length has many, then by the parts before
+    salts = F.get(F.lit([int(max(1, -(-n // NUMBERED))) for n in counts]), F.col("n_tokens").cast("int"))
+    salted = pieces.where("n_tokens > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), salts))
     parts = salted.groupBy("n_tokens", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offset = parts.select("n_tokens", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -149,10 +171,10 @@ def fill(sizes: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) ->
     ranked = salted.withColumn("within", within).join(small(offset, 24), ["n_tokens", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "n_tokens", (F.col("offset") + F.col("within") - 1).alias("rank"))
     kind = sizes.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece bigint, start bigint, n_tokens bigint, bucket bigint, container bigint"
+    schema = f"doc_id {kind}, piece bigint, start bigint, n_tokens bigint, bucket bigint, container bigint, home bigint"
     placed = ranked.mapInArrow(_assign(segments, bounds), schema)
     none = F.lit(None).cast("bigint")
-    empty = pieces.where("n_tokens = 0").select("doc_id", "piece", "start", "n_tokens", none.alias("bucket"), none.alias("container"))
+    empty = pieces.where("n_tokens = 0").select("doc_id", "piece", "start", "n_tokens", none.alias("bucket"), none.alias("container"), none.alias("home"))
     return placed.unionByName(empty)
 
 
@@ -170,3 +192,35 @@ def fill_report(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: containers, tokens in them and the share of their places that is filled."""
     whole = placed.where("container IS NOT NULL").agg(F.countDistinct("container").alias("containers"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"))
     return whole.withColumn("filled", F.col("tokens") / F.nullif(F.col("containers") * capacity, F.lit(0)))
+
+
+def faults(placed: DataFrame, sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row ``(documents, lost, divided_small, overfull, crowded)`` that tells whether a filling is whole.
+
+    ``lost`` counts documents whose pieces do not add up to their size,
+    ``divided_small`` those that were divided though they fit, ``overfull``
+    containers above ``capacity``, ``crowded`` containers with more items of
+    their own bucket than it has slots. Rows of one ``doc_id``, null too,
+    count as one document.
+    """
+    size = sizes.select("doc_id", F.coalesce("n_ids", F.lit(0)).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("n_tokens"), F.lit(0).cast("bigint").alias("piece"))
+    both = size.unionByName(placed.select("doc_id", F.lit(0).cast("bigint").alias("size"), "n_tokens", "piece"))
+    by_doc = both.groupBy("doc_id").agg(F.sum("size").alias("size"), F.sum("n_tokens").alias("n"), F.max("piece").alias("last"))
+    by_container = placed.where("container IS NOT NULL").groupBy("container", "home").agg(F.sum("n_tokens").alias("load"), F.count_if(F.col("bucket") == F.col("home")).alias("own"))
+    none = F.lit(0).cast("bigint")
+    found = by_doc.agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.count_if(F.col("n") != F.col("size")).alias("lost"),
+        F.count_if((F.col("last") > 0) & (F.col("size") <= capacity)).alias("divided_small"),
+        none.alias("overfull"),
+        none.alias("crowded"),
+    ).unionByName(
+        by_container.agg(
+            none.alias("documents"),
+            none.alias("lost"),
+            none.alias("divided_small"),
+            F.count_if(F.col("load") > capacity).alias("overfull"),
+            F.count_if(F.col("own") > F.floor(F.lit(capacity) / F.col("home"))).alias("crowded"),
+        )
+    )
+    return found.agg(*(F.sum(c).alias(c) for c in ("documents", "lost", "divided_small", "overfull", "crowded")))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
+from . import split as splitting
 from . import sql
 from .clusters import complete_records, describe, similarity_groups
-from .containers import divided, document_sizes, fill, fill_report
+from .containers import divided, document_sizes, faults, fill, fill_report
 from .cooccur import block_baskets, cooccurrence
 from .encode import encode
 from .frequency import token_frequency
@@ -27,6 +28,11 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_tokens(table(spark, sf_dir, "corpus"), table(spark, sf_dir, "vocab"))
 
 
+def p1_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document put together again from its pieces, and what is wrong with them."""
+    return splitting.faults(p1_pieces(spark, sf_dir))
+
+
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = table(spark, sf_dir, "work_sample").select(F.lit(0).cast("bigint").alias("grp"), F.col("row_index").alias("id"), F.col("h").alias("vec"))
     return similarity_groups(states, 0.8, dim=64)
@@ -105,6 +111,12 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(p7_containers(spark, sf_dir))
 
 
+def p7_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the containers: nothing."""
+    sizes = document_sizes(table(spark, sf_dir, "documents"))
+    return faults(fill(sizes), sizes)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are residue of templates or pages."""
     return residue(table(spark, sf_dir, "documents")).select("doc_id")
@@ -116,5 +128,5 @@ def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.join(p8_found(spark, sf_dir), "doc_id", "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_frequency, p4_found, p4_pairs, p5_found, p5_nearest, p6_ids, p7_found, p7_containers, p7_fill, p8_found, p8_kept)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_whole, p2_found, p2_groups, p3_found, p3_frequency, p4_found, p4_pairs, p5_found, p5_nearest, p6_ids, p7_found, p7_containers, p7_fill, p7_whole, p8_found, p8_kept)}
 ORACLES = sql.ORACLES

@@ -122,6 +122,31 @@ def test_ties_repeats_and_nothing(spark):
     assert containers.fill_report(containers.fill(df, 32), 32).first()["tokens"] == 15
 
 
+def test_bounds_decide_what_lies_together(rng):
+    """Batches form inside a bucket: other bounds give other containers and more space left."""
+    counts = np.zeros(257, np.int64)
+    np.add.at(counts, np.clip(rng.lognormal(3.2, 1.0, 20_000).astype(int), 1, 256), 1)
+    bounds = containers.bucket_bounds(counts, 8)
+    _, bare = containers.plan(counts, bounds, topped=False)
+    segments, topped = containers.plan(counts, bounds)
+    low = dict(zip(bounds, [0, *bounds[:-1]]))
+    own = [(s, e, home) for s, _, _, _, e, home in segments.tolist() if s > low[home]]
+    assert all(e <= 256 // home for _, e, home in own) and topped < bare
+    for other in ([256], [32, 256], sorted({*rng.choice(np.arange(1, 256), 7, replace=False).tolist(), 256})):
+        assert containers.plan(counts, other, topped=False)[1] > bare
+        assert not np.array_equal(containers.plan(counts, other)[0], segments)
+    assert containers.plan(counts, [256])[1] == counts.sum()  # one slot, and nothing shorter to top up with
+
+
+def test_faults_are_seen(spark):
+    sizes = spark.createDataFrame([(1, 40), (2, 8), (3, None), (None, 5)], "doc_id bigint, n_ids bigint")
+    whole = containers.fill(sizes, 32, 4)
+    assert containers.faults(whole, sizes, 32).first().asDict() == {"documents": 4, "lost": 0, "divided_small": 0, "overfull": 0, "crowded": 0}
+    assert containers.faults(whole.where("doc_id <> 2 OR doc_id IS NULL"), sizes, 32).first()["lost"] == 1
+    assert containers.faults(whole.withColumn("container", F.lit(0)).withColumn("home", F.lit(32)), sizes, 32).first()["overfull"] == 1
+    assert containers.faults(whole.limit(0), sizes.limit(0), 32).first()["documents"] == 0
+
+
 def test_a_plan_does_not_grow_with_the_items():
     counts = np.zeros(65, np.int64)
     counts[1:] = np.arange(64) * 7 + 3
