@@ -108,3 +108,12 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     most = max(1, limit // row_bytes)
     counted = df.limit(most + 1).count()
     return F.broadcast(df) if counted <= most else df
+
+
+#: Bytes that one task of a planned shuffle takes.
+TASK_BYTES = 96 << 20
+
+
+def tasks_for(spark: SparkSession, size: float) -> int:
+    """Tasks to shuffle ``size`` bytes into: as many as they fill, and no fewer than the session's partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // TASK_BYTES) + 1)
