@@ -6,7 +6,8 @@ sample: their direction is the difference of two sample vectors, their place
 the sparsest one in the middle half of the sample, so that planes run
 between dense regions. The bits form a long string; a cell is a prefix of
 it, just long enough that the cell holds at most ``cap`` vectors. Cells that
-stay above it at full length (copies, say) are divided by a hash of the id.
+stay above it at full length (copies, say) are divided by a hash of the id;
+who divides them must compare the parts in another way.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise, ship, small
+from ..session import materialise, ship, small, tasks_for
 
 #: Vectors that the planes are fitted on, at most; every vector is placed.
 SAMPLE = 4096
@@ -45,9 +46,10 @@ def unit_rows(lists: pa.ListArray, dim: int | None) -> tuple[np.ndarray, np.ndar
     if dim:
         vectors = flat[begin[ok][:, None] + np.arange(width)] if ok.any() else np.zeros((0, width))
     else:
-        vectors = np.zeros((int(ok.sum()), width))
-        for row, (b, s) in enumerate(zip(begin[ok], size[ok])):
-            vectors[row, :s] = flat[b : b + s]
+        vectors, length = np.zeros((int(ok.sum()), width)), size[ok]
+        row = np.repeat(np.arange(len(length)), length)
+        column = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+        vectors[row, column] = flat[np.repeat(begin[ok], length) + column]
     with np.errstate(invalid="ignore", over="ignore"):
         good = np.isfinite(vectors).all(1) & (vectors != 0).any(1)
     ok[np.flatnonzero(ok)[~good]] = False
@@ -56,6 +58,18 @@ def unit_rows(lists: pa.ListArray, dim: int | None) -> tuple[np.ndarray, np.ndar
     return ok, vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
+def as_binary(vectors: np.ndarray, kind: str) -> pa.Array:
+    """Each row of ``vectors`` as the bytes of its numbers of type ``kind``."""
+    raw = np.ascontiguousarray(vectors.astype(kind))
+    ends = (np.arange(len(raw) + 1) * (raw.shape[1] * raw.itemsize)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(ends), pa.py_buffer(raw.tobytes())])
+
+
+def from_binary(column: pa.ChunkedArray | pa.Array, kind: str) -> np.ndarray:
+    """The rows of :func:`as_binary` again."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
 def pad(vectors: np.ndarray, dim: int) -> np.ndarray:
     return np.pad(vectors, ((0, 0), (0, dim - vectors.shape[1])))
 
@@ -104,11 +118,7 @@ def _coder(dim: int | None, directions: np.ndarray, places: np.ndarray, bits: in
                 continue
             unit = pad(unit, width) if unit.shape[1] < width else unit
             group, ids = (batch.column(i).filter(pa.array(ok)) for i in range(2))
-            data = None
-            if bits is None:
-                raw = np.ascontiguousarray(unit.astype(kind)).tobytes()
-                ends = (np.arange(len(unit) + 1) * (width * np.dtype(kind).itemsize)).astype(np.int32)
-                data = pa.Array.from_buffers(pa.binary(), len(unit), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+            data = as_binary(unit, kind) if bits is None else None
             for g in range(len(directions)):
                 code = _codes(unit, directions[g], places[g])
                 if bits is None:
@@ -123,7 +133,7 @@ def _coder(dim: int | None, directions: np.ndarray, places: np.ndarray, bits: in
 
 
 def _depths(counted: DataFrame, low: int, high: int, cap: int) -> DataFrame:
-    """``(grp, grid, prefix, depth, cell, size)``: the shallowest prefix of ``low`` to ``high`` bits within ``cap``, else the longest.
+    """``(grp, grid, prefix, n, depth, cell, size)``: the shallowest prefix of ``low`` to ``high`` bits within ``cap``, else the longest.
 
     ``counted`` has the first ``high`` bits of strings as ``prefix`` with their number ``n``.
     """
@@ -133,8 +143,8 @@ def _depths(counted: DataFrame, low: int, high: int, cap: int) -> DataFrame:
     size = nodes.groupBy("grp", "grid", "depth", "cell").agg(F.sum("n").alias("size"))
     fits = (F.col("size") <= cap) | (F.col("depth") == high)
     chosen = F.min(F.when(fits, F.struct("depth", "cell", "size")))
-    found = nodes.join(size, ["grp", "grid", "depth", "cell"]).groupBy("grp", "grid", "prefix").agg(chosen.alias("c"))
-    return found.select("grp", "grid", "prefix", "c.depth", "c.cell", "c.size")
+    found = nodes.join(size, ["grp", "grid", "depth", "cell"]).groupBy("grp", "grid", "prefix").agg(F.first("n").alias("n"), chosen.alias("c"))
+    return found.select("grp", "grid", "prefix", "n", "c.depth", "c.cell", "c.size")
 
 
 def units(dim: int | None, width: int):
@@ -144,21 +154,25 @@ def units(dim: int | None, width: int):
         for batch in batches:
             ok, unit = unit_rows(batch.column(1), dim)
             if ok.any():
-                raw = pad(unit, width).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), pa.array([v.tobytes() for v in raw], pa.binary())], names=["id", "unit"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), as_binary(pad(unit, width), "f4")], names=["id", "unit"])
 
     return run
 
 
-def place(rows: DataFrame, dim: int | None, planes: tuple[np.ndarray, np.ndarray], cap: int, kind: str = "f4") -> DataFrame:
-    """``(grp, grid, depth, cell, part, id, unit)``: every usable vector in its cell of each grid."""
-    located, _ = locate(rows, dim, planes, cap, kind)
+def place(rows: DataFrame, dim: int | None, planes: tuple[np.ndarray, np.ndarray], cap: int, kind: str = "f4") -> tuple[DataFrame, int]:
+    """``(grp, grid, depth, cell, part, whole, id, unit)``: every usable vector in its cell of each grid, and tasks for them.
+
+    ``whole`` groups lie in one cell undivided and come in the first grid only.
+    """
+    located, tasks, _ = locate(rows, dim, planes, cap, kind)
     part = F.pmod(F.xxhash64("id", "grid"), F.ceil(F.col("size") / cap)).cast("int")
-    return located.select("grp", "grid", "depth", "cell", part.alias("part"), "id", "unit")
+    whole = (F.col("depth") == 0) & (F.col("size") <= cap)
+    located = located.select("grp", "grid", "depth", "cell", part.alias("part"), whole.alias("whole"), "id", "unit")
+    return located.where("grid = 0 OR NOT whole"), tasks
 
 
-def locate(rows: DataFrame, dim: int | None, planes: tuple[np.ndarray, np.ndarray], cap: int, kind: str = "f4") -> tuple[DataFrame, bool]:
-    """``(grp, grid, depth, cell, size, id, unit)``, cells undivided, and whether any is above ``cap``.
+def locate(rows: DataFrame, dim: int | None, planes: tuple[np.ndarray, np.ndarray], cap: int, kind: str = "f4") -> tuple[DataFrame, int, bool]:
+    """``(grp, grid, depth, cell, size, id, unit)``, cells undivided, tasks to shuffle them into, and whether any cell is above ``cap``.
 
     ``rows`` has ``grp`` and ``id`` (BIGINT) and ``vec``; groups are never
     mixed. ``unit`` holds the scaled vector as bytes of type ``kind``.
@@ -172,14 +186,16 @@ def locate(rows: DataFrame, dim: int | None, planes: tuple[np.ndarray, np.ndarra
     short = materialise(_depths(rows.mapInArrow(_coder(dim, *planes, FIRST_BITS), counts), 0, FIRST_BITS, cap), "depths")
     placed = rows.mapInArrow(_coder(dim, *planes, None, kind), "grp bigint, grid int, code bigint, id bigint, unit binary")
     rest = BITS - FIRST_BITS
-    located = placed.withColumn("prefix", F.shiftright("code", rest)).join(small(short, DEPTH_BYTES), ["grp", "grid", "prefix"])
+    located = placed.withColumn("prefix", F.shiftright("code", rest)).join(small(short.drop("n"), DEPTH_BYTES), ["grp", "grid", "prefix"])
     over = False
     full = short.where((F.col("depth") == FIRST_BITS) & (F.col("size") > cap)).select("grp", "grid", F.col("prefix").alias("head"))
-    if full.limit(1).count():
+    total, above = short.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if((F.col("depth") == FIRST_BITS) & (F.col("size") > cap))).first()
+    if above:
         whole = rows.mapInArrow(_coder(dim, *planes, BITS), counts).withColumn("head", F.shiftright("prefix", rest))
         deep = materialise(_depths(whole.join(small(full, DEPTH_BYTES), ["grp", "grid", "head"], "left_semi"), FIRST_BITS, BITS, cap), "depths")
         over = deep.where(F.col("size") > cap).limit(1).count() > 0
         deep = deep.select("grp", "grid", F.col("prefix").alias("code"), *(F.col(c).alias(f"deep_{c}") for c in ("depth", "cell", "size")))
         located = located.join(small(deep, DEPTH_BYTES), ["grp", "grid", "code"], "left")
         located = located.withColumns({c: F.coalesce(f"deep_{c}", c) for c in ("depth", "cell", "size")})
-    return located.select("grp", "grid", "depth", "cell", "size", "id", "unit"), over
+    tasks = tasks_for(rows.sparkSession, total * (planes[0].shape[2] * np.dtype(kind).itemsize + DEPTH_BYTES))
+    return located.select("grp", "grid", "depth", "cell", "size", "id", "unit"), tasks, over

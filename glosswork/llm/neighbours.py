@@ -228,9 +228,9 @@ def all_pairs(vectors: DataFrame, k: int, least: float) -> DataFrame:
 def _forest(rows: DataFrame, k: int, dim: int | None, least: float, grids: int, cap: int, trees: int) -> DataFrame:
     """``(id, neighbour, cosine)`` of partners that share a region; those of a cell that no prefix divides are all compared."""
     rows = rows.select(F.lit(0).cast("bigint").alias("grp"), "id", "vec")
-    placed, over = locate(rows, dim, fit(rows, dim, grids, seed=5), cap)
+    placed, tasks, over = locate(rows, dim, fit(rows, dim, grids, seed=5), cap)
     fits = placed.where(F.col("size") <= cap) if over else placed
-    found = fits.groupBy("grid", "depth", "cell").applyInArrow(_search(k, least, trees), "id bigint, neighbour bigint, cosine double")
+    found = fits.repartition(tasks, "grid", "depth", "cell").groupBy("grid", "depth", "cell").applyInArrow(_search(k, least, trees), "id bigint, neighbour bigint, cosine double")
     return found.union(all_pairs(placed.where(F.col("size") > cap).select("id", "unit"), k, least)) if over else found
 
 

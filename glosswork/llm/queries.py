@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from ..tables import table
 from . import split as splitting
 from . import sql
-from .clusters import complete_records, describe, similarity_groups
+from .clusters import CAP, complete_records, describe, similarity_groups
 from .containers import divided, document_sizes, faults, fill, fill_report
 from .cooccur import block_baskets, cooccurrence
 from .encode import encode
@@ -33,22 +34,28 @@ def p1_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.faults(p1_pieces(spark, sf_dir))
 
 
-def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _states(spark: SparkSession, sf_dir: str, cap: int = CAP) -> DataFrame:
     states = table(spark, sf_dir, "work_sample").select(F.lit(0).cast("bigint").alias("grp"), F.col("row_index").alias("id"), F.col("h").alias("vec"))
-    return similarity_groups(states, 0.8, dim=64)
+    return similarity_groups(states, 0.8, dim=64, cap=cap)
 
 
-def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity_groups(complete_records(table(spark, sf_dir, "responsibilities")), 0.9, kind="f8")
+def _profiles(spark: SparkSession, sf_dir: str, cap: int = CAP) -> DataFrame:
+    records = materialise(complete_records(table(spark, sf_dir, "responsibilities")), "profiles")
+    return similarity_groups(records, 0.9, kind="f8", cap=cap)
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p2_found(spark: SparkSession, sf_dir: str, cap: int = CAP) -> DataFrame:
     """Hidden states and sense profiles in groups of at least five similar ones."""
-    named = [(_states(spark, sf_dir), "h"), (_profiles(spark, sf_dir), "responsibilities")]
+    named = [(_states(spark, sf_dir, cap), "h"), (_profiles(spark, sf_dir, cap), "responsibilities")]
     h, r = (g.select(F.lit(name).alias("field"), F.col("id").alias("row_index"), "group_key") for g, name in named)
     return h.unionByName(r)
 
 
+def p2_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with cells of at most 128 records, as a larger table would have them for its size."""
+    return p2_found(spark, sf_dir, cap=128)
+
+
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The groups with their size and three most typical members."""
     named = [(_states(spark, sf_dir), "h"), (_profiles(spark, sf_dir), "responsibilities")]
@@ -128,5 +135,5 @@ def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.join(p8_found(spark, sf_dir), "doc_id", "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_whole, p2_found, p2_groups, p3_found, p3_frequency, p4_found, p4_pairs, p5_found, p5_nearest, p6_ids, p7_found, p7_containers, p7_fill, p7_whole, p8_found, p8_kept)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_whole, p2_found, p2_cells, p2_groups, p3_found, p3_frequency, p4_found, p4_pairs, p5_found, p5_nearest, p6_ids, p7_found, p7_containers, p7_fill, p7_whole, p8_found, p8_kept)}
 ORACLES = sql.ORACLES

@@ -66,6 +66,7 @@ runs AS (SELECT doc_id, count(*) FILTER (boundary IS NULL) AS run FROM (
 SELECT doc_id, CASE WHEN max(run) > 960 THEN 'inside' ELSE 'boundary' END AS cut FROM runs GROUP BY doc_id""",
     "p1_whole": f"WITH {NUMBERED} SELECT doc_id, count(*) AS n_tokens, sum(token::BIGINT * rk)::BIGINT AS check_sum, 0::BIGINT AS wrong FROM num GROUP BY doc_id",
     "p2_found": f"SELECT * FROM ({GROUPS['h']}) UNION ALL SELECT * FROM ({GROUPS['responsibilities']})",
+    "p2_cells": f"SELECT * FROM ({GROUPS['h']}) UNION ALL SELECT * FROM ({GROUPS['responsibilities']})",
     "p5_found": f"""WITH {NEAREST} SELECT DISTINCT least(emb_id, neighbour) AS emb_a, greatest(emb_id, neighbour) AS emb_b
 FROM ranked WHERE rank <= 5 AND cosine >= 0.9""",
     "p7_whole": "SELECT count(DISTINCT doc_id) + max((doc_id IS NULL)::BIGINT) AS documents, 0::BIGINT AS lost, 0::BIGINT AS divided_small, 0::BIGINT AS overfull, 0::BIGINT AS crowded FROM documents",

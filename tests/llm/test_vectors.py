@@ -57,7 +57,8 @@ def test_usable_rows():
 
 def test_cells_hold_at_most_their_cap(spark, rng):
     df = frame(spark, np.r_[rng.normal(size=(300, 6)), np.ones((80, 6))])
-    placed = cells.place(df, 6, cells.fit(df, 6, 2, bits=cells.BITS), 40)
+    placed, tasks = cells.place(df, 6, cells.fit(df, 6, 2, bits=cells.BITS), 40)
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert placed.count() == 2 * 380
     assert placed.groupBy("grid", "id").count().agg(F.max("count")).first()[0] == 1
     sizes = [r[0] for r in placed.where("depth < 24").groupBy("grid", "depth", "cell", "part").count().select("count").collect()]
@@ -85,6 +86,30 @@ def test_groups_match_brute_force(spark, rng, cap):
     assert found(got) == brute_groups(x, 0.8, ids=ids)
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+@pytest.mark.parametrize("spread", [0.48, 0.52])
+def test_no_link_is_lost_around_the_threshold(spark, seed, spread, monkeypatch):
+    """Groups whose members are about as alike as the threshold asks, in cells far smaller than the table."""
+    rng = np.random.default_rng(seed)
+    x = planted(rng, [15] * 100 + [200, 7], 64, spread)
+    want = brute_groups(x, 0.8)
+    assert 500 < len(want) < len(x)
+    if seed:
+        monkeypatch.setattr(clusters, "BALL_BYTES", 0)  # balls meet records in salted parts instead
+        monkeypatch.setattr(clusters, "BLOCK", 100)
+    assert found(clusters.similarity_groups(frame(spark, x), 0.8, dim=64, cap=150)) == want
+
+
+def test_balls_hold_all(rng):
+    u = np.concatenate([rng.normal(size=(100, 6)), np.ones((50, 6))])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    got = clusters.balls(u)
+    assert sorted(np.concatenate([rows for rows, _, _ in got]).tolist()) == list(range(150))
+    for rows, centre, reach in got:
+        assert np.isclose(np.linalg.norm(centre), 1) and ((u[rows] @ centre) >= reach - 1e-9).all()
+        assert reach >= clusters.TIGHT or len(rows) <= clusters.FEW
+
+
 def test_chains_are_one_group(spark):
     angle = np.deg2rad(np.arange(0, 330, 30))
     x = np.c_[np.cos(angle), np.sin(angle)]
