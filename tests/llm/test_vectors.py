@@ -195,14 +195,31 @@ def test_copies_and_ties(spark, rng):
     assert many.groupBy("id").count().where("count = 5").count() == 1500
 
 
-def test_far_partners_are_all_found(spark):
+def test_search_finds_far_partners(spark, monkeypatch):
+    """Data without near neighbours: exact by blocks, and nine tenths of that by the forests of several blocks."""
     rng = np.random.default_rng(12)
-    x = rng.normal(size=(2500, 24))
-    got = neighbours.nearest(frame(spark, x), 5, 24, cap=700).orderBy("id", "rank").collect()
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    s = u @ u.T
-    np.fill_diagonal(s, -2)
-    assert {(r["id"], r["neighbour"]) for r in got} == {(i, int(j)) for i, row in enumerate(np.argsort(-s)[:, :5]) for j in row}
+    x = rng.normal(size=(6000, 24))
+    monkeypatch.setattr(neighbours, "INDEX_BLOCK", 2000)
+    monkeypatch.setattr(neighbours, "BLOCK", 1500)
+    df = frame(spark, x)
+    asked = df.where("id % 100 = 0")
+    order, _ = brute_nearest(x, 5)
+    want = {(i, int(j)) for i in range(0, 6000, 100) for j in order[i]}
+    exact = neighbours.search(df, asked, 5, 24, exact=True)
+    assert {(r["id"], r["neighbour"]) for r in exact.collect()} == want
+    found = neighbours.search(df, asked, 5, 24, quota=1500)
+    assert len({(r["id"], r["neighbour"]) for r in found.collect()} & want) >= 0.9 * len(want)
+    assert neighbours.recall(found, exact, 0.9).first().asDict() == {"queries": 60, "partners": 300, "enough": True}
+    assert not neighbours.recall(found.where("rank < 3"), exact, 0.9).first()["enough"]
+    assert neighbours.search(df, df.where("id < 0"), 5, 24).count() == 0
+    assert neighbours.recall(found.limit(0), exact.limit(0), 0.9).first()["enough"]
+
+
+def test_search_of_dirt_and_ties(spark):
+    x = [[1.0, 0.0], [1.0, 0.0], None, [0.0, 0.0], [1.0], [float("nan"), 1.0], [1.0, 0.0], [0.0, 1.0]]
+    df = frame(spark, x, [0, 1, 2, 3, 4, 5, 0, 7])
+    got = sorted((r["id"], r["neighbour"], r["rank"]) for r in neighbours.search(df, df.where("id IN (0, 2, 3)"), 5, 2).collect())
+    assert got == [(0, 1, 1), (0, 7, 2)]
 
 
 def test_copies_name_their_least_ids(spark, rng):
@@ -229,7 +246,7 @@ def test_a_hot_direction_is_searched_whole(spark, cap):
     want = {(i, int(j)) for i, row in enumerate(np.argsort(-s)[:, :5]) for j in row}
     assert len(got) == 9000 and len(got & want) / len(want) >= 0.97
     if cap == 300:
-        assert cells.locate(df, 24, cells.fit(df, 24, neighbours.GRIDS, seed=5), cap)[1]
+        assert cells.locate(df, 24, cells.fit(df, 24, neighbours.GRIDS, seed=5), cap)[2]
 
 
 def test_neighbours_of_dirt_and_nothing(spark):
@@ -242,9 +259,38 @@ def test_neighbours_of_dirt_and_nothing(spark):
     assert [tuple(r) for r in pairs.collect()] == [(0, 1)]
 
 
-def test_prefix_nodes_cover_all_rows(rng):
-    strings = np.sort(np.r_[rng.integers(0, 1 << 40, 3000), np.full(300, 12345)].astype(np.uint64))
-    nodes = neighbours.prefix_nodes(strings, 100, 30)
-    seen = np.concatenate([np.arange(a, b) for a, b, _, _ in nodes])
-    assert np.array_equal(np.sort(seen), np.arange(3300))
-    assert all(c <= a and b <= d and b - a <= 100 and (d - c >= 30 or (c, d) == (0, 3300)) for a, b, c, d in nodes)
+def test_all_trees_ascend_together(rng):
+    """A row stops at the longest prefix length at which its nodes of all trees hold the quota."""
+    bits, quota = 12, 90
+    strings = rng.integers(0, 1 << bits, (3, 400)).astype(np.uint64)
+    strings[:, :60] = 5
+    order = [np.argsort(s, kind="stable") for s in strings]
+    shared = [neighbours.common_bits(s[o], bits) for s, o in zip(strings, order)]
+    level = neighbours.ascend(shared, order, bits, quota)
+    for i in range(400):
+        met = [sum(int((s >> np.uint64(bits - x) == s[i] >> np.uint64(bits - x)).sum()) for s in strings) for x in range(bits + 1)]
+        assert level[i] == max([x for x in range(1, bits + 1) if met[x] >= quota], default=0)
+    assert (level[:60] == bits).all()  # copies meet whole
+
+
+@pytest.mark.parametrize("n", [300, 3000])
+def test_a_region_is_searched_alike_at_any_size(n):
+    """More trees and candidates find more; nothing switches to brute force below a size."""
+    rng = np.random.default_rng(14)
+    base = rng.normal(size=(n, 24))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    x = np.r_[base, base + rng.normal(size=base.shape) * 0.08].astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(2 * n)
+    share = {}
+    for trees, quota in ((1, 20), (12, 240)):
+        own, other, _ = neighbours.region_neighbours(ids, x, 1, 0.8, 3, trees, quota)
+        share[trees] = np.mean((own + n) % (2 * n) == other) * len(own) / (2 * n)
+    assert share[1] < share[12] and share[12] > 0.9
+
+
+def test_forest_candidates_are_its_nodes(rng):
+    x = rng.normal(size=(500, 8)).astype(np.float32)
+    forest = neighbours.Forest(np.arange(500).tobytes(), x.tobytes(), 4, 100)
+    for q, rows in zip(range(20), forest.candidates(x[:20])):
+        assert q in rows and len(np.unique(rows)) == len(rows) and 25 <= len(rows) <= 500
