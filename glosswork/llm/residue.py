@@ -1,332 +1,297 @@
 """Template residue and error pages among documents (problem 8).
 
-Normalised lines are counted by host and lines that recur are boilerplate;
-titles, menus and foot lines are set aside too. What is left of a document,
-its residual, is weighed: if more than half of its characters are unfilled
-template fields with their frame, filler, error messages or notices that
-scripts, cookies or another browser are needed, the document is residue.
+Normalised lines are counted by host. Content lines that recur there are
+boilerplate and leave the residual; titles, menus and foot lines are set
+aside too. What is left of a document is weighed sentence by sentence: if
+more than half of its characters are unfilled template fields with their
+frame, filler, error messages or notices that scripts, cookies or another
+browser are needed, the document is residue. Lines that recur almost only in
+such documents are learnt as evidence and the verdicts are given again.
+
+Evidence is known by its form and by composition, never by whole sentences: a
+field by its syntax, an error by a thing of the web together with its not
+being there (:mod:`.cues`), filler by repetition, keyboard runs and pseudo-Latin.
 """
 
 from __future__ import annotations
 
 import html
 import re
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise, ship
-from .literals import finder, required
+from ..session import materialise, ship, small
+from . import cues
+from .cues import fold
 
 #: A line is boilerplate of its host if this many of its documents, and this share of them, have it.
 RECURS_DOCS, RECURS_SHARE = 3, 0.005
 
-#: Lines longer than this are text, not boilerplate; longer ones are weighed by sentence.
-LINE_CHARS, SENTENCE_CHARS = 120, 240
-
-_ODD = {"’": "'", "‘": "'", "`": "'", "´": "'", "‐": "-", "‑": "-", "−": "-", "\u00ad": "", "\u200b": "", "\ufeff": ""}
-_ACCENTS = re.compile("[\u0300-\u036f]+")
-
-
-def fold(text: str) -> str:
-    """Text without accents, odd quotes, hyphens and spaces, and with wrong decoding undone where that is plain."""
-    if text.isascii():
-        return text
-    if "Ã" in text or "â€" in text:
-        try:
-            text = text.encode("cp1252").decode("utf-8")
-        except UnicodeError:
-            pass
-    for odd, usual in _ODD.items():  # a few quick searches; str.translate takes each character in turn
-        text = text.replace(odd, usual)
-    return _ACCENTS.sub("", unicodedata.normalize("NFKD", text))
-
-
-def _compile(pattern: str, flags: int = re.I) -> re.Pattern:
-    """A pattern that is matched against folded text."""
-    return re.compile(fold(pattern), flags)
-
-
-# Words by which the four kinds of evidence are known, by language.
-FILLER_WORDS = (
-    "lorem ipsum dolor dolore dolun sit amet consec consectetur adip adipiscing adipisicing elit elitra sed sedo eiusmod tempor tempus"
-    " incididunt labore magna aliqua urna nibh eget porta lacus orci felis quam justo maur mauris risus vitae nolum nolla varo telit"
-    " ut enim minim veniam quis nostrud ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit"
-    " esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa officia deserunt mollit anim laborum"
-    " pellentesque vestibulum suspendisse phasellus curabitur fringilla vivamus aenean maecenas nullam praesent integer donec turpis"
-    " test testing foo bar baz qux bla blah blub asdf sdfg dfgh fghj qwer qwerty qwertz yxcv zxcv hjkl jkl jklö xyz aaa bbb ccc ddd xxx"
-    " word text texte texto dummy sample placeholder platzhalter blindtext filler"
-)
-FILLER_LINES = (
-    "heading one|heading two|sub-?heading|subtitle here|a short teaser( for this card)?|(first|second|third) card title|card title"
-    "|caption of the picture|image caption|list item( one| two| three| \\d+)?|button label|type something|quote of the week\\b.*"
-    "|name, role|(your|insert|add|enter|put|place|write|type) (your )?(content|text|title|name|copy|headline|subtitle|description|caption|logo|image|link)( goes| comes)?( here)?"
-    "|(content|text|title|description|details|copy|image|body|caption|headline) (goes here|to follow|here|coming soon|to come|tbd|tba|pending)|description to follow"
-    "|(example|sample) (paragraph|sentence|text|title|heading|content)|(this )?(page|section|area|site) (is )?(under construction|coming soon|being built)|cette (page|section) est en construction|diese (seite|rubrik) (ist|befindet sich) im aufbau|esta (página|sección) está en construcción|beispiel(text|absatz)|exemple de (texte|paragraphe)|(texto|párrafo) de ejemplo"
-    "|untitled( \\w+)?|no title|placeholder( (copy|text|content|image|title))?( ?[,:–-] ?(please )?replace( me| this)?( before publishing| later)?)?|placeholder copy|replace before publishing|replace (me|this)( text)?( before publishing| later)?"
-    "|this is (a |an |some )?(sample|placeholder|dummy|example|test|default|filler) (text|paragraph|copy|content|page|post|sentence)|(insert|add|enter|put|place|write|type|paste|edit) (the |an? |your |some )?\\w+( \\w+)? here|(the )?(abstract|summary|introduction|body|article|story|intro|bio) (goes |comes )?here"
-    "|hier (steht|stehen|kommt|folgt|entsteht|erscheint)( \\w+){0,3} (text|inhalt|titel|überschrift|beitrag|artikel)|(text|inhalt|titel|beitrag) (wird )?(noch )?(ergänzt|ersetzt|nachgereicht)|noch kein (text|inhalt)|ohne titel|unbenannt\\w*( \\w+)?"
-    "|ici (viendra|vient|se trouvera)( \\w+){0,3} (texte|contenu|titre)|(texte|contenu|titre) à (remplacer|compléter|insérer|rédiger)|(insérez|saisissez|entrez|ajoutez)( \\w+){0,3} ici|sans titre"
-    "|aquí (va|irá|iría|aparecerá)( \\w+){0,3} (texto|contenido|título)|(texto|contenido|título) (por|a|para) (reemplazar|completar|insertar|definir)|(inserte|introduzca|escriba|añada)( \\w+){0,3} aquí|sin título"
-    "|coming soon|under construction|to be (announced|determined|confirmed|added)|placeholder( text)?|sample text|dummy text|lorem ipsum"
-    "|texte? (provisoire|de remplacement|à venir|ici|fictif)|contenu (à venir|provisoire)|titre (ici|à venir)|votre texte( ici)?|faux[- ]texte|description à venir"
-    "|blindtext\\W*(bitte ersetzen)?|bitte ersetzen|platzhalter(text)?|mustertext|text folgt( in kürze)?|inhalt(e)? folg(t|en)( in kürze)?|hier steht (ihr|der|dein) text|beschreibung folgt|überschrift( eins)?"
-    "|texto (provisional|de relleno|de prueba|de muestra|aquí|simulado)|contenido (próximamente|provisional|por venir|en preparación)|su texto aquí|tu texto aquí|descripción (pendiente|próximamente)|próximamente"
-    "|testo (segnaposto|di prova)|texto (provisório|de exemplo)|conteúdo em breve|em breve|prossimamente|tekst zastępczy|voorbeeldtekst|inhoud volgt|platshållartext|текст[- ]заполнитель|скоро|ここにテキスト.*|ダミーテキスト|占位(文本|符)|示例文本|此处(输入|填写).*"
-    "|learn more|read more|mehr (lesen|erfahren)|lire la suite|en savoir plus|leer más|saber más"
-)
-MISSING = r"tbd|tba|tbc|fixme|n\.n\.|n/a|n\.a\.|x{3,8}|\?{3,8}|_{3,10}|\.{3,15}|…+|\[\s*\]|<\s*>|\{\s*\}"
+#: A recurrent line is learnt as evidence if this share of its documents is residue by other lines.
+LEARNT_SHARE = 0.8
+
+#: Bytes of a row of a table of lines when broadcast.
+LINE_BYTES = 40
 
 # Forms of unfilled fields.
-FIELD = _compile(
+FIELD = re.compile(
     r"\{\{[^{}\n]{0,60}\}\}|\$\{[^{}\n]{1,60}\}|\$\([A-Za-z_][\w.]{1,40}\)|<%[^%\n]{0,80}%>|<\?(?:php|=)?[^?\n]{0,120}\?>|\{%[^%\n]{0,80}%\}|\[\[[^\[\]\n]{1,60}\]\]"
-    r"|@@[\w. ]{1,60}@@|%[A-Za-z][\w.]{2,40}%|%[A-Z]%|__[A-Za-z][\w. ]*?__|#[A-Za-z_][\w.]{0,40}#|\{[A-Za-z_][\w. ]{1,40}\}|\|\*[\w. ]{2,40}\*\|?|\*\|[\w. ]{2,40}\|\*"
-    r"|\[(?:[^\[\]\n]{0,60}\s)?(?:goes here|here|tbd|tba|tbc|folgt|einfügen|hier|ici|à compléter|aquí|pendiente|insert)\]|\[(?:insert|add|your|enter|einfügen|insérer|insertar|ihr|votre|su)\s[^\[\]\n]{1,60}\]"
-    r"|<(?:insert|add|your|enter|put|ihr|ihre|votre|su|tu|hier|ici)\s[^<>\n]{1,60}>|<[^<>\n]{1,50}\s(?:here|goes here|tbd|ici|hier|aquí)>|\[[A-Z][A-Z0-9_. -]{2,40}\]"
+    r"|<<[^<>\n]{1,60}>>|(?-i:«(?:[A-Z][a-z0-9]+(?:[A-Z]\w*)+|[A-Z]{2,}\w*|\w+_\w+)»)|@@[\w. ]{1,60}@@|(?<![\w@])@[a-z_]\w{1,40}@(?!\w)|%%[A-Za-z_]\w{0,40}%%|%[A-Za-z][\w.]{2,40}%|%[A-Z]%|__[A-Za-z][\w. ]*?__|#[A-Za-z_][\w.]{0,40}#"
+    r"|\{[A-Za-z_][\w. ]{1,40}\}|(?<![\w}\\$#%{])\{[A-Za-z]\}|\|\*[\w. ]{2,40}\*\|?|\*\|[\w. ]{2,40}\|\*|::[A-Za-z_]\w{1,40}::"
+    r"|\[(?:[^\[\]\n]{0,60}\s)?(?:goes here|here|tbd|tba|tbc|folgt|einfugen|hier|ici|a completer|aqui|pendiente|insert)\]|\[(?:insert|add|your|enter|einfugen|inserer|insertar|ihr|votre|su)\s[^\[\]\n]{1,60}\]"
+    r"|<(?:insert|add|your|enter|put|ihr|ihre|votre|su|tu|hier|ici)\s[^<>\n]{1,60}>|<[^<>\n]{1,50}\s(?:here|goes here|tbd|ici|hier|aqui)>|\[[A-Z][A-Z0-9_. -]{2,40}\]"
     r"|#(?:foreach|end|if|else|set)\b(?:\([^()\n]*\))?|<!--\s*(?:BEGIN|END|INCLUDE|#)\b[^\n]{0,60}?-->",
     re.I,
 )
+#: What a field begins with.
+_OPEN = re.compile(r"[{\[<@$«%_#|*:]")
 CONTROL = re.compile(r"^\W*(?:\{%.*%\}|<\?.*\?>|\{\{[#/^>!].*\}\}|#(?:foreach|end|if|else|set)\b.*|<!--.*-->)\W*$", re.I)
-LABEL = re.compile(r"^\W*[^\W\d][\w .]{0,30}\s*(?:[:=]|\s-\s)\s*\S.{0,24}$")
-_LETTER = re.compile(r"(?<![\w}\\$#%{])\{[A-Za-z]\}")
-GREETING = _compile(r"^(?:dear|hello|hi|hey|regards|best|sincerely|thanks|cheers|yours|hallo|guten tag|liebe[rs]?|gruß|grüße|viele grüße|mit freundlichen|bonjour|cher|chère|cordialement|salutations|merci|hola|estimad[oa]|saludos|atentamente|gracias)\b.{0,30}$", re.I)
-
-_SCRIPT_THING = r"java ?script|\bjs\b|\bscripts?\b|script[- ]capable|scripting|skripte?n?\b|\bcookies?\b|browser|navigateur|navegador|aktive[nr]? inhalte?|contenu actif|contenido activo|active content|client-side (?:code|script)|скрипт|сценари|браузер|куки|脚本|浏览器|スクリプト|ブラウザ|クッキー|스크립트|브라우저|쿠키|جافا|سكربت|متصفح|przegląd|navegadores?|ad ?blocker|werbeblocker"
-_SCRIPT_NEED = (
-    r"enabl|activ|aktiv|allow|permit|turn(?:ed)? (?:it |them )?on|switch(?:ed)? (?:it |them )?on|requir|\bneeds?\b|necesari|autoris|erlaub|zulass|zulasse|freischalt|einschalt|eingeschaltet|benötig|erforder|brauch|nötig|notwendig"
-    r"|disabl|desactiv|désactiv|deaktiv|ausgeschaltet|blocked|bloqu|blockiert|not (?:supported|permitted)|unsupported|nicht unterstützt|no (?:es )?(?:compatible|admitido|soportad)|pas (?:pris en charge|compatible)|non compatible|update|upgrade|outdated|obsolet|veraltet|aktualisier|mettez|actualice|mise à jour"
-    r"|cannot start|can't show|can't start|without|only with|works best|relies on|depends? on|seems to be off|is off|are off|habilit|permita|permitir|hay que|il faut|exige|requiert|nécessit|merci d|requiere|precisa|accept|accepter|akzeptier|acepte|aceptar|включ|разреш|启用|开启|允许|有効|許可|사용|활성|تفعيل|włącz|abilit|attiv|inschakel|zet .* aan|wird nicht|missing|to continue|please"
-)
-SCRIPT = _compile(rf"(?=.*(?:{_SCRIPT_THING}))(?=.*(?:{_SCRIPT_NEED}))", re.I | re.S)
-
-ERROR = _compile(
-    r"\b[45]\d\d\b\W{0,3}(?:not found|forbidden|bad gateway|bad request|unauthori[sz]ed|service unavailable|gateway time|internal server|error|gone|too many|method not|request time|oops|sorry|unavailable)"
-    r"|\b(?:error|erreur|fehler|errore|erro|fout|błąd|http status|http error|status|failure|code)\s*[:#-]?\s*[45]\d\d\b|\bhttp/?\d?(?:\.\d)? [45]\d\d\b"
-    r"|^\W*(?:error|erreur|fehler|fatal error|warning|exception|failure|notice|parse error|oops|whoops|uncaught|unhandled)\b(?:\s*\d+)?\s*[:!–-]|^(?:not found|forbidden|bad gateway|service unavailable|internal server error|access denied|bad request|unauthorized|gateway time-?out|page not found|temporarily unavailable)\W*$"
-    r"|page (?:you (?:asked|requested|are looking)|not found|can(?:'|’)?t|cannot|could not|does(?: not|n't) exist|has (?:moved|been removed))|can'?t (?:find|show|open|load|display|reach|be )|can’t (?:find|show|open|load|display|reach|be )|cannot (?:find|show|open|load|display|reach|be )|could(?: not |n't |n’t )(?:find|show|open|load|display|reach|be )|was not (?:found|opened|loaded)|were not found|not be (?:found|opened|loaded|reached|displayed)"
-    r"|no longer available|does not exist|doesn't exist|(?:you )?don't have permission|permission denied|access (?:was |is |has been )?denied|not authori[sz]ed|something went wrong|went wrong on our side|unexpected error|try again (?:later|in)|please try again|too many requests|slow down and|rate limit|took too long|timed? ?out|no answer from|not responding|error establishing|session (?:has )?(?:expired|ended)|temporarily (?:unavailable|down)|(?:down|closed) for maintenance|scheduled maintenance|under maintenance|back soon|be back (?:soon|shortly)"
-    r"|not a robot|are human|verify you|checking (?:that|if|your)|unusual traffic|captcha|^\W*ray(?: id)?:? [0-9a-f]{6,}|^(?:request|incident|vorgang|reference|trace|error)(?: id)?\W{1,3}[0-9a-f]{6,}|contact (?:the |your )?(?:administrator|webmaster|whoever)|go back to the (?:start|home)|use the search"
-    r"|traceback \(most|^\s*at [^\s(]+\([^()\n]*(?:\.java|\.scala|native)|\b\w+(?:Error|Exception)\b\s*[:(]|^\s*on line \d+\s*$|ora-\w* ?(?:failure|error)?|table or view|is not known in|undefined (?:function|variable|index)|segmentation fault|core dumped|stack ?trace|stream closed|row = table\[|exception in thread|null pointer|syntax error|cache lost|cache failed|^\W*error: "
-    r"|undefined is not an? |null is not an? |is not a function\b|is not defined\b|cannot read propert|unexpected (?:token|end of)|out of memory|stack overflow|division by zero|index out of (?:range|bounds)|assertion failed|no such (?:file|host|table|column)|command not found|module not found|exit(?:ed with)? code \d|broken pipe|reset by peer|limit reached|quota exceeded|no route to host|name resolution|bad request\b|bad token|bad credentials"
-    r"|^\W*(?:(?:we'?re )?sorry\W+)?(?:the |this |that |your )?(?:request|gateway|login|database|cache|upstream|connection|session|server|service|network|proxy|backend|socket|host|quota|query|worker|node|disk|memory|storage|stream|token|resource|document|page|file|record|entry|article|item|content|link|address|site|application|app|operation|transaction|job|process|module|plugin|certificate|handshake|payload|response|upload|download)s? (?:is |was |are |were |has |has been |currently |temporarily )*(?:limit|unavailable|refused|failed|lost|closed|aborted|denied|rejected|expired|missing|not (?:ready|available|found|delivered|loaded)|timed? ?out|timeout|reset|down|offline|unreachable|exhausted|exceeded|interrupted|terminated|cancell?ed|invalid|corrupt|removed|deleted|moved|gone|blocked|suspended|disabled)"
-    r"|^\W*(?:sorry|oops|whoops|unfortunately)\b.{0,80}(?:not|n't|unable|no longer|gone|missing)|not (?:able to be |been |be )?(?:found|reached|opened|loaded|accessible|displayed|shown)\b|please retry|^\W*unable to \w+|\b(?:is|are|was) unable to be\b|\bconnection (?:unavailable|refused|reset|closed)|\bunavailable at\b|able to be (?:deliver|found|reach|load|open|display|shown|serv)|\bretry(?:ing)? (?:later|in)|\berr_\w+|^\W*code:? \d{3,}\W*$|(?:code|incident|reference|código|vorgang) [0-9a-f]{4,}\W*$|\b(?:lost|refused|failed|aborted) (?:after \d|at \w)|(?:upstream|connection|gateway|server) (?:refused|lost|failed|reset|closed)|^\W*(?:try again|erneut versuchen|réessayer|reintentar)\W*$|^\s*file .{1,80}, line \d|log in again|^\W*(?:loading|please wait|chargement|cargando|wird geladen|einen moment|un instant|espere|patientez)\b.{0,60}$"
-    r"|\{\s*\"?error\"?\s*:|\"(?:status|code)\"\s*:\s*\"?[45]\d\d|<title>\s*\d{3}\b|<h\d>\s*(?:\d{3}|error|sorry|oops|whoops)|^\s*<div id=\"(?:root|app)\">\s*</div>|<noscript|<script\b"
-    r"|serverfehler|seite (?:wurde )?(?:nicht gefunden|existiert nicht|nicht (?:verfügbar|vorhanden))|(?:seite|datei|eintrag|adresse|dokument)\b.{0,40}existiert|nicht (?:gefunden|erreich(?:bar|t)|bereitgestellt|zugestellt|ausgeliefert|verfügbar|geladen|geöffnet|angezeigt|aufgerufen)(?: werden)?|existiert nicht|zugriff (?:verweigert|gesperrt)|zugang (?:verweigert|gesperrt)|keine berechtigung|sitzung (?:ist )?(?:abgelaufen|beendet)|wartungsarbeiten|bald wieder|vorübergehend|später (?:erneut|noch einmal)|erneut versuchen|ist ein fehler aufgetreten|fehler (?:ist )?aufgetreten|zu viele anfragen|unerwarteter fehler|zeitüberschreitung|antwortet nicht"
-    r"|introuvable|n'existe (?:pas|plus)|n'est (?:pas|plus) (?:disponible|accessible)|ne répond pas|a expiré|accès (?:refusé|interdit)|interdit[e]? d'accès|indisponible|inaccessible|réessayez|réessayer|erreur (?:interne|du serveur|inattendue|est survenue|s'est produite)|une erreur|trop de requêtes|maintenance|impossible d(?:e |')(?:afficher|ouvrir|charger|trouver)|n'a pas (?:pu|été)|ne peut (?:pas )?être|reste interdite?"
-    r"|no (?:se )?(?:encontrad[ao]|encontró|encuentra|existe|está disponible|disponible|se (?:puede|pudo|ha podido|ha encontrado))|no se (?:puede|pudo|ha|encontró|encuentra)|acceso (?:denegado|prohibido|restringido)|ha caducado|ha expirado|no disponible|servicio (?:no|temporalmente)|inténtelo|intente|vuelva a intentar|error (?:inesperado|interno|del servidor)|se ha producido un error|demasiadas (?:solicitudes|peticiones)|en mantenimiento|tareas de mantenimiento|sin permiso|no tiene permiso"
-    r"|não (?:foi )?encontrad|página não|acesso negado|erro (?:interno|inesperado)|tente novamente|pagina non trovata|non (?:è stata )?trovat|accesso negato|errore (?:interno|del server)|riprova|pagina niet gevonden|niet gevonden|toegang geweigerd|probeer (?:het )?(?:later|opnieuw)|nie znaleziono|brak dostępu|spróbuj ponownie|sidan hittades inte"
-    r"|не найден|ошибка|доступ (?:запрещ|закрыт)|недоступн|повторите попытку|попробуйте|页面(?:不存在|未找到)|找不到|错误|拒绝访问|访问被拒绝|稍后再试|暂时无法|见つかりません|エラー|アクセス(?:が)?(?:拒否|できません)|しばらく|찾을 수 없|오류|접근이 거부|다시 시도|غير موجودة|خطأ|تم رفض|حاول مرة",
-    re.I,
-)
-# words by which a line tells of such things instead of being one
-TOLD = _compile(
-    r"removed before|were removed|we (?:track|count|counted|keep|kept|left|drop|dropped|found|measured|report)|play no part|found \d+ hits|quoted code|stands for|is (?:filled|replaced) |this page explains|numbers there|figures below|gave \d+ rows|are not in the shard|steht in|zählt dort|ersetzt den|revient souvent|comme contexte|holds n/a|marks masked|rank high|turns .{0,30} into|write \\|\bcomo contexto|aparece en|se cuenta|wir (?:zählen|behalten)|\bnats\b|\bweight\b.*\boffsets\b",
+_GAP = r"tb[dac]|fixme|n\.n\.|n/a|n\.a\.|x{3,8}|\?{3,8}|_{3,20}|\.{3,15}|…+|\[\s*\]|<\s*>|\{\s*\}"
+MISSING = re.compile(rf"^[\s>*•-]{{0,3}}(?:{_GAP})(?:[\s,/|;!]{{1,3}}(?:{_GAP})){{0,60}}[\s.!?,;]{{0,3}}$", re.I)
+MISSING_VALUE = re.compile(rf"^(.{{1,40}}?)\s*(?:[:=]|\s-\s)\s*(?:{_GAP})\W{{0,2}}$", re.I)
+MISSING_WORD = re.compile(r"(?<!\w)(?:tb[dac]|n\.n\.|x{3,8}|\?{3,8}|_{3,20}|(?<!\.)\.{6,12}(?!\.))(?!\w)", re.I)
+LABEL = re.compile(r"^\W*[^\W\d][\w .]{0,30}\s*(?:[:=#]|\s-\s)\s*\S.{0,40}$")
+REFERENCE = re.compile(r"^\W*(?:[^\W\d_]+\W+){0,3}(?=[\w.:/-]*\d)[\w.:/-]{3,}\W*(?:\w+\W*){0,3}$")
+# Forms that programs and servers give their messages.
+_CODE = "|".join(cues.CODES.split())
+CODE = re.compile(rf"^\W*(?:\w+\W+){{0,1}}?(?:{_CODE})\b(?P<rest>.{{0,60}})$|^\W*(?:\w+\W+){{0,3}}?(?:error|status|code|http|https?/\d(?:\.\d)?|failure|fehler|erreur|errore?|erro|fout|fel|blad|chyba|hiba|hata)\W{{0,3}}(?:code\W{{0,3}})?\d{{3,5}}\b", re.I)
+# Reasons that go with status codes.
+REASON = re.compile(r"^\W*(?:$|(?:error|not found|forbidden|unauthori[sz]ed|bad (?:gateway|request)|gone|oops|whoops|sorry|too many|internal server|(?:service |temporarily )?unavailable|(?:gateway |request )?time-?d?[ -]?out|access denied)\b)", re.I)
+NUMBERED = re.compile(r"\b(?:code|codigo|error|ref\w*|id|incident\w*|vorgang)\W{0,3}[0-9a-f]*\d", re.I)
+TRACE = re.compile(
+    r"\b(?:undefined|null) is not an? |\bis not a function\b|\bis not defined\b|\bcannot read propert|traceback \(most recent|^\s*at [^\s(]+\([^()\n]*(?:\.\w+:\d+|native|unknown)[^()\n]*\)|^\s*file \".{1,200}\", line \d|\b(?:\w+\.)*[A-Z]?\w+(?:Error|Exception)\b(?::|\(|$| (?:at|in|on) )|\bat line \d+|\bon line \d+\W*$|\bora-\d{3,}|\berrno \d+|exit(?:ed with)? (?:code|status) \d|core dumped|stack ?trace"
+    rf"|<title>\s*(?:{_CODE})\b|<h\d>\s*(?:{_CODE})\b"
+    r"|\{\s*\"?error\"?\s*:|\"(?:status|code)\"\s*:\s*\"?[45]\d\d|\berr_\w+|^\s*<div id=\"(?:root|app)\">\s*</div>|<noscript|<script\b",
     re.I,
 )
-FOOT = _compile(r"^\W*(?:©|\(c\)|&copy;|copyright\b|all rights reserved|alle rechte vorbehalten|tous droits|todos los derechos|powered by|impressum)", re.I)
-GO = _compile(
-    r"^\W*(?:back to (?:start|top|home)|back|skip to (?:main )?content|menu|home|start|login|log in|sign in|search|help|about|archive|corpora|senses|index|contact|privacy|terms|imprint"
-    r"|zurück zur startseite|zurück|startseite|hilfe|suche|anmelden|impressum|datenschutz|kontakt|retour à l'accueil|accueil|aide|recherche|connexion|contact|mentions légales|volver al inicio|inicio|ayuda|buscar|iniciar sesión|contacto|aviso legal)\W*$",
-    re.I,
-)
-HEADING = re.compile(r"^\s*(?:#{1,6}|={1,6}|\*)\s+\S.{0,60}(?:—|§|\bv\d|\brun\b|\blog\b|\bnotes?\b)[\s\d.]*\W*$|^\s*#{1,6}\s\S.{0,60}$|^\s*={2,}\s*\S.{0,60}$|^\s*\S{1,30} (?:—|§|v\d+|run|log|notes)\s*\d*\s*$", re.I)
+FOOT = re.compile(r"^\W*(?:©|\(c\) |&copy;|copyright\b|all rights reserved|alle rechte vorbehalten|tous droits|todos los derechos|powered by|impressum)", re.I)
+HEADING = re.compile(r"^\s*#{1,6}\s\S.{0,60}$|^\s*={2,}\s*\S.{0,60}$|^\s*\S{1,30} (?:—|§|v\d+|run|log|notes)\s*\d*\s*$", re.I)
 QUOTES = re.compile(r"“[^“”\n]*”|„[^“”„\n]*[“”]|«[^«»\n]*»|‘[^‘’\n]*’|(?<!\w)'[^'\n]{1,80}'(?!\w)|(?<![\w=])\"[^\"\n]{1,80}\"(?!\w)")
 WORD = re.compile(r"\w+", re.U)
 TAG = re.compile(r"</?(?:p|br|div|span|b|i|em|strong|a|li|ul|ol|td|tr|table|body|html|head|h[1-6]|nav|footer|header|section)\b[^<>]{0,80}>", re.I)
-SPACES, DIGITS = "\t\u00a0", "123456789"
+SPACES, DIGITS = "\t ", "123456789"
 _ALIKE = str.maketrans(SPACES + DIGITS, " " * len(SPACES) + "0" * len(DIGITS))
-
-_FILLER = frozenset(fold(FILLER_WORDS).split())
-_FILLER_LINE = _compile(rf"^\W*(?:{FILLER_LINES})\W*$", re.I)
-_MISSING = re.compile(rf"^[\s>*•-]{{0,3}}(?:{MISSING})(?:[\s,/|;!]{{1,3}}(?:{MISSING})){{0,60}}[\s.!?,;]{{0,3}}$", re.I)
-_MISSING_VALUE = re.compile(rf"^(.{{1,40}}?)\s*(?:[:=]|\s-\s)\s*(?:{MISSING})\W{{0,2}}$", re.I)
-_MISSING_WORD = re.compile(r"(?<!\w)(?:tb[dac]|n\.n\.|x{3,8}|\?{3,8}|_{3,10}|(?<!\.)\.{6,12}(?!\.))(?!\w)", re.I)
-# Filler words too common elsewhere to be looked for.
-_COMMON = frozenset("text texte texto word test testing sample foo bar baz qux bla non sit sed sedo ut elit esse anim enim sint amet quam duis culpa irure".split())
-#: A first look: lines without one of these hold no evidence but repetition and filler.
-_LITERALS = frozenset().union(required(ERROR.pattern), required(fold(_SCRIPT_THING)), (w for w in _FILLER - _COMMON if len(w) > 2))
-# Marks of unfilled fields, gaps and foot lines.
-_MARKS = ("{", "[", "<", "@", "$", "*|", "|*", "__", "???", "...", "…", "n.n.", "n/a", "n.a.", "xxx", "tba", "tbc", "tbd", "fixme", "©", "copyright", "(c)")
-_MARKS_BEFORE_LETTERS = "%#"
-
-_BARS = "|·•›»"
-_SENTENCE = re.compile(r"(?<=[.!?;])\s+")
-_PIECES = re.compile(r"\s*[/|,;·!.?]+\s*")
-
-SKIP, CONTENT, TEMPLATE, FRAME, FILLER, FAULT, NOTICE = range(7)
+_SENTENCE = re.compile(r"(?<=[.!?;])(?<!\bn\.[na]\.)\s+|(?<=[。！？])")
+_CUT = re.compile("[\0\n\r\v\f\x1c-\x1e\x85\u2028\u2029。！？]|[.!?;](?=\\s)")
+#: What divides the parts that :func:`repeats` compares, and their words.
+PARTS, BLANKS = r"[.!?;,]*[ \t]*[\n\r]+[ \t]*|[.!?;]+[ \t]+", r"[ \t]+"
+_PARTS, _BLANKS = re.compile(PARTS), re.compile(BLANKS)
+_GAPS = re.compile("[ \\t\u00a0]{2,}|[\\t\u00a0]")
+_BARS = re.compile(r"\s*[|·•›»]\s*")
+SKIP, CONTENT, TEMPLATE, FRAME, FILLER, FAULT, NOTICE, SUPPORT = range(8)
 KINDS = {TEMPLATE: "template", FRAME: "template", FILLER: "filler", FAULT: "error", NOTICE: "script"}
 
 
-@cache
-def _look():
-    letters = "abcdefghijklmnopqrstuvwxyz_"
-    return finder(_LITERALS.union(_MARKS, (m + x for m in _MARKS_BEFORE_LETTERS for x in letters)))
-
-
-@cache
-def _look_script():
-    return finder(required(fold(_SCRIPT_THING)))
-
-
-@cache
-def _look_error():
-    return finder(required(ERROR.pattern))
-
-
-@cache
-def _look_filler():
-    """A first look at short lines for :data:`_FILLER_LINE`, whose words are too common for whole texts."""
-    return finder(required(_FILLER_LINE.pattern))
-
-
 def _repeats(words: list[str]) -> bool:
-    return len(words) >= 8 and len(set(words)) <= max(2, len(words) // 8)
-
-
-def may_hold_evidence(text: str) -> bool:
-    """Whether a closer look is needed; never False for a text that :func:`weigh` finds evidence in."""
-    lines = lines_of(text)
-    return any(not _plain(x) for x in lines) or bool(_again(lines))
-
-
-def _filler_pieces(low: str) -> bool:
-    """Whether a line is a filler line, or such pieces one after the other."""
-    known = _look_filler()(low)
-    if known and _FILLER_LINE.match(low):
-        return True
-    pieces = [x for x in _PIECES.split(low) if x]
-    kinds = set(pieces)
-    if len(pieces) >= 2 and len(kinds) == 1 and len(pieces[0]) >= 8 and " " in pieces[0]:
-        return True  # the same phrase again
-    return known and len(kinds) > 0 and all(_FILLER_LINE.match(x) for x in kinds)
-
-
-def _is_filler(words: list[str]) -> bool:
-    if _FILLER.isdisjoint(words):
-        return False
-    known = sum(w in _FILLER or w.isdigit() for w in words)
-    return len(words) >= 3 and known >= 0.6 * len(words) and any(w in _FILLER for w in words)
-
-
-def line_kind(line: str) -> int:
-    """What one line (or sentence) is, looked at alone."""
-    low = line.lower()
-    if FOOT.search(line) or GO.match(line):
-        return SKIP
-    parts = re.split(r"\s*[|·•›»]\s*", line.strip(" |·•›»"))
-    if len(parts) >= 3 and all(0 < len(WORD.findall(p)) <= 3 for p in parts) and not any(c.isdigit() for c in line):
-        return SKIP
-    if CONTROL.match(line):
-        return TEMPLATE
-    told = bool(TOLD.search(line))
-    fields = [m for m in FIELD.finditer(line)]
-    fields += [m for m in _LETTER.finditer(line)] if "{" in line else []
-    if fields:
-        share = sum(m.end() - m.start() for m in fields) / len(line)
-        if share >= 0.2 or (len(fields) >= 2 and (share >= 0.12 or not told)):
+    """Whether there are few different words for their number."""
+    return len(words) >= 8 and len(set(words)) <= (2 if len(words) < 12 else max(3, len(words) // 6))
+
+
+def _pseudo(words: list[str]) -> bool:
+    """Filler by its words: half or more are pseudo-Latin, keyboard runs or empty words, and at least three."""
+    known = sum(cues.is_filler_word(w) for w in words)
+    return known >= 3 and known + sum(w.isdigit() for w in words) >= 0.5 * len(words)
+
+
+def _wordy(low: str) -> int:
+    """Words of a sentence; scripts without spaces count three letters as a word."""
+    return sum(max(1, len(w) // 3) if ord(w[0]) >= 0x0E00 else 1 for w in WORD.findall(low))
+
+
+def _fields(sentence: str) -> list[int]:
+    """Lengths of the fields of a sentence."""
+    found, last = [], 0
+    for m in _OPEN.finditer(sentence):
+        if m.start() >= last and (field := FIELD.match(sentence, m.start())):
+            last = field.end()
+            found.append(last - m.start())
+    return found
+
+
+def sentence_kind(sentence: str) -> int:
+    """What one sentence (folded) is, looked at alone."""
+    low = sentence.lower()
+    found = cues.of(low)
+    has, filler = 0, 0
+    for _, bits in found:
+        has |= bits
+        filler += bits & cues.FILL > 0
+    absent = has & cues.BAD or (has & cues.NOT and has & cues.THERE)
+    if has & cues.FIELD:
+        if CONTROL.match(sentence):
             return TEMPLATE
-    if _MISSING.match(line) or _MISSING_VALUE.match(line):
-        return TEMPLATE
-    if len(_MISSING_WORD.findall(line)) >= (3 if told else 2):
+        fields = _fields(sentence)
+        if len(fields) >= 2 or sum(fields) >= 0.2 * len(sentence) > 0 and fields:
+            return TEMPLATE
+    if has & cues.BLANK and (MISSING.match(sentence) or MISSING_VALUE.match(sentence) or len(MISSING_WORD.findall(sentence)) >= 2):
         return TEMPLATE
-    if _filler_pieces(low):
+    if has & cues.MESSAGE and TRACE.search(sentence):
+        return FAULT
+    if filler >= 3 and _pseudo(WORD.findall(low)):
         return FILLER
-    words = [w.lower() for w in WORD.findall(line)]
-    if _is_filler(words):
+    if not has & (cues.NOUN | cues.DUMMY | cues.ERROR | cues.AGAIN | cues.MARK) and not (has & cues.SCRIPT and has & cues.NEED) and not (has & cues.THING and absent):
+        return CONTENT
+    words = WORD.findall(low)
+    if has & cues.NOUN and cues.is_layout(words):
         return FILLER
-    if _repeats(words):
+    mentioned = [m.group() for m in QUOTES.finditer(sentence) if " " in m.group().strip()]
+    if mentioned and len(words) - sum(len(WORD.findall(m)) for m in mentioned) >= 3:
+        return CONTENT  # it tells of a quoted piece
+    n = _wordy(low)
+    if n <= 12 and has & cues.GAP and has & cues.NOUN or n <= 8 and has & cues.DUMMY:
         return FILLER
-    if told:
-        return CONTENT
-    bare = QUOTES.sub(lambda m: " q " if len(m.group()) > 14 or " " in m.group() else m.group(), line)
-    bare_low = bare.lower()
-    if _look_script()(bare_low) and SCRIPT.match(bare):
+    if has & cues.SCRIPT and has & cues.NEED and n <= 30:
         return NOTICE
-    if _look_error()(bare_low) and ERROR.search(bare):
+    if n <= 14 and has & (cues.MESSAGE | cues.ERROR) and (code := CODE.search(sentence)) and (code["rest"] is None or REASON.match(code["rest"]) or has & (cues.ERROR | cues.BAD)):
         return FAULT
+    if has & cues.ERROR:
+        first = min(at for at, bits in found if bits & cues.ERROR)
+        if has & cues.OCCUR or n <= 4 or (has & cues.THING and first <= 4 and n <= 12) or (first <= 12 and re.match(r"\W*(?:\w+\s+)?\w+(?:\s*\d+)?\s*[:!–-]", low)):
+            return FAULT
+    if has & cues.THING and absent and n <= 30:
+        things = len({at for at, bits in found if bits & cues.THING}) + sum(bits & cues.WEB > 0 for _, bits in found)
+        if things + bool(has & (cues.YOU | cues.AGAIN)) + (n <= 9) + bool(NUMBERED.search(low)) >= 2:
+            return FAULT
+    if has & cues.AGAIN and n <= 25:
+        return SUPPORT
     return CONTENT
 
 
-def _split(text: str) -> list[tuple[str, bool, str]]:
-    """Non-empty lines without mark-up scraps, folded, whether whole, and as they were; long ones by sentence, marked False."""
+def _split(text: str) -> list[tuple[int, str, str]]:
+    """``(line number, sentence, line)`` of non-empty lines, without mark-up scraps and folded."""
     if "<" in text or "&" in text:
         text = html.unescape(html.unescape(text))
         text = TAG.sub(" ", text) if not re.search(r"<title>|<h1>", text, re.I) else text
     out = []
-    for raw in text.splitlines():
-        line = " ".join(fold(raw).split())
-        if not line:
-            continue
-        if len(line) > SENTENCE_CHARS:
-            out.extend((s, False, "") for s in _SENTENCE.split(line) if s)
-        else:
-            out.append((line, True, raw))
+    for at, raw in enumerate(fold(text).splitlines()):
+        line = " ".join(raw.split())
+        if line:
+            out.extend((at, s, line) for s in _SENTENCE.split(line) if s)
     return out
 
 
-def lines_of(text: str) -> list[str]:
-    """The lines that :func:`weigh` looks at."""
-    return [line for line, *_ in _split(text)]
+def _phrase(sentence: str) -> str:
+    return sentence.lower().strip(" .!?,;")
 
 
-def _plain(line: str) -> bool:
-    """Whether a quick look finds nothing in a line; True only for lines that :func:`line_kind` calls content."""
-    low = line.lower()
-    if _look()(low) or any(x in line for x in _BARS) or FOOT.match(line) or GO.match(line):
+def _menu(line: str) -> bool:
+    """Whether a line is a foot line, a link of a menu or a row of such links."""
+    if FOOT.search(line) or (len(line) <= 60 and cues.is_menu(WORD.findall(line.lower()))):
+        return True
+    if not any(c in line for c in "|·•›»"):
         return False
-    words = [w.lower() for w in WORD.findall(line)]
-    return not (_is_filler(words) or _repeats(words) or _filler_pieces(low))
-
-
-def _phrase(line: str) -> str:
-    return line.lower().strip(" .!?,;")
+    parts = _BARS.split(line.strip(" |·•›»"))
+    return len(parts) >= 3 and all(0 < len(p) <= 60 for p in parts) and all(0 < len(WORD.findall(p)) <= 3 for p in parts) and not any(c.isdigit() for c in line)
 
 
-def _again(lines: list[str]) -> set[str]:
-    """Short phrases that are lines or sentences of a text three times or more."""
-    same = Counter(_phrase(x) for x in lines if len(x) < 60)
-    return {x for x, n in same.items() if n >= 3}
-
-
-def weigh(text: str, boilerplate: frozenset[str] | set[str] = frozenset()) -> tuple[int, Counter]:
-    """Characters of the residual, and those of evidence by kind."""
+def kinds_of(text: str, again: bool | None = None) -> list[tuple[int, str, int]]:
+    """``(line number, sentence, kind)`` of a text in order; ``again`` is :func:`repeats` where that is known."""
+    again = repeats(text) if again is None else again
     split = _split(text)
-    lines = [line for line, *_ in split]
-    plain = [_plain(line) for line in lines]
-    # sentences of running text are never boilerplate: where they outweigh all the rest, nothing can be decided
-    running = sum(len(line) for (line, whole, _), p in zip(split, plain) if p and not whole)
-    if 2 * sum(len(line) for line, p in zip(lines, plain) if not p) <= running and 2 * sum(len(line) for line, whole, _ in split if whole) <= running:
-        return sum(map(len, lines)), Counter()
-    kinds = [CONTENT if p else line_kind(line) for line, p in zip(lines, plain)]
+    kinds = [SKIP if _menu(line) else sentence_kind(sentence) for _, sentence, line in split]
+    if again:
+        for i, (_, sentence, _) in enumerate(split):
+            if kinds[i] == CONTENT and len(sentence) >= 15 and _repeats(WORD.findall(sentence.lower())):
+                kinds[i] = FILLER
     # one short phrase over and over is filler
-    content = [i for i, k in enumerate(kinds) if k == CONTENT and len(lines[i]) < 60]
-    same = Counter(lines[i].lower().strip(" .!?,;") for i in content)
+    content = [i for i, k in enumerate(kinds) if k in (CONTENT, SUPPORT) and len(split[i][1]) < 60]
+    same = Counter(_phrase(split[i][1]) for i in content)
     for i in content:
-        if same[lines[i].lower().strip(" .!?,;")] >= 3:
+        if same[_phrase(split[i][1])] >= 3 and any(c.isalpha() for c in split[i][1]):
             kinds[i] = FILLER
-    # the frame of unfilled fields: labelled values and greetings around them
-    if sum(k == TEMPLATE for k in kinds) >= 2:
-        for i, k in enumerate(kinds):
-            if k in (CONTENT, FAULT) and (LABEL.match(lines[i]) or GREETING.match(lines[i])):
-                kinds[i] = FRAME
+    pages = sum(k in (FAULT, NOTICE) for k in kinds)
+    fields = sum(k == TEMPLATE for k in kinds)
+    notices = NOTICE in kinds
     for i, k in enumerate(kinds):
-        if k == CONTENT and ((len(lines[i]) <= 80 and HEADING.match(lines[i])) or (i == 0 and len(lines) > 1 and len(lines[i]) <= 40 and len(lines[i].split()) <= 4 and lines[i][-1].isalnum()) or (boilerplate and normal(split[i][2]) in boilerplate)):
+        sentence = split[i][1]
+        if k == SUPPORT:  # what to do about an error counts beside one, or alone
+            kinds[i] = FAULT if pages or all(x in (SKIP, SUPPORT, FAULT) for x in kinds) else CONTENT
+        elif k in (CONTENT, FAULT) and fields >= 2 and (LABEL.match(sentence) or cues.is_greeting(WORD.findall(sentence.lower()))):
+            kinds[i] = FRAME  # the frame of unfilled fields: labelled values and greetings around them
+        elif k == CONTENT and notices and cues.asks(sentence.lower()) and _wordy(sentence.lower()) <= 12:
+            kinds[i] = NOTICE  # what to do about it
+        elif k == CONTENT and pages and len(sentence) <= 60 and (LABEL.match(sentence) or REFERENCE.match(sentence)):
+            kinds[i] = FAULT
+        elif k == CONTENT and ((len(sentence) <= 80 and HEADING.match(sentence)) or (i == 0 and len(split) > 1 and len(sentence) <= 40 and len(sentence.split()) <= 4 and sentence == split[i][2] and sentence[-1].isalnum())):
             kinds[i] = SKIP
-    weight = Counter()
-    residual = 0
-    for line, kind in zip(lines, kinds):
+    return [(at, sentence, kind) for (at, sentence, _), kind in zip(split, kinds)]
+
+
+def weigh(text: str) -> tuple[int, Counter]:
+    """Characters of the residual, before recurrent lines leave it, and those of evidence by kind."""
+    weight, residual = Counter(), 0
+    for _, sentence, kind in kinds_of(text):
         if kind != SKIP:
-            residual += len(line)
-            if kind != CONTENT:
-                weight[KINDS[kind]] += len(line)
+            residual += len(sentence)
+            if kind in KINDS:
+                weight[KINDS[kind]] += len(sentence)
     return residual, weight
 
 
+def may_hold_evidence(text: str) -> bool:
+    """Whether a closer look is needed; never False for a text that :func:`weigh` finds evidence in."""
+    return bool(_look([text])[0]) or repeats(text)
+
+
+def repeats(text: str) -> bool:
+    """Whether a text repeats lines, sentences or words so much that it may be filler."""
+    parts = _PARTS.split(text.lower() + "\n")
+    phrases = [p for p in (p.strip() for p in parts) if 0 < len(p) < 60]
+    if len(phrases) - len(set(phrases)) >= 2:
+        return True
+    return any(_few(_BLANKS.split(p.strip())) for p in parts)
+
+
+def _few(words: list[str]) -> bool:
+    return len(words) >= 8 and 4 * len(set(words)) <= max(8, len(words))
+
+
+def repeats_column(text: Column) -> Column:
+    """:func:`repeats` as a column expression."""
+    parts = F.transform(F.split(F.concat(F.lower(text), F.lit("\n")), PARTS), F.trim)
+    phrases = F.filter(parts, lambda p: (p != "") & (F.length(p) < 60))
+    words = lambda p: F.split(p, BLANKS)
+    few = F.exists(F.filter(parts, lambda p: F.length(p) >= 15), lambda p: (F.size(words(p)) >= 8) & (4 * F.size(F.array_distinct(words(p))) <= F.greatest(F.lit(8), F.size(words(p)))))
+    return (F.size(phrases) - F.size(F.array_distinct(phrases)) >= 2) | few
+
+
+def _look(texts: list[str]) -> np.ndarray:
+    """Which texts have cues of evidence, from one search over all of them; repetition is looked for apart."""
+    marked = np.zeros(len(texts), bool)
+    if not texts:
+        return marked
+    joined = fold("\0".join(html.unescape(html.unescape(t)).replace("\0", " ") if "&" in t or "\0" in t else t for t in texts))
+    cased = _GAPS.sub(" ", joined)
+    joined = cased.lower()
+    if len(joined) != len(cased):  # a letter that takes more room in lower case
+        cased = joined
+    ends = np.array([m.start() for m in re.finditer("\0", joined)], np.int64)
+    at, bits = cues.hits(joined)
+    if not len(at):
+        return marked
+    # cues of one sentence count together
+    cut = np.array([0, *(m.start() for m in _CUT.finditer(joined)), len(joined)], np.int64)
+    place = np.searchsorted(cut, at, side="right")
+    starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    has = np.bitwise_or.reduceat(bits, starts)
+    filler = np.add.reduceat((bits & cues.FILL > 0).astype(np.int64), starts)
+    short = cut[np.minimum(place[starts], len(cut) - 1)] - cut[place[starts] - 1] <= 80
+    any_of = lambda flag: (has & flag) > 0
+    worth = any_of(cues.THING) & (any_of(cues.BAD) | (any_of(cues.NOT) & any_of(cues.THERE)))
+    worth |= (any_of(cues.SCRIPT) & any_of(cues.NEED)) | (any_of(cues.GAP) & any_of(cues.NOUN)) | any_of(cues.ERROR | cues.AGAIN | cues.DUMMY | cues.MARK) | (filler >= 1) & short | (filler >= 3) | (any_of(cues.NOUN) & short)
+    for k in np.flatnonzero(worth):
+        doc = np.searchsorted(ends, at[starts[k]])
+        if not marked[doc]:
+            sentence = cased[cut[place[starts[k]] - 1] : cut[min(place[starts[k]], len(cut) - 1)] + 1].strip("\0 \n\r")
+            marked[doc] = sentence_kind(TAG.sub(" ", sentence) if "<" in sentence else sentence) != CONTENT
+    return marked
+
+
 def normal(line: str) -> str:
     """A line as it is counted: lower case, digits alike, no doubled or outer spaces."""
     return line.translate(_ALIKE).strip(" ").replace("  ", " ").lower()
@@ -336,43 +301,50 @@ def _normal_column(line: Column) -> Column:
     return F.lower(F.replace(F.trim(F.translate(line, SPACES + DIGITS, " " * len(SPACES) + "0" * len(DIGITS))), F.lit("  "), F.lit(" ")))
 
 
-def recurrent_lines(documents: DataFrame) -> DataFrame:
-    """``(source, line, docs)``: normalised short lines that recur among the documents of their host.
+def line_counts(documents: DataFrame) -> DataFrame:
+    """``(source, line, docs)``: in how many documents of a host a normalised line occurs; ``line`` is its hash.
 
-    All documents are counted, each line once per document; the pair of
-    host and line is the key of the shuffle, so that a host of any size is
-    spread, and counts are summed within tasks first.
+    All lines of all documents are counted, whatever their length, each once
+    per document; the pair of host and line is the key of the shuffle, so
+    that a host of any size is spread, and counts are summed within tasks
+    first. A null ``source`` is a host of its own name, null.
     """
-    lines = F.array_distinct(F.transform(F.split("text", r"[\r\n]+"), _normal_column))
-    short = F.filter(lines, lambda x: (F.length(x) > 0) & (F.length(x) <= LINE_CHARS))
+    lines = F.array_distinct(F.filter(F.transform(F.split("text", r"[\r\n]+"), _normal_column), lambda x: F.length(x) > 0))
     host = F.lower(F.trim("source")).alias("source")
-    counted = documents.where("text IS NOT NULL AND source IS NOT NULL").select(host, F.explode(short).alias("line")).groupBy("source", "line").agg(F.count(F.lit(1)).alias("docs"))
-    sizes = documents.where("text IS NOT NULL AND source IS NOT NULL").groupBy(host).agg(F.count(F.lit(1)).alias("host_docs"))
-    return counted.where(F.col("docs") >= RECURS_DOCS).join(sizes, "source").where(F.col("docs") >= RECURS_SHARE * F.col("host_docs")).select("source", "line", "docs")
+    return documents.where("text IS NOT NULL").select(host, F.explode(F.transform(lines, lambda x: F.xxhash64(x))).alias("line")).groupBy("source", "line").agg(F.count(F.lit(1)).alias("docs"))
 
 
-_WEIGHED = "row_key bigint, doc_id bigint, source string, residual bigint, template bigint, filler bigint, error bigint, script bigint, undecided array<string>"
+_WEIGHED = "row_key bigint, doc_id bigint, source string, residual bigint, template bigint, filler bigint, error bigint, script bigint, lines array<string>, sizes array<bigint>"
 
 
 def _weigh_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fields = [f.split()[0] for f in _WEIGHED.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 5, pa.list_(pa.string()), pa.list_(pa.int64())]
     for batch in batches:
         out = []
-        for key, doc, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-            if not text or not text.strip():
-                continue
-            residual, weight = weigh(text)
-            total = sum(weight.values())
-            if not total:
-                continue
-            # where boilerplate could decide, the content lines go along
-            open_lines = None
-            if 2 * total <= residual:
-                open_lines = [normal(raw) for x, whole, raw in _split(text) if whole and len(x) <= LINE_CHARS and line_kind(x) == CONTENT]
-            out.append((key, doc, source and source.strip().lower(), residual, weight["template"], weight["filler"], weight["error"], weight["script"], open_lines))
-        columns = list(zip(*out)) if out else [[]] * 9
-        kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 5, pa.list_(pa.string())]
-        names = [f.split()[0] for f in _WEIGHED.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+        texts = batch.column("text").to_pylist()
+        again = batch.column("again").to_numpy(zero_copy_only=False)
+        near = _look(texts) | again
+        for i in np.flatnonzero(near):
+            residual, weight, content = 0, Counter(), Counter()
+            for at, sentence, kind in kinds_of(texts[i], bool(again[i])):
+                if kind != SKIP:
+                    residual += len(sentence)
+                    if kind == CONTENT:
+                        content[at] += len(sentence)
+                    else:
+                        weight[KINDS[kind]] += len(sentence)
+            if weight:
+                raw = texts[i].splitlines()
+                lines = [(normal(raw[at]), n) for at, n in content.items() if at < len(raw)]
+                source = batch.column("source")[int(i)].as_py()
+                key, doc = (batch.column(c)[int(i)].as_py() for c in ("row_key", "doc_id"))
+                out.append((key, doc, source and source.strip().lower(), residual, weight["template"], weight["filler"], weight["error"], weight["script"], [x for x, _ in lines], [n for _, n in lines]))
+        columns = list(zip(*out)) if out else [[]] * len(fields)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=fields)
+
+
+_NAMES = ("template", "filler", "error", "script")
 
 
 def residue(documents: DataFrame) -> DataFrame:
@@ -387,17 +359,38 @@ def residue(documents: DataFrame) -> DataFrame:
     texts are judged, however long.
     """
     ship(documents.sparkSession)
-    documents = documents.select("doc_id", "text", "source")
-    keyed = documents.where("text IS NOT NULL").select(F.xxhash64("doc_id", "source", "text").alias("row_key"), "doc_id", "source", "text")
-    weighed = materialise(keyed.mapInArrow(_weigh_all, _WEIGHED), "weighed")
-    evidence = F.col("template") + F.col("filler") + F.col("error") + F.col("script")
-    # boilerplate leaves the residual: only lines of documents with evidence can change a verdict
-    open_lines = weighed.where("undecided IS NOT NULL").select("row_key", "source", F.explode("undecided").alias("line"))
-    dropped = open_lines.join(recurrent_lines(documents), ["source", "line"]).groupBy("row_key").agg(F.sum(F.length("line")).alias("dropped"))
+    documents = documents.select("doc_id", "text", "source").where("text IS NOT NULL")
+    key = F.xxhash64("doc_id", "source", "text").alias("row_key")
+    weighed = materialise(documents.select(key, "doc_id", "source", "text", repeats_column(F.col("text")).alias("again")).mapInArrow(_weigh_all, _WEIGHED), "weighed")
+    evidence = sum((F.col(k) for k in _NAMES[1:]), F.col(_NAMES[0]))
+    heaviest = F.array_max(F.array(*(F.struct(F.col(k).alias("n"), F.lit(k).alias("k")) for k in _NAMES))).getField("k")
+    weighed = weighed.select("row_key", "doc_id", "source", "residual", evidence.alias("evidence"), heaviest.alias("kind"), F.arrays_zip("lines", "sizes").alias("content"))
+    # lines of documents with evidence, and how often these occur by host and in all
+    lines = weighed.select("row_key", "source", "kind", (F.col("evidence") * 2 > F.col("residual")).alias("found"), F.explode("content").alias("c"))
+    lines = materialise(lines.select("row_key", "source", "kind", "found", F.xxhash64("c.lines").alias("line"), F.col("c.sizes").alias("size")), "lines")
+    open_lines = small(materialise(lines.select("line").distinct(), "open-lines"), LINE_BYTES)
+    counts = materialise(line_counts(documents).join(open_lines, "line", "left_semi"), "line-counts")
+    sizes = documents.groupBy(F.lower(F.trim("source")).alias("source")).agg(F.count(F.lit(1)).alias("host_docs"))
+    recurrent = counts.where(F.col("source").isNotNull() & (F.col("docs") >= RECURS_DOCS)).join(small(sizes, LINE_BYTES), "source").where(F.col("docs") >= RECURS_SHARE * F.col("host_docs")).select("source", "line")
+    # lines that recur almost only in residue are evidence, not boilerplate
+    by_line = lines.where("found").groupBy("line").agg(F.countDistinct("row_key").alias("bad"), F.max("kind").alias("as"))
+    everywhere = counts.groupBy("line").agg(F.sum("docs").alias("docs"))
+    learnt = by_line.join(everywhere, "line").where((F.col("docs") >= RECURS_DOCS) & (F.col("bad") >= LEARNT_SHARE * F.col("docs"))).select("line", "as")
+    learnt = small(materialise(learnt, "learnt"), LINE_BYTES)
+    marked = lines.join(learnt, "line", "left").join(small(recurrent.withColumn("boiler", F.lit(1)), LINE_BYTES), ["source", "line"], "left")
     # rows of one key are copies and share their lines, counted once for each copy
     copies = weighed.groupBy("row_key").agg(F.count(F.lit(1)).alias("copies"))
-    less = dropped.join(copies, "row_key").select("row_key", (F.col("dropped") / F.col("copies")).alias("dropped"))
-    judged = weighed.join(less, "row_key", "left").withColumn("left", F.greatest(F.col("residual") - F.coalesce("dropped", F.lit(0)), evidence))
-    kinds = F.array_max(F.array(*(F.struct(F.col(k).alias("n"), F.lit(k).alias("k")) for k in ("template", "filler", "error", "script")))).getField("k")
-    return judged.where(evidence * 2 > F.col("left")).select("doc_id", kinds.alias("kind"), (evidence / F.col("left")).alias("share"))
-
+    moved = marked.groupBy("row_key").agg(F.sum(F.when(F.col("as").isNotNull(), F.col("size"))).alias("more"), F.sum(F.when(F.col("as").isNull() & F.col("boiler").isNotNull(), F.col("size"))).alias("less"))
+    moved = moved.join(copies, "row_key").select("row_key", *((F.coalesce(c, F.lit(0)) / F.col("copies")).alias(c) for c in ("more", "less")))
+    judged = weighed.drop("content").join(moved, "row_key", "left").fillna(0, ["more", "less"])
+    total = F.col("evidence") + F.col("more")
+    judged = judged.select("doc_id", "kind", total.alias("total"), F.greatest(F.col("residual") - F.col("less"), total).alias("left"))
+    # documents without evidence of their own that consist of learnt lines
+    texts = documents.select(key, "doc_id", F.explode(F.filter(F.transform(F.split("text", r"[\r\n]+"), _normal_column), lambda x: F.length(x) > 0)).alias("text_line"))
+    texts = texts.select("row_key", "doc_id", F.xxhash64("text_line").alias("line"), F.length("text_line").alias("size"))
+    held = texts.join(learnt, "line", "left_semi").select("row_key").distinct().join(weighed.select("row_key"), "row_key", "left_anti")
+    whole = texts.join(small(materialise(held, "held"), LINE_BYTES), "row_key", "left_semi").join(learnt, "line", "left")
+    whole = whole.groupBy("row_key", "doc_id").agg(F.max("as").alias("kind"), F.coalesce(F.sum(F.when(F.col("as").isNotNull(), F.col("size"))), F.lit(0)).cast("double").alias("total"), F.sum("size").cast("double").alias("left"))
+    times = documents.select(key).join(small(held, LINE_BYTES), "row_key", "left_semi").groupBy("row_key").agg(F.count(F.lit(1)).alias("copies"))
+    whole = whole.join(times, "row_key").select("doc_id", "kind", "total", "left", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop("col")
+    return judged.unionByName(whole).where(F.col("total") * 2 > F.col("left")).select("doc_id", "kind", (F.col("total") / F.col("left")).alias("share"))

@@ -1,6 +1,9 @@
 """Encoding, containers and residue."""
 
 import os
+import runpy
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -8,7 +11,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from glosswork.llm import containers, encode, literals, residue
+from glosswork.llm import containers, cues, encode, residue
+
+heldout = SimpleNamespace(**runpy.run_path(str(Path(__file__).with_name("heldout.py"))))
 
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(encode.VOCABULARY), reason="no vocabulary file here")
 
@@ -202,17 +207,48 @@ def test_content_is_kept(text):
     assert 2 * sum(weight.values()) <= total
 
 
+def is_residue(text):
+    total, weight = residue.weigh(text)
+    return 2 * sum(weight.values()) > total
+
+
+def test_held_out_texts():
+    """Texts written by hand in some twenty languages before the cues were; only faults of word bounds were mended after looking at them."""
+    found = [is_residue(t) for t in heldout.RESIDUE]
+    false = [is_residue(t) for t in heldout.CONTENT]
+    assert len(found) >= 60 and len(false) >= 60
+    assert sum(found) >= 0.95 * len(found) and sum(false) <= 0.05 * len(false)
+    assert all(residue.may_hold_evidence(t) for t, f in zip(heldout.RESIDUE, found) if f)
+
+
+def pages(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    return df.withColumn("kind", F.lit("clash")).withColumn("line", F.lit(1)).withColumn("share", F.lit(0)).repartition(3)
+
+
 def test_boilerplate_leaves_the_residual(spark):
     note = "Please enable JavaScript to go on."
     menu = "Kiosk Harbour Weather Trams of the old town"
     rows = [(1, "h1", f"{menu}\n{note}"), (2, "h1", f"{menu}\nA text about the harbour."), (3, "H1 ", f"{menu}\nThe trams run until nine."), (4, "h2", f"{menu}\n{note}"), (5, None, f"{menu}\n{note}")]
     rows += [(6, "h1", None), (7, "h1", ""), (8, "h1", " \n "), (None, "h1", note), (9, "h3", note), (9, "h3", note)]
-    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string").withColumn("kind", F.lit("clash")).withColumn("line", F.lit(1)).withColumn("share", F.lit(0))
-    lines = residue.recurrent_lines(df).collect()
-    assert [(r["source"], r["line"], r["docs"]) for r in lines] == [("h1", menu.lower(), 3)]
+    df = pages(spark, rows)
     got = [(r["doc_id"], r["kind"], round(r["share"], 3)) for r in residue.residue(df).collect()]
     assert sorted(got, key=str) == sorted([(1, "script", 1.0), (None, "script", 1.0), (9, "script", 1.0), (9, "script", 1.0)], key=str)
     assert residue.residue(df.where("doc_id = 99")).count() == 0
+    counts = {(r["source"], r["line"]): r["docs"] for r in residue.line_counts(df).collect()}
+    assert sorted(counts.values()) == [1, 1, 1, 1, 1, 1, 2, 2, 3] and max(counts, key=counts.get)[0] == "h1"
+    # without the other pages of its host the same document is not residue
+    assert residue.residue(df.where("doc_id IN (1, 4)")).count() == 0
+
+
+def test_recurrent_lines_are_learnt(spark):
+    """A line in no known form that recurs only beside errors is evidence; one that recurs beside content is not."""
+    odd, usual = "Quendra molvi testrape indoru valke", "The harbour office is open from nine to five"
+    rows = [(i, f"h{i}", f"Error {500 + i % 2}: page not found, sorry about that\n{odd}") for i in range(8)]
+    rows += [(20 + i, f"h{i}", f"{usual}\nA note of its own about boat number {'x' * i} in the harbour") for i in range(8)]
+    rows += [(50, "h9", odd), (51, "h9", odd), (52, "h9", f"{odd}\nA long text about the boats that lay in the harbour for weeks."), (53, "h9", usual)]
+    got = {r["doc_id"] for r in residue.residue(pages(spark, rows)).collect()}
+    assert got == {*range(8), 50, 51}
 
 
 def test_very_long_texts_are_judged_whole():
@@ -248,20 +284,26 @@ def test_filler_of_common_words_passes_the_first_look(text):
     assert total and weight["filler"] == total
 
 
-_PIECE = st.sampled_from(["foo", "bar", "test", "word", "text", "bla", "sit", "12", "harbour", "the", "trams", "image caption.", "card title,", "read more", "/", "|", "•", "tbd", "error: 404", "{x}", "impressum", "%a%", "..."])
+_PIECE = st.sampled_from(["foo", "bar", "test", "word", "text", "bla", "sit", "12", "harbour", "the", "trams", "image caption.", "card title,", "read more", "/", "|", "•", "tbd", "error: 404", "{x}", "impressum", "%a%", "...", "page not found.", "\n", "İ", "«Name_x»", "cookies", "please", "lorem ipsum dolor"])
 
 
 @given(st.lists(_PIECE, min_size=1, max_size=90))
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=300, deadline=None)
 def test_the_first_look_passes_all_that_is_not_content(pieces):
-    for line in residue.lines_of(" ".join(pieces)):
-        assert residue.line_kind(line) == residue.CONTENT or not residue._plain(line)
+    text = " ".join(pieces)
+    _, weight = residue.weigh(text)
+    assert not weight or residue.may_hold_evidence(text)
+
+
+def test_repeats_are_alike_in_both_engines(spark):
+    texts = ["bla bla bla bla bla bla bla bla", "One line.\nOne line.\nOne line.", "a. b. a. c. a. d", "The boats lie in the harbour. The trams go by.", "", " \n ", "x", "Nobody knows. Nobody knows. Nobody knows!", "1\t2\t3 4 5 6 7 8 9"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r["i"]: r["r"] for r in df.select("i", residue.repeats_column(F.col("text")).alias("r")).collect()}
+    assert got == {i: residue.repeats(t) for i, t in enumerate(texts)} and got[0] and got[1] and not got[3]
 
 
-def test_required_literals():
-    assert literals.required("abc|xyz") == {"abc", "xyz"} and literals.required(r"\d+ page(s|d)?") == {" page"}
-    assert literals.required(r"(?=.*(?:foo|bar)).*") == {"foo", "bar"}
-    with pytest.raises(ValueError):
-        literals.required(r"\d+")
-    look = literals.finder({"abc", "é"})
-    assert look("xabcx") and look("é") and not look("ab c")
+def test_cues_hold_at_word_bounds():
+    assert any(b & cues.THING for _, b in cues.of("the page")) and not any(b & cues.THING for _, b in cues.of("opposite rampage"))
+    assert any(b & cues.SCRIPT for _, b in cues.of("はjavascriptを")) and any(b & cues.NOT for _, b in cues.of("it can't be"))
+    at, bits = cues.hits("page not found\0the page")
+    assert [(int(a), int(b)) for a, b in zip(at, bits)] == sorted((a, b) for a, b in [*cues.of("page not found"), *((a + 15, b) for a, b in cues.of("the page"))])
