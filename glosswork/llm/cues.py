@@ -86,7 +86,7 @@ habilit activ permit necesari requier desactivad bloquead admit acept actualic o
 try_again please_retry retry_ try_later reload refresh_the contact_the contact_your contact_us administrator webmaster go_back back_to_the back_to_home home_page homepage startpage return_to check_the_address check_the_url check_your check_the_spelling if_the_problem problem_persists be_back back_soon back_shortly something_went_wrong thank_you_for_your_patience please_wait log_in sign_in use_the_search 
 erneut_versuch versuchen_sie spater_erneut startseite_ zuruck_zur wenden_sie_sich administrator uberprufen_sie prufen_sie gleich_wieder bald_wieder melden_sie_sich anmelden_ reessay page_d'accueil retour_a contactez verifiez connectez-vous patientez_ intentelo intente_ reintent pagina_de_inicio volver_a vuelva_a contacte compruebe inicie_sesion riprov torna_a torna_alla contatta_ tente_novamente volte_a probeer_het opnieuw_proberen forsok_igen prov_igen startsidan_ yrita_uudelleen sprobuj_ponownie sprawdz_adres zkuste_to probalja_ujra tekrar_dene incercati_din_nou
 попробуйте повторите_попытку вернитесь_на спробуйте δοκιμαστε 重试 重試 返回首页 稍后再试 稍後再試 もう一度お試し しばらくして トップページ 다시_시도 حاول_مرة thu_lai coba_lagi nanti_""",
-    NOUN: "text_ texts_ title_ headline_ heading_ subheading_ subtitle_ caption_ description_ content_ contents_ image_ picture_ paragraph_ logo_ copy_ name_ section_ summary_ abstract_ introduction_ body_ article_ sentence_ post_ page_ card_ teaser_ button_ details_ link_ inhalt_ inhalte_ titel_ uberschrift_ bild_ beschreibung_ absatz_ beitrag_ artikel_ seite_ rubrik_ texte_ titre_ contenu_ paragraphe_ legende_ rubrique_ texto_ titulo_ contenido_ imagen_ descripcion_ parrafo_ seccion_ pagina_ testo_ titolo_ contenuto_ immagine_ paragrafo_ conteudo_ imagem_ descricao_ tekst_ tekstu_ inhoud_ titul_ teksti_ otsikko_ szoveg_ metin_ текст 文本 テキスト 文章 标题 タイトル 텍스트 제목 内容",
+    NOUN: "item_ list_ label_ text_ texts_ title_ headline_ heading_ subheading_ subtitle_ caption_ description_ content_ contents_ image_ picture_ paragraph_ logo_ copy_ name_ section_ summary_ abstract_ introduction_ body_ article_ sentence_ post_ page_ card_ teaser_ button_ details_ link_ inhalt_ inhalte_ titel_ uberschrift_ bild_ beschreibung_ absatz_ beitrag_ artikel_ seite_ rubrik_ texte_ titre_ contenu_ paragraphe_ legende_ rubrique_ texto_ titulo_ contenido_ imagen_ descripcion_ parrafo_ seccion_ pagina_ testo_ titolo_ contenuto_ immagine_ paragrafo_ conteudo_ imagem_ descricao_ tekst_ tekstu_ inhoud_ titul_ teksti_ otsikko_ szoveg_ metin_ текст 文本 テキスト 文章 标题 タイトル 텍스트 제목 内容",
     GAP: """
 goes_here go_here comes_here here_ to_follow coming_soon to_come pending_ placeholder sample_ example_ dummy_ filler_ replace_ insert_ enter_ your_ tbd_ tba_ under_construction being_built to_be_added to_be_announced untitled_ no_title type_ before_publishing
 hier_steht hier_stehen hier_kommt hier_folgt hier_entsteht folgt_ folgen_ platzhalter blindtext mustertext muster_ ersetzen_ erganzt_ einfugen_ eingeben_ im_aufbau entsteht_ ohne_titel unbenannt in_kurze

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -64,7 +65,7 @@ CODE = re.compile(rf"^\W*(?:\w+\W+){{0,1}}?(?:{_CODE})\b(?P<rest>.{{0,60}})$|^\W
 REASON = re.compile(r"^\W*(?:$|(?:error|not found|forbidden|unauthori[sz]ed|bad (?:gateway|request)|gone|oops|whoops|sorry|too many|internal server|(?:service |temporarily )?unavailable|(?:gateway |request )?time-?d?[ -]?out|access denied)\b)", re.I)
 NUMBERED = re.compile(r"\b(?:code|codigo|error|ref\w*|id|incident\w*|vorgang)\W{0,3}[0-9a-f]*\d", re.I)
 TRACE = re.compile(
-    r"\b(?:undefined|null) is not an? |\bis not a function\b|\bis not defined\b|\bcannot read propert|traceback \(most recent|^\s*at [^\s(]+\([^()\n]*(?:\.\w+:\d+|native|unknown)[^()\n]*\)|^\s*file \".{1,200}\", line \d|\b(?:\w+\.)*[A-Z]?\w+(?:Error|Exception)\b(?::|\(|$| (?:at|in|on) )|\bat line \d+|\bon line \d+\W*$|\bora-\d{3,}|\berrno \d+|exit(?:ed with)? (?:code|status) \d|core dumped|stack ?trace"
+    r"\b(?:undefined|null) is not an? |\bis not a function\b|\bis not defined\b|\bcannot read propert|traceback \(most recent|^\s*at [^\s(]+\([^()\n]*(?:\.\w+:\d+|native|unknown)[^()\n]*\)|^\s*file \".{1,200}\", line \d|\w(?:Error|Exception)\b(?::|\(|$| (?:at|in|on) )|\bat line \d+|\bon line \d+\W*$|\bora-\d{3,}|\berrno \d+|exit(?:ed with)? (?:code|status) \d|core dumped|stack ?trace"
     rf"|<title>\s*(?:{_CODE})\b|<h\d>\s*(?:{_CODE})\b"
     r"|\{\s*\"?error\"?\s*:|\"(?:status|code)\"\s*:\s*\"?[45]\d\d|\berr_\w+|^\s*<div id=\"(?:root|app)\">\s*</div>|<noscript|<script\b",
     re.I,
@@ -78,6 +79,9 @@ SPACES, DIGITS = "\t ", "123456789"
 _ALIKE = str.maketrans(SPACES + DIGITS, " " * len(SPACES) + "0" * len(DIGITS))
 _SENTENCE = re.compile(r"(?<=[.!?;])(?<!\bn\.[na]\.)\s+|(?<=[。！？])")
 _CUT = re.compile("[\0\n\r\v\f\x1c-\x1e\x85\u2028\u2029。！？]|[.!?;](?=\\s)")
+#: Texts of this many bytes that do not pack to this share of them hold no filler by repetition that could outweigh the rest.
+SHORT_BYTES, PACKS_TO = 256, 0.5
+
 #: What divides the parts that :func:`repeats` compares, and their words.
 PARTS, BLANKS = r"[.!?;,]*[ \t]*[\n\r]+[ \t]*|[.!?;]+[ \t]+", r"[ \t]+"
 _PARTS, _BLANKS = re.compile(PARTS), re.compile(BLANKS)
@@ -183,7 +187,8 @@ def _menu(line: str) -> bool:
     """Whether a line is a foot line, a link of a menu or a row of such links."""
     if FOOT.search(line) or (len(line) <= 60 and cues.is_menu(WORD.findall(line.lower()))):
         return True
-    if not any(c in line for c in "|·•›»"):
+    bars = sum(line.count(c) for c in "|·•›»")
+    if bars < 2 or len(line) > 64 * (bars + 1):  # some part is too long for a link
         return False
     parts = _BARS.split(line.strip(" |·•›»"))
     return len(parts) >= 3 and all(0 < len(p) <= 60 for p in parts) and all(0 < len(WORD.findall(p)) <= 3 for p in parts) and not any(c.isdigit() for c in line)
@@ -193,7 +198,8 @@ def kinds_of(text: str, again: bool | None = None) -> list[tuple[int, str, int]]
     """``(line number, sentence, kind)`` of a text in order; ``again`` is :func:`repeats` where that is known."""
     again = repeats(text) if again is None else again
     split = _split(text)
-    kinds = [SKIP if _menu(line) else sentence_kind(sentence) for _, sentence, line in split]
+    menus = {at for at, line in {at: line for at, _, line in split}.items() if _menu(line)}
+    kinds = [SKIP if at in menus else sentence_kind(sentence) for at, sentence, _ in split]
     if again:
         for i, (_, sentence, _) in enumerate(split):
             if kinds[i] == CONTENT and len(sentence) >= 15 and _repeats(WORD.findall(sentence.lower())):
@@ -239,7 +245,10 @@ def may_hold_evidence(text: str) -> bool:
 
 
 def repeats(text: str) -> bool:
-    """Whether a text repeats lines, sentences or words so much that it may be filler."""
+    """Whether a text repeats lines, sentences or words so much that it may be filler: it is short or packs well, and few of its parts differ."""
+    raw = text.encode("utf-8", "surrogatepass")
+    if len(raw) >= SHORT_BYTES and len(zlib.compress(raw, 1)) > PACKS_TO * len(raw):
+        return False
     parts = _PARTS.split(text.lower() + "\n")
     phrases = [p for p in (p.strip() for p in parts) if 0 < len(p) < 60]
     if len(phrases) - len(set(phrases)) >= 2:
@@ -251,15 +260,6 @@ def _few(words: list[str]) -> bool:
     return len(words) >= 8 and 4 * len(set(words)) <= max(8, len(words))
 
 
-def repeats_column(text: Column) -> Column:
-    """:func:`repeats` as a column expression."""
-    parts = F.transform(F.split(F.concat(F.lower(text), F.lit("\n")), PARTS), F.trim)
-    phrases = F.filter(parts, lambda p: (p != "") & (F.length(p) < 60))
-    words = lambda p: F.split(p, BLANKS)
-    few = F.exists(F.filter(parts, lambda p: F.length(p) >= 15), lambda p: (F.size(words(p)) >= 8) & (4 * F.size(F.array_distinct(words(p))) <= F.greatest(F.lit(8), F.size(words(p)))))
-    return (F.size(phrases) - F.size(F.array_distinct(phrases)) >= 2) | few
-
-
 def _look(texts: list[str]) -> np.ndarray:
     """Which texts have cues of evidence, from one search over all of them; repetition is looked for apart."""
     marked = np.zeros(len(texts), bool)
@@ -292,26 +292,33 @@ def _look(texts: list[str]) -> np.ndarray:
     return marked
 
 
+ROW_KEY = "xxhash64(doc_id, source, text) AS row_key"
+
+
 def normal(line: str) -> str:
     """A line as it is counted: lower case, digits alike, no doubled or outer spaces."""
     return line.translate(_ALIKE).strip(" ").replace("  ", " ").lower()
 
 
-def _normal_column(line: Column) -> Column:
-    return F.lower(F.replace(F.trim(F.translate(line, SPACES + DIGITS, " " * len(SPACES) + "0" * len(DIGITS))), F.lit("  "), F.lit(" ")))
+def lines_of(documents: DataFrame) -> DataFrame:
+    """``(row_key, source, line, size)``: the different lines of every document, normalised, as hashes with their length.
+
+    All lines count, whatever their length. ``row_key`` is a hash of the
+    row; a null ``source`` stays null.
+    """
+    text = F.lower(F.replace(F.translate("text", SPACES + "\r" + DIGITS, " " * len(SPACES) + "\n" + "0" * len(DIGITS)), F.lit("  "), F.lit(" ")))
+    lines = F.explode(F.array_distinct(F.split(text, "\n"))).alias("l")
+    rows = documents.where("text IS NOT NULL").select(F.expr(ROW_KEY), F.lower(F.trim("source")).alias("source"), lines).withColumn("l", F.trim("l"))
+    return rows.where("l <> ''").select("row_key", "source", F.xxhash64("l").alias("line"), F.length("l").cast("bigint").alias("size"))
 
 
-def line_counts(documents: DataFrame) -> DataFrame:
-    """``(source, line, docs)``: in how many documents of a host a normalised line occurs; ``line`` is its hash.
+def line_counts(lines: DataFrame) -> DataFrame:
+    """``(source, line, docs)``: in how many documents of a host each of ``lines`` occurs.
 
-    All lines of all documents are counted, whatever their length, each once
-    per document; the pair of host and line is the key of the shuffle, so
-    that a host of any size is spread, and counts are summed within tasks
-    first. A null ``source`` is a host of its own name, null.
+    The pair of host and line is the key of the shuffle, so that a host of
+    any size is spread, and counts are summed within tasks first.
     """
-    lines = F.array_distinct(F.filter(F.transform(F.split("text", r"[\r\n]+"), _normal_column), lambda x: F.length(x) > 0))
-    host = F.lower(F.trim("source")).alias("source")
-    return documents.where("text IS NOT NULL").select(host, F.explode(F.transform(lines, lambda x: F.xxhash64(x))).alias("line")).groupBy("source", "line").agg(F.count(F.lit(1)).alias("docs"))
+    return lines.groupBy("source", "line").agg(F.count(F.lit(1)).alias("docs"))
 
 
 _WEIGHED = "row_key bigint, doc_id bigint, source string, residual bigint, template bigint, filler bigint, error bigint, script bigint, lines array<string>, sizes array<bigint>"
@@ -323,7 +330,7 @@ def _weigh_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         texts = batch.column("text").to_pylist()
-        again = batch.column("again").to_numpy(zero_copy_only=False)
+        again = np.array([repeats(t) for t in texts], bool)
         near = _look(texts) | again
         for i in np.flatnonzero(near):
             residual, weight, content = 0, Counter(), Counter()
@@ -360,8 +367,7 @@ def residue(documents: DataFrame) -> DataFrame:
     """
     ship(documents.sparkSession)
     documents = documents.select("doc_id", "text", "source").where("text IS NOT NULL")
-    key = F.xxhash64("doc_id", "source", "text").alias("row_key")
-    weighed = materialise(documents.select(key, "doc_id", "source", "text", repeats_column(F.col("text")).alias("again")).mapInArrow(_weigh_all, _WEIGHED), "weighed")
+    weighed = materialise(documents.select(F.expr(ROW_KEY), "doc_id", "source", "text").mapInArrow(_weigh_all, _WEIGHED), "weighed")
     evidence = sum((F.col(k) for k in _NAMES[1:]), F.col(_NAMES[0]))
     heaviest = F.array_max(F.array(*(F.struct(F.col(k).alias("n"), F.lit(k).alias("k")) for k in _NAMES))).getField("k")
     weighed = weighed.select("row_key", "doc_id", "source", "residual", evidence.alias("evidence"), heaviest.alias("kind"), F.arrays_zip("lines", "sizes").alias("content"))
@@ -369,7 +375,8 @@ def residue(documents: DataFrame) -> DataFrame:
     lines = weighed.select("row_key", "source", "kind", (F.col("evidence") * 2 > F.col("residual")).alias("found"), F.explode("content").alias("c"))
     lines = materialise(lines.select("row_key", "source", "kind", "found", F.xxhash64("c.lines").alias("line"), F.col("c.sizes").alias("size")), "lines")
     open_lines = small(materialise(lines.select("line").distinct(), "open-lines"), LINE_BYTES)
-    counts = materialise(line_counts(documents).join(open_lines, "line", "left_semi"), "line-counts")
+    every_line = materialise(lines_of(documents), "every-line")
+    counts = materialise(line_counts(every_line.join(open_lines, "line", "left_semi")), "line-counts")
     sizes = documents.groupBy(F.lower(F.trim("source")).alias("source")).agg(F.count(F.lit(1)).alias("host_docs"))
     recurrent = counts.where(F.col("source").isNotNull() & (F.col("docs") >= RECURS_DOCS)).join(small(sizes, LINE_BYTES), "source").where(F.col("docs") >= RECURS_SHARE * F.col("host_docs")).select("source", "line")
     # lines that recur almost only in residue are evidence, not boilerplate
@@ -386,11 +393,9 @@ def residue(documents: DataFrame) -> DataFrame:
     total = F.col("evidence") + F.col("more")
     judged = judged.select("doc_id", "kind", total.alias("total"), F.greatest(F.col("residual") - F.col("less"), total).alias("left"))
     # documents without evidence of their own that consist of learnt lines
-    texts = documents.select(key, "doc_id", F.explode(F.filter(F.transform(F.split("text", r"[\r\n]+"), _normal_column), lambda x: F.length(x) > 0)).alias("text_line"))
-    texts = texts.select("row_key", "doc_id", F.xxhash64("text_line").alias("line"), F.length("text_line").alias("size"))
-    held = texts.join(learnt, "line", "left_semi").select("row_key").distinct().join(weighed.select("row_key"), "row_key", "left_anti")
-    whole = texts.join(small(materialise(held, "held"), LINE_BYTES), "row_key", "left_semi").join(learnt, "line", "left")
-    whole = whole.groupBy("row_key", "doc_id").agg(F.max("as").alias("kind"), F.coalesce(F.sum(F.when(F.col("as").isNotNull(), F.col("size"))), F.lit(0)).cast("double").alias("total"), F.sum("size").cast("double").alias("left"))
-    times = documents.select(key).join(small(held, LINE_BYTES), "row_key", "left_semi").groupBy("row_key").agg(F.count(F.lit(1)).alias("copies"))
-    whole = whole.join(times, "row_key").select("doc_id", "kind", "total", "left", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop("col")
+    held = every_line.join(learnt, "line", "left_semi").select("row_key").distinct().join(weighed.select("row_key"), "row_key", "left_anti")
+    held = small(materialise(held, "held"), LINE_BYTES)
+    whole = every_line.join(held, "row_key", "left_semi").dropDuplicates(["row_key", "line"]).join(learnt, "line", "left")
+    whole = whole.groupBy("row_key").agg(F.max("as").alias("kind"), F.coalesce(F.sum(F.when(F.col("as").isNotNull(), F.col("size"))), F.lit(0)).cast("double").alias("total"), F.sum("size").cast("double").alias("left"))
+    whole = documents.select(F.expr(ROW_KEY), "doc_id").join(small(whole, LINE_BYTES), "row_key").select("doc_id", "kind", "total", "left")
     return judged.unionByName(whole).where(F.col("total") * 2 > F.col("left")).select("doc_id", "kind", (F.col("total") / F.col("left")).alias("share"))

@@ -235,8 +235,8 @@ def test_boilerplate_leaves_the_residual(spark):
     got = [(r["doc_id"], r["kind"], round(r["share"], 3)) for r in residue.residue(df).collect()]
     assert sorted(got, key=str) == sorted([(1, "script", 1.0), (None, "script", 1.0), (9, "script", 1.0), (9, "script", 1.0)], key=str)
     assert residue.residue(df.where("doc_id = 99")).count() == 0
-    counts = {(r["source"], r["line"]): r["docs"] for r in residue.line_counts(df).collect()}
-    assert sorted(counts.values()) == [1, 1, 1, 1, 1, 1, 2, 2, 3] and max(counts, key=counts.get)[0] == "h1"
+    counts = {(r["source"], r["line"]): r["docs"] for r in residue.line_counts(residue.lines_of(df.where("doc_id <> 9 OR doc_id IS NULL"))).collect()}
+    assert sorted(counts.values()) == [1, 1, 1, 1, 1, 1, 2, 3] and max(counts, key=counts.get)[0] == "h1"
     # without the other pages of its host the same document is not residue
     assert residue.residue(df.where("doc_id IN (1, 4)")).count() == 0
 
@@ -244,11 +244,11 @@ def test_boilerplate_leaves_the_residual(spark):
 def test_recurrent_lines_are_learnt(spark):
     """A line in no known form that recurs only beside errors is evidence; one that recurs beside content is not."""
     odd, usual = "Quendra molvi testrape indoru valke", "The harbour office is open from nine to five"
-    rows = [(i, f"h{i}", f"Error {500 + i % 2}: page not found, sorry about that\n{odd}") for i in range(8)]
+    rows = [(i, f"h{i}", f"Error {500 + i % 2}: page not found, sorry about that\n{odd}") for i in range(14)]
     rows += [(20 + i, f"h{i}", f"{usual}\nA note of its own about boat number {'x' * i} in the harbour") for i in range(8)]
     rows += [(50, "h9", odd), (51, "h9", odd), (52, "h9", f"{odd}\nA long text about the boats that lay in the harbour for weeks."), (53, "h9", usual)]
     got = {r["doc_id"] for r in residue.residue(pages(spark, rows)).collect()}
-    assert got == {*range(8), 50, 51}
+    assert got == {*range(14), 50, 51}
 
 
 def test_very_long_texts_are_judged_whole():
@@ -295,11 +295,10 @@ def test_the_first_look_passes_all_that_is_not_content(pieces):
     assert not weight or residue.may_hold_evidence(text)
 
 
-def test_repeats_are_alike_in_both_engines(spark):
-    texts = ["bla bla bla bla bla bla bla bla", "One line.\nOne line.\nOne line.", "a. b. a. c. a. d", "The boats lie in the harbour. The trams go by.", "", " \n ", "x", "Nobody knows. Nobody knows. Nobody knows!", "1\t2\t3 4 5 6 7 8 9"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
-    got = {r["i"]: r["r"] for r in df.select("i", residue.repeats_column(F.col("text")).alias("r")).collect()}
-    assert got == {i: residue.repeats(t) for i, t in enumerate(texts)} and got[0] and got[1] and not got[3]
+def test_repetition():
+    again = ["bla bla bla bla bla bla bla bla", "One line.\nOne line.\nOne line.", "a. b. a. c. a. d", "Nobody knows. Nobody knows. Nobody knows!", "The same again and again.\n" * 500]
+    assert all(residue.repeats(t) for t in again)
+    assert not any(residue.repeats(t) for t in ["The boats lie in the harbour. The trams go by.", "", " \n ", "x", "\ud800"])
 
 
 def test_cues_hold_at_word_bounds():
