@@ -275,7 +275,7 @@ def _look(texts: list[str]) -> np.ndarray:
     if not len(at):
         return marked
     # cues of one sentence count together
-    cut = np.array([0, *(m.start() for m in _CUT.finditer(joined)), len(joined)], np.int64)
+    cut = np.array([-1, *(m.start() for m in _CUT.finditer(joined)), len(joined)], np.int64)
     place = np.searchsorted(cut, at, side="right")
     starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     has = np.bitwise_or.reduceat(bits, starts)
@@ -287,7 +287,7 @@ def _look(texts: list[str]) -> np.ndarray:
     for k in np.flatnonzero(worth):
         doc = np.searchsorted(ends, at[starts[k]])
         if not marked[doc]:
-            sentence = cased[cut[place[starts[k]] - 1] : cut[min(place[starts[k]], len(cut) - 1)] + 1].strip("\0 \n\r")
+            sentence = cased[cut[place[starts[k]] - 1] + 1 : cut[min(place[starts[k]], len(cut) - 1)] + 1].strip("\0 \n\r")
             marked[doc] = sentence_kind(TAG.sub(" ", sentence) if "<" in sentence else sentence) != CONTENT
     return marked
 
