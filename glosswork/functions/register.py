@@ -14,6 +14,8 @@ SCALARS = {
     "vector_norm": ("a ARRAY<DOUBLE>", "DOUBLE", "sqrt(aggregate(a, 0.0D, (s, x) -> s + x * x))"),
     "vector_cosine": ("a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "DOUBLE", "aggregate(zip_with(a, b, (x, y) -> x * y), 0.0D, (s, x) -> s + x) / nullif(sqrt(aggregate(a, 0.0D, (s, x) -> s + x * x)) * sqrt(aggregate(b, 0.0D, (s, x) -> s + x * x)), 0.0D)"),
     "vector_logsumexp": ("v ARRAY<DOUBLE>", "DOUBLE", "array_max(v) + ln(aggregate(v, 0.0D, (s, x) -> s + exp(x - array_max(v))))"),
+    "vector_ilr": ("v ARRAY<DOUBLE>", "ARRAY<DOUBLE>", "CASE WHEN size(v) < 2 THEN CAST(array() AS ARRAY<DOUBLE>) ELSE transform(sequence(1, size(v) - 1), i -> sqrt(i / (i + 1.0D)) * (aggregate(slice(v, 1, i), 0.0D, (s, x) -> s + x) / i - v[i])) END"),
+    "vector_matvec": ("m ARRAY<ARRAY<DOUBLE>>, v ARRAY<DOUBLE>", "ARRAY<DOUBLE>", "transform(m, r -> aggregate(zip_with(r, v, (x, y) -> x * y), 0.0D, (s, x) -> s + x))"),
     "decay_weight": ("d DOUBLE, w DOUBLE, kind STRING, alpha DOUBLE", "DOUBLE", "CASE WHEN d = 0 THEN 1.0D WHEN abs(d) > w THEN 0.0D WHEN kind = 'linear' THEN (w - abs(d)) / w WHEN kind = 'harmonic' THEN 1 / abs(d) WHEN kind = 'exponential' THEN exp(-alpha * abs(d)) WHEN kind = 'power' THEN pow(1 + abs(d), -alpha) ELSE 1.0D END"),
 }
 
@@ -27,8 +29,23 @@ def kish_ess(w: pd.Series) -> float:
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def half_precision(v: pd.Series) -> pd.Series:
-    """Numbers rounded to half precision, as stored distributions are."""
-    return v.map(lambda x: None if x is None else np.asarray(x, np.float16).astype(np.float64))
+    """Numbers rounded to half precision, as stored distributions are; a batch is rounded at once."""
+    kept = v.dropna()
+    if not len(kept):
+        return pd.Series([None] * len(v), index=v.index, dtype=object)
+    flat = np.concatenate(kept.to_numpy()).astype(np.float16).astype(np.float64)
+    parts = np.split(flat, np.cumsum([len(x) for x in kept])[:-1])
+    return pd.Series(parts, index=kept.index, dtype=object).reindex(v.index).map(lambda x: x if isinstance(x, np.ndarray) else None)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def weighted_gram(v: pd.Series, w: pd.Series) -> list:
+    """Weighted sum of outer products of a group's vectors, row by row; rows with a null count for nothing."""
+    good = v.notna() & w.notna()
+    if not good.any():
+        return []
+    x, weight = np.stack(v[good].to_numpy()), w[good].to_numpy(float)
+    return ((x * weight[:, None]).T @ x).ravel().tolist()
 
 
 @F.pandas_udf(T.DoubleType())
@@ -78,7 +95,7 @@ def register(spark: SparkSession) -> None:
     ship(spark)
     for name, (args, kind, body) in SCALARS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {kind} RETURN {body}")
-    for name, f in (("kish_ess", kish_ess), ("half_precision", half_precision), ("gaussian_logpdf", gaussian_logpdf)):
+    for name, f in (("kish_ess", kish_ess), ("weighted_gram", weighted_gram), ("half_precision", half_precision), ("gaussian_logpdf", gaussian_logpdf)):
         spark.udf.register(name, f)
     spark.udtf.register("context_window", ContextWindow)
     spark.udtf.register("kde_grid", KdeGrid)

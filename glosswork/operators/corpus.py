@@ -16,14 +16,19 @@ from .folds import dense, dense_ints
 #: Positions of a document that are sorted together, as a power of two.
 STRETCH_BITS = 16
 
+#: Pairs of a window that a task holds before it adds them up, and arrays that are averaged at a time.
+HELD_PAIRS, WINDOW_ROWS = 1 << 22, 4096
+
 
 def latest(corpus: DataFrame) -> DataFrame:
     """``(doc_id, pos, token)``: of the rows of a position the one loaded last, without nulls in any of the three.
 
-    Rows that tie agree. One shuffle on the position.
+    A null ``loaded_at`` is the earliest; rows that tie agree. One shuffle
+    on the position.
     """
     rows = corpus.where("doc_id IS NOT NULL AND pos IS NOT NULL")
-    return rows.groupBy("doc_id", "pos").agg(F.max_by("token", "loaded_at").alias("token")).where("token IS NOT NULL")
+    earliest = F.lit("0001-01-01").cast(corpus.schema["loaded_at"].dataType)
+    return rows.groupBy("doc_id", "pos").agg(F.max_by("token", F.coalesce("loaded_at", earliest)).alias("token")).where("token IS NOT NULL")
 
 
 def words(documents: DataFrame) -> DataFrame:
@@ -43,26 +48,113 @@ def top_tokens(counts: DataFrame, column: str, n: int, by: str = "n") -> DataFra
     return counts.orderBy(F.desc(by), column).limit(n)
 
 
+def in_stretches(rows: DataFrame, backward: int, forward: int) -> DataFrame:
+    """``rows`` with ``stretch``, repeated into the neighbouring stretches of positions that windows reach into.
+
+    The layout of everything that looks at neighbours: one shuffle by
+    ``(doc_id, stretch)``, in which a document of any length takes many
+    tasks. Rows of a stretch of their own are those with ``stretch`` equal to
+    ``pos >> STRETCH_BITS``.
+    """
+    # most positions are far from an end, so that nothing is repeated for them
+    reach = F.sequence(F.shiftright(F.col("pos") - forward, STRETCH_BITS), F.shiftright(F.col("pos") + backward, STRETCH_BITS))
+    return rows.withColumn("stretch", F.explode(reach))
+
+
+def _paired(window: windowing.Window):
+    """``(at, other, k)`` by batch: rows whose own stretch it is, rows at their ``k``-th offset, over batches sorted by document, stretch and position."""
+    reach = max(window.forward, window.backward)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            fresh = [c.to_numpy() for c in batch.columns]
+            old = 0 if held is None else len(held[0])
+            columns = fresh if held is None else [np.concatenate(x) for x in zip(held, fresh)]
+            doc, stretch, pos = columns[:3]
+            new = np.r_[True, (doc[1:] != doc[:-1]) | (stretch[1:] != stretch[:-1])] if len(doc) else np.zeros(0, bool)
+            # places on one line, on which groups are further apart than any window reaches
+            span = np.where(new, 0, np.diff(pos, prepend=pos[:1]))
+            line = np.cumsum(span + np.where(new, 2 * reach + 2, 0))
+            own = stretch == pos >> STRETCH_BITS
+            for k, (o, _) in enumerate(window.offsets):
+                # a pair is found when the later of its two rows comes in
+                later = np.arange(old, len(line))
+                at = np.searchsorted(line, line[later] - abs(o))
+                earlier = np.minimum(at, len(line) - 1)
+                hit = line[earlier] == line[later] - abs(o)
+                first, second = (earlier[hit], later[hit]) if o > 0 else (later[hit], earlier[hit])
+                keep = own[first]
+                yield columns, first[keep], second[keep], np.full(int(keep.sum()), k)
+            rest = len(line) - np.searchsorted(line, line[-1] - reach) if len(line) else 0
+            held = [c[len(c) - rest :] for c in columns]
+
+    return run
+
+
+def _sorted_stretches(corpus: DataFrame, window: windowing.Window) -> DataFrame:
+    spread = in_stretches(corpus.select("doc_id", "pos", "token"), window.backward, window.forward).select("doc_id", "stretch", "pos", "token")
+    return spread.repartition("doc_id", "stretch").sortWithinPartitions("doc_id", "stretch", "pos")
+
+
 def window_pairs(corpus: DataFrame, offsets: DataFrame) -> DataFrame:
     """``(doc_id, pos, token, o, other, wt)``: every position with the tokens of its window.
 
-    An equi-join on the shifted position; the offset table is small and
-    fixed, so a position is repeated once per offset.
+    One shuffle of the tokens, sorted within stretches; pairs are formed
+    where they lie.
     """
-    moved = corpus.join(small(offsets, 16)).select("doc_id", "pos", "token", "o", "wt", (F.col("pos") + F.col("o")).alias("at"))
-    other = corpus.select("doc_id", F.col("pos").alias("at"), F.col("token").alias("other"))
-    return moved.join(other, ["doc_id", "at"]).select("doc_id", "pos", "token", "o", "other", "wt")
+    ship(corpus.sparkSession)
+    window = windowing.resolve(offsets)
+    o, wt = (np.array(x) for x in zip(*window.offsets))
+    paired = _paired(window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (doc, _, pos, token), at, other, k in paired(batches):
+            columns = [doc[at], pos[at], token[at], o[k].astype(np.int32), token[other], wt[k].astype(float)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "pos", "token", "o", "other", "wt"])
+
+    kind = corpus.schema["token"].dataType.simpleString()
+    return _sorted_stretches(corpus, window).mapInArrow(run, f"doc_id bigint, pos bigint, token {kind}, o int, other {kind}, wt double")
 
 
 def window_counts(corpus: DataFrame, offsets: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """``(t, w, f)``: summed weights with which ``w`` stands in the windows of ``t``.
 
-    ``targets(token)`` restricts both sides before the join.
+    ``targets(token)`` restricts both sides before. Weights are added up
+    within a task, and only sums of distinct pairs are shuffled.
     """
+    ship(corpus.sparkSession)
     if targets is not None:
         corpus = corpus.join(small(targets.select("token"), 16), "token", "left_semi").select("doc_id", "pos", "token")
-    pairs = window_pairs(corpus, offsets)
-    return pairs.groupBy(F.col("token").alias("t"), F.col("other").alias("w")).agg(F.sum("wt").alias("f"))
+    window = windowing.resolve(offsets)
+    wt = np.array([w for _, w in window.offsets])
+    paired = _paired(window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, f, held = [np.zeros(0, np.int64)], [np.zeros(0)], 0
+
+        def total() -> tuple[np.ndarray, np.ndarray]:
+            known, at = np.unique(np.concatenate(key), return_inverse=True)
+            return known, np.bincount(at, np.concatenate(f), len(known))
+
+        def out(known: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(known), 65536):
+                part = known[a : a + 65536]
+                yield pa.RecordBatch.from_arrays([pa.array((part >> 32).astype(np.int32)), pa.array((part & 0xFFFFFFFF).astype(np.uint32).view(np.int32)), pa.array(sums[a : a + 65536])], names=["t", "w", "f"])
+
+        for (_, _, _, token), at, other, k in paired(batches):
+            key.append(token[at].astype(np.int64) << 32 | token[other].astype(np.int64) & 0xFFFFFFFF)
+            f.append(wt[k])
+            held += len(at)
+            if held > HELD_PAIRS:
+                known, sums = total()
+                key, f, held = [known], [sums], len(known)
+                if held > HELD_PAIRS // 2:
+                    yield from out(known, sums)
+                    key, f, held = [np.zeros(0, np.int64)], [np.zeros(0)], 0
+        yield from out(*total())
+
+    return _sorted_stretches(corpus, window).mapInArrow(run, "t int, w int, f double").groupBy("t", "w").agg(F.sum("f").alias("f"))
 
 
 def count_pmi(counts: DataFrame) -> DataFrame:
@@ -75,9 +167,11 @@ def count_pmi(counts: DataFrame) -> DataFrame:
 
 
 def next_token(corpus: DataFrame) -> DataFrame:
-    """``corpus`` with ``next``, the token at the following position of the document, where there is one."""
-    following = corpus.select("doc_id", (F.col("pos") - 1).alias("pos"), F.col("token").alias("next"))
-    return corpus.join(following, ["doc_id", "pos"])
+    """``(doc_id, pos, token, next)``: tokens with the one at the following position of the document, where there is one."""
+    spread = in_stretches(corpus.select("doc_id", "pos", "token"), 0, 1)
+    order = Window.partitionBy("doc_id", "stretch").orderBy("pos")
+    seen = spread.select("doc_id", "pos", "token", "stretch", F.lead("pos").over(order).alias("at"), F.lead("token").over(order).alias("next"))
+    return seen.where((F.col("at") == F.col("pos") + 1) & (F.col("stretch") == F.shiftright("pos", STRETCH_BITS))).select("doc_id", "pos", "token", "next")
 
 
 def predicting(corpus: DataFrame, token: int) -> DataFrame:
@@ -141,10 +235,19 @@ def labelled_places(corpus: DataFrame, places: DataFrame, vocab: DataFrame, cont
 def sampled(rows: DataFrame, key: Sequence[str], n: int) -> DataFrame:
     """A uniform sample of ``n`` rows without replacement: those of lowest hash of ``key``, in order of ``key``.
 
-    The same for every partitioning; of fewer rows all are taken.
+    The same for every partitioning; of fewer rows all are taken. The
+    place of the last one is found among the hashes alone; rows are then
+    filtered where they lie.
     """
     digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key]))
-    return rows.withColumn("__d", digest).orderBy("__d", *key).limit(n).drop("__d").orderBy(*key)
+    last = rows.select(digest.alias("__d"), *key).orderBy("__d", *key).offset(max(0, n - 1)).limit(1).select("__d").collect() if n > 0 else []
+    if n <= 0:
+        return rows.limit(0)
+    if not last:
+        return rows.orderBy(*key)
+    near = rows.withColumn("__d", digest).where(F.col("__d") <= last[0]["__d"])
+    # rows of the same key share a hash; more than n are left only if they tie with the last
+    return near.orderBy("__d", *key).limit(n).drop("__d").orderBy(*key)
 
 
 def valid_positions(lengths: DataFrame, least: int, forward: int) -> DataFrame:
@@ -168,20 +271,6 @@ def training_blocks(corpus: DataFrame, block: int, n: int) -> DataFrame:
     return whole.select("doc_id", "start", F.slice("l.token", 1, block).alias("x"), F.slice("l.token", 2, block).alias("y"))
 
 
-def window_average(values: DataFrame, offsets: DataFrame, key: str) -> DataFrame:
-    """``(doc_id, pos, key, x)``: weighted mean of ``values(doc_id, pos, key, x)`` over the window of every whole position.
-
-    Serves probabilities (``key`` a token) and states (``key`` a
-    dimension). Sums divide by the total weight of the table; positions of
-    which a neighbour is missing are left out, nothing is padded.
-    """
-    total, n = offsets.agg(F.sum("wt"), F.count(F.lit(1))).first()
-    # a value goes to every position whose window it stands in; one aggregation, no join of the values with themselves
-    moved = values.join(small(offsets, 16)).select("doc_id", (F.col("pos") - F.col("o")).alias("pos"), key, (F.col("x") * F.col("wt")).alias("x"))
-    summed = moved.groupBy("doc_id", "pos", key).agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
-    return summed.where(F.col("n") == n).select("doc_id", "pos", key, (F.col("x") / F.lit(float(total))).alias("x"))
-
-
 def in_windows(corpus: DataFrame, window: windowing.Window, column: str = "token") -> DataFrame:
     """``(doc_id, pos, tokens)``: what stands at the window's offsets of every whole position, in order of the offsets.
 
@@ -191,8 +280,7 @@ def in_windows(corpus: DataFrame, window: windowing.Window, column: str = "token
     left out.
     """
     stretch = F.shiftright("pos", STRETCH_BITS)
-    reach = F.array_distinct(F.array(F.shiftright(F.col("pos") - window.forward, STRETCH_BITS), stretch, F.shiftright(F.col("pos") + window.backward, STRETCH_BITS)))
-    spread = corpus.select("doc_id", "pos", F.col(column).alias("v"), F.explode(reach).alias("stretch"))
+    spread = in_stretches(corpus.select("doc_id", "pos", F.col(column).alias("v")), window.backward, window.forward)
     order = Window.partitionBy("doc_id", "stretch").orderBy("pos")
     steps = [(k, o) for k, (o, _) in enumerate(window.offsets)]
     seen = spread.select(
@@ -206,14 +294,43 @@ def in_windows(corpus: DataFrame, window: windowing.Window, column: str = "token
     return seen.where(whole).select("doc_id", "pos", F.array(*[F.col(f"v{k}") for k, _ in steps]).alias("tokens"))
 
 
+def window_average(rows: DataFrame, offsets: DataFrame) -> DataFrame:
+    """``(doc_id, pos, v)``: weighted mean of the arrays ``rows(doc_id, pos, v)`` over the window of every whole position.
+
+    Serves states and distributions. Sums divide by the total weight of the
+    table; positions of which a neighbour is missing, or null, are left out,
+    nothing is padded. Arrays are shuffled once and averaged by the batch.
+    """
+    ship(rows.sparkSession)
+    window = windowing.resolve(offsets)
+    weight = np.array([w for _, w in window.offsets]) / window.total
+    # a window of n places holds n arrays a row, so that batches are cut by what they hold
+    step = max(1, WINDOW_ROWS // len(weight))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                arrays = batch.column(2).flatten()
+                n, d = batch.num_rows, len(arrays.flatten()) // max(1, len(arrays))
+                x = arrays.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, len(weight), d)
+                mean = np.einsum("nkd,k->nd", x, weight)
+                values = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d), pa.array(mean.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), values], names=["doc_id", "pos", "v"])
+
+    seen = in_windows(rows.where("v IS NOT NULL"), window, "v")
+    return seen.mapInArrow(run, "doc_id bigint, pos bigint, v array<double>")
+
+
 def window_predictions(corpus: DataFrame, offsets: DataFrame, model: DataFrame) -> tuple[DataFrame, list[int]]:
     """``(doc_id, pos, p)`` and the tokens that ``p`` is about: predictions averaged over the window of every whole position.
 
     ``model(prev, token, p)`` predicts from the token at a position, so only
     tokens are brought together, and their distributions are looked up where
     they meet. The model is a row for each context; its size is checked, and
-    above the bound distributions are averaged by :func:`window_average`
-    instead. Positions with a neighbour that has no prediction are left out.
+    above the bound distributions are joined to their positions and averaged
+    by :func:`window_average` instead. Positions with a neighbour that has no
+    prediction are left out.
     """
     ship(corpus.sparkSession)
     window = windowing.resolve(offsets)
@@ -222,9 +339,8 @@ def window_predictions(corpus: DataFrame, offsets: DataFrame, model: DataFrame)
     most = BROADCAST_BYTES // (8 * max(1, len(names)))
     held = lists.limit(most + 1).toArrow()
     if held.num_rows > most:
-        rows = corpus.select("doc_id", "pos", F.col("token").alias("prev")).join(model, "prev").select("doc_id", "pos", "token", F.col("p").alias("x"))
-        mean = window_average(rows, offsets, "token")
-        return mean.groupBy("doc_id", "pos").agg(F.sort_array(F.collect_list(F.struct("token", "x"))).alias("l")).select("doc_id", "pos", F.col("l.x").alias("p")), names
+        rows = corpus.select("doc_id", "pos", F.col("token").alias("prev")).join(lists, "prev").select("doc_id", "pos", F.col("p").alias("v"))
+        return window_average(rows, offsets).withColumnRenamed("v", "p"), names
     context = held.column("prev").to_numpy()
     order = np.argsort(context)
     context, table = context[order], dense(held.column("p"))[order]

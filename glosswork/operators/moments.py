@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import EPS, ilr_apply, ilr_matrix
-from .folds import fold, fold_probabilities, stat
+from .folds import fold, fold_probabilities, stat, target_blocks
 from .providers import matrix
 from .vectorspace import gathered, gram
 
@@ -65,21 +66,35 @@ def marginals_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("token").agg(F.avg("p").alias("z"), F.sum("p").alias("z_sum"))
 
 
+def blockwise(targets: int, width: int, folded_of) -> DataFrame:
+    """The union of folds ``folded_of(block)`` over blocks of targets, with ``i`` of their stat ``m`` counted over all."""
+    parts = []
+    for block in target_blocks(targets, width) or [slice(0, 0)]:
+        place = F.when(F.col("stat") == "m", F.col("i") + block.start).otherwise(F.col("i")).cast("int")
+        parts.append(folded_of(block).withColumn("i", place))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def moments(states: DataFrame, unembedding: DataFrame, targets: Sequence[int] | None = None, z: DataFrame | None = None) -> DataFrame:
     """``(t, w, m, z_t, z_w)``: mean product of the probabilities of two tokens, with both marginals.
 
     ``targets`` restricts ``t`` before the product is formed; ``w`` always
     covers the vocabulary. ``z(token, z)`` replaces the sample's own
-    marginals. Each task adds up a block of targets by vocabulary.
+    marginals. Each task adds up a block of targets by vocabulary; more
+    targets than fit one take more passes over the states.
     """
     model = Model.of(unembedding)
     rows = model.rows(targets)
 
-    def kernel(h, log_p):
-        p = np.exp(log_p)
-        return {"m": p[:, rows].T @ p, "z": p.sum(0), "n": np.full(1, len(h))}
+    def kernel(block: slice):
+        def run(h, log_p):
+            p = np.exp(log_p)
+            out = {"m": p[:, rows[block]].T @ p}
+            return out if block.start else out | {"z": p.sum(0), "n": np.full(1, len(h))}
 
-    folded = fold(states, model.weights, kernel)
+        return run
+
+    folded = blockwise(len(rows), len(model.weights), lambda block: fold(states, model.weights, kernel(block)))
     n = stat(folded, "n", "one", value="n").select("n")
     m = model.named(stat(folded, "m", "t", "w", "m_sum"), "t", "w", rows=rows)
     if z is None:
@@ -96,7 +111,8 @@ def pmi(moment: DataFrame, eps: float = EPS) -> DataFrame:
 
 def moments_of(rows: DataFrame) -> DataFrame:
     """``(t, w, m_sum)`` of stored distributions ``rows(p)`` as arrays; divide by the number of rows for means."""
-    return stat(fold_probabilities(rows, lambda p: {"m": p.T @ p}), "m", "t", "w", "m_sum")
+    width = rows.agg(F.max(F.size("p"))).first()[0] or 0
+    return stat(blockwise(width, width, lambda block: fold_probabilities(rows, lambda p: {"m": p[:, block].T @ p})), "m", "t", "w", "m_sum")
 
 
 def excess_moments(states: DataFrame, unembedding: DataFrame, z: np.ndarray, targets: Sequence[int] | None = None) -> DataFrame:
@@ -109,11 +125,14 @@ def excess_moments(states: DataFrame, unembedding: DataFrame, z: np.ndarray, tar
     rows = model.rows(targets)
     log_z = np.log(np.where(z > 0, z, np.nan))[rows]
 
-    def kernel(h, log_p):
-        d = np.maximum(0, log_p[:, rows] - log_z)
-        return {"m": d.T @ np.exp(log_p), "d": d.sum(0), "n": np.full(1, len(h))}
+    def kernel(block: slice):
+        def run(h, log_p):
+            out = {"m": np.maximum(0, log_p[:, rows[block]] - log_z[block]).T @ np.exp(log_p)}
+            return out if block.start else out | {"d": np.maximum(0, log_p[:, rows] - log_z).sum(0), "n": np.full(1, len(h))}
 
-    folded = fold(states, model.weights, kernel)
+        return run
+
+    folded = blockwise(len(rows), len(model.weights), lambda block: fold(states, model.weights, kernel(block)))
     n = stat(folded, "n", "one", value="n").select("n")
     d = stat(folded, "d", "t", value="d_sum")
     joined = stat(folded, "m", "t", "w", "m_sum").join(d, "t").join(F.broadcast(n))

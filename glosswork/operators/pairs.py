@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, doubles, norm
-from ..session import small
+from ..session import materialise, small
 
 # The word-pair benchmarks by name, with title, source and kind of task.
 BENCHMARKS = (
@@ -94,10 +94,20 @@ def pair_scores(benchmark: DataFrame, vectors: DataFrame, vocab: DataFrame, meth
 
 
 def mean_ranks(rows: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
-    """Ranks within ``by``, equal values sharing their mean rank."""
-    order = Window.partitionBy(*by).orderBy(value)
-    ties = Window.partitionBy(*by, value)
-    return rows.withColumn(out, F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0))
+    """Ranks within ``by``, equal values sharing their mean rank.
+
+    Distinct values are counted first and lie in ranges over the tasks;
+    ranks are sums within a range on top of the sums of the ranges before, so
+    that one group of any size is ranked by many tasks.
+    """
+    counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    ranged = materialise(counted.repartitionByRange(*by, value).withColumn("__part", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy(*by, "__part").agg(F.sum("__n").alias("__n")).select(*by, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    within = Window.partitionBy(*by, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.col("__base") + F.coalesce(F.sum("__n").over(within), F.lit(0)) + (F.col("__n") + 1) / F.lit(2.0)
+    ranks = ranged.join(small(parts, 48), [*by, "__part"]).select(*by, value, rank.alias(out))
+    return rows.join(small(materialise(ranks, "ranks"), 48), [*by, value])
 
 
 def spearman(scored: DataFrame) -> DataFrame:
@@ -107,6 +117,7 @@ def spearman(scored: DataFrame) -> DataFrame:
     fewer than two of them, or a constant side, give a null correlation.
     """
     valid = scored.where("score IS NOT NULL AND similarity IS NOT NULL")
+    valid = materialise(valid.select("name", "similarity", "score"), "scored")
     ranked = mean_ranks(mean_ranks(valid, ["name"], "similarity", "ra"), ["name"], "score", "rb")
     r = ranked.groupBy("name").agg(F.count(F.lit(1)).alias("benchmark_size"), (F.covar_pop("ra", "rb") / F.nullif(F.stddev_pop("ra") * F.stddev_pop("rb"), F.lit(0.0))).alias("r"))
     total = scored.groupBy("name").agg(F.count(F.lit(1)).alias("n_pairs"))

@@ -6,12 +6,15 @@ w)`` and ``probs(row, token, p)``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, doubles, softmax
-from ..session import small
+from ..session import materialise, small
+from .corpus import next_token
 
 #: Bytes of an unembedding matrix that tasks may hold; it is a model parameter and does not grow with the corpus.
 MODEL_BYTES = 512 << 20
@@ -62,22 +65,40 @@ def observed(corpus: DataFrame) -> DataFrame:
     return corpus.where("token IS NOT NULL").select("doc_id", "pos", "token", F.lit(1.0).alias("p"))
 
 
-def bigram_model(corpus: DataFrame, tokens: DataFrame, alpha: float = 0.5) -> DataFrame:
-    """``(prev, token, n, p)``: add-``alpha`` probabilities of the next token within the vocabulary ``tokens(token)``.
+def bigram_model(corpus: DataFrame, alpha: float = 0.5) -> tuple[DataFrame, int]:
+    """``(prev, token, n, total, p)`` of the bigrams that occur, and the size of the vocabulary.
 
-    A bigram is two tokens at neighbouring positions of a document. Every
-    ``prev`` that occurs before a token of the vocabulary has a row
-    for each token; ``n`` counts the bigram. Probabilities depend on the
-    previous token only, so they are kept once for each context instead of
-    once for each position.
+    A bigram is two tokens at neighbouring positions of a document; ``p`` is
+    its add-``alpha`` probability given ``prev``, over all tokens of the
+    corpus, and ``total`` how often ``prev`` is followed by any. A token that
+    never follows ``prev`` has ``alpha / (total + alpha * size)``; such
+    pairs have no row, so the table is as large as what was observed.
     """
-    v = small(tokens.select("token"), 16)
     held = corpus.where("token IS NOT NULL").select("doc_id", "pos", "token")
-    before = held.select("doc_id", (F.col("pos") + 1).alias("pos"), F.col("token").alias("prev"))
-    pairs = held.join(v, "token", "left_semi").join(before, ["doc_id", "pos"])
-    counted = pairs.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n"))
+    counted = next_token(held).groupBy(F.col("token").alias("prev"), F.col("next").alias("token")).agg(F.count(F.lit(1)).alias("n"))
+    counted = materialise(counted, "bigrams")
+    size = held.select("token").distinct().count()
     context = counted.groupBy("prev").agg(F.sum("n").alias("total"))
-    grid = context.join(v)  # a row for each context and token is the result itself
-    filled = grid.join(counted, ["prev", "token"], "left").fillna({"n": 0})
-    size = tokens.count()
-    return filled.select("prev", "token", "n", ((F.col("n") + alpha) / (F.col("total") + alpha * size)).alias("p"))
+    joined = counted.join(small(context, 24), "prev")
+    return joined.select("prev", "token", "n", "total", ((F.col("n") + alpha) / (F.col("total") + alpha * size)).alias("p")), size
+
+
+def bigram_predictions(model: DataFrame, size: int, targets: Sequence[int], alpha: float = 0.5) -> DataFrame:
+    """``(prev, token, n, total, p)`` of every context of a :func:`bigram_model` and each of ``targets``, seen or not."""
+    asked = F.explode(F.lit([int(t) for t in targets])).alias("token")
+    grid = model.select("prev", "total").distinct().select("prev", "total", asked)
+    seen = model.where(F.col("token").isin([int(t) for t in targets])).select("prev", "token", "n")
+    filled = grid.join(small(seen, 24), ["prev", "token"], "left").fillna({"n": 0})
+    return filled.select("prev", "token", "n", "total", ((F.col("n") + alpha) / (F.col("total") + alpha * size)).alias("p"))
+
+
+def bigram_marginals(model: DataFrame, size: int, alpha: float = 0.5) -> DataFrame:
+    """``(token, z)``: mean probability of every token over all contexts, by how often these occur.
+
+    What contexts give to tokens that never follow them is a sum over
+    contexts that is the same for every token, so no row for it is made.
+    """
+    contexts = model.select("prev", "total").distinct()
+    whole, rest = contexts.agg(F.sum("total"), F.sum(F.col("total") * alpha / (F.col("total") + alpha * size))).first()
+    seen = model.groupBy("token").agg(F.sum(F.col("total") * F.col("n") / (F.col("total") + alpha * size)).alias("more"))
+    return seen.select("token", ((F.col("more") + F.lit(rest)) / F.lit(whole)).alias("z"))

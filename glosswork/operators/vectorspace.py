@@ -8,10 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.vectors import cosine, dot, doubles, minus
 from ..session import ship
-from .folds import FOLD, _emit, dense
+from .folds import PACKED, added, dense, pack
+
+#: Columns up to which a Gram matrix is solved; beyond, extra directions and passes of the randomised range finder.
+GRAM_WIDTH, OVERSAMPLE, PASSES = 2048, 16, 4
 
 
 def gram(vectors: DataFrame, column: str, weight: str | None = None, centre: np.ndarray | None = None) -> DataFrame:
@@ -28,11 +32,11 @@ def gram(vectors: DataFrame, column: str, weight: str | None = None, centre: np.
             w = batch.column(1).to_numpy(zero_copy_only=False)
             part = {"w": np.array([w.sum(), (w * w).sum(), len(w)]), "s": w @ x, "g": (x * w[:, None]).T @ x}
             sums = {k: sums[k] + v if k in sums else v for k, v in part.items()}
-        yield from _emit(sums)
+        yield from pack(sums)
 
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = vectors.where(F.col(column).isNotNull()).select(doubles(column).alias("x"), w.alias("w"))
-    return rows.mapInArrow(run, FOLD).groupBy("stat", "i", "j").agg(F.sum("value").alias("value"))
+    return added(rows.mapInArrow(run, PACKED))
 
 
 def gathered(folded: DataFrame) -> dict[str, np.ndarray]:
@@ -74,13 +78,29 @@ def principal_axes(vectors: DataFrame, column: str = "h", weight: str | None = N
 
 
 def project(vectors: DataFrame, axes: np.ndarray, mean: np.ndarray | None = None, column: str = "h", out: str = "proj") -> DataFrame:
-    """``vectors`` with their products with the columns of ``axes``, after taking ``mean`` off; other columns stay."""
-    centre = np.zeros(len(axes)) if mean is None else mean
+    """``vectors`` with their products with the columns of ``axes``, after taking ``mean`` off; other columns stay.
+
+    The axes go to the tasks as one matrix and meet a batch in one product;
+    a null vector has null products.
+    """
+    ship(vectors.sparkSession)
+    shift = np.zeros(axes.shape[1]) if mean is None else mean @ axes
+    k = axes.shape[1]
+    kept = vectors.drop(out)
+    place = kept.columns.index(column)
 
-    def products(h):
-        return F.array(*[dot(h, F.array(*[F.lit(float(x)) for x in axes[:, k]])) - F.lit(float(centre @ axes[:, k])) for k in range(axes.shape[1])])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(place)
+            good = np.asarray(lists.is_valid())
+            x = dense(lists.filter(pa.array(good)))
+            y = (x @ axes - shift) if len(x) else np.zeros((0, k))
+            ends = np.r_[0, np.cumsum(np.where(good, k, 0))].astype(np.int32)
+            made = pa.ListArray.from_arrays(pa.array(ends), pa.array(y.ravel()), mask=pa.array(~good))
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, out])
 
-    return vectors.withColumn(out, products(doubles(column)))
+    schema = T.StructType([*kept.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+    return kept.mapInArrow(run, schema)
 
 
 def axes_table(spark: SparkSession, axes: np.ndarray, values: np.ndarray) -> DataFrame:
@@ -88,26 +108,78 @@ def axes_table(spark: SparkSession, axes: np.ndarray, values: np.ndarray) -> Dat
     return spark.createDataFrame([(k, [float(x) for x in axes[:, k]], float(values[k])) for k in range(axes.shape[1])], "pc int, v array<double>, s double")
 
 
+def _moved(rows: DataFrame, column: str, basis: np.ndarray, mean: np.ndarray) -> dict[str, np.ndarray]:
+    """Sums ``b = X' (X Q)`` and ``c = (X Q)' (X Q)`` over all rows, less ``mean``, for a tall basis ``Q``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                x = dense(batch.column(0).slice(at, 1024)) - mean
+                y = x @ basis
+                for name, value in (("b", x.T @ y), ("c", y.T @ y)):
+                    sums[name] = sums[name] + value if name in sums else value
+        yield from pack(sums)
+
+    return gathered(added(rows.where(F.col(column).isNotNull()).select(doubles(column).alias("x")).mapInArrow(run, PACKED)))
+
+
+def right_vectors(rows: DataFrame, column: str, k: int, centre: bool, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, int]:
+    """The ``k`` greatest right singular vectors and squared values, the mean, the squared norm of all and the number of rows.
+
+    Up to :data:`GRAM_WIDTH` columns the Gram matrix is solved. Wider rows
+    take a randomised range finder: columns x ``k + OVERSAMPLE`` sums are
+    added up a few times, each time from a better basis, so that neither a
+    task nor the driver holds a matrix of the squared width.
+    """
+    held = rows.where(F.col(column).isNotNull()).select(doubles(column).alias("x"))
+    width = held.agg(F.max(F.size("x"))).first()[0] or 0
+
+    def sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            x = dense(batch.column(0))
+            if len(x):
+                part = {"w": np.array([(x * x).sum(), len(x)]), "s": x.sum(0)}
+                sums = {name: sums[name] + v if name in sums else v for name, v in part.items()}
+        yield from pack(sums)
+
+    ship(rows.sparkSession)
+    if width <= GRAM_WIDTH:
+        sums = gathered(gram(rows, column))
+        n, mean = sums["w"][2], sums["s"] / sums["w"][2] if centre else np.zeros(width)
+        g = sums["g"] - n * np.outer(mean, mean)
+        value, axes = np.linalg.eigh((g + g.T) / 2)
+        norm = float(np.trace(g))
+    else:
+        first = gathered(added(held.mapInArrow(sums_of, PACKED)))
+        n, mean = first["w"][1], first["s"] / first["w"][1] if centre else np.zeros(width)
+        norm = float(first["w"][0] - n * (mean @ mean))
+        basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, min(width, k + OVERSAMPLE))))[0]
+        for _ in range(PASSES):
+            basis = np.linalg.qr(_moved(rows, column, basis, mean)["b"])[0]
+        c = _moved(rows, column, basis, mean)["c"]
+        value, turn = np.linalg.eigh((c + c.T) / 2)
+        axes = basis @ turn
+    order = np.argsort(-value, kind="stable")[:k]
+    return np.maximum(value[order], 0), _signed(axes[:, order]), mean, norm, int(n)
+
+
 def svd_embedding(rows: DataFrame, k: int, alpha: float = 0.5, centre: bool = False, key: str = "t", column: str = "v") -> tuple[DataFrame, np.ndarray, float]:
     """``(key, e)`` of ``k`` dimensions, the singular values, and the share of the squared norm they explain.
 
     ``e`` is the left singular vectors times the values to the power
-    ``alpha``. The Gram matrix of the columns is added up in Spark and solved
-    on the driver; rows are projected where they lie, so there may be any
-    number of them. ``k`` above the rank raises.
+    ``alpha``. Sums over the columns are added up in Spark and solved on the
+    driver (:func:`right_vectors`); rows are projected where they lie, so
+    there may be any number of them. ``k`` above the rank raises.
     """
-    sums = gathered(gram(rows, column))
-    n, mean = sums["w"][2], sums["s"] / sums["w"][2]
-    g = sums["g"] - (n * np.outer(mean, mean) if centre else 0)
-    value, axes = np.linalg.eigh((g + g.T) / 2)
-    order = np.argsort(-value, kind="stable")
-    value, axes = np.maximum(value[order], 0), _signed(axes[:, order])
-    if k > min(int(n), len(value)) or not value[k - 1] > 1e-12 * max(value[0], 1e-300):
+    value, axes, mean, norm, n = right_vectors(rows, column, k, centre)
+    if k > min(n, len(axes)) or not value[k - 1] > 1e-12 * max(value[0], 1e-300):
         raise ValueError(f"{k} dimensions exceed the rank")
-    s = np.sqrt(value[:k])
-    scaled = axes[:, :k] * s ** (alpha - 1)  # U S^alpha = X V S^(alpha - 1)
-    embedded = project(rows.where(F.col(column).isNotNull()), scaled, mean if centre else None, column, "e")
-    return embedded.select(key, "e"), s, float(value[:k].sum() / max(value.sum(), 1e-300))
+    s = np.sqrt(value)
+    scaled = axes * s ** (alpha - 1)  # U S^alpha = X V S^(alpha - 1)
+    embedded = project(rows.where(F.col(column).isNotNull()).select(key, doubles(column).alias(column)), scaled, mean if centre else None, column, "e")
+    return embedded.select(key, "e"), s, float(value.sum() / max(norm, 1e-300))
 
 
 def lists_of(long: DataFrame, key: str, index: str, value: str, out: str = "v") -> DataFrame:
@@ -226,9 +298,32 @@ def facets(coordinates: DataFrame) -> DataFrame:
 
 
 def standardisation(vectors: DataFrame, column: str = "h", least: float = 1e-6) -> DataFrame:
-    """``(j, mean, std)`` of every component; a spread below ``least`` counts as one."""
-    long = vectors.select(F.posexplode(doubles(column)).alias("j", "x"))
-    std = F.stddev_pop("x")
-    return long.groupBy("j").agg(F.avg("x").alias("mean"), F.when(std < least, 1.0).otherwise(std).alias("std"))
+    """``(j, mean, std)`` of every component; a spread below ``least`` counts as one.
 
+    Sums are added up in tasks, about the first vector of each, so that
+    large means lose no digits.
+    """
+    ship(vectors.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, mean, spread = 0, None, None
+        for batch in batches:
+            x = dense(batch.column(0))
+            if not len(x):
+                continue
+            m, own = x.mean(0), ((x - x.mean(0)) ** 2).sum(0)
+            if mean is None:
+                n, mean, spread = len(x), m, own
+            else:
+                spread = spread + own + (m - mean) ** 2 * (n * len(x) / (n + len(x)))
+                mean, n = mean + (m - mean) * (len(x) / (n + len(x))), n + len(x)
+        if mean is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(mean), dtype=np.int32)), pa.array(np.full(len(mean), float(n))), pa.array(mean), pa.array(spread)], names=["j", "n", "m", "s"])
+
+    parts = vectors.where(F.col(column).isNotNull()).select(doubles(column).alias("x")).mapInArrow(run, "j int, n double, m double, s double")
+    # what tasks found is put together by the same rule
+    gathered_parts = parts.groupBy("j").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("nm"), F.sum("s").alias("s"), F.collect_list(F.struct("n", "m")).alias("parts"))
+    mean = F.col("nm") / F.col("n")
+    between = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["n"] * (p["m"] - mean) * (p["m"] - mean))
+    std = F.sqrt((F.col("s") + between) / F.col("n"))
+    return gathered_parts.select("j", mean.alias("mean"), F.when(std < least, 1.0).otherwise(std).alias("std"))

@@ -20,7 +20,7 @@ from ..tables import table
 from . import states
 from .states import rounded
 
-#: Tokens that the bigram model predicts.
+#: Frequent tokens that pairwise queries of the bigram model are about; its probabilities are over all tokens.
 BIGRAM_TOKENS = 12
 
 
@@ -81,18 +81,16 @@ def fcm_pmi(spark, sf_dir):
     return rounded(corpus.count_pmi(corpus.window_counts(current(spark, sf_dir), _window(spark))))
 
 
-def _bigrams(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    held = current(spark, sf_dir)
-    top = corpus.top_tokens(held.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token", BIGRAM_TOKENS).select("token")
-    return held, materialise(providers.bigram_model(held, materialise(top, "top-tokens")), "bigram-model")
+def _bigrams(spark, sf_dir) -> tuple[DataFrame, DataFrame, int]:
+    held = _held(spark, sf_dir)
+    model, size = providers.bigram_model(held)
+    return held, model, size
 
 
 def bigram_marginals(spark, sf_dir):
-    """Mean predicted probability of the frequent tokens over all contexts, weighted by how often these occur."""
-    _, model = _bigrams(spark, sf_dir)
-    weight = F.sum("n").over(_by("prev"))
-    weighed = model.withColumn("c", weight)
-    return rounded(weighed.groupBy("token").agg((F.sum(F.col("p") * F.col("c")) / F.sum("c")).alias("z")))
+    """Mean predicted probability of every token that follows another, over all contexts, weighted by how often these occur."""
+    _, model, size = _bigrams(spark, sf_dir)
+    return rounded(providers.bigram_marginals(model, size), 9)
 
 
 def _by(*columns):
@@ -101,8 +99,8 @@ def _by(*columns):
 
 def bigram_pmi(spark, sf_dir):
     """Association values of the frequent tokens as predictions of the same contexts."""
-    _, model = _bigrams(spark, sf_dir)
-    weighed = model.withColumn("c", F.sum("n").over(_by("prev"))).select("prev", "token", "p", "c")
+    held, model, size = _bigrams(spark, sf_dir)
+    weighed = providers.bigram_predictions(model, size, _top(held, BIGRAM_TOKENS)).select("prev", "token", "p", F.col("total").alias("c"))
     a = weighed.select("prev", F.col("token").alias("t"), F.col("p").alias("pt"), "c")
     b = weighed.select("prev", F.col("token").alias("w"), F.col("p").alias("pw"))
     m = a.join(b, "prev").groupBy("t", "w").agg((F.sum(F.col("c") * F.col("pt") * F.col("pw")) / F.sum("c")).alias("m"))
@@ -113,19 +111,20 @@ def bigram_pmi(spark, sf_dir):
 
 def bigram_perplexity(spark, sf_dir):
     """Mean loss and perplexity of the bigram model on what it was counted from."""
-    _, model = _bigrams(spark, sf_dir)
-    return rounded(corpus.perplexity(model.where("n > 0").select("p", F.col("n").cast("double").alias("weight"))), 5)
+    _, model, _ = _bigrams(spark, sf_dir)
+    return rounded(corpus.perplexity(model.select("p", F.col("n").cast("double").alias("weight"))), 5)
 
 
 def window_avg_probability(spark, sf_dir):
     """Mean and mean square of the window-averaged probability of each frequent token over all whole positions."""
-    held, model = _bigrams(spark, sf_dir)
-    mean, tokens = corpus.window_predictions(held, windowing.offsets(spark, 1, "exponential", 0.5), model)
+    held, model, size = _bigrams(spark, sf_dir)
+    predictions = materialise(providers.bigram_predictions(model, size, _top(held, BIGRAM_TOKENS)), "predictions")
+    mean, tokens = corpus.window_predictions(held, windowing.offsets(spark, 1, "exponential", 0.5), predictions)
     sums_of = fold_probabilities(mean, lambda p: {"s": p.sum(0), "q": (p * p).sum(0), "n": np.full(p.shape[1], len(p))} if p.size else {})
     s, q, n = (stat(sums_of, k, "k", value=k) for k in "sqn")
     joined = s.join(q, "k").join(n, "k")
-    names = F.array(*[F.lit(t) for t in tokens])
-    return rounded(joined.select(F.get(names, F.col("k")).alias("token"), F.col("n").cast("bigint").alias("n"), (F.col("s") / F.col("n")).alias("mean"), (F.col("q") / F.col("n")).alias("square")))
+    names = F.lit(tokens)
+    return rounded(joined.select(F.get(names, F.col("k")).alias("token"), F.col("n").cast("bigint").alias("n"), (F.col("s") / F.col("n")).alias("mean"), (F.col("q") / F.col("n")).alias("square")), 9)
 
 
 def _line(spark, sf_dir) -> DataFrame:
@@ -278,6 +277,32 @@ def model_shapes(spark, sf_dir):
     return shaped.withColumn("batch", schedule.batch_tokens(F.col("n_params") * 20.0, 12 * 1024).cast("bigint"))
 
 
+def training_plans(spark, sf_dir):
+    """Batch, iterations, rates and epochs of models of 1 to 40 layers on a corpus of 50 million tokens, two epochs at most."""
+    depth = spark.range(1, 41).select(F.col("id").alias("depth"))
+    parameters = schedule.model_shape(F.col("depth"))["n_params"].cast("double")
+    plan = schedule.training_plan(parameters, 12 * 1024, 20.0, 50e6, 2)
+    whole = {"tokens", "accumulation", "iterations", "warmup"}
+    return depth.select("depth", *((c.cast("bigint") if k in whole else F.round(c, 8)).alias(k) for k, c in plan.items()))
+
+
+def _ilr_function(spark, sf_dir):
+    register.register(spark)
+    states.labelled(spark, sf_dir).createOrReplaceTempView("gw_states")
+
+
+def ilr_function(spark, sf_dir):
+    """Log-ratio coordinates of every state by the SQL function, each with its number."""
+    _ilr_function(spark, sf_dir)
+    return rounded(spark.sql("SELECT row, pos + 1 AS i, y FROM (SELECT row, posexplode(v) AS (pos, y) FROM (SELECT row, vector_ilr(h) AS v FROM gw_states))"))
+
+
+def gram_by_label(spark, sf_dir):
+    """Weighted sums of outer products of the states of every label, with the aggregate called from SQL."""
+    _ilr_function(spark, sf_dir)
+    return rounded(spark.sql("SELECT label, pos AS place, g FROM (SELECT label, posexplode(g) AS (pos, g) FROM (SELECT label, weighted_gram(slice(h, 1, 3), 1.0D + row % 3) AS g FROM gw_states GROUP BY label))"), 4)
+
+
 def composition_parts(spark, sf_dir):
     """Mean log-ratio coordinates of three-part compositions, and of the parts they stand for."""
     rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", (F.col("l_quantity") / 100.0).alias("a"), (F.col("l_discount") + 0.01).alias("b"), (F.col("l_tax") + 0.01).alias("c"))
@@ -328,7 +353,7 @@ _NAMES = (
     "tokenize_positions vocab_counts token_counts decay_weights fcm_window fcm_pmi bigram_marginals bigram_pmi bigram_perplexity window_avg_probability"
     " window_avg_aitchison extract_marginals next_token_filter phrase_search context_snippets instance_labels uniform_subsample valid_positions training_blocks"
     " pairs_enrich_oov pairs_coverage candidate_lookup spearman_eval spearman_dot benchmark_registry sample_quality sense_shares sense_exemplars"
-    " learning_rate_schedule model_shapes composition_parts context_window_function kish_by_label stream_marginals stream_event_windows"
+    " learning_rate_schedule model_shapes training_plans ilr_function gram_by_label composition_parts context_window_function kish_by_label stream_marginals stream_event_windows"
 )
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
@@ -340,8 +365,8 @@ _FREQ = f"{_CUR}, freq AS (SELECT token, count(*) AS n, count(DISTINCT doc_id) A
 _FCM = f"""{_CUR}, off AS (SELECT * FROM (VALUES (-2, 0.5::DOUBLE), (-1, 1.0), (1, 1.0), (2, 0.5)) v(o, wt)),
 fcm AS (SELECT a.token AS t, b.token AS w, sum(wt) AS f FROM cur a, off JOIN cur b ON b.doc_id = a.doc_id AND b.pos = a.pos + off.o GROUP BY ALL)"""
 _BIGRAM = f"""{_FREQ}, v AS (SELECT token FROM ranked WHERE r <= {BIGRAM_TOKENS}), follow AS (SELECT a.token AS prev, b.token FROM cur a JOIN cur b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1),
-bi AS (SELECT prev, token, count(*) AS n FROM follow WHERE token IN (SELECT token FROM v) GROUP BY ALL), ctx AS (SELECT prev, sum(n) AS c FROM bi GROUP BY prev),
-model AS (SELECT ctx.prev, v.token, coalesce(bi.n, 0) AS n, (coalesce(bi.n, 0) + 0.5) / (c + 0.5 * (SELECT count(*) FROM v)) AS p, c::DOUBLE AS c FROM ctx CROSS JOIN v LEFT JOIN bi ON bi.prev = ctx.prev AND bi.token = v.token)"""
+bi AS (SELECT prev, token, count(*) AS n FROM follow GROUP BY ALL), ctx AS (SELECT prev, sum(n) AS c FROM bi GROUP BY prev), size AS (SELECT count(*) AS s FROM freq),
+model AS (SELECT ctx.prev, v.token, coalesce(bi.n, 0) AS n, (coalesce(bi.n, 0) + 0.5) / (c + 0.5 * (SELECT s FROM size)) AS p, c::DOUBLE AS c FROM ctx CROSS JOIN v LEFT JOIN bi ON bi.prev = ctx.prev AND bi.token = v.token)"""
 _STORED = """v AS (SELECT token, str FROM vocab WHERE str IS NOT NULL), mean AS (SELECT t, w, avg(pmi) AS similarity FROM pmi
   WHERE t IS NOT NULL AND w IS NOT NULL AND pmi IS NOT NULL AND NOT isnan(pmi) AND abs(pmi) < 1e300 GROUP BY ALL),
 stored AS (SELECT trim(a.str) AS word1, trim(b.str) AS word2, similarity FROM mean JOIN v a ON a.token = t JOIN v b ON b.token = w),
@@ -377,6 +402,8 @@ text AS (SELECT p.doc_id, p.pos, coalesce(string_agg(str, ' ' ORDER BY o) FILTER
 _EXTRACT = states._W + """, win AS (SELECT a.row, a.j, (a.x + b.x + c.x) / 3 AS x FROM h a JOIN h b ON b.row = a.row - 1 AND b.j = a.j JOIN h c ON c.row = a.row + 1 AND c.j = a.j),
 l AS (SELECT win.row, w.token, sum(win.x * w.x) AS l FROM win JOIN w USING (j) GROUP BY ALL), p AS (SELECT row, token, exp(l) / sum(exp(l)) OVER (PARTITION BY row) AS p FROM l)"""
 
+_STATES = """st AS (SELECT vec_id AS row, label, list_transform(embedding, lambda x: x::DOUBLE) AS h FROM embeddings WHERE embedding IS NOT NULL)"""
+
 ORACLES = {
     "tokenize_positions": f"WITH {_WORDS} SELECT doc_id, pos, word FROM words",
     "vocab_counts": f"WITH {_WORDS} SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM words GROUP BY word",
@@ -385,11 +412,12 @@ ORACLES = {
     "fcm_window": f"WITH {_FCM} SELECT t, w, round(f, 6) AS f FROM fcm",
     "fcm_pmi": f"""WITH {_FCM}, s AS (SELECT sum(f) AS s FROM fcm), a AS (SELECT t, sum(f) AS f_t FROM fcm GROUP BY t), b AS (SELECT w, sum(f) AS f_w FROM fcm GROUP BY w)
 SELECT t, w, round(f, 6) AS f, round(ln(f * s / (f_t * f_w)), 6) + 0.0 AS pmi FROM fcm JOIN a USING (t) JOIN b USING (w), s""",
-    "bigram_marginals": f"WITH {_BIGRAM} SELECT token, round(sum(p * c) / sum(c), 6) AS z FROM model GROUP BY token",
+    "bigram_marginals": f"""WITH {_BIGRAM}, seen AS (SELECT token, sum(c * n / (c + 0.5 * (SELECT s FROM size))) AS more FROM bi JOIN ctx USING (prev) GROUP BY token),
+rest AS (SELECT sum(c * 0.5 / (c + 0.5 * (SELECT s FROM size))) AS rest, sum(c) AS total FROM ctx) SELECT token, round((more + rest) / total, 9) AS z FROM seen, rest""",
     "bigram_pmi": f"""WITH {_BIGRAM}, z AS (SELECT token, sum(p * c) / sum(c) AS z FROM model GROUP BY token),
 m AS (SELECT a.token AS t, b.token AS w, sum(a.c * a.p * b.p) / sum(a.c) AS m FROM model a JOIN model b USING (prev) GROUP BY ALL)
 SELECT t, w, round(ln(m / (x.z * y.z)), 6) + 0.0 AS pmi FROM m JOIN z x ON x.token = t JOIN z y ON y.token = w""",
-    "bigram_perplexity": f"WITH {_BIGRAM}, e AS (SELECT sum(n)::DOUBLE AS n, sum(-ln(p) * n) / sum(n) AS loss FROM model WHERE n > 0) SELECT round(n, 5) AS n, round(loss, 5) AS loss, round(exp(loss), 5) AS perplexity FROM e",
+    "bigram_perplexity": f"WITH {_BIGRAM}, e AS (SELECT sum(n)::DOUBLE AS n, sum(-ln((n + 0.5) / (c + 0.5 * (SELECT s FROM size))) * n) / sum(n) AS loss FROM bi JOIN ctx USING (prev)) SELECT round(n, 5) AS n, round(loss, 5) AS loss, round(exp(loss), 5) AS perplexity FROM e",
     "window_avg_probability": f"""WITH {_BIGRAM}, x AS (SELECT doc_id, pos, model.token, p FROM cur JOIN model ON model.prev = cur.token),
 a AS (SELECT b.doc_id, b.pos, b.token, (b.p + exp(-0.5) * (a.p + c.p)) / (1 + 2 * exp(-0.5)) AS x FROM x b JOIN x a ON a.doc_id = b.doc_id AND a.pos = b.pos - 1 AND a.token = b.token JOIN x c ON c.doc_id = b.doc_id AND c.pos = b.pos + 1 AND c.token = b.token)
 SELECT token, count(*) AS n, round(avg(x), 6) AS mean, round(avg(x * x), 6) AS square FROM a GROUP BY token""",
@@ -416,6 +444,16 @@ SELECT doc_id, start, l[1:16] AS x, l[2:17] AS y FROM t WHERE len(l) = 17""",
     "sense_shares": f"WITH {_RESP} SELECT t, sense_id, count(*) AS n, round(avg(r), 6) + 0.0 AS share FROM once GROUP BY ALL",
     "sense_exemplars": f"WITH {_RESP}, k AS (SELECT *, row_number() OVER (PARTITION BY t, sense_id ORDER BY r DESC, row_index) AS rank FROM once) SELECT t, sense_id, rank, row_index, round(r, 6) + 0.0 AS r FROM k WHERE rank <= 3",
     "learning_rate_schedule": "SELECT step, round(CASE WHEN step < 20 THEN (step + 1) / 21.0::DOUBLE WHEN step > 150 THEN 0.1::DOUBLE ELSE 0.1 + 0.45 * (1 + cos(pi() * (step - 20) / 130.0)) END, 6) AS rate FROM range(200) r(step)",
+    "training_plans": """WITH d AS (SELECT depth, ceil(depth * 64 / 64.0)::BIGINT * 64 AS n_embd FROM range(1, 41) r(depth)), h AS (SELECT *, ceil(floor(8 * n_embd / 3.0) / 256)::BIGINT * 256 AS hidden FROM d),
+p AS (SELECT depth, (20 * depth * (4 * n_embd * n_embd + 3 * n_embd * hidden))::BIGINT AS tokens FROM h),
+a AS (SELECT *, greatest(1, greatest(pow(2, round_even(log2(greatest(524288 * pow(tokens::DOUBLE / 1e10, 0.383), 12288)), 0)), 12288)::BIGINT // 12288) AS accumulation FROM p),
+b AS (SELECT *, accumulation * 12288 AS batch FROM a), i AS (SELECT *, least(greatest(1, tokens // batch), greatest(1, 100000000 // batch)) AS iterations, sqrt(batch / 524288.0::DOUBLE) AS ratio FROM b)
+SELECT depth, tokens, accumulation, iterations, round(6e-4::DOUBLE * ratio, 8) AS learning_rate, round(6e-5::DOUBLE * ratio, 8) AS least_rate, round(least(0.1::DOUBLE * ratio * (1e10::DOUBLE / tokens), 0.5), 8) AS weight_decay,
+  greatest(100, least(2000, iterations // 20)) AS warmup, round(iterations * batch / 5e7::DOUBLE, 8) AS epochs_run FROM i""",
+    "ilr_function": f"""WITH {_STATES}, x AS (SELECT row, unnest(h) AS x, generate_subscripts(h, 1) AS k FROM st), s AS (SELECT row, k, x, sum(x) OVER (PARTITION BY row ORDER BY k) AS s, lead(x) OVER (PARTITION BY row ORDER BY k) AS nxt FROM x)
+SELECT row, (k)::INT AS i, round(sqrt(k / (k + 1.0::DOUBLE)) * (s / k - nxt), 6) AS y FROM s WHERE nxt IS NOT NULL""",
+    "gram_by_label": f"""WITH {_STATES}, a AS (SELECT *, 1.0::DOUBLE + row % 3 AS wt FROM st), ij AS (SELECT i, j FROM range(3) x(i), range(3) y(j))
+SELECT label, (i * 3 + j)::INT AS place, round(sum(wt * h[i + 1] * h[j + 1]), 4) AS g FROM a, ij GROUP BY label, i, j""",
     "model_shapes": """WITH d AS (SELECT depth, ceil(depth * 64 / 64.0)::BIGINT * 64 AS n_embd FROM range(1, 41) r(depth)), h AS (SELECT *, ceil(floor(8 * n_embd / 3.0) / 256)::BIGINT * 256 AS hidden FROM d),
 p AS (SELECT depth, n_embd, n_embd // 64 AS n_head, depth * (4 * n_embd * n_embd + 3 * n_embd * hidden) AS n_params FROM h)
 SELECT *, greatest(pow(2, round_even(log2(greatest(524288 * pow(n_params * 20.0::DOUBLE / 1e10, 0.383), 12288)), 0)), 12288)::BIGINT AS batch FROM p""",

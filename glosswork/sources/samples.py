@@ -15,9 +15,10 @@ from ..functions.vectors import doubles, project_out
 from ..functions.windowing import resolve
 from ..operators.corpus import sampled, window_average
 from ..operators.distinctiveness import with_log_partition
-from ..operators.folds import log_softmax
+from ..operators.folds import fold, fold_probabilities, log_softmax, stat
 from ..operators.providers import matrix
-from ..operators.vectorspace import lists_of, principal_axes, project
+from ..operators.vectorspace import principal_axes, project
+from ..session import discard, materialise, small
 
 # Names under which a sample may lie, in the order they are tried.
 SUFFIXES = ("_h", "_probs", "_h_eff")
@@ -107,18 +108,18 @@ def window_states(states: DataFrame, offsets: DataFrame, averaging: str = "aitch
     kept = states.where(F.col("pos") >= 0)
     if window.trivial:
         return kept.where(F.col("pos") >= least).select("doc_id", "pos", "v")
-    long = kept.select("doc_id", "pos", F.posexplode(doubles("v")).alias("j", "x"))
-    mean = window_average(long, offsets, "j").where(F.col("pos") >= window.context(least))
-    return lists_of(mean.withColumn("at", F.struct("doc_id", "pos")), "at", "j", "x").select("at.doc_id", "at.pos", "v")
+    mean = window_average(kept.select("doc_id", "pos", doubles("v").alias("v")), offsets)
+    return mean.where(F.col("pos") >= window.context(least))
 
 
-def extract(states: DataFrame, unembedding: DataFrame, offsets: DataFrame, folder: str, name: str, averaging: str = "aitchison", least: int = 0, direction: Sequence[float] | None = None, subsample: int | None = None) -> ExtractMeta:
+def extract(states: DataFrame, unembedding: DataFrame, offsets: DataFrame, folder: str, name: str, averaging: str = "aitchison", least: int = 0, direction: Sequence[float] | None = None, subsample: int | None = None, save_states: bool = True) -> ExtractMeta:
     """Write states, marginals and metadata of a corpus pass to ``folder``.
 
     ``states(doc_id, pos, v)`` are the model's states. They are averaged over
     the window, with ``direction`` projected off it, optionally cut to a
-    uniform ``subsample``, and written once; marginals are then read from
-    what was written.
+    uniform ``subsample``, and written once; marginals are sums over what
+    was written. Without ``save_states`` the averaged states are written for
+    the pass only, and marginals, ``subsample`` and metadata stay.
     """
     spark = states.sparkSession
     window = resolve(offsets)
@@ -127,17 +128,25 @@ def extract(states: DataFrame, unembedding: DataFrame, offsets: DataFrame, folde
     rows = window_states(states, offsets, averaging if kind == "probs" else "aitchison", least)
     if direction is not None:
         rows = rows.withColumn("v", project_out(doubles("v"), F.array(*[F.lit(float(x)) for x in direction])))
-    path = f"{folder}/{name}_{kind}.parquet"
-    rows.write.mode("overwrite").parquet(path)
-    written = spark.read.schema(rows.schema).parquet(path)
+    if save_states:
+        path = f"{folder}/{name}_{kind}.parquet"
+        rows.write.mode("overwrite").parquet(path)
+        written = spark.read.schema(rows.schema).parquet(path)
+    else:
+        written = materialise(rows, "averaged")
     n = written.count()
-    flat = written.select(F.monotonically_increasing_id().alias("row"), F.col("v").alias("h"), F.col("v").alias("p"))
-    p = probability_scan(flat, unembedding, kind).select(F.posexplode("p").alias("place", "p"))
-    names = F.array(*[F.lit(int(t)) for t in tokens])
-    z = p.groupBy("place").agg(F.avg("p").alias("z"), F.sum("p").alias("z_sum")).select(F.get(names, F.col("place")).alias("token"), "z", "z_sum")
+    if kind == "probs":
+        folded = fold_probabilities(written.select(doubles("v").alias("p")), lambda p: {"z": p.sum(0)} if p.size else {})
+    else:
+        folded = fold(written.select(doubles("v").alias("h")), weights, lambda h, log_p: {"z": np.exp(log_p).sum(0)})
+    sums = stat(folded, "z", "place", value="z_sum")
+    names = spark.createDataFrame([(k, int(t)) for k, t in enumerate(tokens)], "place int, token int")
+    z = sums.join(small(names, 16), "place").select("token", (F.col("z_sum") / F.lit(float(max(1, n)))).alias("z"), "z_sum")
     z.write.mode("overwrite").parquet(f"{folder}/{name}_Z.parquet")
     if subsample:
         sampled(written, ["doc_id", "pos"], subsample).write.mode("overwrite").parquet(f"{folder}/{name}_sub.parquet")
+    if not save_states:
+        discard(written)
     meta = ExtractMeta(states.count(), max(window.forward, window.backward), window.forward, window.backward, window.context(least), n, weights.shape[1], len(tokens), averaging, kind, [list(o) for o in window.offsets])
     write_meta(spark, f"{folder}/{name}_meta", meta)
     return meta

@@ -85,7 +85,7 @@ def test_windows_over_stretches(spark, monkeypatch, rng):
 
 def test_window_predictions_agree_with_averages(spark, rng, monkeypatch):
     c = stream(spark, {1: rng.integers(0, 4, 60).tolist()})
-    model = providers.bigram_model(c, spark.createDataFrame([(0,), (1,), (2,)], "token int"))
+    model = providers.bigram_predictions(*providers.bigram_model(c), [0, 1, 2])
     off = windowing.offsets(spark, 1, "exponential", 0.5)
     fast, names = corpus.window_predictions(c, off, model)
     assert names == [0, 1, 2]
@@ -97,11 +97,51 @@ def test_window_predictions_agree_with_averages(spark, rng, monkeypatch):
 
 
 def test_bigram_model_sums_to_one(spark, rng):
-    c = stream(spark, {1: rng.integers(0, 5, 80).tolist()})
-    model = providers.bigram_model(c, spark.createDataFrame([(t,) for t in range(5)], "token int"))
-    assert all(np.isclose(r["s"], 1) for r in model.groupBy("prev").agg(F.sum("p").alias("s")).collect())
-    loss = corpus.perplexity(model.where("n > 0").select("p", F.col("n").cast("double").alias("weight"))).first()
-    assert loss["n"] == 79 and np.isclose(loss["perplexity"], np.exp(loss["loss"]))
+    tokens = rng.integers(0, 5, 80).tolist() + [7]
+    c = stream(spark, {1: tokens})
+    model, size = providers.bigram_model(c)
+    assert size == 6
+    whole = providers.bigram_predictions(model, size, [0, 1, 2, 3, 4, 7])
+    assert all(np.isclose(r["s"], 1) for r in whole.groupBy("prev").agg(F.sum("p").alias("s")).collect())
+    seen = {(r["prev"], r["token"]): r["p"] for r in model.collect()}
+    filled = {(r["prev"], r["token"]): r["p"] for r in whole.collect()}
+    assert all(np.isclose(filled[k], p) for k, p in seen.items()) and len(filled) == 30
+    loss = corpus.perplexity(model.select("p", F.col("n").cast("double").alias("weight"))).first()
+    assert loss["n"] == 80 and np.isclose(loss["perplexity"], np.exp(loss["loss"]))
+    z = {r["token"]: r["z"] for r in providers.bigram_marginals(model, size).collect()}
+    weight = {t: tokens[:-1].count(t) for t in range(5)}
+    assert np.isclose(sum(z.values()), 1) and np.isclose(z[7], sum(weight[p] * filled[p, 7] for p in weight) / 80)
+
+
+@pytest.mark.parametrize("bits", [3, 16])
+def test_window_pairs_and_counts(spark, monkeypatch, rng, bits):
+    """Pairs over stretches and batches with gaps, against plain loops."""
+    monkeypatch.setattr(corpus, "STRETCH_BITS", bits)
+    monkeypatch.setattr(corpus, "HELD_PAIRS", 50)
+    docs = {d: rng.integers(0, 6, 60).tolist() for d in range(3)}
+    c = stream(spark, docs).where("pos NOT IN (20, 21, 40)")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        off = spark.createDataFrame([(-2, 0.5), (1, 1.0), (0, 0.25), (9, 2.0)], "o int, wt double")
+        held = {(d, p): t for d, ts in docs.items() for p, t in enumerate(ts) if p not in (20, 21, 40)}
+        want = sorted((d, p, t, o, held[d, p + o], w) for (d, p), t in held.items() for o, w in ((-2, 0.5), (1, 1.0), (0, 0.25), (9, 2.0)) if (d, p + o) in held)
+        assert sorted(tuple(r) for r in corpus.window_pairs(c, off).collect()) == want
+        sums = {}
+        for _, _, t, _, other, w in want:
+            sums[t, other] = sums.get((t, other), 0) + w
+        got = {(r["t"], r["w"]): r["f"] for r in corpus.window_counts(c, off).collect()}
+        assert got.keys() == sums.keys() and all(np.isclose(got[k], sums[k]) for k in sums)
+        after = sorted(tuple(r) for r in corpus.next_token(c).collect())
+        assert after == sorted((d, p, t, held[d, p + 1]) for (d, p), t in held.items() if (d, p + 1) in held)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert corpus.window_counts(c.where("pos < 0"), off).count() == 0
+
+
+def test_sample_of_ties_and_none(spark):
+    df = spark.createDataFrame([(1, 1), (1, 1), (2, 2), (3, 3)], "doc_id bigint, pos bigint")
+    assert [corpus.sampled(df, ["doc_id", "pos"], n).count() for n in (0, 1, 2, 3, 4, 9)] == [0, 1, 2, 3, 4, 4]
 
 
 def test_words_and_counts(spark):
