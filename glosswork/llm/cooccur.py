@@ -16,14 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_BYTES, materialise, ship
+from ..session import BROADCAST_BYTES, materialise, ship, small
 from .corpus import current
 
 #: Items a basket may have before it is split into chunks of about this many.
 CHUNK_ITEMS = 1024
 
 #: Pair instances a task holds before it counts them; distinct pairs before it passes them on.
-HELD_PAIRS, KEPT_PAIRS = 1 << 21, 1 << 22
+HELD_PAIRS, KEPT_PAIRS = 1 << 20, 1 << 21
+
+#: A basket with more than this part of the rows of all large ones is hot; there are no more of them than this.
+HOT_BASKETS = 10_000
 
 #: Pair instances that one bucket of the final count is planned for.
 BUCKET_PAIRS = 1 << 21
@@ -159,33 +162,36 @@ def _combine(least: int):
 
 
 def _gather(n_keys: int):
-    """Distinct items of each basket part as a sorted list; a part lies in one task as a whole."""
+    """Distinct items of each basket part as a list; rows come sorted by part and item, so only the last part waits for more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = [[] for _ in range(n_keys + 1)]
+        held: list[np.ndarray] | None = None
         names: list[str] = []
+
+        def out(columns: list[np.ndarray], end: int) -> Iterator[pa.RecordBatch]:
+            *keys, item = (c[:end] for c in columns)
+            new = np.ones(len(item), bool)
+            new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+            fresh = new.copy()
+            fresh[1:] |= item[1:] != item[:-1]
+            starts = np.flatnonzero(new[fresh])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, int(fresh.sum())].astype(np.int32)), pa.array(item[fresh].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(k[new]) for k in keys), lists], names=[*names[:n_keys], "items"])
+
         for batch in batches:
             names = batch.schema.names
-            for column, values in zip(parts, batch.columns):
-                column.append(values.to_numpy())
-        if not parts[0]:
-            return
-        *keys, item = (np.concatenate(column) for column in parts)
-        parts.clear()
-        order = np.lexsort((item, *reversed(keys)))
-        item = item[order]
-        for k in range(n_keys):  # one column at a time, so that only one copy is held besides
-            keys[k] = keys[k][order]
-        del order
-        new = np.ones(len(item), bool)
-        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-        fresh = new.copy()
-        fresh[1:] |= item[1:] != item[:-1]
-        item, starts = item[fresh], np.flatnonzero(new[fresh])
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(item)].astype(np.int32)), pa.array(item.astype(np.int32)))
-        whole = pa.RecordBatch.from_arrays([*(pa.array(k[new]) for k in keys), lists], names=[*names[:n_keys], "items"])
-        for at in range(0, whole.num_rows, 10_000):
-            yield whole.slice(at, 10_000)
+            fresh = [c.to_numpy() for c in batch.columns]
+            if not batch.num_rows:
+                continue
+            columns = fresh if held is None else [np.concatenate(x) for x in zip(held, fresh)]
+            keys = columns[:-1]
+            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0))
+            end = int(change[-1]) + 1 if len(change) else 0
+            if end:
+                yield from out(columns, end)
+            held = [c[end:] for c in columns]
+        if held is not None and len(held[0]):
+            yield from out(held, len(held[0]))
 
     return run
 
@@ -205,12 +211,22 @@ def gather_baskets(rows: DataFrame, basket: list[str], item: str, spread: str |
     if spread:
         placed, keys = rows, basket
     else:
-        size = rows.groupBy(*basket).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CHUNK_ITEMS)
-        parts = F.ceil(F.coalesce("size", F.lit(1)) / CHUNK_ITEMS).cast("bigint")
-        placed = rows.join(size, basket, "left").withColumn("parts", parts)
-        placed, keys = placed.withColumn("part", F.pmod(F.xxhash64("item"), "parts")).repartition(*basket, "part"), [*basket, "part", "parts"]
+        sizes = materialise(rows.groupBy(*basket).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CHUNK_ITEMS), "basket-sizes")
+        # baskets of more than a share of all rows are few, whatever the data, so that no hot basket is a key of a join
+        total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        hot = max(CHUNK_ITEMS, total // HOT_BASKETS)
+        giant = sizes.where(F.col("size") > hot).select(*basket, F.col("size").alias("giant"))
+        placed = rows.join(F.broadcast(giant), basket, "left")
+        large = F.col("giant")
+        if sizes.where(F.col("size") <= hot).limit(1).count():
+            placed = placed.join(small(sizes.where(F.col("size") <= hot), 8 * (len(basket) + 2)), basket, "left")
+            large = F.coalesce("giant", "size")
+        parts = F.ceil(F.coalesce(large, F.lit(1)) / CHUNK_ITEMS).cast("bigint")
+        placed = placed.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("item"), "parts"))
+        keys = [*basket, "part", "parts"]
+        placed = placed.repartition(*basket, "part")
     schema = ", ".join(f"`{k}` bigint" for k in keys) + ", items array<int>"
-    gathered = placed.select(*keys, "item").mapInArrow(_gather(len(keys)), schema)
+    gathered = placed.select(*keys, "item").sortWithinPartitions(*keys, "item").mapInArrow(_gather(len(keys)), schema)
     if spread:
         gathered = gathered.withColumns({"part": F.lit(0).cast("bigint"), "parts": F.lit(1).cast("bigint")})
     return gathered.select(*basket, "part", "parts", "items")
@@ -225,8 +241,10 @@ def cooccurrence(baskets: DataFrame, basket: list[str], least: int = 1, lift: fl
     logarithm. Pairs below ``least`` or ``lift`` are left out. Since
     ``n_ab <= min(n_a, n_b)``, an item in fewer than ``least`` baskets or in
     more than ``n / lift`` cannot belong to a pair that stays, so such items
-    are left out before pairs are made; no pair that stays is lost. Empty
-    input gives no rows.
+    are left out before pairs are made; no pair that stays is lost. That is
+    done up to 8 million such items, which tasks hold; with more, pairs of
+    all items are made and filtered after, which costs more and gives the
+    same. Empty input gives no rows.
     """
     spark = baskets.sparkSession
     ship(spark)
@@ -266,6 +284,12 @@ def _combine_group(least: int):
     return run
 
 
+def document_baskets(corpus: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Documents as baskets of their current tokens; long ones are large baskets."""
+    held = current(corpus, vocab, F.shiftright("pos", SPREAD_BITS))
+    return gather_baskets(held.select("doc_id", "token"), ["doc_id"], "token")
+
+
 def block_baskets(corpus: DataFrame, vocab: DataFrame, width_bits: int = 5) -> DataFrame:
     """Blocks of ``2 ** width_bits`` positions of a document as baskets of their current tokens."""
     held = current(corpus, vocab, F.shiftright("pos", SPREAD_BITS))

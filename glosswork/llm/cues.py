@@ -13,7 +13,7 @@ from functools import cache
 
 import numpy as np
 
-THING, WEB, NOT, THERE, BAD, ERROR, OCCUR, SCRIPT, NEED, YOU, AGAIN, NOUN, GAP, DUMMY, FILL, FIELD, BLANK, MESSAGE = (1 << i for i in range(18))
+THING, WEB, NOT, THERE, BAD, ERROR, OCCUR, SCRIPT, NEED, YOU, AGAIN, NOUN, GAP, DUMMY, FILL, FIELD, BLANK, MESSAGE, WITHOUT, SORRY, PART = (1 << i for i in range(21))
 #: Marks that are reasons for a closer look at the form of a sentence.
 MARK = FIELD | BLANK | MESSAGE
 
@@ -46,7 +46,7 @@ def _accents():
 # Stems by class; a line for each language or family.
 STEMS = {
     THING: """
-page_ pages_ site_ website webpage web_page url_ urls_ link_ file_ document_ documents_ server service_ services_ request_ resource_ connection_ session_ access_ address_ login account_ gateway database_ application_ app_ proxy network_ certificate_ permission_ portal_ host_ upstream cache_ content_ location_ query_ this_entry the_entry this_record this_item this_article
+page_ pages_ site_ website webpage web_page url_ urls_ link_ file_ document_ documents_ server service_ services_ request_ resource_ connection_ session_ access_ address_ login account_ gateway database_ application_ app_ proxy network_ certificate_ permission_ portal_ host_ upstream cache_ content_ location_ query_ this_entry the_entry this_record the_record this_item the_item this_article the_article
 seite_ seiten_ dokument_ webseite datei_ dateien_ dienst_ anfrage_ ressource_ verbindung_ sitzung_ zugriff_ zugang_ adresse_ anmeldung_ konto_ datenbank_ anwendung_ netzwerk_ zertifikat_ berechtigung_ inhalt_ der_eintrag dieser_eintrag der_datensatz dieser_artikel
 fichier_ serveur requete_ connexion_ acces_ compte_ reseau_ certificat_ autorisation_ contenu_ cette_fiche la_fiche cet_article
 pagina paginas_ sitio_ documento_ archivo_ fichero_ servidor servicio_ solicitud_ peticion_ recurso_ conexion_ sesion_ acceso_ direccion_ cuenta_ aplicacion_ certificado_ permiso_ contenido_ esta_ficha la_ficha este_registro esta_entrada este_articulo
@@ -62,7 +62,7 @@ oldal_ oldalt_ fajl kiszolgal szerver szolgaltatas kapcsolat munkamenet hozzafer
 not_ can't_ couldn't_ doesn't_ don't_ isn't_ aren't_ wasn't_ weren't_ won't_ didn't_ hasn't_ haven't_ cannot_ unable_ nothing_ no_ never_ nicht_ kein konnte_nicht ne_ n' pas_ plus_ aucun impossible_ no_se_ ningun non_ nao_ nessun niet_ geen inte_ ikke_ ingen_ ei_ eivat_ nie_ brak_ ne_ neni_ nebyl nem_ nincs yok_ degil nu_ не_ нет_ невозможно δεν_
 不 未 无法 無法 没 沒 ない ません できな 없 않 못 لا_ لم_ غير ليس تعذر לא_ אין_ नहीं khong_ tidak_ ไม่""",
     THERE: """
-found_ find_ exist available_ reach_ reached_ load_ loaded_ open_ opened_ display_ displayed_ show_ shown_ accessible_ respond connect_ connected_ served_ delivered_ permission permitted_ authori authenticated_ allowed_
+found_ find_ exist available_ reach_ reached_ load_ loaded_ open_ opened_ display_ displayed_ show_ shown_ accessible_ respond connect_ connected_ served_ delivered_ resolve_ resolved_ permission permitted_ authori authenticated_ allowed_
 gefunden_ finden_ verfugbar erreich geladen_ geoffnet_ angezeigt vorhanden_ existier antwort bereitgestellt trouv disponib accessib existe charg affich ouvr repond autoris encontr encuentr cargar_ mostrar_ abrir_ responde autoriz permitid
 trovat carica aprir risponde mostra raggiung carreg gevonden_ vinden_ beschikba bereik geladen_ hitta tillgangl ladda svarar fundet_ funnet_ finnes tilgjengel tilgaengel loyty loydy saatav avata_ ladata_ vastaa znalez dostepn istnieje otworz odpowiada nalez dostupn existuje talalhat elerheto toltheto valaszol bulun erisil yuklen acil yanit gasit disponibil
 найден найти доступ существу загруз откры отвеча отобра знайден βρεθηκε διαθεσιμ 存在 找到 显示 顯示 打开 加载 訪問 访问 见つか 見つか みつか 表示 開け 開く 利用 찾을 찾지 표시 열 존재 사용할 العثور موجود متاح נמצא मिला उपलब्ध tim_thay ton_tai ditemukan tersedia พบ""",
@@ -79,14 +79,17 @@ nekad utgang misslyck avbruten naegtet nektet utlopt mislyk fejlede_ estetty van
     NEED: """
 enable_ enabled_ enabling_ activate_ activated_ allow_ allowed_ permit_ turn_on turned_on turn_it_on switch_on switched_on turn_them_on require required_ requires_ needs_ need_to need_ necessary_ must_ disabled_ blocked_ unsupported_ not_supported not_compatible supported_ outdated_ upgrade_ update_ accept_ to_continue to_proceed to_view is_off are_off missing_ please_ works_best relies_on depends_on capable_
 aktivier aktiviert_ erlaub zulassen_ zulasst_ freischalt einschalt eingeschaltet_ benotig erforderlich_ erfordert_ brauch notig notwendig deaktiviert_ ausgeschaltet_ blockiert_ unterstutzt_ veraltet aktualisier akzeptier bitte_ active_ activer_ activez_ active autoris permett desactiv necessaire_ necessite_ requiert_ requis exige_ faut_ obsolete_ mettre_a_jour mettez_a_jour accept veuillez_ merci_ compatible_ pris_en_charge
-habilit activ permit necesari requier desactivad bloquead admit acept actualic obsolet precisa_ preciso_ necessario_ abilit attiv permettere_ consenti richied aggiorna supportat ative_ permita_ atualiz inschakel zet_ sta_ toestaan_ vereist_ ondersteund_ aktivera tillat kraver stods aktiver kraev ota_ salli tarvit edellytt wlacz zezwol wymag obslug povolt zapnet vyzad engedelyez kapcsolja szukseges etkinlestir gerek izin_ activati permiteti
-включ разреш необходим требу обнов увимкн ενεργοποι 启用 開啟 开启 允许 需要 升级 有効 許可 必要 対応 활성 허용 사용 필요 تفعيل تمكين הפעל aktifkan bat_ kich_hoat""",
-    YOU: "you_ your_ requested_ this_page this_site this_website this_app ihr_ ihre_ ihnen_ sie_ diese_seite dieser_seite diese_webseite vous_ votre_ cette_page ce_site usted_ su_ esta_pagina este_sitio questa_pagina questo_sito voce_ sua_ este_site deze_ u_ uw_ denna_ din_ ditt_ denne_ taman_ te_strone tuto_ ezt_ bu_ эту_ этот_ вы_ ваш 您 你 本页 本站 このページ このサイト お探し 이_페이지 이_사이트 هذه_ sorry_ apolog entschuldig desole lo_sentimos spiacenti desculpe lamentamos 抱歉 申し訳 죄송",
+habilit activ permit necesari requier desactivad bloquead admit acept actualic obsolet precisa_ preciso_ necessario_ abilit attiv permettere_ consenti richied aggiorna supportat ative_ permita_ atualiz inschakel zet_javascript toestaan_ vereist_ ondersteund_ aktivera tillat kraver stods aktiver kraev ota_javascript ota_kayttoon salli tarvit edellytt wlacz zezwol wymag obslug povolt zapnet vyzad engedelyez kapcsolja szukseges etkinlestir gerek izin_ activati permiteti
+включ разреш необходим требу обнов увимкн ενεργοποι 启用 開啟 开启 允许 需要 升级 有効 許可 必要 対応 활성 허용 사용 필요 تفعيل تمكين הפעל aktifkan kich_hoat""",
+    YOU: "you_ your_ requested_ this_page this_site this_website this_app ihr_ ihre_ ihnen_ sie_ diese_seite dieser_seite diese_webseite vous_ votre_ cette_page ce_site usted_ su_ esta_pagina este_sitio questa_pagina questo_sito voce_ sua_ este_site deze_ u_ uw_ denna_ din_ ditt_ denne_ taman_ te_strone tuto_ ezt_ bu_ эту_ этот_ вы_ ваш 您 你 本页 本站 このページ このサイト お探し 이_페이지 이_사이트 هذه_",
     AGAIN: """
 try_again please_retry retry_ try_later reload refresh_the contact_the contact_your contact_us administrator webmaster go_back back_to_the back_to_home home_page homepage startpage return_to check_the_address check_the_url check_your check_the_spelling if_the_problem problem_persists be_back back_soon back_shortly something_went_wrong thank_you_for_your_patience please_wait log_in sign_in use_the_search 
 erneut_versuch versuchen_sie spater_erneut startseite_ zuruck_zur wenden_sie_sich administrator uberprufen_sie prufen_sie gleich_wieder bald_wieder melden_sie_sich anmelden_ reessay page_d'accueil retour_a contactez verifiez connectez-vous patientez_ intentelo intente_ reintent pagina_de_inicio volver_a vuelva_a contacte compruebe inicie_sesion riprov torna_a torna_alla contatta_ tente_novamente volte_a probeer_het opnieuw_proberen forsok_igen prov_igen startsidan_ yrita_uudelleen sprobuj_ponownie sprawdz_adres zkuste_to probalja_ujra tekrar_dene incercati_din_nou
 попробуйте повторите_попытку вернитесь_на спробуйте δοκιμαστε 重试 重試 返回首页 稍后再试 稍後再試 もう一度お試し しばらくして トップページ 다시_시도 حاول_مرة thu_lai coba_lagi nanti_""",
-    NOUN: "item_ list_ label_ text_ texts_ title_ headline_ heading_ subheading_ subtitle_ caption_ description_ content_ contents_ image_ picture_ paragraph_ logo_ copy_ name_ section_ summary_ abstract_ introduction_ body_ article_ sentence_ post_ page_ card_ teaser_ button_ details_ link_ inhalt_ inhalte_ titel_ uberschrift_ bild_ beschreibung_ absatz_ beitrag_ artikel_ seite_ rubrik_ texte_ titre_ contenu_ paragraphe_ legende_ rubrique_ texto_ titulo_ contenido_ imagen_ descripcion_ parrafo_ seccion_ pagina_ testo_ titolo_ contenuto_ immagine_ paragrafo_ conteudo_ imagem_ descricao_ tekst_ tekstu_ inhoud_ titul_ teksti_ otsikko_ szoveg_ metin_ текст 文本 テキスト 文章 标题 タイトル 텍스트 제목 内容",
+    WITHOUT: "without_ ohne_ sans_ sin_ senza_ sem_ zonder_ utan_ uden_ uten_ ilman_ bez_ nelkul_ fara_ без_ χωρις_ なしで",
+    SORRY: "sorry_ apolog unfortunately_ entschuldig leider_ desole malheureusement_ lo_sentimos lamentablemente_ desafortunadamente_ spiacenti purtroppo_ desculpe infelizmente_ helaas_ tyvarr_ desvaerre_ dessverre_ valitettavasti_ niestety_ bohuzel_ sajnos_ maalesef_ сожалению_ 抱歉 很遗憾 申し訳 残念 죄송",
+    PART: "item_ list_ label_ column_ row_",
+    NOUN: "text_ texts_ title_ headline_ heading_ subheading_ subtitle_ caption_ description_ content_ contents_ image_ picture_ paragraph_ logo_ copy_ name_ section_ summary_ abstract_ introduction_ body_ article_ sentence_ post_ page_ card_ teaser_ button_ details_ link_ inhalt_ inhalte_ titel_ uberschrift_ bild_ beschreibung_ absatz_ beitrag_ artikel_ seite_ rubrik_ texte_ titre_ contenu_ paragraphe_ legende_ rubrique_ texto_ titulo_ contenido_ imagen_ descripcion_ parrafo_ seccion_ pagina_ testo_ titolo_ contenuto_ immagine_ paragrafo_ conteudo_ imagem_ descricao_ tekst_ tekstu_ inhoud_ titul_ teksti_ otsikko_ szoveg_ metin_ текст 文本 テキスト 文章 标题 タイトル 텍스트 제목 内容",
     GAP: """
 goes_here go_here comes_here here_ to_follow coming_soon to_come pending_ placeholder sample_ example_ dummy_ filler_ replace_ insert_ enter_ your_ tbd_ tba_ under_construction being_built to_be_added to_be_announced untitled_ no_title type_ before_publishing
 hier_steht hier_stehen hier_kommt hier_folgt hier_entsteht folgt_ folgen_ platzhalter blindtext mustertext muster_ ersetzen_ erganzt_ einfugen_ eingeben_ im_aufbau entsteht_ ohne_titel unbenannt in_kurze
@@ -130,7 +133,7 @@ _RUNS, _SHORT = tuple(RUNS.split()), frozenset(SHORT_RUNS.split())
 #: How rare pseudo-Latin words begin, since filler is cut and bent.
 _CUT = frozenset(w[:4] for w in _RARE if len(w) >= 4)
 _LAYOUT, _MENU, _GREETINGS = (frozenset(x.split()) for x in (LAYOUT, MENU, GREETINGS))
-_NOUNS = frozenset(w.rstrip("_") for w in STEMS[NOUN].split())
+_NOUNS = frozenset(w.rstrip("_") for w in (STEMS[NOUN] + " " + STEMS[PART]).split())
 
 
 def is_filler_word(word: str) -> bool:

@@ -11,7 +11,7 @@ from . import split as splitting
 from . import sql
 from .clusters import CAP, complete_records, describe, similarity_groups
 from .containers import divided, document_sizes, faults, fill, fill_report
-from .cooccur import block_baskets, cooccurrence
+from .cooccur import block_baskets, cooccurrence, document_baskets
 from .encode import encode
 from .frequency import token_frequency
 from .neighbours import close_pairs, nearest, recall, search
@@ -84,6 +84,12 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrence(baskets, ["doc_id", "block"], least=15, lift=10.0)
 
 
+def p4_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of tokens in at least five common documents, at least ten times as often as by chance; long documents are large baskets."""
+    baskets = document_baskets(table(spark, sf_dir, "corpus"), table(spark, sf_dir, "vocab"))
+    return cooccurrence(baskets, ["doc_id"], least=5, lift=10.0)
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embedding").select(F.col("emb_id").alias("id"), F.col("e").alias("vec"))
 
@@ -148,5 +154,5 @@ def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.join(p8_found(spark, sf_dir), "doc_id", "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_whole, p2_found, p2_cells, p2_groups, p3_found, p3_frequency, p4_found, p4_pairs, p5_found, p5_nearest, p5_recall, p6_ids, p7_found, p7_containers, p7_fill, p7_whole, p8_found, p8_kept)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_whole, p2_found, p2_cells, p2_groups, p3_found, p3_frequency, p4_found, p4_pairs, p4_large, p5_found, p5_nearest, p5_recall, p6_ids, p7_found, p7_containers, p7_fill, p7_whole, p8_found, p8_kept)}
 ORACLES = sql.ORACLES

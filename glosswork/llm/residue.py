@@ -42,13 +42,15 @@ LINE_BYTES = 40
 # Forms of unfilled fields.
 FIELD = re.compile(
     r"\{\{[^{}\n]{0,60}\}\}|\$\{[^{}\n]{1,60}\}|\$\([A-Za-z_][\w.]{1,40}\)|<%[^%\n]{0,80}%>|<\?(?:php|=)?[^?\n]{0,120}\?>|\{%[^%\n]{0,80}%\}|\[\[[^\[\]\n]{1,60}\]\]"
-    r"|<<[^<>\n]{1,60}>>|(?-i:«(?:[A-Z][a-z0-9]+(?:[A-Z]\w*)+|[A-Z]{2,}\w*|\w+_\w+)»)|@@[\w. ]{1,60}@@|(?<![\w@])@[a-z_]\w{1,40}@(?!\w)|%%[A-Za-z_]\w{0,40}%%|%[A-Za-z][\w.]{2,40}%|%[A-Z]%|__[A-Za-z][\w. ]*?__|#[A-Za-z_][\w.]{0,40}#"
+    r"|<<[^<>\n]{1,60}>>|(?-i:«(?:[A-Z][a-z0-9]+(?:[A-Z]\w*)+|\w+_\w+)»)|@@[\w. ]{1,60}@@|(?<![\w@])@[a-z_]\w{1,40}@(?!\w)|%%[A-Za-z_]\w{0,40}%%|%[A-Za-z][\w.]{2,40}%|%[A-Z]%|__[A-Za-z][\w. ]*?__|#[A-Za-z_][\w.]{0,40}#"
     r"|\{[A-Za-z_][\w. ]{1,40}\}|(?<![\w}\\$#%{])\{[A-Za-z]\}|\|\*[\w. ]{2,40}\*\|?|\*\|[\w. ]{2,40}\|\*|::[A-Za-z_]\w{1,40}::"
     r"|\[(?:[^\[\]\n]{0,60}\s)?(?:goes here|here|tbd|tba|tbc|folgt|einfugen|hier|ici|a completer|aqui|pendiente|insert)\]|\[(?:insert|add|your|enter|einfugen|inserer|insertar|ihr|votre|su)\s[^\[\]\n]{1,60}\]"
     r"|<(?:insert|add|your|enter|put|ihr|ihre|votre|su|tu|hier|ici)\s[^<>\n]{1,60}>|<[^<>\n]{1,50}\s(?:here|goes here|tbd|ici|hier|aqui)>|\[[A-Z][A-Z0-9_. -]{2,40}\]"
     r"|#(?:foreach|end|if|else|set)\b(?:\([^()\n]*\))?|<!--\s*(?:BEGIN|END|INCLUDE|#)\b[^\n]{0,60}?-->",
     re.I,
 )
+#: Single words in guillemets: fields of a letter if there are several in a short sentence or after a greeting, else quotations.
+MERGE = re.compile(r"«[A-Z][a-z]\w{0,30}»")
 #: What a field begins with.
 _OPEN = re.compile(r"[{\[<@$«%_#|*:]")
 CONTROL = re.compile(r"^\W*(?:\{%.*%\}|<\?.*\?>|\{\{[#/^>!].*\}\}|#(?:foreach|end|if|else|set)\b.*|<!--.*-->)\W*$", re.I)
@@ -96,6 +98,11 @@ def _repeats(words: list[str]) -> bool:
     return len(words) >= 8 and len(set(words)) <= (2 if len(words) < 12 else max(3, len(words) // 6))
 
 
+def _periodic(words: list[str]) -> bool:
+    """Whether a few words come again and again in the same order."""
+    return any(len(words) % k == 0 and len(words) // k >= 3 and words == words[:k] * (len(words) // k) for k in range(1, 7))
+
+
 def _pseudo(words: list[str]) -> bool:
     """Filler by its words: half or more are pseudo-Latin, keyboard runs or empty words, and at least three."""
     known = sum(cues.is_filler_word(w) for w in words)
@@ -130,7 +137,10 @@ def sentence_kind(sentence: str) -> int:
         if CONTROL.match(sentence):
             return TEMPLATE
         fields = _fields(sentence)
-        if len(fields) >= 2 or sum(fields) >= 0.2 * len(sentence) > 0 and fields:
+        if len(fields) >= 2 or (fields and sum(fields) >= 0.2 * len(sentence)):
+            return TEMPLATE
+        merged = len(MERGE.findall(sentence))
+        if merged and len(sentence) <= 80 and (merged >= 2 or cues.is_greeting(WORD.findall(low))):
             return TEMPLATE
     if has & cues.BLANK and (MISSING.match(sentence) or MISSING_VALUE.match(sentence) or len(MISSING_WORD.findall(sentence)) >= 2):
         return TEMPLATE
@@ -138,10 +148,11 @@ def sentence_kind(sentence: str) -> int:
         return FAULT
     if filler >= 3 and _pseudo(WORD.findall(low)):
         return FILLER
-    if not has & (cues.NOUN | cues.DUMMY | cues.ERROR | cues.AGAIN | cues.MARK) and not (has & cues.SCRIPT and has & cues.NEED) and not (has & cues.THING and absent):
+    needed = has & cues.SCRIPT and (has & cues.NEED or (has & cues.NOT and has & cues.WITHOUT))
+    if not has & (cues.NOUN | cues.PART | cues.DUMMY | cues.ERROR | cues.AGAIN | cues.MARK) and not needed and not absent:
         return CONTENT
     words = WORD.findall(low)
-    if has & cues.NOUN and cues.is_layout(words):
+    if has & (cues.NOUN | cues.PART) and cues.is_layout(words) or has & (cues.NOUN | cues.DUMMY) and _periodic(words):
         return FILLER
     mentioned = [m.group() for m in QUOTES.finditer(sentence) if " " in m.group().strip()]
     if mentioned and len(words) - sum(len(WORD.findall(m)) for m in mentioned) >= 3:
@@ -149,7 +160,7 @@ def sentence_kind(sentence: str) -> int:
     n = _wordy(low)
     if n <= 12 and has & cues.GAP and has & cues.NOUN or n <= 8 and has & cues.DUMMY:
         return FILLER
-    if has & cues.SCRIPT and has & cues.NEED and n <= 30:
+    if needed and n <= 30:
         return NOTICE
     if n <= 14 and has & (cues.MESSAGE | cues.ERROR) and (code := CODE.search(sentence)) and (code["rest"] is None or REASON.match(code["rest"]) or has & (cues.ERROR | cues.BAD)):
         return FAULT
@@ -159,7 +170,12 @@ def sentence_kind(sentence: str) -> int:
             return FAULT
     if has & cues.THING and absent and n <= 30:
         things = len({at for at, bits in found if bits & cues.THING}) + sum(bits & cues.WEB > 0 for _, bits in found)
-        if things + bool(has & (cues.YOU | cues.AGAIN)) + (n <= 9) + bool(NUMBERED.search(low)) >= 2:
+        if things + bool(has & (cues.YOU | cues.SORRY | cues.AGAIN)) + (n <= 9) + bool(NUMBERED.search(low)) >= 2:
+            return FAULT
+    if absent and n <= 14:
+        # an apology, or no subject at all: a page speaks
+        begin = [bits for at, bits in found if at <= 4]
+        if any(bits & cues.SORRY for bits in begin) or (n <= 8 and any(bits & cues.NOT for at, bits in found if at <= 1) and has & cues.THERE):
             return FAULT
     if has & cues.AGAIN and n <= 25:
         return SUPPORT
@@ -210,18 +226,23 @@ def kinds_of(text: str, again: bool | None = None) -> list[tuple[int, str, int]]
     for i in content:
         if same[_phrase(split[i][1])] >= 3 and any(c.isalpha() for c in split[i][1]):
             kinds[i] = FILLER
-    pages = sum(k in (FAULT, NOTICE) for k in kinds)
+    pages = [k in (FAULT, NOTICE) for k in kinds]
+    near = [any(pages[max(0, i - 2) : i + 3]) for i in range(len(kinds))]
+    gaps = [i for i, k in enumerate(kinds) if k == CONTENT and MISSING_WORD.search(split[i][1])]
+    if len(gaps) >= 3 or gaps and TEMPLATE in kinds:  # single gaps in several sentences
+        for i in gaps:
+            kinds[i] = TEMPLATE
     fields = sum(k == TEMPLATE for k in kinds)
     notices = NOTICE in kinds
     for i, k in enumerate(kinds):
         sentence = split[i][1]
         if k == SUPPORT:  # what to do about an error counts beside one, or alone
-            kinds[i] = FAULT if pages or all(x in (SKIP, SUPPORT, FAULT) for x in kinds) else CONTENT
+            kinds[i] = FAULT if any(pages) or all(x in (SKIP, SUPPORT, FAULT) for x in kinds) else CONTENT
         elif k in (CONTENT, FAULT) and fields >= 2 and (LABEL.match(sentence) or cues.is_greeting(WORD.findall(sentence.lower()))):
             kinds[i] = FRAME  # the frame of unfilled fields: labelled values and greetings around them
         elif k == CONTENT and notices and cues.asks(sentence.lower()) and _wordy(sentence.lower()) <= 12:
             kinds[i] = NOTICE  # what to do about it
-        elif k == CONTENT and pages and len(sentence) <= 60 and (LABEL.match(sentence) or REFERENCE.match(sentence)):
+        elif k == CONTENT and near[i] and len(sentence) <= 60 and (LABEL.match(sentence) or REFERENCE.match(sentence)):
             kinds[i] = FAULT
         elif k == CONTENT and ((len(sentence) <= 80 and HEADING.match(sentence)) or (i == 0 and len(split) > 1 and len(sentence) <= 40 and len(sentence.split()) <= 4 and sentence == split[i][2] and sentence[-1].isalnum())):
             kinds[i] = SKIP
@@ -282,8 +303,8 @@ def _look(texts: list[str]) -> np.ndarray:
     filler = np.add.reduceat((bits & cues.FILL > 0).astype(np.int64), starts)
     short = cut[np.minimum(place[starts], len(cut) - 1)] - cut[place[starts] - 1] <= 80
     any_of = lambda flag: (has & flag) > 0
-    worth = any_of(cues.THING) & (any_of(cues.BAD) | (any_of(cues.NOT) & any_of(cues.THERE)))
-    worth |= (any_of(cues.SCRIPT) & any_of(cues.NEED)) | (any_of(cues.GAP) & any_of(cues.NOUN)) | any_of(cues.ERROR | cues.AGAIN | cues.DUMMY | cues.MARK) | (filler >= 1) & short | (filler >= 3) | (any_of(cues.NOUN) & short)
+    worth = (any_of(cues.THING) | short) & (any_of(cues.BAD) | (any_of(cues.NOT) & any_of(cues.THERE)))
+    worth |= (any_of(cues.SCRIPT) & (any_of(cues.NEED) | any_of(cues.WITHOUT))) | (any_of(cues.SORRY) & (any_of(cues.BAD) | any_of(cues.THERE))) | (any_of(cues.GAP) & any_of(cues.NOUN)) | any_of(cues.ERROR | cues.AGAIN | cues.DUMMY | cues.MARK) | (filler >= 1) & short | (filler >= 3) | (any_of(cues.NOUN | cues.PART) & short)
     for k in np.flatnonzero(worth):
         doc = np.searchsorted(ends, at[starts[k]])
         if not marked[doc]:

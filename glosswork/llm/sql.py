@@ -75,5 +75,10 @@ SELECT count(DISTINCT emb_id) AS queries, count(*) AS partners, TRUE AS enough F
     "p3_found": f"WITH {FREQUENCY} SELECT token, mark FROM marked WHERE mark IS NOT NULL",
     "p3_frequency": f"WITH {FREQUENCY} SELECT token, n, docs, mark FROM marked",
     "p4_found": f"WITH {PAIRS} SELECT item_a AS token_a, item_b AS token_b FROM scored WHERE lift >= 10",
+    "p4_large": f"""WITH {CURRENT}, b AS (SELECT DISTINCT doc_id, token FROM cur), t AS (SELECT token, count(*) AS n_item FROM b GROUP BY token),
+n AS (SELECT count(DISTINCT doc_id) AS n FROM b), u AS (SELECT doc_id, token FROM b JOIN t USING (token), n WHERE n_item >= 5 AND n_item * 10 <= n),
+ab AS (SELECT x.token AS item_a, y.token AS item_b, count(*) AS n_ab FROM u x JOIN u y ON x.doc_id = y.doc_id AND x.token < y.token GROUP BY ALL HAVING count(*) >= 5),
+scored AS (SELECT item_a, item_b, n_ab, p.n_item AS n_a, q.n_item AS n_b, n, n_ab * n::DOUBLE / (p.n_item * q.n_item) AS lift FROM ab JOIN t p ON p.token = item_a JOIN t q ON q.token = item_b, n)
+SELECT item_a, item_b, n_ab, n_a, n_b, n, lift, ln(lift) AS pmi FROM scored WHERE lift >= 10""",
     "p4_pairs": f"WITH {PAIRS} SELECT item_a, item_b, n_ab, n_a, n_b, n, lift, ln(lift) AS pmi FROM scored WHERE lift >= 10",
 }
