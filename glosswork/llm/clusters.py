@@ -36,7 +36,7 @@ TIGHT, FEW, SLACK = 0.8, 8, 1e-4
 BALL_BYTES = 48 << 20
 
 #: Records and balls in a block, rows of a block compared at a time, and records that meet a ball's members in one task.
-BLOCK, ROWS, MEET = 8192, 1024, 16384
+BLOCK, ROWS, MEET = 4096, 1024, 16384
 
 LOCAL = "grp bigint, id bigint, grid int, whole boolean, low bigint, members int, near double, unit binary, ball bigint, centre binary, reach double"
 

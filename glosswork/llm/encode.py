@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -167,6 +168,12 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+@lru_cache(maxsize=2)
+def _encoder(vocabulary: str) -> Encoder:
+    """The encoder of a Python worker: read once, its store of words serves all tasks of the worker."""
+    return Encoder(vocabulary)
+
+
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, counts_only: bool = False) -> DataFrame:
     """One row ``(id, ids)`` for each row of ``df``: the token ids of its text.
 
@@ -183,7 +190,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     name = "n_ids" if counts_only else "ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = _encoder(vocabulary)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in _slices(texts):
