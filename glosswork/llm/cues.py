@@ -164,6 +164,11 @@ def _joins(char: str) -> bool:
     return char.isdigit() or _spaced(char)
 
 
+def codes_of(text: str) -> np.ndarray:
+    """The characters of a text as numbers."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 class _Cues:
     """All cues as one automaton; a cue has bits that always hold and bits that hold for whole words only."""
 
@@ -210,7 +215,7 @@ class _Cues:
         found = np.array(list(self.iter(text)), np.int64).reshape(-1, 2)
         end, word = found[:, 0] + 1, found[:, 1]
         begin = end - self.length[word]
-        code = np.frombuffer(("\n" + text + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        code = codes_of("\n" + text + "\n")
         joins = (code >= 48) & (code <= 57) | (code >= 97) & (code <= 122) | (code >= 0xAA) & (code < 0x590) & (code != 0xAB) & (code != 0xBB)
         free = ~(self.spaced[word] & joins[begin])
         bits = np.where(free, self.bits[word] | np.where(joins[end + 1], 0, self.whole[word]), 0) | self.bare[word]

@@ -80,7 +80,9 @@ TAG = re.compile(r"</?(?:p|br|div|span|b|i|em|strong|a|li|ul|ol|td|tr|table|body
 SPACES, DIGITS = "\t ", "123456789"
 _ALIKE = str.maketrans(SPACES + DIGITS, " " * len(SPACES) + "0" * len(DIGITS))
 _SENTENCE = re.compile(r"(?<=[.!?;])(?<!\bn\.[na]\.)\s+|(?<=[。！？])")
-_CUT = re.compile("[\0\n\r\v\f\x1c-\x1e\x85\u2028\u2029。！？]|[.!?;](?=\\s)")
+# Characters that end a line or a sentence, those that do before a blank, and blanks.
+_CUT_CODES = [ord(c) for c in "\0\n\r\v\f\x1c\x1d\x1e\x85\u2028\u2029。！？"]
+_STOP_CODES, _BLANK_CODES = [ord(c) for c in ".!?;"], [ord(c) for c in " \0\n\r\t\v\f\x1c\x1d\x1e\x1f\x85\u2028\u2029"]
 #: Texts of this many bytes that do not pack to this share of them hold no filler by repetition that could outweigh the rest.
 SHORT_BYTES, PACKS_TO = 256, 0.5
 
@@ -124,14 +126,15 @@ def _fields(sentence: str) -> list[int]:
     return found
 
 
-def sentence_kind(sentence: str) -> int:
-    """What one sentence (folded) is, looked at alone."""
+def sentence_kind(sentence: str, has: int | None = None, filler: int = 0) -> int:
+    """What one sentence (folded) is, looked at alone; ``has`` and ``filler`` are the bits of its cues and those of filler where they are known."""
     low = sentence.lower()
-    found = cues.of(low)
-    has, filler = 0, 0
-    for _, bits in found:
-        has |= bits
-        filler += bits & cues.FILL > 0
+    found = None
+    if has is None:
+        found, has = cues.of(low), 0
+        for _, bits in found:
+            has |= bits
+            filler += bits & cues.FILL > 0
     absent = has & cues.BAD or (has & cues.NOT and has & cues.THERE)
     if has & cues.FIELD:
         if CONTROL.match(sentence):
@@ -157,6 +160,7 @@ def sentence_kind(sentence: str) -> int:
     mentioned = [m.group() for m in QUOTES.finditer(sentence) if " " in m.group().strip()]
     if mentioned and len(words) - sum(len(WORD.findall(m)) for m in mentioned) >= 3:
         return CONTENT  # it tells of a quoted piece
+    found = cues.of(low) if found is None else found
     n = _wordy(low)
     if n <= 12 and has & cues.GAP and has & cues.NOUN or n <= 8 and has & cues.DUMMY:
         return FILLER
@@ -286,17 +290,21 @@ def _look(texts: list[str]) -> np.ndarray:
     marked = np.zeros(len(texts), bool)
     if not texts:
         return marked
-    joined = fold("\0".join(html.unescape(html.unescape(t)).replace("\0", " ") if "&" in t or "\0" in t else t for t in texts))
+    plain = (html.unescape(html.unescape(t)) if "&" in t else t for t in texts)
+    joined = "\0".join(fold(t.replace("\0", " ") if "\0" in t else t) for t in plain)
     cased = _GAPS.sub(" ", joined)
     joined = cased.lower()
     if len(joined) != len(cased):  # a letter that takes more room in lower case
         cased = joined
-    ends = np.array([m.start() for m in re.finditer("\0", joined)], np.int64)
+    code = cues.codes_of(joined)
+    ends = np.flatnonzero(code == 0)
     at, bits = cues.hits(joined)
     if not len(at):
         return marked
     # cues of one sentence count together
-    cut = np.array([-1, *(m.start() for m in _CUT.finditer(joined)), len(joined)], np.int64)
+    blank = np.isin(code, _BLANK_CODES)
+    stop = np.isin(code, _STOP_CODES) & np.r_[blank[1:], True]
+    cut = np.r_[-1, np.flatnonzero(np.isin(code, _CUT_CODES) | stop), len(joined)]
     place = np.searchsorted(cut, at, side="right")
     starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     has = np.bitwise_or.reduceat(bits, starts)
@@ -309,7 +317,8 @@ def _look(texts: list[str]) -> np.ndarray:
         doc = np.searchsorted(ends, at[starts[k]])
         if not marked[doc]:
             sentence = cased[cut[place[starts[k]] - 1] + 1 : cut[min(place[starts[k]], len(cut) - 1)] + 1].strip("\0 \n\r")
-            marked[doc] = sentence_kind(TAG.sub(" ", sentence) if "<" in sentence else sentence) != CONTENT
+            known = (None, 0) if "<" in sentence else (int(has[k]), int(filler[k]))
+            marked[doc] = sentence_kind(TAG.sub(" ", sentence) if "<" in sentence else sentence, *known) != CONTENT
     return marked
 
 
