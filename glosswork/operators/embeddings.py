@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import EPS
 from ..session import BROADCAST_BYTES, small
 from . import distinctiveness, moments, vectorspace
 
@@ -25,16 +26,16 @@ class Embedding:
     explained: float
 
 
-def embed(states: DataFrame, unembedding: DataFrame, k: int, alpha: float = 0.5, log_ratio: bool = True, centre: bool = False, targets: Sequence[int] | None = None, z: DataFrame | None = None) -> Embedding:
+def embed(states: DataFrame, unembedding: DataFrame, k: int, alpha: float = 0.5, log_ratio: bool = True, centre: bool = False, targets: Sequence[int] | None = None, z: DataFrame | None = None, eps: float = EPS) -> Embedding:
     """Association values, moved to log-ratio coordinates unless told otherwise, and their singular vectors.
 
     ``targets`` restricts the rows; log-ratio coordinates need whole rows of
     the vocabulary as columns and all tokens as rows, so the two exclude each
-    other.
+    other. ``eps`` is the floor of probabilities in logarithms.
     """
     if log_ratio and targets is not None:
         raise NotImplementedError("log-ratio coordinates need all tokens; leave the targets out or the coordinates")
-    pmi = moments.pmi(moments.moments(states, unembedding, targets, z))
+    pmi = moments.pmi(moments.moments(states, unembedding, targets, z), eps)
     rows = vectorspace.lists_of(moments.ilr_embedding(pmi), "t", "i", "y") if log_ratio else vectorspace.lists_of(pmi, "t", "w", "pmi")
     vectors, values, share = vectorspace.svd_embedding(rows, k, alpha, centre)
     return Embedding(vectors.withColumnRenamed("t", "token"), values, share)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, doubles, softmax
-from ..session import materialise, small
+from ..session import BROADCAST_BYTES, materialise, small
 from .corpus import next_token
 
 #: Bytes of an unembedding matrix that tasks may hold; it is a model parameter and does not grow with the corpus.
@@ -34,6 +34,15 @@ def centroid_unembedding(labelled: DataFrame, sharpness: float = 8.0) -> DataFra
     return lists.select(F.col("label").alias("token"), F.col("l.x").alias("w"))
 
 
+def usable_unembedding(sample: DataFrame, dim: int = 64, sharpness: float = 8.0) -> DataFrame:
+    """``(token, w)``: every usable state of a working sample as a token, scaled to length ``sharpness``; a wide vocabulary."""
+    h = doubles("h")
+    fine = sample.where(F.col("row_index").isNotNull() & (F.size("h") == dim)).select(F.col("row_index").cast("int").alias("token"), h.alias("w")).dropDuplicates(["token"])
+    fine = fine.where(~F.exists("w", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > 1e30)) & F.exists("w", lambda x: x != 0))
+    length = F.sqrt(dot("w", "w"))
+    return fine.withColumn("n", length).select("token", F.transform("w", lambda x: x * sharpness / F.col("n")).alias("w"))
+
+
 def sharp_unembedding(labelled: DataFrame, tokens: int = 32, sharpness: float = 8.0) -> DataFrame:
     """``(token, w)``: the first ``tokens`` states themselves, scaled; a model with peaked predictions."""
     return labelled.where(F.col("row") < tokens).select(F.col("row").cast("int").alias("token"), F.transform("h", lambda x: x * sharpness).alias("w"))
@@ -49,14 +58,21 @@ def matrix(unembedding: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows.column("token").to_numpy(), weights.flatten().to_numpy().reshape(rows.num_rows, -1)
 
 
+def as_row(unembedding: DataFrame) -> DataFrame:
+    """The unembedding as one row ``(model)``, tokens and vectors in order, to be broadcast; its size is checked."""
+    size, width = unembedding.agg(F.count(F.lit(1)), F.max(F.size("w"))).first()
+    if (size or 0) * ((width or 0) * 8 + 32) > BROADCAST_BYTES:
+        raise ValueError(f"an unembedding of {size} x {width} is too large for column expressions; use the folds, which hold it as a matrix")
+    return F.broadcast(unembedding.agg(F.sort_array(F.collect_list(F.struct("token", "w"))).alias("model")))
+
+
 def probabilities(state: DataFrame, unembedding: DataFrame) -> DataFrame:
     """``(row, token, p)``: the softmax of the products, in long form.
 
     For small vocabularies; large ones go through :mod:`.folds`, which never
     writes a row for each pair.
     """
-    model = small(unembedding.agg(F.sort_array(F.collect_list(F.struct("token", "w"))).alias("model")), 1 << 20)
-    scored = state.join(model).select("row", F.col("model.token").alias("tokens"), F.transform("model", lambda m: dot("h", m["w"])).alias("l"))
+    scored = state.join(as_row(unembedding)).select("row", F.col("model.token").alias("tokens"), F.transform("model", lambda m: dot("h", m["w"])).alias("l"))
     return scored.select("row", F.explode(F.arrays_zip("tokens", softmax("l").alias("p"))).alias("c")).select("row", F.col("c.tokens").alias("token"), F.col("c.p").alias("p"))
 
 

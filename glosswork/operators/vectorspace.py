@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,9 @@ from .folds import PACKED, added, dense, pack
 #: Columns up to which a Gram matrix is solved; beyond, extra directions and passes of the randomised range finder.
 GRAM_WIDTH, OVERSAMPLE, PASSES = 2048, 16, 4
 
+#: Bytes of the queries of a search, and of their best so far, that a task holds at a time.
+QUERY_BYTES = 64 << 20
+
 
 def gram(vectors: DataFrame, column: str, weight: str | None = None, centre: np.ndarray | None = None) -> DataFrame:
     """``(stat, i, j, value)``: sums of weights ``w``, weighted vectors ``s`` and outer products ``g``, added up in tasks first."""
@@ -193,12 +197,23 @@ def nearest_tokens(queries: DataFrame, vectors: DataFrame, k: int, metric: str =
     Exact search of a stated query set ``queries(id, e)`` against all of
     ``vectors(id, e)``: queries are held by tasks in blocks of ``block``,
     every task keeps its best ``k`` for each query, and only those are
-    shuffled. Scores are cosines or negative squared distances; equal scores
-    rank by the lesser id.
+    shuffled. More queries than :data:`QUERY_BYTES` hold take several passes
+    over the vectors. Scores are cosines or negative squared distances; equal
+    scores rank by the lesser id.
     """
     if metric not in ("cosine", "euclidean"):
         raise ValueError("the metric is 'cosine' or 'euclidean'")
     ship(vectors.sparkSession)
+    number, width = queries.agg(F.count(F.lit(1)), F.max(F.size("e"))).first()
+    passes = max(1, -(-number * 8 * ((width or 0) + 2 * k + 1) // QUERY_BYTES))
+    slab = F.pmod(F.xxhash64("id"), F.lit(passes))
+    parts = [_best_of(queries.where(slab == s) if passes > 1 else queries, vectors, k, metric, block) for s in range(passes)]
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("score", 9)), "other"))
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _best_of(queries: DataFrame, vectors: DataFrame, k: int, metric: str, block: int) -> DataFrame:
+    """``(id, other, score)``: the best of every task for queries that tasks can hold."""
     held = queries.select(F.col("id").cast("bigint").alias("id"), doubles("e").alias("e")).where("e IS NOT NULL").orderBy("id").toArrow()
     ids = held.column("id").to_numpy()
     q = dense(held.column("e").combine_chunks())
@@ -227,9 +242,7 @@ def nearest_tokens(queries: DataFrame, vectors: DataFrame, k: int, metric: str =
         row, rank = np.nonzero(best > -np.inf)
         yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best_id[row, rank]), pa.array(best[row, rank])], names=["id", "other", "score"])
 
-    found = vectors.where("e IS NOT NULL").select(F.col("id").cast("bigint").alias("id"), doubles("e").alias("e")).mapInArrow(run, "id bigint, other bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("score", 9)), "other"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return vectors.where("e IS NOT NULL").select(F.col("id").cast("bigint").alias("id"), doubles("e").alias("e")).mapInArrow(run, "id bigint, other bigint, score double")
 
 
 def contrast(unembedding: DataFrame, positive: int, negative: int) -> list[float]:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import ilr_adjoint, ilr_apply, log_composition
 from ..functions.vectors import dot, logsumexp
+from ..functions.windowing import offsets
 from ..operators import density, distinctiveness, embeddings, mixtures, moments, providers, similarity, vectorspace, views
-from ..sources.samples import working_sample
+from ..sources.samples import window_pair_similarities, working_sample
 from ..tables import table
 
 #: Decimals to which values are compared.
@@ -74,6 +75,34 @@ def pmi_top_tokens(spark, sf_dir):
     return rounded(moments.pmi(moments.moments(states, w, targets=sorted(r["token"] for r in top.collect()))))
 
 
+def _wide(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """States and a vocabulary of thousands: every usable state of the working sample is a token."""
+    return labelled(spark, sf_dir), providers.usable_unembedding(table(spark, sf_dir, "work_sample"))
+
+
+def moment_matrix_wide(spark, sf_dir):
+    """Mean products of the probabilities of eight targets with a vocabulary of thousands, summed by target in absolute value and for one other token."""
+    states, w = _wide(spark, sf_dir)
+    targets = sorted(r["token"] for r in w.orderBy("token").limit(8).collect())
+    m = moments.moments(states, w, targets=targets)
+    return rounded(m.groupBy("t").agg(F.count(F.lit(1)).alias("n"), (F.sum("m") * 1e3).alias("total"), (F.sum(F.when(F.col("t") == F.col("w"), F.col("m"))) * 1e6).alias("own")))
+
+
+def pair_similarity_wide(spark, sf_dir):
+    """The quantities of pairs of neighbouring tokens of that vocabulary; only these tokens are brought together."""
+    states, w = _wide(spark, sf_dir)
+    few = w.select(F.col("token").alias("t1")).orderBy("t1").limit(64)
+    named = few.select("t1", F.lead("t1").over(Window.orderBy("t1")).alias("t2")).na.drop()  # 64 rows
+    return rounded(similarity.pair_similarities(named, states, w), 5)
+
+
+def pair_similarity_window(spark, sf_dir):
+    """The quantities over states averaged in a window of one to both sides, from the states themselves."""
+    states, w = model(spark, sf_dir)
+    line = states.select(F.lit(0).cast("bigint").alias("doc_id"), F.col("row").alias("pos"), F.col("h").alias("v"))
+    return rounded(window_pair_similarities(_all_pairs(w), line, w, offsets(spark, 1)))
+
+
 def _all_pairs(unembedding: DataFrame) -> DataFrame:
     tokens = unembedding.select(F.col("token").alias("t1"))
     return tokens.join(tokens.select(F.col("t1").alias("t2")))
@@ -99,8 +128,7 @@ def log_partition(spark, sf_dir):
 def log_partition_columns(spark, sf_dir):
     """The same by column expressions, within the JVM."""
     states, w = model(spark, sf_dir)
-    model_list = w.agg(F.sort_array(F.collect_list(F.struct("token", "w"))).alias("m"))
-    return rounded(states.join(F.broadcast(model_list)).select("row", logsumexp(F.transform("m", lambda m: dot("h", m["w"]))).alias("log_z")))
+    return rounded(states.join(providers.as_row(w)).select("row", logsumexp(F.transform("model", lambda m: dot("h", m["w"]))).alias("log_z")))
 
 
 def _field(spark, sf_dir, token: int = 0) -> DataFrame:
@@ -279,11 +307,15 @@ def kde_bands(spark, sf_dir):
 
 def pca_token(spark, sf_dir):
     """Variances of the principal axes of the states under token 0."""
+    return rounded(pca_token_exact(spark, sf_dir))
+
+
+def pca_token_exact(spark, sf_dir):
     states, w = model(spark, sf_dir)
     z = moments.marginal_vector(states, w)
     omega = distinctiveness.token_weights(distinctiveness.with_log_partition(states, w), w, 0, float(z[0]))
     _, axes, value = vectorspace.principal_axes(states.join(omega, "row"), "h", "omega")
-    return rounded(vectorspace.axes_table(spark, axes, value).select("pc", "s"))
+    return vectorspace.axes_table(spark, axes, value).select("pc", "s")
 
 
 def svd_embedding(spark, sf_dir):
@@ -293,6 +325,37 @@ def svd_embedding(spark, sf_dir):
     return embedded.select("t", F.transform("e", lambda x: F.round(x, 4)).alias("e"))
 
 
+def embedding_products(spark, sf_dir):
+    """Products of the tokens' embeddings in all dimensions, which are those of their association values in log-ratio coordinates."""
+    made = embeddings.embed(*sharp(spark, sf_dir), k=31, alpha=1.0)
+    a = made.vectors.select(F.col("token").alias("t1"), F.col("e").alias("a"))
+    b = made.vectors.select(F.col("token").alias("t2"), F.col("e").alias("b"))
+    return rounded(a.join(b).select("t1", "t2", dot("a", "b").alias("product")), 4)
+
+
+def pca_trace(spark, sf_dir):
+    """Sum of the variances of the principal axes of token 0, which is the trace of the weighted covariance."""
+    return rounded(pca_token_exact(spark, sf_dir).agg(F.sum("s").alias("trace"), F.count(F.lit(1)).alias("axes")), 5)
+
+
+def degenerate_products(spark, sf_dir):
+    """Products of all unembedding vectors with the degenerate direction, over their mean: one."""
+    _, w = model(spark, sf_dir)
+    axis = moments.degenerate_direction(w)
+    products = vectorspace.project(w.select("token", F.col("w").alias("h")), axis[:, None], out="p").select("token", F.get("p", F.lit(0)).alias("p"))
+    mean = products.agg(F.avg("p")).first()[0]
+    return rounded(products.select("token", (F.col("p") / F.lit(mean)).alias("product")), 5)
+
+
+def field_weights(spark, sf_dir):
+    """Weights of token 0 over a density of the states, here a spherical one."""
+    states, w = model(spark, sf_dir)
+    z = moments.marginal_vector(states, w)
+    omega = distinctiveness.token_weights(distinctiveness.with_log_partition(states, w), w, 0, float(z[0]))
+    dense = states.select("row", (dot("h", "h") * -0.5).alias("log_g")).join(omega, "row")
+    return rounded(mixtures.field_weights(dense, "log_g").select("row", F.log("omega").alias("log_weight")), 5)
+
+
 def suggest_axes(spark, sf_dir):
     """Token pairs whose contrasts are nearest to the principal axes."""
     states, w = sharp(spark, sf_dir)
@@ -311,15 +374,28 @@ def _senses(spark, sf_dir):
     z = moments.marginal_vector(states, w)
     omega = distinctiveness.token_weights(distinctiveness.with_log_partition(states, w), w, 0, float(z[0]))
     lift = moments.unembedding_coordinates(moments.Model.of(w))
-    return mixtures.fit_senses(states.select("row", "h").join(omega, "row"), 0, lift, k=2, tries=1, iterations=25)
+    return mixtures.fit_senses(states.select("row", "h").join(omega, "row"), 0, lift)
 
 
 def fit_senses(spark, sf_dir):
-    """Two senses of token 0: share and mean state."""
+    """The senses of token 0, their number chosen by BIC among three starts each: share and mean state."""
     senses, _ = _senses(spark, sf_dir)
     return mixtures.sense_table(senses, table(spark, sf_dir, "embeddings")).select("t", "sense_id", "pi", "nu_h")
 
 
+def sense_balance(spark, sf_dir):
+    """What must hold of the senses: shares sum to one, greatest first, and variances within and between make up the whole."""
+    senses, shares = _senses(spark, sf_dir)
+    split = mixtures.variance_split(senses)
+    once = shares.where("sense_id = 0").select(F.col("x").alias("x"), "omega")
+    sums = vectorspace.gathered(vectorspace.gram(once, "x", "omega"))
+    mean = sums["s"] / sums["w"][0]
+    whole = float(np.trace(sums["g"] / sums["w"][0] - np.outer(mean, mean)))
+    pi = senses.mixture.pi
+    row = (round(float(pi.sum()), 6), bool((np.diff(pi) <= 0).all()), bool(1 <= len(pi) <= 5), bool(abs(split["within"] + split["between"] - whole) < 0.01 * whole))
+    return spark.createDataFrame([row], "shares double, sorted boolean, chosen boolean, balanced boolean")
+
+
 def sense_examples(spark, sf_dir):
     """The five states that show each sense best."""
     senses, shares = _senses(spark, sf_dir)
@@ -392,7 +468,7 @@ _NAMES = (
     " log_partition_columns distinctiveness_field expected_distinctiveness expected_distinctiveness_all token_weights_ess dplus_moment dplus_centroids"
     " aitchison_centroids aitchison_centroids_ilr unembedding_ilr ilr_pmi ilr_roundtrip ilr_states degenerate_direction contrast_projection contrast_facets"
     " knn_cosine knn_euclidean standardize total_variance_by_label weighted_cov kde_grid kde_token kde_log_ratio kde_tokens_scaled kde_bands pca_token"
-    " svd_embedding suggest_axes suggest_axes_projection fit_senses sense_examples variance_split log_density work_sample_built embedding_pipeline density_view density_view_tokens distinctiveness_view token_basis"
+    " svd_embedding moment_matrix_wide pair_similarity_wide pair_similarity_window embedding_products pca_trace degenerate_products field_weights suggest_axes suggest_axes_projection fit_senses sense_balance sense_examples variance_split log_density work_sample_built embedding_pipeline density_view density_view_tokens distinctiveness_view token_basis"
 )
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
@@ -410,6 +486,12 @@ z AS (SELECT token, avg(p) AS z, sum(p) AS z_sum FROM p GROUP BY token)"""
 
 
 _P, _P_SHARP = _p(_W), _p(_W_SHARP)
+_W_WIDE = f"""{_H}, v AS (SELECT row_index::INTEGER AS token, any_value(list_transform(h, lambda x: x::DOUBLE)) AS v FROM work_sample WHERE row_index IS NOT NULL AND len(h) = 64
+  AND len(list_filter(h, lambda x: x IS NULL OR isnan(x) OR abs(x) > 1e30)) = 0 AND len(list_filter(h, lambda x: x <> 0)) > 0 GROUP BY row_index),
+w AS (SELECT token, unnest(range(64)) AS j, unnest(list_transform(v, lambda x: x * 8 / sqrt(list_dot_product(v, v)))) AS x FROM v)"""
+_P_WIDE = _p(_W_WIDE)
+_W_WINDOW = f"""h0 AS (SELECT vec_id AS row, label, unnest(range(len(embedding))) AS j, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE embedding IS NOT NULL), w AS (SELECT label AS token, j, 8 * avg(x) AS x FROM h0 GROUP BY ALL),
+h AS (SELECT a.row, a.j, (a.x + b.x + c.x) / 3 AS x FROM h0 a JOIN h0 b ON b.row = a.row - 1 AND b.j = a.j JOIN h0 c ON c.row = a.row + 1 AND c.j = a.j)"""
 _M = "m AS (SELECT a.token AS t, b.token AS w, avg(a.p * b.p) AS m FROM p a JOIN p b USING (row) GROUP BY ALL)"
 _PMI = f"""{_M}, pmi AS (SELECT t, w, ln(greatest(m, 1e-30)) - ln(greatest(x.z, 1e-30)) - ln(greatest(y.z, 1e-30)) AS pmi
 FROM m JOIN z x ON x.token = t JOIN z y ON y.token = w)"""
@@ -467,6 +549,18 @@ def _r(*columns: str, digits: int = DIGITS) -> str:
 _SIMPLE = {
     "token_marginals": (_P, f"SELECT token, {_r('z', 'z_sum')} FROM z"),
     "token_marginals_long": (_P, f"SELECT token, {_r('z', 'z_sum')} FROM z"),
+    "sense_balance": (_H, "SELECT 1.0::DOUBLE AS shares, TRUE AS sorted, TRUE AS chosen, TRUE AS balanced"),
+    "moment_matrix_wide": (f"{_P_WIDE}, m AS (SELECT a.token AS t, b.token AS w, avg(a.p * b.p) AS m FROM (SELECT * FROM p WHERE token IN (SELECT token FROM (SELECT DISTINCT token FROM w) ORDER BY token LIMIT 8)) a JOIN p b USING (row) GROUP BY ALL), e AS (SELECT t, count(*) AS n, sum(m) * 1e3 AS total, sum(m) FILTER (t = w) * 1e6 AS own FROM m GROUP BY t)", f"SELECT t, n, {_r('total', 'own')} FROM e"),
+    "pair_similarity_wide": (f"""{_P_WIDE}, few AS (SELECT token, lead(token) OVER (ORDER BY token) AS t2 FROM (SELECT DISTINCT token FROM w ORDER BY token LIMIT 64)),
+sums AS (SELECT a.token AS t1, b.token AS t2, sum(a.p * b.p) AS e, sum(a.p * greatest(b.lp, ln(1e-30))) AS c, sum(a.p * greatest(a.lp, ln(1e-30))) AS o FROM few f JOIN p a ON a.token = f.token JOIN p b ON b.row = a.row AND b.token = f.t2 GROUP BY ALL),
+pairs AS (SELECT t1, t2, e / greatest(x.z_sum, 1e-30) AS expected_probability, -c / greatest(x.z_sum, 1e-30) AS expected_surprisal, (o - c) / greatest(x.z_sum, 1e-30) + ln(greatest(y.z, 1e-30)) - ln(greatest(x.z, 1e-30)) AS kl
+  FROM sums JOIN z x ON x.token = t1 JOIN z y ON y.token = t2)""", f"SELECT t1, t2, {_r('expected_probability', 'expected_surprisal', 'kl', digits=5)} FROM pairs"),
+    "pair_similarity_window": (f"""{_p(_W_WINDOW)}, {_PAIRS}""", f"SELECT t1, t2, {_r('expected_probability', 'expected_surprisal', 'kl')} FROM pairs"),
+    "embedding_products": (f"{_P_SHARP}, {_ILR_PMI}, e AS (SELECT a.t AS t1, b.t AS t2, sum(a.y * b.y) AS product FROM y a JOIN y b USING (i) GROUP BY ALL)", f"SELECT t1, t2, {_r('product', digits=4)} FROM e"),
+    "pca_trace": (f"""{_P}, {_D}, o AS (SELECT row, omega FROM d WHERE token = 0), s AS (SELECT sum(omega) AS sw FROM o), m AS (SELECT j, sum(omega * x) / any_value(sw) AS m FROM h JOIN o USING (row), s GROUP BY j),
+e AS (SELECT sum(omega * (x - m) * (x - m)) / any_value(sw) AS trace, count(DISTINCT j) AS axes FROM h JOIN o USING (row) JOIN m USING (j), s)""", f"SELECT {_r('trace', digits=5)}, axes FROM e"),
+    "degenerate_products": (_H, "SELECT label AS token, 1.0::DOUBLE AS product FROM h GROUP BY label"),
+    "field_weights": (f"{_P}, {_D}, g AS (SELECT row, -0.5 * sum(x * x) AS g FROM h GROUP BY row), e AS (SELECT row, ln(greatest(omega, 1e-300)) - greatest(g, -30) AS log_weight FROM d JOIN g USING (row) WHERE token = 0)", f"SELECT row, {_r('log_weight', digits=5)} FROM e"),
     "moment_matrix": (f"{_P}, {_M}", f"SELECT t, w, {_r('m')} FROM m"),
     "moment_matrix_subset": (f"{_P}, {_M}", f"SELECT t, w, {_r('m')} FROM m WHERE t IN (0, 3, 7)"),
     "pmi_matrix": (f"{_P}, {_PMI}", f"SELECT t, w, {_r('pmi')} FROM pmi"),

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import register, schedule, windowing
 from ..functions.geometry import three_parts, three_parts_inverse
 from ..functions.vectors import doubles
-from ..operators import corpus, pairs, providers, vectorspace
+from ..operators import corpus, mixtures, pairs, providers, vectorspace
 from ..operators.folds import fold_probabilities, stat
-from ..session import materialise, shared_dir
+from ..session import materialise, remove, shared_dir, small
 from ..sources import samples
 from ..streaming import sums
 from ..tables import table
@@ -143,7 +143,9 @@ def extract_marginals(spark, sf_dir):
     _, w = states.model(spark, sf_dir)
     folder = f"{shared_dir(spark)}/extract-{uuid.uuid4().hex}"
     samples.extract(_line(spark, sf_dir), w, windowing.offsets(spark, 1), folder, "line")
-    return rounded(table(spark, folder, "line_Z").select("token", "z", "z_sum"))
+    z = materialise(table(spark, folder, "line_Z").select("token", "z", "z_sum"), "marginals")
+    remove(spark, folder)
+    return rounded(z)
 
 
 def next_token_filter(spark, sf_dir):
@@ -163,7 +165,7 @@ def context_snippets(spark, sf_dir):
     vocab = table(spark, sf_dir, "vocab")
     held = current(spark, sf_dir)
     marks = vocab.where("boundary = 'document'").select("token")
-    places = held.join(F.broadcast(marks), "token", "left_semi").select("doc_id", (F.col("pos") - 1).alias("pos"))
+    places = held.join(small(marks, 16), "token", "left_semi").select("doc_id", (F.col("pos") - 1).alias("pos"))
     return corpus.snippets(held, places, vocab, 5, 3)
 
 
@@ -332,28 +334,37 @@ def stream_marginals(spark, sf_dir):
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     raw = spark.readStream.schema(table(spark, sf_dir, "embeddings").schema).format("parquet").option("pathGlobFilter", "embeddings.parquet").load(sf_dir)
     sums.accumulate(providers.states(raw), weights, f"{base}/sums", f"{base}/checkpoint").awaitTermination()
-    folded = sums.current(spark, f"{base}/sums")
+    folded = materialise(sums.current(spark, f"{base}/sums"), "sums")
+    remove(spark, base)
     n = folded.where("stat = 'n'").select(F.col("value").alias("n"))
     z = folded.where("stat = 'z'").join(F.broadcast(n))
     return rounded(z.select(F.col("j").alias("token"), (F.col("value") / F.col("n")).alias("z")))
 
 
 def stream_event_windows(spark, sf_dir):
-    """Events and distinct types per day from a stream with late rows allowed."""
+    """Events per day from a stream with late rows allowed."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     raw = spark.readStream.schema(table(spark, sf_dir, "events").schema).format("parquet").option("pathGlobFilter", "events.parquet").load(sf_dir)
     per = raw.select(F.col("ts").cast("timestamp").alias("loaded_at"), F.col("event_type").alias("token"))
-    counts = per.withWatermark("loaded_at", "1 day").groupBy(F.window("loaded_at", "1 day")).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("day"), "n")
-    query = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
-    query.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{base}/windows")).start().awaitTermination()
-    return spark.read.parquet(f"{base}/windows").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
+    sums.upsert(sums.windowed_counts(per, "1 day", "1 day"), f"{base}/windows", f"{base}/checkpoint").awaitTermination()
+    days = materialise(sums.newest(spark, f"{base}/windows", "window_start").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n"), "days")
+    remove(spark, base)
+    return days
+
+
+def sense_snippets(spark, sf_dir):
+    """Text around one position of every document, as the examples of senses show it."""
+    held = _held(spark, sf_dir)
+    places = held.where("pos = 20").select(F.col("doc_id").alias("row"), "doc_id", "pos")
+    examples = places.select((F.col("row") % 3).cast("int").alias("sense_id"), F.lit(1).alias("rank"), F.lit(1.0).alias("score"), "row")
+    return mixtures.sense_examples_in_text(examples, places, held, table(spark, sf_dir, "vocab"), 4)
 
 
 _NAMES = (
     "tokenize_positions vocab_counts token_counts decay_weights fcm_window fcm_pmi bigram_marginals bigram_pmi bigram_perplexity window_avg_probability"
     " window_avg_aitchison extract_marginals next_token_filter phrase_search context_snippets instance_labels uniform_subsample valid_positions training_blocks"
     " pairs_enrich_oov pairs_coverage candidate_lookup spearman_eval spearman_dot benchmark_registry sample_quality sense_shares sense_exemplars"
-    " learning_rate_schedule model_shapes training_plans ilr_function gram_by_label composition_parts context_window_function kish_by_label stream_marginals stream_event_windows"
+    " learning_rate_schedule model_shapes training_plans ilr_function gram_by_label composition_parts context_window_function kish_by_label stream_marginals stream_event_windows sense_snippets"
 )
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
@@ -429,6 +440,8 @@ SELECT pos, j, round(x, 6) + 0.0 AS x FROM e WHERE pos >= 1""",
     "context_snippets": f"WITH {_CUR}, places AS (SELECT doc_id, pos - 1 AS pos FROM cur WHERE token IN (SELECT token FROM vocab WHERE boundary = 'document')), {_SNIP.format(low=-4, high=4)} SELECT * FROM text",
     "instance_labels": f"""WITH {_CUR}, places AS (SELECT a.doc_id, a.pos FROM cur a JOIN cur b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 ORDER BY md5(a.doc_id || '|' || a.pos), a.doc_id, a.pos LIMIT 200), {_SNIP.format(low=-4, high=1)}
 SELECT doc_id, pos, trim(CASE WHEN true THEN context_before || ' ' || focus END) AS label FROM text""",
+    "sense_snippets": f"""WITH {_CUR}, places AS (SELECT doc_id, pos FROM cur WHERE pos = 20), {_SNIP.format(low=-3, high=5)}
+SELECT (doc_id % 3)::INT AS sense_id, 1 AS rank, 1.0::DOUBLE AS score, doc_id, pos, context_before, focus, context_after FROM text""",
     "uniform_subsample": f"WITH {_CUR} SELECT doc_id, pos, token FROM cur ORDER BY md5(doc_id || '|' || pos), doc_id, pos LIMIT 500",
     "valid_positions": f"WITH {_CUR}, l AS (SELECT doc_id, max(pos) + 1 AS length FROM cur GROUP BY doc_id) SELECT doc_id, unnest(range(0, length - 6)) AS row, unnest(range(4, length - 2)) AS pos FROM l WHERE length > 6",
     "training_blocks": f"""WITH {_CUR}, l AS (SELECT doc_id, max(pos) + 1 AS length FROM cur GROUP BY doc_id), s AS (SELECT doc_id, unnest(range(0, length - 16)) AS start FROM l WHERE length > 16),

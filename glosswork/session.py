@@ -18,13 +18,22 @@ BROADCAST_BYTES = 64 << 20
 _written: list[tuple[SparkSession, str]] = []
 
 
+def _driver_gigabytes() -> int:
+    """Heap of a local session: three fifths of the memory that the machine has, 20 GB at most."""
+    try:
+        whole = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") / (1 << 30)
+    except (ValueError, OSError, AttributeError):
+        return 4
+    return int(max(2, min(20, whole * 0.6)))
+
+
 def build(app: str = "glosswork", cores: int | str = "*", **conf: str) -> SparkSession:
     """A local session with the settings the library is tuned for."""
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
-        "spark.sql.shuffle.partitions": "8",
-        "spark.driver.memory": "20g",
+        "spark.sql.shuffle.partitions": str(max(8, os.cpu_count() or 8)) if cores == "*" else str(max(8, int(cores))),
+        "spark.driver.memory": f"{_driver_gigabytes()}g",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | conf
@@ -78,6 +87,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared folder that is not needed any more."""
+    _delete(spark, path)
+
+
 def _remove() -> None:
     for spark, path in _written:
         try:

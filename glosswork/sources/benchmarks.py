@@ -6,10 +6,13 @@ import csv
 import logging
 from collections.abc import Callable, Mapping
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.pairs import BENCHMARKS
+from ..session import materialise
 
 logger = logging.getLogger(__name__)
 
@@ -19,9 +22,22 @@ SECOND_WORD = ("word2", "word_2")
 JUDGEMENT = ("similarity", "score", "human (mean)", "sim")
 
 
+#: Column that holds the text of a row with another number of fields than the header.
+CORRUPT = "_corrupt_row"
+
+
 def _csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    df = spark.read.csv(path, header=True, sep=sep, mode="DROPMALFORMED", quote='"', escape='"')
-    return df.toDF(*[c.strip().lstrip("﻿").strip('"') for c in df.columns])
+    """Rows of a text file as strings; rows that do not fit the header are counted, reported and left out."""
+    options = {"sep": sep, "quote": '"', "escape": '"'}
+    names = spark.read.csv(path, header=True, **options).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
+    held = materialise(spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=True, **options).toDF(*(f"c{k}" for k in range(len(names))), CORRUPT), "rows")
+    odd = held.where(F.col(CORRUPT).isNotNull())
+    left_out = odd.count()
+    if left_out:
+        logger.warning("%s: %d rows do not fit the header and are left out, such as %r", path, left_out, odd.first()[CORRUPT])
+    df = held.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return df.toDF(*[c.strip().lstrip("\ufeff").strip('"') for c in names])
 
 
 def _pick(df: DataFrame, names: tuple[str, ...]) -> str:
@@ -65,10 +81,10 @@ def association_json(spark: SparkSession, path: str) -> DataFrame:
     return _shaped(shares, "cue", "response", F.col("n") / F.col("total"))
 
 
-def delimiter(path: str) -> str:
+def delimiter(spark: SparkSession, path: str) -> str:
     """The delimiter of a text file by its first line: tab, semicolon or comma."""
-    with open(path.removeprefix("file://"), encoding="utf-8", errors="replace", newline="") as f:
-        head = f.readline()
+    first = spark.read.text(path).first()
+    head = first["value"] if first else ""
     try:
         return csv.Sniffer().sniff(head, "\t;,").delimiter
     except csv.Error:
@@ -77,13 +93,13 @@ def delimiter(path: str) -> str:
 
 def small_world(spark: SparkSession, path: str) -> DataFrame:
     """Cue, response and strength of first responses given at least once; responses of several words are left out."""
-    df = _csv(spark, path, delimiter(path))
+    df = _csv(spark, path, delimiter(spark, path))
     kept = df.where((F.col("R1").try_cast("double") >= 1) & F.col("response").isNotNull() & ~F.trim("response").contains(" "))
     return _shaped(kept, "cue", "response", "R1.Strength")
 
 
 def norms(spark: SparkSession, path: str) -> DataFrame:
-    df = _csv(spark, path, delimiter(path))
+    df = _csv(spark, path, delimiter(spark, path))
     return _shaped(df, _pick(df, ("cues", "cue")), _pick(df, ("targets", "target")), _pick(df, ("forward strength",)))
 
 
@@ -107,7 +123,7 @@ def priming_project(spark: SparkSession, path: str) -> DataFrame:
         frame = pd.read_excel(path.removeprefix("file://"), dtype=str)
         df = spark.createDataFrame(frame.astype(object).where(frame.notna(), None))
     else:
-        df = _csv(spark, path, delimiter(path))
+        df = _csv(spark, path, delimiter(spark, path))
     return _mean_time(df.where(F.col("keep").try_cast("double") == 1), "prime", "target", "target.rt", (True, False))
 
 
@@ -132,7 +148,7 @@ def load_all(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
         try:
             one = load(spark, name, path)
             one.limit(1).collect()  # a reader that fails must fail here
-        except Exception as e:
+        except (PySparkException, OSError, ValueError) as e:
             logger.warning("benchmark %s is skipped: %s", name, e)
             continue
         result = result.unionByName(one)

@@ -17,6 +17,7 @@ from ..operators.corpus import sampled, window_average
 from ..operators.distinctiveness import with_log_partition
 from ..operators.folds import fold, fold_probabilities, log_softmax, stat
 from ..operators.providers import matrix
+from ..operators.similarity import QUANTITIES, pair_similarities
 from ..operators.vectorspace import principal_axes, project
 from ..session import discard, materialise, small
 
@@ -152,6 +153,16 @@ def extract(states: DataFrame, unembedding: DataFrame, offsets: DataFrame, folde
     return meta
 
 
+def window_pair_similarities(pairs: DataFrame, states: DataFrame, unembedding: DataFrame, offsets: DataFrame, quantities: Sequence[str] = QUANTITIES, least: int = 0) -> DataFrame:
+    """The quantities of :func:`~..operators.similarity.pair_similarities` over states averaged in a window, without a stored sample.
+
+    ``states(doc_id, pos, v)`` are those of a corpus pass; the averages are
+    the states that an extraction with the same window would have stored.
+    """
+    averaged = window_states(states, offsets, "aitchison", least)
+    return pair_similarities(pairs, averaged.select(doubles("v").alias("h")), unembedding, quantities)
+
+
 def working_sample(states: DataFrame, unembedding: DataFrame, n: int = 200_000, axes: int = 0, path: str | None = None) -> DataFrame:
     """``(row_index, h, log_z[, proj])``: a uniform subsample with what later questions need.
 
@@ -174,13 +185,13 @@ def load_working_sample(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def pairs_in(spark: SparkSession, path: str) -> DataFrame:
-    """Word pairs with any other columns from CSV, plain or compressed."""
+def pairs_in(spark: SparkSession, path: str, word1: str = "word1", word2: str = "word2") -> DataFrame:
+    """Word pairs with any other columns from CSV, plain or compressed; the columns named become ``word1`` and ``word2``."""
     df = spark.read.csv(path, header=True)
-    missing = {"word1", "word2"} - set(df.columns)
+    missing = {word1, word2} - set(df.columns)
     if missing:
         raise ValueError(f"columns {sorted(missing)} are missing")
-    return df
+    return df.withColumnsRenamed({word1: "word1", word2: "word2"})
 
 
 def pairs_out(pairs: DataFrame, path: str, compression: str | None = None) -> None:

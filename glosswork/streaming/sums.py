@@ -42,7 +42,29 @@ def token_counts(stream: DataFrame, late: str = "1 hour", time: str = "loaded_at
     return once.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def windowed_counts(stream: DataFrame, width: str = "1 day", late: str = "1 hour", time: str = "loaded_at") -> DataFrame:
-    """``(window_start, n, tokens)`` of tumbling windows over event time; rows later than ``late`` are left out."""
-    per = stream.withWatermark(time, late).groupBy(F.window(time, width))
+def windowed_counts(stream: DataFrame, width: str = "1 day", late: str = "1 hour", time: str = "loaded_at", slide: str | None = None) -> DataFrame:
+    """``(window_start, n, tokens)`` of windows over event time, tumbling or every ``slide``; rows later than ``late`` are left out."""
+    per = stream.withWatermark(time, late).groupBy(F.window(time, width, slide) if slide else F.window(time, width))
     return per.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("token").alias("tokens")).select(F.col("window.start").alias("window_start"), "n", "tokens")
+
+
+def session_counts(stream: DataFrame, gap: str = "30 minutes", late: str = "1 hour", time: str = "loaded_at", by: str = "doc_id") -> DataFrame:
+    """``(by, session_start, session_end, n)`` of sessions that end after ``gap`` without a row."""
+    per = stream.withWatermark(time, late).groupBy(by, F.session_window(time, gap).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    return per.select(by, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n")
+
+
+def upsert(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the changed rows of every micro-batch of ``changes`` under the batch's number, in update mode, so that state behind the watermark is dropped."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return changes.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+def newest(spark, path: str, key: str) -> DataFrame:
+    """The last state of every key of what :func:`upsert` keeps."""
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(key, *(F.col(f"v.{c}").alias(c) for c in values))

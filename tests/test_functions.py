@@ -106,3 +106,22 @@ def test_sql_functions(spark):
     assert half == float(np.float16(0.1))
     density = spark.sql("SELECT gaussian_logpdf(array(0D), array(0D), array(1D))").first()[0]
     assert np.isclose(density, -0.5 * np.log(2 * np.pi))
+
+
+def test_sql_functions_for_matrices(spark):
+    register.register(spark)
+    r = spark.sql("SELECT vector_ilr(array(1.0D, 3.0D, 2.0D)) AS y, vector_ilr(array(1.0D)) AS one, vector_matvec(array(array(1.0D, 2.0D), array(0.0D, 1.0D)), array(3.0D, 4.0D)) AS p").first()
+    assert np.allclose(r["y"], [(1 - 3) / np.sqrt(2), (4 - 2 * 2) / np.sqrt(6)]) and r["one"] == [] and r["p"] == [11.0, 4.0]
+    spark.createDataFrame([(1, [1.0, 2.0], 2.0), (1, [0.0, 1.0], 1.0), (1, None, 1.0), (2, None, 1.0)], "g int, v array<double>, w double").createOrReplaceTempView("gw_vectors")
+    got = {r["g"]: r["m"] for r in spark.sql("SELECT g, weighted_gram(v, w) AS m FROM gw_vectors GROUP BY g").collect()}
+    assert got == {1: [2.0, 4.0, 4.0, 9.0], 2: []}
+    half = spark.sql("SELECT half_precision(v) AS v FROM gw_vectors").collect()
+    assert sorted(map(str, (r["v"] for r in half))) == ["None", "None", "[0.0, 1.0]", "[1.0, 2.0]"]
+
+
+def test_training_plan(spark):
+    plan = schedule.training_plan(F.lit(1e8), 12 * 1024, 20.0, 1e8, 2)
+    r = spark.range(1).select(*(c.alias(k) for k, c in plan.items())).first()
+    batch = r["accumulation"] * 12 * 1024
+    assert r["tokens"] == 2_000_000_000 and r["iterations"] == 2e8 // batch and np.isclose(r["epochs_run"], r["iterations"] * batch / 1e8)
+    assert np.isclose(r["learning_rate"], 6e-4 * np.sqrt(batch / 524288)) and r["weight_decay"] <= 0.5 and 100 <= r["warmup"] <= 2000

@@ -131,3 +131,28 @@ def test_size_of_the_model_is_checked(spark, monkeypatch, toy):
     monkeypatch.setattr(providers, "MODEL_BYTES", 10)
     with pytest.raises(ValueError):
         moments.marginals(toy["states"], toy["unembedding"])
+
+
+def test_blocks_of_targets_add_up_alike(toy, as_matrix, monkeypatch):
+    """Moments by blocks of two targets are those of one block; stored distributions too."""
+    whole = as_matrix(moments.moments(toy["states"], toy["unembedding"]), "t", "w", "m")
+    z = toy["p"].mean(0)
+    excess = as_matrix(moments.excess_moments(toy["states"], toy["unembedding"], z), "t", "w", "m")
+    monkeypatch.setattr(folds, "BLOCK_BYTES", 8 * 8 * 2)
+    assert len(folds.target_blocks(8, 8)) == 4
+    assert np.allclose(as_matrix(moments.moments(toy["states"], toy["unembedding"]), "t", "w", "m"), whole)
+    assert np.allclose(as_matrix(moments.excess_moments(toy["states"], toy["unembedding"], z), "t", "w", "m"), excess)
+    subset = moments.moments(toy["states"], toy["unembedding"], targets=[1, 5, 6])
+    assert {r["t"] for r in subset.collect()} == {1, 5, 6}
+    stored = toy["states"].sparkSession.createDataFrame([(x.tolist(),) for x in toy["p"]], "p array<double>")
+    assert np.allclose(as_matrix(moments.moments_of(stored), "t", "w", "m_sum"), toy["p"].T @ toy["p"])
+
+
+def test_pairs_come_in_slabs(spark, toy, monkeypatch):
+    pairs = spark.createDataFrame([(a, b) for a in range(8) for b in range(8)] + [(1, 99), (None, 2)], "t1 int, t2 int")
+    one = {(r["t1"], r["t2"]): r["kl"] for r in similarity.pair_similarities(pairs, toy["states"], toy["unembedding"], ["kl"]).collect()}
+    monkeypatch.setattr(similarity, "SLAB_PAIRS", 20)
+    many = {(r["t1"], r["t2"]): r["kl"] for r in similarity.pair_similarities(pairs, toy["states"], toy["unembedding"], ["kl"]).collect()}
+    assert one.keys() == many.keys() and one[1, 99] is None and all(one[k] is None or np.isclose(one[k], many[k]) for k in one)
+    none = similarity.pair_similarities(pairs.limit(0), toy["states"], toy["unembedding"])
+    assert none.count() == 0 and none.columns == ["t1", "t2", "expected_probability", "expected_surprisal", "kl"]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glosswork.functions import windowing
-from glosswork.operators import moments, pairs
+from glosswork.operators import moments, pairs, similarity
 from glosswork.sources import arrays, benchmarks, samples
 from glosswork.streaming import sums
 
@@ -194,3 +194,45 @@ def test_stream_counts(spark, tmp_path):
     w = sums.windowed_counts(raw).writeStream.outputMode("complete").format("memory").queryName("gw_windows").trigger(availableNow=True).start()
     w.awaitTermination()
     assert spark.table("gw_windows").first()["n"] == 3
+
+
+def test_odd_rows_are_reported(spark, tmp_path, caplog):
+    path = write(tmp_path / "odd.csv", "word1,word2,similarity\na,b,1\nc,d,2,9,9\ne,f,3\n")
+    with caplog.at_level("WARNING"):
+        got = benchmarks.pairs_csv(spark, path)
+    assert rows(got) == [("a", "b", 1.0), ("e", "f", 3.0)] and "1 rows do not fit" in caplog.text
+
+
+def test_extraction_without_states(spark, tmp_path, toy):
+    line = toy["states"].select(F.lit(0).cast("bigint").alias("doc_id"), F.col("row").alias("pos"), F.col("h").alias("v"))
+    samples.extract(line, toy["unembedding"], windowing.offsets(spark, 1), str(tmp_path), "kept")
+    meta = samples.extract(line, toy["unembedding"], windowing.offsets(spark, 1), str(tmp_path), "bare", save_states=False, subsample=10)
+    z = [{r["token"]: r["z"] for r in spark.read.parquet(f"{tmp_path}/{n}_Z.parquet").collect()} for n in ("kept", "bare")]
+    assert all(np.isclose(z[0][t], z[1][t]) for t in range(8)) and meta.n_valid == 118
+    assert spark.read.parquet(f"{tmp_path}/bare_sub.parquet").count() == 10
+    with pytest.raises(FileNotFoundError):
+        samples.locate(spark, str(tmp_path), "bare")
+
+
+def test_live_pairs_are_those_of_a_stored_sample(spark, tmp_path, toy):
+    line = toy["states"].select(F.lit(0).cast("bigint").alias("doc_id"), F.col("row").alias("pos"), F.col("h").alias("v"))
+    pairs_of = spark.createDataFrame([(0, 1), (2, 5)], "t1 int, t2 int")
+    off = windowing.offsets(spark, 1)
+    samples.extract(line, toy["unembedding"], off, str(tmp_path), "s")
+    stored = spark.read.parquet(samples.locate(spark, str(tmp_path), "s")).select(F.col("v").alias("h"))
+    live = samples.window_pair_similarities(pairs_of, line, toy["unembedding"], off)
+    for a, b in zip(live.orderBy("t1").collect(), similarity.pair_similarities(pairs_of, stored, toy["unembedding"]).orderBy("t1").collect()):
+        assert np.allclose(a[2:], b[2:])
+
+
+def test_windows_and_sessions_of_a_stream(spark, tmp_path):
+    at = ["2031-01-01 00:00:00", "2031-01-01 00:10:00", "2031-01-01 02:00:00"]
+    spark.createDataFrame([(1, k, 5, t) for k, t in enumerate(at)], "doc_id bigint, pos bigint, token int, at string").select("doc_id", "pos", "token", F.to_timestamp("at").alias("loaded_at")).write.parquet(str(tmp_path / "c"))
+    raw = spark.readStream.schema("doc_id bigint, pos bigint, token int, loaded_at timestamp").parquet(str(tmp_path / "c"))
+    sums.upsert(sums.windowed_counts(raw, "1 hour"), str(tmp_path / "w"), str(tmp_path / "wc")).awaitTermination()
+    assert sorted(r["n"] for r in sums.newest(spark, str(tmp_path / "w"), "window_start").collect()) == [1, 2]
+    sums.upsert(sums.windowed_counts(raw, "1 hour", slide="30 minutes"), str(tmp_path / "s"), str(tmp_path / "sc")).awaitTermination()
+    assert sorted(r["n"] for r in sums.newest(spark, str(tmp_path / "s"), "window_start").collect()) == [1, 1, 2, 2]
+    sessions = sums.session_counts(raw).writeStream.outputMode("append").format("memory").queryName("gw_sessions").trigger(availableNow=True).start()
+    sessions.awaitTermination()
+    assert [r["n"] for r in spark.table("gw_sessions").collect()] in ([2], [2, 1])

@@ -200,3 +200,45 @@ def test_variance_by_label(spark, rng):
     r = mixtures.variance_by_label(df).first()
     within = sum(x[k::4].var(0).sum() / 4 for k in range(4))
     assert np.isclose(r["within_var"], within) and np.isclose(r["total_var"], x.var(0).sum())
+
+
+@pytest.mark.parametrize("centre", [False, True])
+def test_wide_rows_take_the_range_finder(spark, rng, monkeypatch, centre):
+    """Singular vectors without a Gram matrix are those with one."""
+    x = rng.normal(size=(60, 5)) @ rng.normal(size=(5, 40)) * 3 + rng.normal(size=(60, 40)) * 0.05 + 1.0
+    df = frame(spark, x, "t", "v")
+    exact = vectorspace.right_vectors(df, "v", 4, centre)
+    monkeypatch.setattr(vectorspace, "GRAM_WIDTH", 8)
+    found = vectorspace.right_vectors(df, "v", 4, centre)
+    assert np.allclose(found[0], exact[0]) and np.allclose(found[1], exact[1], atol=1e-6) and np.isclose(found[3], exact[3]) and found[4] == 60
+    embedded, s, share = vectorspace.svd_embedding(df, 4, 1.0, centre)
+    held = x - x.mean(0) if centre else x
+    e = np.array([r["e"] for r in embedded.orderBy("t").collect()])
+    assert np.allclose(s, np.linalg.svd(held, compute_uv=False)[:4]) and 0.99 < share <= 1
+    assert np.allclose(e @ e.T, held @ held.T, atol=2.0)
+
+
+def test_projection_keeps_nulls_and_columns(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0], "a"), (2, None, None), (3, [0.0, 1.0], "c")], "row int, h array<double>, proj string")
+    got = vectorspace.project(df, np.array([[1.0], [2.0]]), np.array([1.0, 0.0])).orderBy("row").collect()
+    assert [(r["row"], r["h"], r["proj"]) for r in got] == [(1, [1.0, 2.0], [4.0]), (2, None, None), (3, [0.0, 1.0], [1.0])]
+
+
+def test_many_queries_take_several_passes(spark, rng, monkeypatch):
+    x = rng.normal(size=(50, 4))
+    df = frame(spark, x, "id", "e")
+    want = {tuple(r) for r in vectorspace.nearest_tokens(df, df, 3).select("id", "other", "rank").collect()}
+    monkeypatch.setattr(vectorspace, "QUERY_BYTES", 1000)
+    assert {tuple(r) for r in vectorspace.nearest_tokens(df, df, 3).select("id", "other", "rank").collect()} == want and len(want) == 150
+
+
+def test_factor_of_any_covariance(rng):
+    a = rng.normal(size=(4, 4))
+    good = a @ a.T
+    lower = mixtures.factor(good, 1e-6)
+    assert np.allclose(lower, np.linalg.cholesky(good + 1e-6 * np.eye(4))) and np.allclose(np.triu(lower, 1), 0)
+    flat = np.outer(a[0], a[0]) - 0.1 * np.outer(a[1], a[1])  # not even semidefinite
+    lower = mixtures.factor(flat, 1e-3)
+    assert np.linalg.eigvalsh(lower @ lower.T)[0] > 5e-4
+    with pytest.raises(np.linalg.LinAlgError):
+        mixtures.factor(np.full((2, 2), np.nan), 1e-6)
