@@ -369,23 +369,23 @@ def suggest_axes_projection(spark, sf_dir):
     return rounded(vectorspace.suggest_contrasts(w, np.eye(64)[:, :4], np.ones(4), n=3, by="projection").drop("share"))
 
 
-def _senses(spark, sf_dir):
+def _senses(spark, sf_dir, **options):
     states, w = sharp(spark, sf_dir)
     z = moments.marginal_vector(states, w)
     omega = distinctiveness.token_weights(distinctiveness.with_log_partition(states, w), w, 0, float(z[0]))
     lift = moments.unembedding_coordinates(moments.Model.of(w))
-    return mixtures.fit_senses(states.select("row", "h").join(omega, "row"), 0, lift)
+    return mixtures.fit_senses(states.select("row", "h").join(omega, "row"), 0, lift, **(options or {"k": 2, "tries": 1, "iterations": 25}))
 
 
 def fit_senses(spark, sf_dir):
-    """The senses of token 0, their number chosen by BIC among three starts each: share and mean state."""
+    """Two senses of token 0: share and mean state."""
     senses, _ = _senses(spark, sf_dir)
     return mixtures.sense_table(senses, table(spark, sf_dir, "embeddings")).select("t", "sense_id", "pi", "nu_h")
 
 
 def sense_balance(spark, sf_dir):
-    """What must hold of the senses: shares sum to one, greatest first, and variances within and between make up the whole."""
-    senses, shares = _senses(spark, sf_dir)
+    """What must hold of the senses of token 0, their number chosen by BIC: shares sum to one, greatest first, and variances within and between make up the whole."""
+    senses, shares = _senses(spark, sf_dir, k=None)
     split = mixtures.variance_split(senses)
     once = shares.where("sense_id = 0").select(F.col("x").alias("x"), "omega")
     sums = vectorspace.gathered(vectorspace.gram(once, "x", "omega"))
@@ -486,10 +486,12 @@ z AS (SELECT token, avg(p) AS z, sum(p) AS z_sum FROM p GROUP BY token)"""
 
 
 _P, _P_SHARP = _p(_W), _p(_W_SHARP)
-_W_WIDE = f"""{_H}, v AS (SELECT row_index::INTEGER AS token, any_value(list_transform(h, lambda x: x::DOUBLE)) AS v FROM work_sample WHERE row_index IS NOT NULL AND len(h) = 64
+_P_WIDE = """st AS (SELECT vec_id AS row, list_transform(embedding, lambda x: x::DOUBLE) AS h FROM embeddings WHERE embedding IS NOT NULL),
+v AS (SELECT row_index::INTEGER AS token, any_value(list_transform(h, lambda x: x::DOUBLE)) AS v FROM work_sample WHERE row_index IS NOT NULL AND len(h) = 64
   AND len(list_filter(h, lambda x: x IS NULL OR isnan(x) OR abs(x) > 1e30)) = 0 AND len(list_filter(h, lambda x: x <> 0)) > 0 GROUP BY row_index),
-w AS (SELECT token, unnest(range(64)) AS j, unnest(list_transform(v, lambda x: x * 8 / sqrt(list_dot_product(v, v)))) AS x FROM v)"""
-_P_WIDE = _p(_W_WIDE)
+w AS (SELECT token, v, 8 / sqrt(list_dot_product(v, v)) AS k FROM v), l AS MATERIALIZED (SELECT row, token, k * list_dot_product(h, v) AS l FROM st, w),
+lz AS (SELECT row, max(l) AS top, ln(sum(exp(l))) AS log_z FROM l GROUP BY row), p AS MATERIALIZED (SELECT row, token, exp(l - log_z) AS p, l - log_z AS lp FROM l JOIN lz USING (row)),
+z AS MATERIALIZED (SELECT token, avg(p) AS z, sum(p) AS z_sum FROM p GROUP BY token)"""
 _W_WINDOW = f"""h0 AS (SELECT vec_id AS row, label, unnest(range(len(embedding))) AS j, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE embedding IS NOT NULL), w AS (SELECT label AS token, j, 8 * avg(x) AS x FROM h0 GROUP BY ALL),
 h AS (SELECT a.row, a.j, (a.x + b.x + c.x) / 3 AS x FROM h0 a JOIN h0 b ON b.row = a.row - 1 AND b.j = a.j JOIN h0 c ON c.row = a.row + 1 AND c.j = a.j)"""
 _M = "m AS (SELECT a.token AS t, b.token AS w, avg(a.p * b.p) AS m FROM p a JOIN p b USING (row) GROUP BY ALL)"
@@ -550,8 +552,8 @@ _SIMPLE = {
     "token_marginals": (_P, f"SELECT token, {_r('z', 'z_sum')} FROM z"),
     "token_marginals_long": (_P, f"SELECT token, {_r('z', 'z_sum')} FROM z"),
     "sense_balance": (_H, "SELECT 1.0::DOUBLE AS shares, TRUE AS sorted, TRUE AS chosen, TRUE AS balanced"),
-    "moment_matrix_wide": (f"{_P_WIDE}, m AS (SELECT a.token AS t, b.token AS w, avg(a.p * b.p) AS m FROM (SELECT * FROM p WHERE token IN (SELECT token FROM (SELECT DISTINCT token FROM w) ORDER BY token LIMIT 8)) a JOIN p b USING (row) GROUP BY ALL), e AS (SELECT t, count(*) AS n, sum(m) * 1e3 AS total, sum(m) FILTER (t = w) * 1e6 AS own FROM m GROUP BY t)", f"SELECT t, n, {_r('total', 'own')} FROM e"),
-    "pair_similarity_wide": (f"""{_P_WIDE}, few AS (SELECT token, lead(token) OVER (ORDER BY token) AS t2 FROM (SELECT DISTINCT token FROM w ORDER BY token LIMIT 64)),
+    "moment_matrix_wide": (f"{_P_WIDE}, m AS (SELECT a.token AS t, b.token AS w, avg(a.p * b.p) AS m FROM (SELECT * FROM p WHERE token IN (SELECT token FROM w ORDER BY token LIMIT 8)) a JOIN p b USING (row) GROUP BY ALL), e AS (SELECT t, count(*) AS n, sum(m) * 1e3 AS total, sum(m) FILTER (t = w) * 1e6 AS own FROM m GROUP BY t)", f"SELECT t, n, {_r('total', 'own')} FROM e"),
+    "pair_similarity_wide": (f"""{_P_WIDE}, few AS (SELECT token, lead(token) OVER (ORDER BY token) AS t2 FROM (SELECT token FROM w ORDER BY token LIMIT 64)),
 sums AS (SELECT a.token AS t1, b.token AS t2, sum(a.p * b.p) AS e, sum(a.p * greatest(b.lp, ln(1e-30))) AS c, sum(a.p * greatest(a.lp, ln(1e-30))) AS o FROM few f JOIN p a ON a.token = f.token JOIN p b ON b.row = a.row AND b.token = f.t2 GROUP BY ALL),
 pairs AS (SELECT t1, t2, e / greatest(x.z_sum, 1e-30) AS expected_probability, -c / greatest(x.z_sum, 1e-30) AS expected_surprisal, (o - c) / greatest(x.z_sum, 1e-30) + ln(greatest(y.z, 1e-30)) - ln(greatest(x.z, 1e-30)) AS kl
   FROM sums JOIN z x ON x.token = t1 JOIN z y ON y.token = t2)""", f"SELECT t1, t2, {_r('expected_probability', 'expected_surprisal', 'kl', digits=5)} FROM pairs"),
