@@ -207,14 +207,14 @@ def test_wide_rows_take_the_range_finder(spark, rng, monkeypatch, centre):
     """Singular vectors without a Gram matrix are those with one."""
     x = rng.normal(size=(60, 5)) @ rng.normal(size=(5, 40)) * 3 + rng.normal(size=(60, 40)) * 0.05 + 1.0
     df = frame(spark, x, "t", "v")
-    exact = vectorspace.right_vectors(df, "v", 4, centre)
+    exact = vectorspace.right_vectors(df, "v", 5, centre)
     monkeypatch.setattr(vectorspace, "GRAM_WIDTH", 8)
-    found = vectorspace.right_vectors(df, "v", 4, centre)
+    found = vectorspace.right_vectors(df, "v", 5, centre)
     assert np.allclose(found[0], exact[0]) and np.allclose(found[1], exact[1], atol=1e-6) and np.isclose(found[3], exact[3]) and found[4] == 60
-    embedded, s, share = vectorspace.svd_embedding(df, 4, 1.0, centre)
+    embedded, s, share = vectorspace.svd_embedding(df, 5, 1.0, centre)
     held = x - x.mean(0) if centre else x
     e = np.array([r["e"] for r in embedded.orderBy("t").collect()])
-    assert np.allclose(s, np.linalg.svd(held, compute_uv=False)[:4]) and 0.99 < share <= 1
+    assert np.allclose(s, np.linalg.svd(held, compute_uv=False)[:5]) and 0.99 < share <= 1
     assert np.allclose(e @ e.T, held @ held.T, atol=2.0)
 
 
