@@ -11,10 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import EPS, ilr_apply, ilr_matrix
-from .folds import fold, fold_probabilities, stat, target_blocks
-from .providers import matrix
+from .blocks import target_moments
+from .folds import dense, fold, fold_probabilities, stat, target_blocks
+from .providers import MODEL_BYTES, matrix
 from .vectorspace import gathered, gram
 
+#: Bytes of an unembedding up to which moments of targets hold it in the driver and in tasks; beyond, blocks of it meet blocks of states.
+WHOLE_BYTES = 4 << 20
+
 
 @dataclass(frozen=True)
 class Model:
@@ -81,8 +85,13 @@ def moments(states: DataFrame, unembedding: DataFrame, targets: Sequence[int] |
     ``targets`` restricts ``t`` before the product is formed; ``w`` always
     covers the vocabulary. ``z(token, z)`` replaces the sample's own
     marginals. Each task adds up a block of targets by vocabulary; more
-    targets than fit one take more passes over the states.
+    targets than fit one take more passes over the states. With ``targets``,
+    a vocabulary above :data:`WHOLE_BYTES` stays distributed.
     """
+    if targets is not None:
+        size, width = unembedding.agg(F.count(F.lit(1)), F.max(F.size("w"))).first()
+        if (size or 0) * (width or 0) * 8 > WHOLE_BYTES:
+            return _wide_moments(states, unembedding, width, targets, z)
     model = Model.of(unembedding)
     rows = model.rows(targets)
 
@@ -104,6 +113,20 @@ def moments(states: DataFrame, unembedding: DataFrame, targets: Sequence[int] |
     return joined.select("t", "w", (F.col("m_sum") / F.col("n")).alias("m"), "z_t", "z_w")
 
 
+def _wide_moments(states: DataFrame, unembedding: DataFrame, width: int, targets: Sequence[int], z: DataFrame | None) -> DataFrame:
+    if len(targets) * width * 8 > MODEL_BYTES:
+        raise ValueError(f"{len(targets)} targets of {width} numbers do not fit {MODEL_BYTES} bytes; ask for fewer")
+    found = unembedding.where(F.col("token").isin([int(t) for t in targets])).select("token", "w").toArrow().sort_by("token")
+    own = Model(found.column("token").to_numpy(), dense(found.column("w")))
+    at = own.rows(targets) if len(targets) else np.zeros(0, int)
+    m = target_moments(states, unembedding, width, own.tokens[at].astype(np.int64), own.weights[at])
+    if z is None:
+        return m
+    z = z.select("token", "z")
+    joined = m.select("t", "w", "m").join(z.select(F.col("token").alias("t"), F.col("z").alias("z_t")), "t").join(z.select(F.col("token").alias("w"), F.col("z").alias("z_w")), "w")
+    return joined.select("t", "w", "m", "z_t", "z_w")
+
+
 def pmi(moment: DataFrame, eps: float = EPS) -> DataFrame:
     """``(t, w, pmi)``: logarithm of the moment over both marginals, each with the floor ``eps``; neither clipped nor shifted."""
     return moment.select("t", "w", (_floor("m", eps) - _floor("z_t", eps) - _floor("z_w", eps)).alias("pmi"))

@@ -6,15 +6,17 @@ w)`` and ``probs(row, token, p)``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, doubles, softmax
-from ..session import BROADCAST_BYTES, materialise, small
+from ..session import BROADCAST_BYTES, materialise, ship, small
 from .corpus import next_token
+from .folds import dense
 
 #: Bytes of an unembedding matrix that tasks may hold; it is a model parameter and does not grow with the corpus.
 MODEL_BYTES = 512 << 20
@@ -36,11 +38,25 @@ def centroid_unembedding(labelled: DataFrame, sharpness: float = 8.0) -> DataFra
 
 def usable_unembedding(sample: DataFrame, dim: int = 64, sharpness: float = 8.0) -> DataFrame:
     """``(token, w)``: every usable state of a working sample as a token, scaled to length ``sharpness``; a wide vocabulary."""
-    h = doubles("h")
-    fine = sample.where(F.col("row_index").isNotNull() & (F.size("h") == dim)).select(F.col("row_index").cast("int").alias("token"), h.alias("w")).dropDuplicates(["token"])
-    fine = fine.where(~F.exists("w", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > 1e30)) & F.exists("w", lambda x: x != 0))
-    length = F.sqrt(dot("w", "w"))
-    return fine.withColumn("n", length).select("token", F.transform("w", lambda x: x * sharpness / F.col("n")).alias("w"))
+    ship(sample.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            token, h = batch.column(0).to_numpy(), dense(batch.column(1))
+            if not len(token):
+                continue
+            fine = (np.abs(h) <= 1e30).all(1) & (h != 0).any(1)  # neither null nor NaN
+            token, h = token[fine], h[fine]
+            new = np.concatenate([token[:1] != last, token[1:] != token[:-1]])
+            last = token[-1] if len(token) else last
+            token, h = token[new], h[new]
+            w = h * sharpness / np.sqrt((h * h).sum(1))[:, None]
+            lists = pa.ListArray.from_arrays(np.arange(0, w.size + 1, dim, dtype=np.int32), pa.array(w.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(token), lists], names=["token", "w"])
+
+    sized = sample.where(F.col("row_index").isNotNull() & (F.size("h") == dim)).select(F.col("row_index").cast("int").alias("token"), "h")
+    return sized.repartition("token").sortWithinPartitions("token").mapInArrow(run, "token int, w array<double>")
 
 
 def sharp_unembedding(labelled: DataFrame, tokens: int = 32, sharpness: float = 8.0) -> DataFrame:

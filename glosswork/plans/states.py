@@ -10,6 +10,7 @@ from ..functions.geometry import ilr_adjoint, ilr_apply, log_composition
 from ..functions.vectors import dot, logsumexp
 from ..functions.windowing import offsets
 from ..operators import density, distinctiveness, embeddings, mixtures, moments, providers, similarity, vectorspace, views
+from ..session import materialise
 from ..sources.samples import window_pair_similarities, working_sample
 from ..tables import table
 
@@ -83,7 +84,8 @@ def _wide(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 def moment_matrix_wide(spark, sf_dir):
     """Mean products of the probabilities of eight targets with a vocabulary of thousands, summed by target in absolute value and for one other token."""
     states, w = _wide(spark, sf_dir)
-    targets = sorted(r["token"] for r in w.orderBy("token").limit(8).collect())
+    w = materialise(w, "vocabulary")
+    targets = sorted(r["token"] for r in w.select("token").orderBy("token").limit(8).collect())
     m = moments.moments(states, w, targets=targets)
     return rounded(m.groupBy("t").agg(F.count(F.lit(1)).alias("n"), (F.sum("m") * 1e3).alias("total"), (F.sum(F.when(F.col("t") == F.col("w"), F.col("m"))) * 1e6).alias("own")))
 

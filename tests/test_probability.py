@@ -156,3 +156,42 @@ def test_pairs_come_in_slabs(spark, toy, monkeypatch):
     assert one.keys() == many.keys() and one[1, 99] is None and all(one[k] is None or np.isclose(one[k], many[k]) for k in one)
     none = similarity.pair_similarities(pairs.limit(0), toy["states"], toy["unembedding"])
     assert none.count() == 0 and none.columns == ["t1", "t2", "expected_probability", "expected_surprisal", "kl"]
+
+
+@pytest.mark.parametrize("bound", [None, 16 << 20, 0])
+def test_moments_of_a_vocabulary_that_is_not_held(spark, monkeypatch, bound):
+    monkeypatch.setattr(providers, "MODEL_BYTES", 1024)  # the vocabulary must reach neither driver nor tasks whole
+    monkeypatch.setattr(moments, "WHOLE_BYTES", 0, raising=False)
+    if bound is not None:
+        from glosswork.operators import blocks
+
+        monkeypatch.setattr(blocks, "STATE_BYTES", bound)
+        monkeypatch.setattr(blocks, "STATE_ROWS", 16)
+        monkeypatch.setattr(blocks, "TOKEN_ROWS", 16)
+    r = np.random.default_rng(5)
+    h, w = r.normal(size=(70, 4)), r.normal(size=(50, 4)) * 20
+    states = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(h)] + [(99, None)], "row bigint, h array<double>").repartition(3)
+    unembedding = spark.createDataFrame([(3 * i + 1, x.tolist()) for i, x in enumerate(w)], "token int, w array<double>").repartition(4)
+    logits = h @ w.T
+    p = np.exp(logits - logits.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    z = p.mean(0)
+    rows = moments.moments(states, unembedding, targets=[1, 22, 148]).collect()
+    assert len(rows) == 150 and {x["t"] for x in rows} == {1, 22, 148}
+    for x in rows:
+        t, k = (x["t"] - 1) // 3, (x["w"] - 1) // 3
+        assert np.allclose([x["m"], x["z_t"], x["z_w"]], [(p[:, t] * p[:, k]).mean(), z[t], z[k]], rtol=1e-9, atol=1e-300)
+    given = spark.createDataFrame([(3 * i + 1, 0.5 + i) for i in range(50)], "token int, z double")
+    assert {(x["t"], x["z_t"]) for x in moments.moments(states, unembedding, [1, 22], given).collect()} == {(1, 0.5), (22, 7.5)}
+    assert moments.moments(states.where("row < 0"), unembedding, [1]).count() == 0
+    assert moments.moments(states, unembedding, []).count() == 0
+    with pytest.raises(ValueError):
+        moments.moments(states, unembedding, targets=[2])
+
+
+def test_usable_vocabulary(spark):
+    rows = [(4, [3.0, 4.0]), (4, [0.0, 0.0]), (4, [3.0, 4.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1e31, 1.0]), (8, None), (9, [1.0]), (None, [1.0, 1.0]), (2, [0.0, -2.0])]
+    sample = spark.createDataFrame(rows, "row_index bigint, h array<float>")
+    got = providers.usable_unembedding(sample, dim=2)
+    assert dict(got.dtypes) == {"token": "int", "w": "array<double>"}
+    assert {r["token"]: [round(x, 9) for x in r["w"]] for r in got.collect()} == {4: [4.8, 6.4], 2: [0.0, -8.0]} and got.count() == 2
